@@ -1,0 +1,67 @@
+"""Lookups that stay balanced when one key holds a large share of the rows.
+
+At most ``HOT_KEYS`` keys can each hold more than one ``HOT_KEYS``-th of the
+rows. Those few keys are joined by broadcast, where the rows do not move at
+all; the others are joined by an ordinary shuffle, in which none is large.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_KEYS = 256
+
+
+def key_sizes(rows: DataFrame, keys: list[str], name: str = "key_rows") -> DataFrame:
+    """Rows per key; counted inside each task before the shuffle."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+
+def largest_keys(sizes: DataFrame, keys: list[str], size: str = "key_rows") -> DataFrame:
+    """The ``HOT_KEYS`` largest keys (a bounded top-k, no full sort)."""
+    return sizes.orderBy(F.desc(size), *keys).limit(HOT_KEYS)
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def drop_keys(rows: DataFrame, unwanted: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Rows whose key is not in ``unwanted`` (one row per key, with its size)."""
+    hot = unwanted.select(*keys, size).orderBy(F.desc(size), *keys).limit(HOT_KEYS)
+    kept = rows.join(F.broadcast(hot), _same(rows, hot, keys), "left_anti")
+    return kept.join(unwanted, _same(kept, unwanted, keys), "left_anti")
+
+
+def lookup(rows: DataFrame, values: DataFrame, keys: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Left join of ``rows`` with ``values`` (at most one row per key).
+
+    ``sizes`` holds ``key_rows`` per key; it is counted when not given. Rows of
+    a hot key meet their value by broadcast, all others by a shuffled join.
+    """
+    sizes = key_sizes(rows, keys) if sizes is None else sizes
+    hot_keys = largest_keys(sizes, keys).select(*keys, F.lit(True).alias("_hot"))
+    new = [c for c in values.columns if c not in keys]
+
+    hot_values = values.join(F.broadcast(hot_keys.drop("_hot")), keys, "left_semi")
+    # left_semi against the bounded key list leaves at most HOT_KEYS rows.
+    hot_values = hot_values.select(*keys, F.lit(True).alias("_found"), *new)
+    # Rows without a key match nothing and would all meet in one partition.
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    unmatched = rows.filter(no_key).select(
+        *rows.columns, *[F.lit(None).cast(values.schema[c].dataType).alias(c) for c in new]
+    )
+    marked = rows.filter(~no_key).join(F.broadcast(hot_keys), keys, "left")
+    hot = (
+        marked.filter("_hot")
+        .drop("_hot")
+        .join(F.broadcast(hot_values), keys, "left")
+        .select(*rows.columns, *new)
+    )
+    cold = (
+        marked.filter("_hot IS NULL").drop("_hot").join(values, keys, "left").select(*rows.columns, *new)
+    )
+    return hot.unionByName(cold).unionByName(unmatched)
