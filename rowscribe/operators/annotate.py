@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowscribe import constants as K
 from rowscribe.functions import jsonx
@@ -56,10 +57,8 @@ def _ask(requests: DataFrame, annotator: Annotator) -> DataFrame:
             )
             yield pd.concat([pdf, replies], axis=1)
 
-    schema = requests.schema
-    for name in names:
-        schema = schema.add(name, "string")
-    return requests.mapInPandas(ask, schema)
+    added = [T.StructField(name, T.StringType()) for name in names]
+    return requests.mapInPandas(ask, T.StructType([*requests.schema.fields, *added]))
 
 
 def annotate(
@@ -176,6 +175,7 @@ def embed(requests: DataFrame, text: str, embedder: Embedder, parallelism: int =
                 vectors.append(vector)
             yield pdf.drop(columns="_text").assign(embedding=vectors)
 
-    schema = requests.schema.add("embedding", "array<double>")
+    added = T.StructField("embedding", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*requests.schema.fields, added])
     prepared = requests.withColumn("_text", squash(F.coalesce(F.col(text), F.lit(""))))
     return prepared.repartition(parallelism).mapInPandas(embed_batches, schema)

@@ -1,5 +1,11 @@
 """All registered queries."""
 
-from rowscribe.plans import catalog_columns, catalog_relational, catalog_scan  # noqa: F401
+from rowscribe.plans import (  # noqa: F401
+    catalog_annotation,
+    catalog_columns,
+    catalog_events,
+    catalog_relational,
+    catalog_scan,
+)
 
-FLAGSHIP = "ann01_row_annotation"
+FLAGSHIP = "ann01_annotation_summary"

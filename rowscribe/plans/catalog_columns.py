@@ -307,13 +307,13 @@ def percent(t: Tables) -> DataFrame:
     with_sql(
         S.REPORTS,
         body="""SELECT id, CASE WHEN total_rows > processed_rows
-            THEN round_even((id % 1000) * 1.7::DOUBLE / greatest(1, processed_rows - 2) * (total_rows - processed_rows), 1) ELSE 0.0 END AS eta
+            THEN round_even((id % 1000) * 1.7320508::DOUBLE / greatest(1, processed_rows - 2) * (total_rows - processed_rows), 1) ELSE 0.0 END AS eta
           FROM reports""",
     ),
 )
 def eta_seconds(t: Tables) -> DataFrame:
     eta = progress.eta_seconds(
-        (F.col("id") % 1000) * F.lit(1.7), F.col("processed_rows"), F.col("total_rows"), F.lit(2)
+        (F.col("id") % 1000) * F.lit(1.7320508), F.col("processed_rows"), F.col("total_rows"), F.lit(2)
     )
     return S.reports(t).select("id", eta.alias("eta"))
 

@@ -70,7 +70,6 @@ def recent_failures(t: Tables) -> DataFrame:
 
 
 NOW = "TIMESTAMP '2024-01-04 00:00:00'"
-NOW_NTZ = F.expr("TIMESTAMP_NTZ '2024-01-04 00:00:00'")
 
 
 @query(
@@ -85,7 +84,7 @@ NOW_NTZ = F.expr("TIMESTAMP_NTZ '2024-01-04 00:00:00'")
     ),
 )
 def expired_uploads(t: Tables) -> DataFrame:
-    found = reports.expired_uploads(S.uploads(t), S.reports(t), NOW_NTZ)
+    found = reports.expired_uploads(S.uploads(t), S.reports(t), F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ")))
     return found.select("id", "user_id", "original_name")
 
 
@@ -181,7 +180,7 @@ def semantic_lookup_joined(t: Tables) -> DataFrame:
 @query(
     "joi09_cosine",
     """SELECT vec_id, round(list_cosine_similarity(CAST(embedding[1:40] AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))[1:40]), 8) AS similarity,
-      0.0 AS empty FROM embeddings""",
+      0.0::DOUBLE AS empty FROM embeddings""",
 )
 def cosine(t: Tables) -> DataFrame:
     nothing = F.array().cast("array<double>")

@@ -358,7 +358,7 @@ def job_events(t: Tables) -> DataFrame:
     return t.events.selectExpr(
         "user_id AS job",
         "event_id AS seq",
-        "unix_micros(CAST(ts AS TIMESTAMP)) AS at",
+        "unix_micros(CAST(ts AS TIMESTAMP)) AS at_us",
         """CASE WHEN event_id % 700 = 699 THEN 'completed' WHEN event_type = 'signup' THEN 'queued'
              WHEN event_type = 'error' THEN 'paused' ELSE 'running' END AS status""",
         "event_id div 1000 AS processed",
@@ -368,7 +368,7 @@ def job_events(t: Tables) -> DataFrame:
 
 
 JOB_EVENTS = """job_events AS (
-  SELECT user_id AS job, event_id AS seq, epoch_us(ts) AS at,
+  SELECT user_id AS job, event_id AS seq, epoch_us(ts) AS at_us,
          CASE WHEN event_id % 700 = 699 THEN 'completed' WHEN event_type = 'signup' THEN 'queued'
               WHEN event_type = 'error' THEN 'paused' ELSE 'running' END AS status,
          event_id // 1000 AS processed, 10 AS total,
