@@ -6,6 +6,7 @@ from rowscribe.plans import (  # noqa: F401
     catalog_events,
     catalog_relational,
     catalog_scan,
+    catalog_streams,
 )
 
 FLAGSHIP = "ann01_annotation_summary"
