@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from rowscribe import constants as K
 
-# The same white space as a character class for regular expressions.
-_SPACE_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in K.WHITESPACE) + "]"
+# The same white space for regular expressions: (?U) makes \\s mean Unicode white space.
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
+_LONGEST_MARKER = max(len(marker) for marker in K.EMPTY_MARKERS)
 
 
 def strip(value: Column) -> Column:
@@ -20,7 +21,7 @@ def strip(value: Column) -> Column:
 
 def squash(value: Column) -> Column:
     """Replace every run of white space by one blank and strip the ends."""
-    return F.trim(F.regexp_replace(value, f"{_SPACE_CLASS}+", " "))
+    return F.trim(F.regexp_replace(value, _SPACES, " "))
 
 
 def is_blank(value: Column) -> Column:
@@ -30,7 +31,9 @@ def is_blank(value: Column) -> Column:
 def clean_cell(value: Column) -> Column:
     """The stripped cell, or null where it only marks an empty one."""
     text = strip(value.cast("string"))
-    return F.when(~F.lower(text).isin(K.EMPTY_MARKERS), text)
+    # Long cells cannot be markers and need not be compared.
+    filled = (F.length(text) > _LONGEST_MARKER) | ~F.lower(text).isin(K.EMPTY_MARKERS)
+    return F.when(filled, text)
 
 
 def cell_warning(value: Column) -> Column:

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from rowscribe import constants as K
 from rowscribe.functions.validation import accepted_answer, answer_error
-from rowscribe.functions.vectors import cosine
 from rowscribe.operators import skew
 from rowscribe.operators.ordering import ordered_number
 
@@ -25,6 +24,8 @@ SEMANTIC_KEYS = [
 ]
 # Candidate vectors are compared from memory up to this many; more are joined.
 IN_MEMORY_VECTORS = 5_000
+# Requests compared at a time when candidates are joined.
+BLOCK_ROWS = 10_000
 
 
 def exact_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
@@ -59,67 +60,88 @@ def newest_candidates(cache: DataFrame, keys: list[str], limit: int = K.SEMANTIC
     return cache.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
 
 
-def _by_join(requests: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    packed = candidates.groupBy(*keys).agg(
-        F.collect_list(F.struct("_rank", "semantic_key", F.col("embedding").alias("vector"))).alias("_near")
-    )
-    found = skew.lookup(requests, packed, keys)
-    scored = F.transform(
-        "_near",
-        lambda c: F.struct(
-            cosine(F.col("embedding"), c["vector"]).alias("score"),
-            (-c["_rank"]).alias("newer"),
-            c["semantic_key"].alias("semantic_key"),
-        ),
-    )
-    best = F.array_max(scored)
-    return found.withColumn("_best", best).select(
-        *requests.columns,
-        F.col("_best.semantic_key").alias("semantic_key"),
-        F.col("_best.score").alias("score"),
-    )
+def _best_matches(vectors: pd.Series, near: list) -> tuple[list, np.ndarray]:
+    """Most similar candidate per vector, the newer one on a tie.
+
+    ``near`` holds (name, vector) with the newest first. Vectors of one length
+    are compared as matrices, over the common prefix with each candidate.
+    """
+    names, scores = np.full(len(vectors), None, dtype=object), np.full(len(vectors), np.nan)
+    lengths = np.array([0 if v is None else len(v) for v in vectors])
+    widths = np.array([0 if v is None else len(v) for _, v in near])
+    for length in set(lengths[lengths > 0]):
+        rows = np.nonzero(lengths == length)[0]
+        queries = np.stack([np.asarray(vectors.iloc[i], dtype=float) for i in rows])
+        found = np.zeros((len(rows), len(near)))
+        for width in set(widths[widths > 0]):
+            size = min(length, width)
+            at = np.nonzero(widths == width)[0]
+            table = np.stack([np.asarray(near[i][1], dtype=float)[:size] for i in at])
+            part = queries[:, :size]
+            norms = np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(table, axis=1)[None, :]
+            dots = part @ table.T
+            found[:, at] = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+        # Rounding away the last bits makes equal vectors equal, whatever the matrix shape.
+        best = np.argmax(np.round(found, 12), axis=1)
+        names[rows] = [near[i][0] for i in best]
+        scores[rows] = found[np.arange(len(rows)), best]
+    return list(names), scores
+
+
+def _scored(requests: DataFrame) -> T.StructType:
+    added = [T.StructField("semantic_key", T.StringType()), T.StructField("score", T.DoubleType())]
+    return T.StructType([*requests.schema.fields, *added])
 
 
 def _in_memory(requests: DataFrame, candidates: list, keys: list[str]) -> DataFrame:
     groups: dict[tuple, list] = {}
     for row in sorted(candidates, key=lambda r: r["_rank"]):
-        groups.setdefault(tuple(row[k] for k in keys), []).append(row)
+        groups.setdefault(tuple(row[k] for k in keys), []).append((row["semantic_key"], row["embedding"]))
 
     def score(batches):
         for pdf in batches:
-            names = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            names = pd.Series(np.full(len(pdf), None, dtype=object), index=pdf.index)
             scores = pd.Series(np.nan, index=pdf.index)
             for key, part in pdf.groupby(keys, dropna=False, sort=False):
                 near = groups.get(key if isinstance(key, tuple) else (key,))
                 if near:
-                    for at, vector in part["embedding"].items():
-                        best, value = _best(vector, near)
-                        names[at], scores[at] = best, value
+                    names[part.index], scores[part.index] = _best_matches(part["embedding"], near)
             yield pdf.assign(semantic_key=names, score=scores)
 
-    schema = T.StructType(
-        [*requests.schema.fields]
-        + [T.StructField("semantic_key", T.StringType()), T.StructField("score", T.DoubleType())]
+    return requests.mapInPandas(score, _scored(requests))
+
+
+def _by_join(requests: DataFrame, candidates: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """Requests of a key in blocks of about ``block_rows``, each with its candidates.
+
+    The candidates of a key, at most the limit, are repeated once per block, so
+    a key that holds most requests is spread over as many tasks as it has blocks.
+    """
+    sizes = skew.key_sizes(requests, keys)
+    blocks = sizes.select(*keys, F.ceil(F.col("key_rows") / block_rows).cast("int").alias("_blocks"))
+    place = F.pmod(F.xxhash64(*requests.columns), F.col("_blocks")).cast("int")
+    left = skew.lookup(requests, blocks, keys, sizes).withColumn("_block", F.coalesce(place, F.lit(0)))
+    right = candidates.join(blocks, keys).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    )
+
+    columns = requests.columns
+
+    def score(pdf: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[columns]
+        if near.empty or pdf.empty:
+            return pdf.assign(semantic_key=None, score=np.nan)
+        near = near.sort_values("_rank")
+        names, scores = _best_matches(pdf["embedding"], list(zip(near["semantic_key"], near["embedding"])))
+        return pdf.assign(semantic_key=names, score=scores)
+
+    # New names on one side: both sides read the same block counts.
+    near_keys = [f"_near{i}" for i in range(len(keys) + 1)]
+    right = right.select(*keys, "_block", "_rank", "semantic_key", "embedding").toDF(
+        *near_keys, "_rank", "semantic_key", "embedding"
     )
-    return requests.mapInPandas(score, schema)
-
-
-def _best(vector, near: list) -> tuple[str | None, float]:
-    """Most similar candidate of one vector, the newer one on a tie."""
-    if vector is None or len(vector) == 0:
-        return None, float("nan")
-    query = np.asarray(vector, dtype=float)
-    scores = np.zeros(len(near))
-    sizes = {min(len(query), len(c["embedding"] or [])) for c in near}
-    for size in sizes - {0}:
-        at = [i for i, c in enumerate(near) if min(len(query), len(c["embedding"] or [])) == size]
-        table = np.array([near[i]["embedding"][:size] for i in at], dtype=float)
-        part = query[:size]
-        norms = np.sqrt((table * table).sum(axis=1)) * np.sqrt((part * part).sum())
-        dots = table @ part
-        scores[at] = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-    winner = int(np.argmax(scores))
-    return near[winner]["semantic_key"], float(scores[winner])
+    grouped = left.groupBy(*keys, "_block").cogroup(right.groupBy(*near_keys))
+    return grouped.applyInPandas(score, _scored(requests))
 
 
 def semantic_lookup(
@@ -129,12 +151,13 @@ def semantic_lookup(
     limit: int = K.SEMANTIC_CANDIDATES,
     threshold: float = K.SEMANTIC_THRESHOLD,
     in_memory: int = IN_MEMORY_VECTORS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Most similar of the newest candidates per key, if similar enough.
 
     ``requests`` needs the key columns and ``embedding``. The candidates are
-    counted: few enough are sent to the tasks and compared as matrices, more
-    are joined by key as one array per key. Adds ``semantic_key`` and
+    counted: few enough are sent to all tasks, more are joined by key, block by
+    block. Either way they are compared as matrices. Adds ``semantic_key`` and
     ``similarity`` (four decimals), null where nothing is close enough.
     """
     keys = keys or SEMANTIC_KEYS
@@ -143,7 +166,7 @@ def semantic_lookup(
     if len(sample) <= in_memory:
         scored = _in_memory(requests, sample, keys)
     else:
-        scored = _by_join(requests, candidates, keys)
+        scored = _by_join(requests, candidates, keys, block_rows)
     close = (F.col("score") >= threshold) & (F.col("score") > 0) & ~F.isnan("score")
     return scored.withColumn("semantic_key", F.when(close, F.col("semantic_key"))).withColumn(
         "similarity", F.when(close, F.bround("score", 4))

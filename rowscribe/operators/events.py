@@ -123,36 +123,54 @@ def _next_emit(times, counts, forced, every_rows, micros):
     return np.maximum(np.minimum(np.minimum(by_time, by_rows), by_force), np.arange(size) + 1)
 
 
-def _arrays(pdf: pd.DataFrame):
-    """Sorted times, counts (a fall does not undo an emission) and forced flags."""
-    pdf = pdf.sort_values([c for c in pdf.columns if c.startswith("_order")], kind="stable")
-    counts = np.maximum.accumulate(pdf["_count"].to_numpy(dtype="int64"))
-    return pdf, pdf["_time"].to_numpy(dtype="int64"), counts, pdf["_forced"].to_numpy(dtype=bool)
+def _walks(pdf: pd.DataFrame, key: str):
+    """Every job of a chunk in order: key, carry row or None, rows, their arrays.
 
-
-def _steps(pdf: pd.DataFrame, every_rows: int, micros: int) -> pd.DataFrame:
+    A count that falls does not undo an emission, hence the running maximum.
+    """
+    order = [c for c in pdf.columns if c.startswith("_order")]
+    pdf = pdf.sort_values([key, "_carry", *order], ascending=[True, False] + [True] * len(order), kind="stable")
+    keys = pdf[key].to_numpy()
+    starts = np.append(np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0], len(pdf))
+    for start, end in zip(starts, starts[1:]):
+        part = pdf.iloc[start:end]
+        carry = part.iloc[0] if part["_carry"].iloc[0] else None
+        rows = part if carry is None else part.iloc[1:]
+        if len(rows):
+            counts = np.maximum.accumulate(rows["_count"].to_numpy(dtype="int64"))
+            times = rows["_time"].to_numpy(dtype="int64")
+            yield keys[start], carry, rows, (times, counts, rows["_forced"].to_numpy(dtype=bool))
+
+
+def _steps(pdf: pd.DataFrame, key: str, every_rows: int, micros: int) -> pd.DataFrame:
     """Sum up a chunk: entering it up to row ``at`` leaves it with emission ``out``."""
-    pdf, times, counts, forced = _arrays(pdf)
-    following, size = _next_emit(times, counts, forced, every_rows, micros), len(pdf)
-    leaves = np.arange(size)
-    for i in range(size - 2, -1, -1):
-        if following[i] < size:
-            leaves[i] = leaves[following[i]]
-    last = np.append(np.nonzero(np.diff(leaves))[0], size - 1)
-    return pd.DataFrame(
-        {
-            "step": np.arange(len(last)),
-            "at_time": times[last],
-            "at_count": counts[last],
-            "at_forced": np.logical_or.accumulate(forced)[last],
-            "out_time": times[leaves[last]],
-            "out_count": counts[leaves[last]],
-            "first_time": times[0],
-        }
-    )
+    found = []
+    for job, _, rows, (times, counts, forced) in _walks(pdf, key):
+        following, size = _next_emit(times, counts, forced, every_rows, micros), len(rows)
+        leaves = np.arange(size)
+        for i in range(size - 2, -1, -1):
+            if following[i] < size:
+                leaves[i] = leaves[following[i]]
+        last = np.append(np.nonzero(np.diff(leaves))[0], size - 1)
+        found.append(
+            pd.DataFrame(
+                {
+                    key: job,
+                    "_chunk": rows["_chunk"].iloc[0],
+                    "step": np.arange(len(last)),
+                    "at_time": times[last],
+                    "at_count": counts[last],
+                    "at_forced": np.logical_or.accumulate(forced)[last],
+                    "out_time": times[leaves[last]],
+                    "out_count": counts[leaves[last]],
+                    "first_time": times[0],
+                }
+            )
+        )
+    return pd.concat(found)
 
 
-def _entries(steps: pd.DataFrame, every_rows: int, micros: int) -> pd.DataFrame:
+def _entries(steps: pd.DataFrame, key: str, every_rows: int, micros: int) -> pd.DataFrame:
     """Walk the steps of a job: with which last emission is each chunk entered?"""
     steps = steps.sort_values(["_chunk", "step"])
     first = steps.iloc[0]
@@ -160,7 +178,7 @@ def _entries(steps: pd.DataFrame, every_rows: int, micros: int) -> pd.DataFrame:
     state = (int(first["last_time"]), int(first["last_count"])) if known else (int(first["first_time"]), 0)
     out = []
     for chunk, part in steps.groupby("_chunk", sort=True):
-        out.append((int(chunk), *state))
+        out.append((first[key], int(chunk), *state))
         reached = (
             (part["at_time"] >= state[0] + micros)
             | (part["at_count"] >= state[1] + every_rows)
@@ -169,23 +187,26 @@ def _entries(steps: pd.DataFrame, every_rows: int, micros: int) -> pd.DataFrame:
         if reached.any():
             hit = part.iloc[int(np.argmax(reached))]
             state = (int(hit["out_time"]), int(hit["out_count"]))
-    return pd.DataFrame(out, columns=["_chunk", "in_time", "in_count"])
-
-
-def _emitted(pdf: pd.DataFrame, every_rows: int, micros: int) -> pd.DataFrame:
-    """Rows of a chunk that are emitted, given the last emission before it."""
-    pdf, times, counts, forced = _arrays(pdf)
-    size, ahead = len(pdf), np.nonzero(forced)[0]
-    at = min(
-        int(np.searchsorted(times, pdf["in_time"].iloc[0] + micros, side="left")),
-        int(np.searchsorted(counts, pdf["in_count"].iloc[0] + every_rows, side="left")),
-        int(ahead[0]) if len(ahead) else size,
-    )
-    following, chosen = _next_emit(times, counts, forced, every_rows, micros), []
-    while at < size:
-        chosen.append(at)
-        at = int(following[at])
-    return pdf.iloc[chosen]
+    return pd.DataFrame(out, columns=[key, "_chunk", "_time", "_count"])
+
+
+def _emitted(pdf: pd.DataFrame, key: str, every_rows: int, micros: int) -> pd.DataFrame:
+    """Rows of a chunk that are emitted; a carry row tells the last one before it."""
+    found = [pdf.iloc[:0]]
+    for _, carry, rows, (times, counts, forced) in _walks(pdf, key):
+        time, count = (int(times[0]), 0) if carry is None else (int(carry["_time"]), int(carry["_count"]))
+        size, ahead = len(rows), np.nonzero(forced)[0]
+        at = min(
+            int(np.searchsorted(times, time + micros, side="left")),
+            int(np.searchsorted(counts, count + every_rows, side="left")),
+            int(ahead[0]) if len(ahead) else size,
+        )
+        following, chosen = _next_emit(times, counts, forced, every_rows, micros), []
+        while at < size:
+            chosen.append(at)
+            at = int(following[at])
+        found.append(rows.iloc[chosen])
+    return pd.concat(found)
 
 
 def paced(
@@ -202,53 +223,65 @@ def paced(
     """Rows to emit: forced ones, and those far enough from the last emission.
 
     ``time`` is in microseconds and leads ``order``. Each emission depends on
-    the one before. A chunk of a job is summed up as steps (a later entry never
-    leaves a chunk earlier, so there is at most one step per row of the last
-    interval). The steps of a job are walked once to find how each chunk is
-    entered; then all chunks emit side by side. ``initial`` may hold
-    ``last_time`` and ``last_count`` of jobs seen before; a new job starts its
-    clock with its first row.
+    the one before. Rows are cut into chunks by job and order. A job inside one
+    chunk is walked there. For a job that spans chunks (each border is crossed
+    by at most one job, so these are few, however large) every chunk is first
+    summed up as steps: a later entry never leaves a chunk earlier, so there is
+    at most one step per row of the last interval. The steps are walked once to
+    find how each chunk is entered; then all chunks emit side by side.
+    ``initial`` may hold ``last_time`` and ``last_count`` of jobs seen before; a
+    new job starts its clock with its first row.
     """
     micros = int(every_seconds * 1_000_000)
     kind = events.schema[key].dataType.simpleString()
     chunks = chunked(events, [key], order)
+    places = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order)]
     slim = chunks.select(
         key,
         "_chunk",
         F.col(time).alias("_time"),
         count.cast("bigint").alias("_count"),
         F.coalesce(forced, F.lit(False)).alias("_forced"),
-        *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)],
-    )
-    summed = slim.groupBy(key, "_chunk").applyInPandas(
-        lambda ids, pdf: _steps(pdf, every_rows, micros).assign(**{key: ids[0], "_chunk": ids[1]}),
-        f"`{key}` {kind}, _chunk int, step bigint, at_time bigint, at_count bigint, at_forced boolean, "
-        "out_time bigint, out_count bigint, first_time bigint",
+        F.lit(False).alias("_carry"),
+        *places,
     )
+    spans = slim.groupBy(key).agg(F.min("_chunk").alias("_from"), F.max("_chunk").alias("_to"))
+    none = F.lit(None).cast("bigint")
     if initial is None:
-        none = F.lit(None).cast("bigint")
-        known = summed.withColumn("last_time", none).withColumn("last_count", none)
+        spans = spans.withColumns({"last_time": none, "last_count": none})
     else:
-        known = summed.join(initial.select(key, "last_time", "last_count"), key, "left")
-    entered = known.groupBy(key).applyInPandas(
-        lambda ids, pdf: _entries(pdf, every_rows, micros).assign(**{key: ids[0]}),
-        f"`{key}` {kind}, _chunk int, in_time bigint, in_count bigint",
+        spans = spans.join(initial.select(key, "last_time", "last_count"), key, "left")
+    # At most one job per border between chunks, hence a bounded list.
+    wide = spans.filter("_from < _to").select(key, "last_time", "last_count")
+    summed = (
+        slim.join(F.broadcast(wide.select(key)), key, "left_semi")
+        .groupBy("_chunk")
+        .applyInPandas(
+            lambda pdf: _steps(pdf, key, every_rows, micros),
+            f"`{key}` {kind}, _chunk int, step bigint, at_time bigint, at_count bigint, at_forced boolean, "
+            "out_time bigint, out_count bigint, first_time bigint",
+        )
     )
-    chosen = (
-        slim.join(entered, [key, "_chunk"])
-        .groupBy(key, "_chunk")
+    entered = (
+        summed.join(F.broadcast(wide), key)
+        .groupBy(key)
         .applyInPandas(
-            lambda ids, pdf: _emitted(pdf, every_rows, micros)[
-                [key, "_chunk", *[f"_order{i}" for i in range(len(order))]]
-            ],
-            T.StructType(
-                [slim.schema[key], slim.schema["_chunk"]]
-                + [slim.schema[f"_order{i}"] for i in range(len(order))]
-            ),
+            lambda pdf: _entries(pdf, key, every_rows, micros),
+            f"`{key}` {kind}, _chunk int, _time bigint, _count bigint",
+        )
+    )
+    if initial is not None:
+        narrow = spans.filter("_from = _to AND last_time IS NOT NULL")
+        entered = entered.unionByName(
+            narrow.select(key, F.col("_from").alias("_chunk"), F.col("last_time").alias("_time"), F.col("last_count").alias("_count"))
         )
-        .select(key, "_chunk", *[F.col(f"_order{i}").alias(c) for i, c in enumerate(order)])
+    carries = entered.withColumns({"_forced": F.lit(False), "_carry": F.lit(True)})
+    together = slim.unionByName(carries, allowMissingColumns=True)
+    chosen = together.groupBy("_chunk").applyInPandas(
+        lambda pdf: _emitted(pdf, key, every_rows, micros), together.schema
     )
-    return chunks.join(chosen, [key, "_chunk", *order], "left_semi").select(*events.columns)
+    back = chosen.select(key, "_chunk", *[F.col(f"_order{i}").alias(c) for i, c in enumerate(order)])
+    return chunks.join(back, [key, "_chunk", *order], "left_semi").select(*events.columns)
 
 
 def throttle(

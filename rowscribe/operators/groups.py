@@ -20,16 +20,20 @@ def pending_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def oversize_groups(rows: DataFrame, keys: list[str], max_rows: int = K.GROUP_MAX_ROWS) -> DataFrame:
-    sizes = skew.key_sizes(rows, keys, "group_size")
-    return sizes.filter(F.col("group_size") > max_rows)
+def group_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Size and first row of every group; one small row per group."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("key_rows"), F.min("row_number").alias("first_row_number")
+    )
 
 
-def mark_oversize(rows: DataFrame, keys: list[str], max_rows: int = K.GROUP_MAX_ROWS) -> DataFrame:
+def mark_oversize(
+    rows: DataFrame, keys: list[str], max_rows: int = K.GROUP_MAX_ROWS, stats: DataFrame | None = None
+) -> DataFrame:
     """Rows of a group above the limit become errors; the others stay as they are."""
-    sizes = skew.key_sizes(rows, keys, "group_size")
-    big = sizes.filter(F.col("group_size") > max_rows)
-    found = skew.lookup(rows, big, keys, sizes.withColumnRenamed("group_size", "key_rows"))
+    stats = group_stats(rows, keys) if stats is None else stats
+    big = stats.filter(F.col("key_rows") > max_rows).select(*keys, F.col("key_rows").alias("group_size"))
+    found = skew.lookup(rows, big, keys, stats, ["row_number"])
     too_big = F.col("group_size").isNotNull()
     size = F.col("group_size").cast("string")
     head, middle, tail = K.MSG_LARGE_GROUP
@@ -46,15 +50,20 @@ def mark_oversize(rows: DataFrame, keys: list[str], max_rows: int = K.GROUP_MAX_
 
 
 def assemble(
-    rows: DataFrame, keys: list[str], group_by: str, max_rows: int = K.GROUP_MAX_ROWS
+    rows: DataFrame,
+    keys: list[str],
+    group_by: str,
+    max_rows: int = K.GROUP_MAX_ROWS,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """One input row per group: texts joined in row order and the packed payload.
 
     Groups above ``max_rows`` are taken out before anything is collected, so no
     task ever holds more than ``max_rows`` rows of one key.
     """
-    big = oversize_groups(rows, keys, max_rows)
-    small = skew.drop_keys(rows, big, keys, "group_size")
+    stats = group_stats(rows, keys) if stats is None else stats
+    big = stats.filter(F.col("key_rows") > max_rows)
+    small = skew.drop_keys(rows, big, keys, "key_rows")
     text = F.coalesce("review_text", F.lit(""))
     item = F.struct("row_number", text.alias("review_text"), "input_json")
     packed = small.groupBy(*keys).agg(
@@ -115,23 +124,21 @@ def number_groups(firsts: DataFrame, within: list[str] | None = None) -> DataFra
     return sequential_number(firsts, "row_number", "group_number", within)
 
 
-def spread_answers(rows: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+def spread_answers(
+    rows: DataFrame, answers: DataFrame, keys: list[str], stats: DataFrame | None = None
+) -> DataFrame:
     """Give every row of a group the answer of its group; tokens only on its first row.
 
-    The first row of a group is found by a minimum and marked by row number,
-    which is unique, so neither join has a hot key on both sides.
+    The number of the first row travels with the answer, one per group.
     """
-    tokens = ["prompt_tokens", "completion_tokens", "total_tokens"]
-    report = keys[:-1]
-    firsts = rows.groupBy(*keys).agg(F.min("row_number").alias("row_number"))
-    firsts = firsts.select(*report, "row_number", F.lit(True).alias("is_first"))
-    found = skew.lookup(rows, answers, keys)
-    marked = found.join(firsts, [*report, "row_number"], "left")
-    for name in tokens:
+    stats = group_stats(rows, keys) if stats is None else stats
+    per_group = stats.drop("key_rows").join(answers, keys, "left")
+    found = skew.lookup(rows, per_group, keys, stats, ["row_number"])
+    for name in ("prompt_tokens", "completion_tokens", "total_tokens"):
         if name in answers.columns:
-            once = F.when(F.col("is_first") & F.col(name).isNotNull(), F.col(name)).otherwise(F.lit(0))
-            marked = marked.withColumn(name, once)
-    return marked.drop("is_first")
+            first = (F.col("row_number") == F.col("first_row_number")) & F.col(name).isNotNull()
+            found = found.withColumn(name, F.when(first, F.col(name)).otherwise(F.lit(0)))
+    return found.drop("first_row_number")
 
 
 def risk_rollup(labelled: DataFrame, key: str, violation: str, scheme: str) -> DataFrame:

@@ -1,56 +1,20 @@
 """Order-dependent work without one task per key.
 
-Sequential numbers come from counts of fixed-width ranges of the order column.
-Values of earlier rows are carried between chunks of a range-partitioned copy,
-so a key that holds most of the rows is still spread over all tasks.
+Rows are spread over range partitions by key *and* order, so a key that holds
+most of the rows is cut into many chunks. What has to pass from one chunk to the
+next (a count, the last values) is computed from one small row per key and chunk.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowscribe.session import cut
 
-RANGE = 65_536
-
-
-def sequential_number(
-    df: DataFrame, order: str, out: str, within: list[str] | None = None, start: int = 1
-) -> DataFrame:
-    """Number rows ``start``, ``start+1``, ... by the whole-number column ``order``.
-
-    ``order`` must be unique (within ``within``). Rows are counted per range of
-    65 536 values and the ranges per block of as many ranges; each window below
-    therefore sees a bounded number of rows, whatever the size of one key.
-    """
-    keys = within or []
-    ranged = df.withColumn("_range", F.expr(f"`{order}` div {RANGE}")).withColumn(
-        "_block", F.expr(f"_range div {RANGE}")
-    )
-    ranges = ranged.groupBy(*keys, "_block", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = ranges.groupBy(*keys, "_block").agg(F.sum("_n").alias("_n"))
-
-    def before(*partition: str, by: str) -> Column:
-        window = W.partitionBy(*(partition or [F.lit(0)])).orderBy(by)
-        total = F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, -1))
-        return F.coalesce(total, F.lit(0))
-
-    blocks = blocks.withColumn("_block_before", before(*keys, by="_block")).drop("_n")
-    offsets = (
-        ranges.withColumn("_range_before", before(*keys, "_block", by="_range"))
-        .drop("_n")
-        .join(blocks, [*keys, "_block"])
-        .select(*keys, "_block", "_range", (F.col("_block_before") + F.col("_range_before")).alias("_before"))
-    )
-    position = F.row_number().over(W.partitionBy(*keys, "_block", "_range").orderBy(order))
-    return (
-        ranged.join(offsets, [*keys, "_block", "_range"])
-        .withColumn(out, (F.col("_before") + position + F.lit(start - 1)).cast("bigint"))
-        .select(*df.columns, out)
-    )
-
 
 def chunked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Spread rows by (key, order) over range partitions and name the chunk.
@@ -94,19 +58,40 @@ def carry_window(keys: list[str], order: list[str]):
     return W.partitionBy(*keys, "_chunk").orderBy(F.desc("_carry"), *order)
 
 
+def _numbered(chunks: DataFrame, keys: list[str], order: list[str], out: str, start: int) -> DataFrame:
+    """Position inside the chunk plus the rows of the key in earlier chunks."""
+    counts = chunks.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"), before.alias("_before"))
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
+        F.col("_chunk") == F.col("_c"),
+    )
+    position = F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order))
+    numbered = chunks.withColumn("_position", position).join(offsets, same)
+    number = (F.col("_before") + F.col("_position") + F.lit(start - 1)).cast("bigint")
+    return numbered.select(*keys, *order, number.alias(out))
+
+
 def ordered_number(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Number all rows 1..N by any unique order; the last column breaks ties.
+    """Number all rows 1..N by any unique order (``df`` holds only the order columns)."""
+    return _numbered(chunked(df, [], order), [], order, out, 1)
+
 
-    Rows are range-partitioned by the whole order, counted per partition and
-    numbered inside it; only the counts (one per partition) are ever together.
+def sequential_number(
+    df: DataFrame, order: str, out: str, within: list[str] | None = None, start: int = 1
+) -> DataFrame:
+    """Number rows ``start``, ``start+1``, ... by ``order``, unique within ``within``.
+
+    Only the key and the order are spread and written; the rows themselves are
+    joined to their number, a unique key.
     """
-    chunks = chunked(df, [], order)
-    counts = chunks.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    position = F.row_number().over(W.partitionBy("_chunk").orderBy(*order))
-    return (
-        chunks.join(F.broadcast(offsets), "_chunk")
-        .withColumn(out, (F.col("_before") + position).cast("bigint"))
-        .select(*df.columns, out)
-    )
+    keys = within or []
+    on = [*keys, order]
+    slim = df.select(*on)
+    numbers = _numbered(chunked(slim, keys, [order]), keys, [order], out, start)
+    renamed = numbers.select(*[F.col(c).alias(f"_n_{c}") for c in on], out)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in on])
+    return df.join(renamed, same).select(*df.columns, out)

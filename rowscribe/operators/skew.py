@@ -1,8 +1,10 @@
 """Lookups that stay balanced when one key holds a large share of the rows.
 
-At most ``HOT_KEYS`` keys can each hold more than one ``HOT_KEYS``-th of the
-rows. Those few keys are joined by broadcast, where the rows do not move at
-all; the others are joined by an ordinary shuffle, in which none is large.
+Only a key with at least ``HOT_ROWS`` rows can make a task slow, and at most
+``HOT_KEYS`` keys can each hold more than one ``HOT_KEYS``-th of the rows. Those
+keys, a short list of bounded length, are spread over ``SALTS`` tasks; their one
+value is repeated as often. All other keys take part in the same shuffle as
+they are. Rows are read and moved once.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256
+HOT_ROWS = 100_000
+HOT_KEYS = 1_000
+SALTS = 1_000
 
 
 def key_sizes(rows: DataFrame, keys: list[str], name: str = "key_rows") -> DataFrame:
@@ -20,48 +24,55 @@ def key_sizes(rows: DataFrame, keys: list[str], name: str = "key_rows") -> DataF
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def largest_keys(sizes: DataFrame, keys: list[str], size: str = "key_rows") -> DataFrame:
-    """The ``HOT_KEYS`` largest keys (a bounded top-k, no full sort)."""
-    return sizes.orderBy(F.desc(size), *keys).limit(HOT_KEYS)
+def hot_keys(sizes: DataFrame, keys: list[str], size: str = "key_rows", hot_rows: int | None = None) -> DataFrame:
+    """The largest keys that are large at all (a bounded top-k, no full sort)."""
+    large = sizes.filter(F.col(size) >= (HOT_ROWS if hot_rows is None else hot_rows))
+    return large.orderBy(F.desc(size), *keys).limit(HOT_KEYS).select(*keys)
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def drop_keys(rows: DataFrame, unwanted: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """Rows whose key is not in ``unwanted`` (one row per key, with its size)."""
-    hot = unwanted.select(*keys, size).orderBy(F.desc(size), *keys).limit(HOT_KEYS)
-    kept = rows.join(F.broadcast(hot), _same(rows, hot, keys), "left_anti")
-    return kept.join(unwanted, _same(kept, unwanted, keys), "left_anti")
-
+def drop_keys(
+    rows: DataFrame, unwanted: DataFrame, keys: list[str], size: str, hot_rows: int | None = None
+) -> DataFrame:
+    """Rows whose key is not in ``unwanted`` (one row per key, with its size).
 
-def lookup(rows: DataFrame, values: DataFrame, keys: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    Rows of hot keys are dropped where they are read, the others by a shuffle.
+    """
+    hot = hot_keys(unwanted, keys, size, hot_rows)
+    kept = rows.join(F.broadcast(hot), _same(rows, hot, keys), "left_anti")
+    rest = unwanted.select(*keys)
+    return kept.join(rest, _same(kept, rest, keys), "left_anti")
+
+
+def lookup(
+    rows: DataFrame,
+    values: DataFrame,
+    keys: list[str],
+    sizes: DataFrame | None = None,
+    spread: list[str] | None = None,
+    hot_rows: int | None = None,
+) -> DataFrame:
     """Left join of ``rows`` with ``values`` (at most one row per key).
 
-    ``sizes`` holds ``key_rows`` per key; it is counted when not given. Rows of
-    a hot key meet their value by broadcast, all others by a shuffled join.
+    ``sizes`` holds ``key_rows`` per key; it is counted when not given.
+    ``spread`` names columns that differ between rows of one key.
     """
     sizes = key_sizes(rows, keys) if sizes is None else sizes
-    hot_keys = largest_keys(sizes, keys).select(*keys, F.lit(True).alias("_hot"))
+    hot = hot_keys(sizes, keys, hot_rows=hot_rows).withColumn("_hot", F.lit(True))
+    varied = spread or [c for c in rows.columns if c not in keys] or keys
     new = [c for c in values.columns if c not in keys]
 
-    hot_values = values.join(F.broadcast(hot_keys.drop("_hot")), keys, "left_semi")
-    # left_semi against the bounded key list leaves at most HOT_KEYS rows.
-    hot_values = hot_values.select(*keys, F.lit(True).alias("_found"), *new)
-    # Rows without a key match nothing and would all meet in one partition.
+    # Rows without a key match nothing; unspread they would meet in one task.
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    unmatched = rows.filter(no_key).select(
-        *rows.columns, *[F.lit(None).cast(values.schema[c].dataType).alias(c) for c in new]
-    )
-    marked = rows.filter(~no_key).join(F.broadcast(hot_keys), keys, "left")
-    hot = (
-        marked.filter("_hot")
-        .drop("_hot")
-        .join(F.broadcast(hot_values), keys, "left")
-        .select(*rows.columns, *new)
+    salt = F.pmod(F.xxhash64(*varied), F.lit(SALTS)).cast("int")
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(F.lit(0))
     )
-    cold = (
-        marked.filter("_hot IS NULL").drop("_hot").join(values, keys, "left").select(*rows.columns, *new)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = values.join(F.broadcast(hot), keys, "left").select(
+        *keys, *new, F.explode(copies).alias("_salt")
     )
-    return hot.unionByName(cold).unionByName(unmatched)
+    return salted.drop("_hot").join(repeated, [*keys, "_salt"], "left").select(*rows.columns, *new)

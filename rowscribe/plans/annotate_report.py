@@ -30,6 +30,7 @@ ANSWER = [
     "completion_tokens",
     "total_tokens",
 ]
+KEY_PARTS = ["prompt_hash", "review_hash", "expected_template_hash", "output_schema_hash"]
 
 
 @dataclass
@@ -81,9 +82,11 @@ def distinct_requests(units: DataFrame) -> DataFrame:
     The first row is a minimum taken inside each task, so a text that fills a
     third of the sheet is shuffled once per task.
     """
-    needed = ["review_text", "input_json", "prompt_hash", "review_hash", "expected_template_hash", "output_schema_hash"]
-    first = units.groupBy("cache_key").agg(F.min_by(F.struct(*needed), "row_number").alias("_first"))
-    return first.select("cache_key", "_first.*")
+    needed = ["review_text", "input_json", *KEY_PARTS]
+    first = units.groupBy("cache_key").agg(
+        F.min_by(F.struct(*needed), "row_number").alias("_first"), F.count(F.lit(1)).alias("key_rows")
+    )
+    return first.select("cache_key", "key_rows", "_first.*")
 
 
 def _reused(found: DataFrame) -> DataFrame:
@@ -189,11 +192,13 @@ def annotate_report(
     pending = pending.filter(F.col("status") == "pending")
     columns = [*rows.columns, *[c for c in ("status", "error_text") if c not in rows.columns]]
 
+    stats = None
     if job.group_by:
-        marked = groups.mark_oversize(pending, ["group_key"], job.group_max_rows)
+        stats = cut(groups.group_stats(pending, ["group_key"]))
+        marked = groups.mark_oversize(pending, ["group_key"], job.group_max_rows, stats)
         aside = marked.filter(F.col("status") == "error")
         live = marked.filter(F.col("status") == "pending")
-        units = groups.assemble(pending, ["group_key"], job.group_by, job.group_max_rows)
+        units = groups.assemble(pending, ["group_key"], job.group_by, job.group_max_rows, stats)
         units = units.withColumnRenamed("warnings", "unit_warnings")
     else:
         empty = skips_model(F.col("review_text"), F.col("input_json"))
@@ -204,13 +209,16 @@ def annotate_report(
         units = live.withColumn("unit_warnings", F.array().cast("array<string>"))
 
     keyed = with_keys(units, job)
+    # The distinct inputs are written once; attempts and joins start from them.
+    requests = cut(distinct_requests(keyed))
     answers, fresh, invalid = answer_requests(
-        distinct_requests(keyed), job, annotator, cache, semantic, embedder
+        requests.drop("key_rows"), job, annotator, cache, semantic, embedder
     )
-    answered = skew.lookup(keyed.drop("error_text"), answers, ["cache_key"])
+    unit_keys = keyed.select(*[c for c in keyed.columns if c not in (*KEY_PARTS, "error_text")])
+    answered = skew.lookup(unit_keys, answers, ["cache_key"], requests, ["row_number"])
     if job.group_by:
         per_group = answered.select("group_key", "unit_warnings", *ANSWER)
-        done = groups.spread_answers(live.drop("error_text"), per_group, ["group_key"])
+        done = groups.spread_answers(live.drop("error_text"), per_group, ["group_key"], stats)
     else:
         done = answered
     none = F.array().cast("array<string>")
@@ -226,9 +234,9 @@ def annotate_report(
     out = [*[c for c in columns if c not in extra], *extra]
     result = finished.select(*out).unionByName(aside.withColumns(empty_answer).select(*out))
 
-    details = keyed.select(
+    details = requests.select(
         "cache_key", "prompt_hash", "review_hash", F.lit(job.provider).alias("provider"), F.lit(job.model).alias("model")
-    ).dropDuplicates(["cache_key"])
+    )
     new_entries = (
         fresh.filter("custom_json IS NOT NULL")
         .join(details, "cache_key")

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small stages with heavy rows (model calls, vectors) keep their parallelism.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed side even when that costs one more shuffle later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
