@@ -36,32 +36,34 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (local tests) a temporary folder is used.
+    Only a local session without the setting gets a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="rowscribe-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+        return configured.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="rowscribe-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; never reused between runs."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the files.
 
     Used where rows must not be produced twice (paid model calls, partition
-    numbers), so that a lost executor only re-reads files.
+    numbers). A lost executor only re-reads files, and every later plan reads
+    just the columns it needs.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
