@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from rowscribe import constants as K
 from rowscribe.operators.annotate import Annotator
 from rowscribe.operators.profile import column_profile
 from rowscribe.operators.reports import report_summary
@@ -29,14 +30,19 @@ def profile_sheets(stream: DataFrame, columns: list[str], folder: str, checkpoin
     return _per_batch(stream, folder, checkpoint, lambda batch: column_profile(batch, columns))
 
 
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def workbook_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    """Workbooks as they arrive in a folder."""
-    return (
+    """Admissible workbooks as they arrive in a folder."""
+    files = (
         spark.readStream.format("binaryFile")
+        .schema(_FILE)
         .option("pathGlobFilter", "*.xlsx")
         .option("maxFilesPerTrigger", max_files)
         .load(folder)
     )
+    return files.filter(F.col("length") <= K.MAX_UPLOAD_BYTES)
 
 
 def profile_workbook_stream(stream: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
