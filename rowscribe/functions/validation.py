@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rowscribe import constants as K
+from rowscribe.functions.binding import let
 from rowscribe.functions.jsonx import pick_keys
 
 # Whole numbers beyond 64 bits are typed DECIMAL(19+,0) by the JSON parser.
@@ -154,8 +155,10 @@ _RULES = {
 
 
 def _present_error(node: Column, path: Column, name: str, schema: dict) -> Column:
-    value = _child(node, name)
-    return F.when(value.isNotNull(), field_error(value, path, schema))
+    return let(
+        _child(node, name),
+        lambda value: F.when(value.isNotNull(), field_error(value, path, schema)),
+    )
 
 
 def field_error(node: Column, path: Column, schema: dict) -> Column:
@@ -172,21 +175,23 @@ def answer_error(text: Column, schema: dict | None, template: dict | None = None
     With a template at least one of its keys must be there; required fields
     come next in their order, then the fields in schema order.
     """
-    node = F.try_parse_json(text)
-    kind = _kind(node)
-    steps = [F.when(node.isNull() | ~kind.startswith("OBJECT"), F.lit(K.MSG_NOT_OBJECT))]
-    if template:
-        known = F.array(*[F.lit(key) for key in template])
-        matched = F.arrays_overlap(F.json_object_keys(text), known)
-        steps.append(F.when(~F.coalesce(matched, F.lit(False)), F.lit(K.MSG_ECHO)))
-    if schema:
-        if schema.get("type") not in (None, "", "object"):
-            raise ValueError("the schema of an answer must describe an object")
-        for name in schema.get("required") or []:
-            steps.append(F.when(_absent(_child(node, name)), F.lit(K.MSG_MISSING + name)))
-        for name, child in (schema.get("properties") or {}).items():
-            steps.append(_present_error(node, F.lit(name), name, child))
-    return F.coalesce(*steps)
+    if schema and schema.get("type") not in (None, "", "object"):
+        raise ValueError("the schema of an answer must describe an object")
+
+    def first_error(node: Column) -> Column:
+        steps = [F.when(node.isNull() | ~_kind(node).startswith("OBJECT"), F.lit(K.MSG_NOT_OBJECT))]
+        if template:
+            known = F.array(*[F.lit(key) for key in template])
+            matched = F.arrays_overlap(F.json_object_keys(text), known)
+            steps.append(F.when(~F.coalesce(matched, F.lit(False)), F.lit(K.MSG_ECHO)))
+        if schema:
+            for name in schema.get("required") or []:
+                steps.append(F.when(_absent(_child(node, name)), F.lit(K.MSG_MISSING + name)))
+            for name, child in (schema.get("properties") or {}).items():
+                steps.append(_present_error(node, F.lit(name), name, child))
+        return F.coalesce(*steps)
+
+    return let(F.try_parse_json(text), first_error)
 
 
 def extra_keys_warning(text: Column, template: dict) -> Column:

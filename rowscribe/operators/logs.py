@@ -14,12 +14,14 @@ FIELDS = ["ts", "level", "service", "logger", "request_id", "user_id", "username
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Fields of JSON lines; any other line is kept whole as its message."""
-    node = F.try_parse_json(F.col(line))
+    # A column of its own, so that each line is parsed once for all fields.
+    parsed = lines.filter(~is_blank(F.col(line))).withColumn("_node", F.try_parse_json(F.col(line)))
+    node = F.col("_node")
     is_record = F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
     field = lambda name: F.when(is_record, F.try_variant_get(node, f"$.{name}", "string"))
     message = F.coalesce(field("message"), F.col(line))
-    return lines.filter(~is_blank(F.col(line))).select(
-        "*", *[field(name).alias(name) for name in FIELDS], message.alias("message")
+    return parsed.select(
+        *lines.columns, *[field(name).alias(name) for name in FIELDS], message.alias("message")
     )
 
 
@@ -72,9 +74,11 @@ def sections(texts: DataFrame, key: str, text: str) -> DataFrame:
     The work is per text: lines before the first heading and divider lines are
     dropped, sections keep their order.
     """
-    lines = F.split(F.col(text), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-    pieces = F.split(F.concat(F.lit("\n"), F.array_join(lines, "\n")), r"\n## ", -1)
-    bodies = texts.select(key, F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("section", "piece"))
+    # Every line break becomes a plain one; \\R takes a pair of them as one.
+    plain = F.regexp_replace(F.col(text), r"\R|[\x1c-\x1e]", "\n")
+    cut = texts.select(key, F.split(F.concat(F.lit("\n"), plain), r"\n## ", -1).alias("_pieces"))
+    rest = F.slice("_pieces", F.lit(2), F.greatest(F.size("_pieces") - 1, F.lit(0)))
+    bodies = cut.select(key, F.posexplode(rest).alias("section", "piece"))
     parts = F.split("piece", "\n", 2)
     title = strip(parts[0])
     body = F.filter(F.split(strip(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), "\n"), lambda l: strip(l) != "---")

@@ -7,35 +7,26 @@ from pyspark.sql import functions as F
 
 from rowscribe import constants as K
 from rowscribe.functions import jsonx
-from rowscribe.functions.text import cell_warning, clean_cell, is_blank, strip
+from rowscribe.functions.text import clean_cell, is_blank, strip
 
 
-def review_text(columns: list[str]) -> Column:
+def review_text(cells: dict[str, Column]) -> Column:
     """Filled cells as ``name: value`` lines; null when there is none."""
-    lines = [
-        F.when(clean_cell(F.col(f"`{c}`")).isNotNull(), F.concat(F.lit(f"{c}: "), clean_cell(F.col(f"`{c}`"))))
-        for c in columns
-    ]
+    lines = [F.when(cell.isNotNull(), F.concat(F.lit(f"{name}: "), cell)) for name, cell in cells.items()]
     return F.nullif(F.concat_ws("\n", *lines), F.lit(""))
 
 
-def packed_input(columns: list[str]) -> Column:
-    """Cleaned analysis cells as a JSON object in column order, nulls kept."""
-    cells = [clean_cell(F.col(f"`{c}`")).alias(c) for c in columns]
-    return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
-
-
-def packed_passthrough(columns: list[str]) -> Column:
-    """Carried cells as JSON: stripped, but markers such as ``-`` are kept."""
-    if not columns:
+def packed(cells: dict[str, Column]) -> Column:
+    """Cells as a JSON object in column order, nulls kept."""
+    if not cells:
         return F.lit("{}")
-    cells = [strip(F.col(f"`{c}`").cast("string")).alias(c) for c in columns]
-    return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+    fields = [cell.alias(name) for name, cell in cells.items()]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def row_warnings(columns: list[str]) -> Column:
-    """Warnings of all analysis cells, each once."""
-    found = F.array(*[cell_warning(F.col(f"`{c}`")) for c in columns])
+def row_warnings(cells: dict[str, Column]) -> Column:
+    """Warnings of all cleaned analysis cells, each once."""
+    found = F.array(*[F.when(cell.isNull(), F.lit("empty_cell")) for cell in cells.values()])
     return F.array_distinct(F.array_compact(found))
 
 
@@ -77,12 +68,19 @@ def build_rows(
     """Report rows of a sheet that has a ``row_number`` column; no shuffle."""
     columns = [c for c in sheet.columns if c != "row_number"]
     analysis, carried, group_by = resolve_columns(columns, analysis, passthrough, group_by)
-    rows = sheet.select(
+    # Cells are cleaned in a step of their own, once for all uses.
+    tidy = sheet.select(
+        "row_number",
+        *[clean_cell(F.col(f"`{c}`")).alias(f"_a{i}") for i, c in enumerate(analysis)],
+        *[strip(F.col(f"`{c}`").cast("string")).alias(f"_p{i}") for i, c in enumerate(carried)],
+    )
+    cells = {c: F.col(f"_a{i}") for i, c in enumerate(analysis)}
+    rows = tidy.select(
         "row_number",
-        review_text(analysis).alias("review_text"),
-        packed_input(analysis).alias("input_json"),
-        packed_passthrough(carried).alias("passthrough_json"),
-        row_warnings(analysis).alias("warnings"),
+        review_text(cells).alias("review_text"),
+        packed(cells).alias("input_json"),
+        packed({c: F.col(f"_p{i}") for i, c in enumerate(carried)}).alias("passthrough_json"),
+        row_warnings(cells).alias("warnings"),
     )
     if group_by:
         return with_group_key(rows, group_by)

@@ -192,47 +192,52 @@ def annotate_report(
     pending = pending.filter(F.col("status") == "pending")
     columns = [*rows.columns, *[c for c in ("status", "error_text") if c not in rows.columns]]
 
+    # Rows that need no answer stay in the same flow, marked and without a key,
+    # so that the sheet is read once for the requests and once for the result.
     stats = None
     if job.group_by:
         stats = cut(groups.group_stats(pending, ["group_key"]))
-        marked = groups.mark_oversize(pending, ["group_key"], job.group_max_rows, stats)
-        aside = marked.filter(F.col("status") == "error")
-        live = marked.filter(F.col("status") == "pending")
+        flow = groups.mark_oversize(pending, ["group_key"], job.group_max_rows, stats)
+        flow = flow.withColumn("_aside", F.col("status") == "error")
         units = groups.assemble(pending, ["group_key"], job.group_by, job.group_max_rows, stats)
-        units = units.withColumnRenamed("warnings", "unit_warnings")
+        units = with_keys(units.withColumnRenamed("warnings", "unit_warnings"), job)
+        requests = cut(distinct_requests(units))
     else:
         empty = skips_model(F.col("review_text"), F.col("input_json"))
-        aside = pending.filter(empty).withColumns(
-            {"status": F.lit("done"), "warnings": F.array_append("warnings", F.lit("skipped_empty"))}
-        )
-        live = pending.filter(~empty)
-        units = live.withColumn("unit_warnings", F.array().cast("array<string>"))
-
-    keyed = with_keys(units, job)
+        note = F.array_append("warnings", F.lit("skipped_empty"))
+        flow = with_keys(pending.withColumn("_aside", F.coalesce(empty, F.lit(False))), job)
+        flow = flow.withColumn("warnings", F.when(F.col("_aside"), note).otherwise(F.col("warnings")))
+        flow = flow.withColumn("cache_key", F.when(~F.col("_aside"), F.col("cache_key")))
+        requests = cut(distinct_requests(flow.filter("cache_key IS NOT NULL")))
     # The distinct inputs are written once; attempts and joins start from them.
-    requests = cut(distinct_requests(keyed))
     answers, fresh, invalid = answer_requests(
         requests.drop("key_rows"), job, annotator, cache, semantic, embedder
     )
-    unit_keys = keyed.select(*[c for c in keyed.columns if c not in (*KEY_PARTS, "error_text")])
-    answered = skew.lookup(unit_keys, answers, ["cache_key"], requests, ["row_number"])
+    flow = flow.drop(*KEY_PARTS).withColumnRenamed("error_text", "_row_error")
+    none = F.array().cast("array<string>")
     if job.group_by:
-        per_group = answered.select("group_key", "unit_warnings", *ANSWER)
-        done = groups.spread_answers(live.drop("error_text"), per_group, ["group_key"], stats)
+        slim = units.select("group_key", "row_number", "cache_key", "unit_warnings")
+        per_unit = skew.lookup(slim, answers, ["cache_key"], requests, ["row_number"])
+        per_group = per_unit.select("group_key", "unit_warnings", *ANSWER)
+        done = groups.spread_answers(flow, per_group, ["group_key"], stats)
     else:
-        done = answered
-    none = F.array().cast("array<string>")
+        done = skew.lookup(flow, answers, ["cache_key"], requests, ["row_number"])
+        done = done.withColumn("unit_warnings", none)
     merged = F.concat("warnings", F.coalesce("unit_warnings", none), F.coalesce("answer_warnings", none))
     failed = F.coalesce("error_text", F.lit("")) != ""
-    finished = done.withColumn("warnings", merged).withColumn(
-        "status", F.when(failed, F.lit("error")).otherwise(F.lit("done"))
+    outcome = F.when(failed, F.lit("error")).otherwise(F.lit("done"))
+    skipped = F.when(F.col("status") == "error", F.lit("error")).otherwise(F.lit("done"))
+    tokens = ["prompt_tokens", "completion_tokens", "total_tokens"]
+    finished = done.withColumns(
+        {
+            "warnings": F.when(F.col("_aside"), F.col("warnings")).otherwise(merged),
+            "error_text": F.when(F.col("_aside"), F.col("_row_error")).otherwise(F.col("error_text")),
+            "status": F.when(F.col("_aside"), skipped).otherwise(outcome),
+            **{n: F.coalesce(n, F.lit(0)) for n in tokens},
+        }
     )
-    extra = ["custom_json", "raw_response_json", "prompt_tokens", "completion_tokens", "total_tokens"]
-    empty_answer = {
-        n: F.lit(None).cast("string") if n.endswith("json") else F.lit(0) for n in extra
-    }
-    out = [*[c for c in columns if c not in extra], *extra]
-    result = finished.select(*out).unionByName(aside.withColumns(empty_answer).select(*out))
+    extra = ["custom_json", "raw_response_json", *tokens]
+    result = finished.select(*[c for c in columns if c not in extra], *extra)
 
     details = requests.select(
         "cache_key", "prompt_hash", "review_hash", F.lit(job.provider).alias("provider"), F.lit(job.model).alias("model")
