@@ -36,10 +36,12 @@ def cache_keys(
     prompt_template: str,
     template: dict | None,
     schema: dict | None,
+    review_hash: Column | None = None,
 ) -> dict[str, Column]:
     """The cache key and the four hashes it is built from.
 
     Everything but the row is constant for a job and hashed once on the driver.
+    ``review_hash`` may name a column that already holds the hash of the row.
     """
     prompt_hash, template_hash, schema_hash = (
         _sha(prompt_template),
@@ -47,7 +49,7 @@ def cache_keys(
         _object_sha(schema),
     )
     head = "\n".join([provider, model, mode, prompt_hash, template_hash, schema_hash])
-    review_hash = F.sha2(normalized, 256)
+    review_hash = F.sha2(normalized, 256) if review_hash is None else review_hash
     return {
         "cache_key": F.sha2(F.concat(F.lit(head + "\n"), review_hash), 256),
         "prompt_hash": F.lit(prompt_hash),

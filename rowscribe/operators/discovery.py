@@ -9,31 +9,51 @@ from rowscribe import constants as K
 from rowscribe.functions import jsonx
 
 
+PASSTHROUGH, ANSWER = "passthrough", "answer"
+
+
 def first_seen_keys(rows: DataFrame, keys: Column, by: list[str] | None = None) -> DataFrame:
     """Distinct keys with the (row, position) of their first appearance.
 
-    ``rows`` must have ``row_number``; the minimum is taken inside each task, so
+    ``keys`` is an array of names, or of structs whose fields tell keys apart.
+    ``rows`` must have ``row_number``. The minimum is taken inside each task, so
     only distinct keys are shuffled.
     """
     seen = rows.select(*(by or []), "row_number", F.posexplode(keys).alias("position", "key"))
     first = F.min(F.struct("row_number", "position")).alias("_first")
     return seen.groupBy(*(by or []), "key").agg(first).select(
-        *(by or []), "key", F.col("_first.row_number").alias("first_row"), F.col("_first.position").alias("first_position")
+        *(by or []),
+        "key",
+        F.col("_first.row_number").alias("first_row"),
+        F.col("_first.position").alias("first_position"),
     )
 
 
-def passthrough_keys(rows: DataFrame, group_by: str | None = None) -> DataFrame:
-    found = first_seen_keys(rows, F.json_object_keys(jsonx.object_or_empty(F.col("passthrough_json"))))
-    found = found.filter(~F.col("key").isin(K.RESERVED_KEYS))
-    return found.filter(F.col("key") == group_by) if group_by else found
+def result_keys(rows: DataFrame, group_by: str | None = None) -> DataFrame:
+    """Carried keys and flattened answer keys of finished rows, from one scan.
 
-
-def answer_keys(rows: DataFrame) -> DataFrame:
+    Reserved names are no carried keys; a grouped report carries only its group
+    column.
+    """
     legacy = F.col("analysis_json") if "analysis_json" in rows.columns else None
-    flat = jsonx.flatten_object(jsonx.analysis_text(F.col("custom_json"), legacy))
-    return first_seen_keys(rows, F.map_keys(flat))
-
-
-def ordered_names(keys: DataFrame) -> list[str]:
-    """Column names on the driver: they become the schema of the result."""
-    return [r["key"] for r in keys.orderBy("first_row", "first_position", "key").collect()]
+    carried = F.json_object_keys(jsonx.object_or_empty(F.col("passthrough_json")))
+    answered = F.map_keys(jsonx.flatten_object(jsonx.analysis_text(F.col("custom_json"), legacy)))
+    tagged = lambda kind, names: F.transform(
+        names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
+    )
+    both = F.concat(tagged(PASSTHROUGH, carried), tagged(ANSWER, answered))
+    found = first_seen_keys(rows, both).select(
+        F.col("key.kind").alias("kind"), F.col("key.name").alias("key"), "first_row", "first_position"
+    )
+    usable = ~F.col("key").isin(K.RESERVED_KEYS)
+    if group_by:
+        usable = usable & (F.col("key") == group_by)
+    return found.filter((F.col("kind") == ANSWER) | usable)
+
+
+def ordered_names(keys: DataFrame) -> dict[str, list[str]]:
+    """Names per kind on the driver: they become the columns of the result."""
+    found: dict[str, list[str]] = {PASSTHROUGH: [], ANSWER: []}
+    for row in keys.orderBy("first_row", "first_position", "key").collect():
+        found[row["kind"]].append(row["key"])
+    return found

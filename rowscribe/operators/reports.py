@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowscribe import constants as K
+from rowscribe.operators import skew
 
 
 def is_active(status: Column) -> Column:
@@ -42,7 +43,8 @@ def with_source_name(reports: DataFrame, uploads: DataFrame) -> DataFrame:
     names = uploads.select(
         F.col("id").alias("uploaded_file_id"), F.col("original_name").alias("source_original_name")
     )
-    return reports.join(names, "uploaded_file_id", "left")
+    # Many reports may share an upload or have none.
+    return skew.lookup(reports, names, ["uploaded_file_id"], spread=["id"])
 
 
 def report_list(reports: DataFrame, uploads: DataFrame, rows: DataFrame) -> DataFrame:
@@ -80,9 +82,10 @@ def owned(df: DataFrame, user_id: int | None = None, **keys: object) -> DataFram
 def recent_failures(reports: DataFrame, users: DataFrame, limit: int = 30) -> DataFrame:
     """Newest failed reports that say why, with the user's name."""
     failed = reports.filter((F.col("status") == "failed") & (F.coalesce("error_text", F.lit("")) != ""))
-    names = users.select(F.col("id").alias("user_id"), "username")
+    names = users.select(F.col("id").alias("user_id"), "username", F.lit(True).alias("_known"))
+    found = skew.lookup(failed, names, ["user_id"], spread=["id"]).filter("_known")
     return newest(
-        failed.join(names, "user_id").select(
+        found.select(
             F.col("id").alias("report_id"), "user_id", "username", "updated_at", "error_text"
         ),
         limit,

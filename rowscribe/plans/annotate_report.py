@@ -72,8 +72,10 @@ def with_keys(units: DataFrame, job: Job) -> DataFrame:
         prompt_template=job.prompt,
         template=job.template,
         schema=job.schema,
+        review_hash=F.col("review_hash"),
     )
-    return units.withColumns(keys)
+    # The hash of the row is a step of its own: both it and the key need it.
+    return units.withColumn("review_hash", F.sha2(normalized, 256)).withColumns(keys)
 
 
 def distinct_requests(units: DataFrame) -> DataFrame:

@@ -399,21 +399,19 @@ def users_newest(t: Tables) -> DataFrame:
         """seen AS (
           SELECT 'passthrough' AS kind, 'source' AS key, row_number, 0 AS position FROM done
           UNION ALL SELECT 'passthrough', 'lang', row_number, 1 FROM done
-          UNION ALL SELECT 'answer', 'category', row_number, 0 FROM done WHERE answer IS NOT NULL
-          UNION ALL SELECT 'answer', 'score', row_number, 1 FROM done WHERE answer IS NOT NULL
-          UNION ALL SELECT 'answer', 'meta.quality', row_number, 2 FROM done WHERE answer IS NOT NULL
-          UNION ALL SELECT 'answer', 'meta.tags', row_number, 3 FROM done WHERE answer IS NOT NULL
-          UNION ALL SELECT 'answer', 'toxic', row_number, 4 FROM done WHERE answer IS NOT NULL AND doc_id % 2 = 0)""",
+          UNION ALL SELECT 'answer', 'category', row_number, 2 FROM done WHERE answer IS NOT NULL
+          UNION ALL SELECT 'answer', 'score', row_number, 3 FROM done WHERE answer IS NOT NULL
+          UNION ALL SELECT 'answer', 'meta.quality', row_number, 4 FROM done WHERE answer IS NOT NULL
+          UNION ALL SELECT 'answer', 'meta.tags', row_number, 5 FROM done WHERE answer IS NOT NULL
+          UNION ALL SELECT 'answer', 'toxic', row_number, 6 FROM done WHERE answer IS NOT NULL AND doc_id % 2 = 0)""",
         body="""SELECT kind, key, min(row_number) AS first_row, min(position) AS first_position FROM seen GROUP BY kind, key""",
     ),
 )
 def result_keys(t: Tables) -> DataFrame:
     from rowscribe.sources.export import finished_rows
 
-    done = finished_rows(S.answered_rows(t))
-    carried = discovery.passthrough_keys(done).withColumn("kind", F.lit("passthrough"))
-    answered = discovery.answer_keys(done).withColumn("kind", F.lit("answer"))
-    return carried.unionByName(answered).select("kind", "key", "first_row", "first_position")
+    found = discovery.result_keys(finished_rows(S.answered_rows(t)))
+    return found.select("kind", "key", "first_row", "first_position")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscribe.functions import jsonx
-from rowscribe.operators.discovery import answer_keys, ordered_names, passthrough_keys
+from rowscribe.operators.discovery import ANSWER, PASSTHROUGH, ordered_names, result_keys
 from rowscribe.operators.groups import first_row_per_group, number_groups
 from rowscribe.operators.reports import report_summary
 from rowscribe.operators.rows import is_materialized
@@ -40,8 +40,10 @@ def wide_results(
     repeats an earlier column name is written as ``answer.<key>``.
     """
     done = finished_rows(rows)
-    carried = ordered_names(passthrough_keys(done, group_by)) if carried is None else carried
-    answered = ordered_names(answer_keys(done)) if answered is None else answered
+    if carried is None or answered is None:
+        names = ordered_names(result_keys(done, group_by))
+        carried = names[PASSTHROUGH] if carried is None else carried
+        answered = names[ANSWER] if answered is None else answered
     chosen = first_row_per_group(done, ["group_key"]) if "group_key" in rows.columns else done
     number = "row_number"
     if group_by:
