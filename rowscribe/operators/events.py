@@ -113,6 +113,33 @@ def fold(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
+def lost_leases(
+    beats: DataFrame, keys: list[str], time: str, order: list[str], lease_seconds: int = K.LEASE_SECONDS
+) -> DataFrame:
+    """Runs of heartbeats with no gap as long as the lease, and when each one expired.
+
+    ``time`` is in microseconds and leads ``order``. The start of the run a row
+    belongs to is carried from chunk to chunk, so one busy job is no one task.
+    """
+    lease = lease_seconds * 1_000_000
+    rows = with_carry(chunked(beats, keys, order), keys, order, {"_last": F.max(time)})
+    window = carry_window(keys, order)
+    seen = F.when(F.col("_carry"), F.col("_last")).otherwise(F.col(time))
+    marked = rows.withColumn("_before", F.lag(seen).over(window)).filter(~F.col("_carry"))
+    fresh = F.col("_before").isNull() | (F.col(time) - F.col("_before") >= lease)
+    marked = marked.withColumn("_start", F.when(fresh, F.col(time))).drop("_carry", "_last", "_before")
+    again = with_carry(marked, keys, order, {"_run": F.max("_start")})
+    start = F.when(F.col("_carry"), F.col("_run")).otherwise(F.col("_start"))
+    so_far = carry_window(keys, order).rowsBetween(W.unboundedPreceding, 0)
+    runs = again.withColumn("first_beat", F.last(start, ignorenulls=True).over(so_far))
+    return (
+        runs.filter(~F.col("_carry"))
+        .groupBy(*keys, "first_beat")
+        .agg(F.max(time).alias("last_beat"), F.count(F.lit(1)).alias("beats"))
+        .withColumn("expired_at", F.col("last_beat") + lease)
+    )
+
+
 def _next_emit(times, counts, forced, every_rows, micros):
     """Index of the next emitted row if row i was emitted (the length: not here)."""
     size = len(times)

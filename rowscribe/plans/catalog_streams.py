@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowscribe.operators.events import lost_leases
 from rowscribe.operators.rows import build_rows
 from rowscribe.plans import rules
 from rowscribe.plans import stand_ins as S
@@ -126,8 +127,8 @@ runs AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY use
     ),
 )
 def lost_heartbeats(t: Tables) -> DataFrame:
-    beats = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return _in_micros(events.lost_heartbeats(beats, "user_id", "ts", 36_000))
+    beats = t.events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_id")
+    return lost_leases(beats, ["user_id"], "at_us", ["at_us", "event_id"], 36_000)
 
 
 def _in_micros(found: DataFrame) -> DataFrame:

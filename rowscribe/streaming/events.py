@@ -93,8 +93,8 @@ def lost_heartbeats(beats: DataFrame, key: str, time: str, lease_seconds: int =
 
     A run of heartbeats is one session whose gap is the lease; when the session
     is closed by the watermark, the lease has expired. Sessions are merged
-    inside each task before the shuffle. Works on batches and on streams (with
-    a watermark on ``time``).
+    inside each task before the shuffle. For a stream with a watermark on
+    ``time``; the batch twin is ``operators.events.lost_leases``.
     """
     runs = beats.groupBy(key, F.session_window(time, f"{lease_seconds} seconds").alias("run"))
     return runs.agg(F.max(time).alias("last_beat"), F.count(F.lit(1)).alias("beats")).select(

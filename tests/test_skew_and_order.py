@@ -128,6 +128,23 @@ def test_fold_matches_plain_walk(busy):
             assert (row.status, row.processed, row.total, row.current_step, row.progress_percent) == (*state.values(), shown)
 
 
+@pytest.mark.parametrize("lease", [1, 2, 3])
+def test_lost_leases_match_plain_walk(busy, lease):
+    df, by_job = busy
+    want = []
+    for job, rows in by_job.items():
+        run = None
+        for at in (r[2] for r in rows):
+            if run is None or at - run[2] >= lease * 1_000_000:
+                run = [job, at, at, 0]
+                want.append(run)
+            run[2], run[3] = at, run[3] + 1
+    found = events.lost_leases(df, ["job"], "at_us", ["at_us", "seq"], lease)
+    got = found.select("job", "first_beat", "last_beat", "beats").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert found.filter(f"expired_at <> last_beat + {lease * 1_000_000}").isEmpty()
+
+
 def test_numbers_over_chunks(many_chunks):
     rows = [("hot", i * 7919 % 100_003) for i in range(3000)] + [(f"k{i % 9}", i) for i in range(200)] + [(None, 5), (None, 3)]
     df = many_chunks.createDataFrame(rows, "k string, n bigint").repartition(4)
