@@ -143,6 +143,10 @@ MSG_OVERFLOW = (
 )
 MSG_RETRIES = "Ошибка LLM после повторов: "
 
+# --- Fixed values: notes of failed embedding calls -------------------------------
+NOTE_EMBEDDER_MISSING = "semantic_cache_disabled_endpoint_404"
+NOTE_EMBEDDING_FAILED = "semantic_cache_error"
+
 # --- Fixed values: remaining-time texts ---------------------------------------
 ETA_PREFIX = "Осталось ~"
 ETA_SECONDS = " сек"

@@ -20,10 +20,10 @@ from rowscribe.functions.jsonx import pick_keys
 _BIG_WHOLE = r"^DECIMAL\((19|[23]\d),0\)$"
 _NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|BOOLEAN|DECIMAL.*)$"
 _WHOLE = r"^(TINYINT|SMALLINT|INT|BIGINT|BOOLEAN)$"
-_DATETIME = (
-    r"^\d{4}-\d{2}-\d{2}"
-    r"([ T]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6}\d*)?)?)?([+-]\d{2}:\d{2}(:\d{2})?)?)?$"
-)
+# Hours, minutes and seconds may be left out from the end; so may the offset.
+_CLOCK = r"(?:[01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d([.,]\d+)?)?)?"
+_OFFSET = r"[+-](?:[01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d)?)?"
+_DATETIME = rf"^\d{{4}}-\d{{2}}-\d{{2}}(.{_CLOCK}({_OFFSET})?)?$"
 
 
 def _child(node: Column, name: str) -> Column:
@@ -55,11 +55,7 @@ def _is_date(text: Column) -> Column:
 
 def _is_datetime(text: Column) -> Column:
     stamp = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    clock = F.regexp_extract(stamp, r"^.{10}[ T]([\d:]+)", 1)
-    part = lambda i: F.coalesce(F.split(clock, ":")[i] if i == 0 else F.get(F.split(clock, ":"), F.lit(i)), F.lit("0"))
-    number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
-    in_range = (number(0) < 24) & (number(1) < 60) & (number(2) < 60)
-    return stamp.rlike(_DATETIME) & _is_date(F.substring(stamp, 1, 10)) & in_range
+    return stamp.rlike(_DATETIME) & _is_date(F.substring(stamp, 1, 10))
 
 
 def _in_list(node: Column, kind: Column, values: list) -> Column:

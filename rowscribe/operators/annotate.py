@@ -154,28 +154,36 @@ def _outcome(checked: DataFrame, template: dict | None) -> DataFrame:
 
 
 def embed(requests: DataFrame, text: str, embedder: Embedder, parallelism: int = K.PARALLEL_CALLS) -> DataFrame:
-    """Add ``embedding``: a vector of the normalised text, null where it fails.
+    """Add ``embedding``, a vector of the normalised text, and ``embedding_note``.
 
-    An embedder that reports itself missing is not called again by that task.
+    A failed call gives no vector and a note. An embedder that reports itself
+    missing is noted once and not called again by that task.
     """
 
+    def embed_one(value: str):
+        try:
+            return [float(x) for x in embedder(value)] or None, None, False
+        except EmbedderMissing:
+            return None, K.NOTE_EMBEDDER_MISSING, True
+        except Exception:  # the exact path still works without a vector
+            return None, K.NOTE_EMBEDDING_FAILED, False
+
     def embed_batches(batches):
         missing = False
         for pdf in batches:
-            vectors = []
+            vectors, notes = [], []
             for value in pdf["_text"]:
-                vector = None
+                vector, note = None, None
                 if value and not missing:
-                    try:
-                        vector = [float(x) for x in embedder(value)] or None
-                    except EmbedderMissing:
-                        missing = True
-                    except Exception:  # no vector: the exact path still works
-                        vector = None
+                    vector, note, missing = embed_one(value)
                 vectors.append(vector)
-            yield pdf.drop(columns="_text").assign(embedding=vectors)
-
-    added = T.StructField("embedding", T.ArrayType(T.DoubleType()))
-    schema = T.StructType([*requests.schema.fields, added])
+                notes.append(note)
+            yield pdf.drop(columns="_text").assign(embedding=vectors, embedding_note=notes)
+
+    added = [
+        T.StructField("embedding", T.ArrayType(T.DoubleType())),
+        T.StructField("embedding_note", T.StringType()),
+    ]
+    schema = T.StructType([*requests.schema.fields, *added])
     prepared = requests.withColumn("_text", squash(F.coalesce(F.col(text), F.lit(""))))
     return prepared.repartition(parallelism).mapInPandas(embed_batches, schema)

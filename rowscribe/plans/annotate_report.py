@@ -55,10 +55,11 @@ class Job:
 
 @dataclass
 class Annotated:
-    """Finished rows, new answers for the cache and cache keys to delete."""
+    """Finished rows, new entries for both caches and cache keys to delete."""
 
     rows: DataFrame
     fresh: DataFrame
+    fresh_semantic: DataFrame | None
     invalid: DataFrame | None
 
 
@@ -98,7 +99,7 @@ def _reused(found: DataFrame) -> DataFrame:
         F.col("cached_answer").alias("custom_json"),
         F.col("cached_raw").alias("raw_response_json"),
         F.lit(None).cast("string").alias("error_text"),
-        F.array_compact(F.array("cache_note")).alias("answer_warnings"),
+        F.col("cache_notes").alias("answer_warnings"),
         usage("prompt_tokens").alias("prompt_tokens"),
         usage("completion_tokens").alias("completion_tokens"),
         usage("total_tokens").alias("total_tokens"),
@@ -127,8 +128,11 @@ def _similar(misses: DataFrame, job: Job, semantic: DataFrame, embedder: Embedde
     return (
         joined.withColumn("cached_answer", F.when(good, accepted_answer(F.col("_answer"), job.template)))
         .withColumn("cached_raw", F.when(good, F.col("_raw")))
-        .withColumn("cache_note", F.coalesce(F.when(good, note), F.col("cache_note")))
-        .select(*misses.columns)
+        .withColumn(
+            "cache_notes",
+            F.concat("cache_notes", F.array_compact(F.array("embedding_note", F.when(good, note)))),
+        )
+        .select(*misses.columns, *caches.SEMANTIC_KEYS[:3], "embedding")
     )
 
 
@@ -139,17 +143,20 @@ def answer_requests(
     cache: DataFrame | None = None,
     semantic: DataFrame | None = None,
     embedder: Embedder | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Answers per cache key; also the fresh ones and the broken cache keys."""
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Answers per cache key; the fresh ones, what was asked, the broken cache keys."""
     parts, invalid = [], None
     none = F.lit(None).cast("string")
-    waiting = requests.withColumns({"cached_answer": none, "cached_raw": none, "cache_note": none})
+    waiting = requests.withColumns(
+        {"cached_answer": none, "cached_raw": none, "cache_notes": F.array().cast("array<string>")}
+    )
     if job.use_cache and cache is not None:
         found = caches.exact_lookup(requests, cache)
-        checked = cut(caches.check_hits(found, job.schema, job.template))
+        checked = caches.check_hits(found, job.schema, job.template)
+        checked = cut(checked.withColumn("cache_notes", F.array_compact(F.array("cache_note"))))
         invalid = checked.filter("invalid_hit").select("cache_key")
         parts.append(_reused(checked.filter("cached_answer IS NOT NULL")))
-        waiting = checked.filter("cached_answer IS NULL").drop("invalid_hit")
+        waiting = checked.filter("cached_answer IS NULL").select(*waiting.columns)
     if job.use_cache and semantic is not None and embedder is not None:
         checked = cut(_similar(waiting, job, semantic, embedder))
         parts.append(_reused(checked.filter("cached_answer IS NOT NULL")))
@@ -164,12 +171,12 @@ def answer_requests(
         parallelism=job.parallelism,
         use_cache=job.use_cache,
     )
-    notes = waiting.select("cache_key", F.array_compact(F.array("cache_note")).alias("_notes"))
+    notes = waiting.select("cache_key", F.col("cache_notes").alias("_notes"))
     asked = fresh.join(notes, "cache_key").withColumn("answer_warnings", F.concat("_notes", "answer_warnings"))
     answers = asked.select("cache_key", *ANSWER)
     for part in parts:
         answers = answers.unionByName(part)
-    return answers, fresh, invalid
+    return answers, fresh, waiting, invalid
 
 
 def annotate_report(
@@ -212,7 +219,7 @@ def annotate_report(
         flow = flow.withColumn("cache_key", F.when(~F.col("_aside"), F.col("cache_key")))
         requests = cut(distinct_requests(flow.filter("cache_key IS NOT NULL")))
     # The distinct inputs are written once; attempts and joins start from them.
-    answers, fresh, invalid = answer_requests(
+    answers, fresh, asked, invalid = answer_requests(
         requests.drop("key_rows"), job, annotator, cache, semantic, embedder
     )
     flow = flow.drop(*KEY_PARTS).withColumnRenamed("error_text", "_row_error")
@@ -257,4 +264,13 @@ def annotate_report(
             F.col("raw_response_json").alias("raw_json"),
         )
     )
-    return Annotated(result, new_entries, invalid)
+    similar = None
+    if "embedding" in asked.columns:
+        similar = (
+            asked.filter("embedding IS NOT NULL")
+            .select("cache_key", *caches.SEMANTIC_KEYS, "embedding")
+            .join(new_entries.select("cache_key", "analysis_json", "raw_json"), "cache_key")
+            .drop("cache_key")
+            .withColumn("semantic_key", caches.semantic_key(caches.SEMANTIC_KEYS, F.col("embedding")))
+        )
+    return Annotated(result, new_entries, similar, invalid)

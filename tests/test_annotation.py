@@ -100,7 +100,10 @@ def test_similar_answers(spark, tmp_path):
         "updated_at": 1,
     }
     semantic = spark.createDataFrame([entry])
-    got = {r.review_text: r for r in annotate_report(rows, job, counted(tmp_path), semantic=semantic, embedder=vector).rows.collect()}
+    out = annotate_report(rows, job, counted(tmp_path), semantic=semantic, embedder=vector)
+    got = {r.review_text: r for r in out.rows.collect()}
+    new = out.fresh_semantic.collect()
+    assert [(r.embedding, r.analysis_json, len(r.semantic_key)) for r in new] == [([0.0, 2.0], '{"kind":"good"}', 64)]
     assert got["t: aa"].warnings == ["semantic_cache_hit:1.0"] and got["t: ab"].custom_json == '{"kind":"bad"}'
     assert got["t: zz"].custom_json == '{"kind":"good"}' and len(os.listdir(tmp_path)) == 1
 
@@ -129,5 +132,7 @@ def test_embedder_failures(spark):
             raise RuntimeError()
         return [float(len(text))]
 
-    got = {r.i: r.embedding for r in embed(df, "t", vector, parallelism=1).collect()}
-    assert got[0] == [3.0] and got[1] is None and got[2] is None and got[3] is None and got[4] is None
+    got = {r.i: (r.embedding, r.embedding_note) for r in embed(df, "t", vector, parallelism=1).collect()}
+    assert got[0] == ([3.0], None) and got[1] == got[2] == (None, None)
+    assert got[3] == (None, "semantic_cache_error")
+    assert got[4] == (None, "semantic_cache_disabled_endpoint_404")
