@@ -42,16 +42,18 @@ def check_hits(found: DataFrame, schema: dict | None, template: dict | None) ->
     """Check cached answers again; a broken one counts as a miss and is named."""
     hit = F.col("cached_answer").isNotNull()
     error = F.when(hit, answer_error(F.col("cached_answer"), schema, template))
-    note = F.concat(F.lit("cache_invalidated:"), F.substring(error, 1, 80))
-    good = hit & error.isNull()
-    return (
-        found.withColumn("cache_note", F.when(good, F.lit("cache_hit")).otherwise(note))
-        .withColumn("invalid_hit", hit & error.isNotNull())
-        .withColumn(
-            "cached_answer", F.when(good, accepted_answer(F.col("cached_answer"), template))
-        )
-        .withColumn("cached_raw", F.when(good, F.col("cached_raw")))
-    )
+    # A column of its own: the check is costly and its result is used four times.
+    checked = found.withColumn("_error", error)
+    note = F.concat(F.lit("cache_invalidated:"), F.substring("_error", 1, 80))
+    good = hit & F.col("_error").isNull()
+    return checked.withColumns(
+        {
+            "cache_note": F.when(good, F.lit("cache_hit")).otherwise(note),
+            "invalid_hit": hit & ~good,
+            "cached_answer": F.when(good, accepted_answer(F.col("cached_answer"), template)),
+            "cached_raw": F.when(good, F.col("cached_raw")),
+        }
+    ).drop("_error")
 
 
 def newest_candidates(cache: DataFrame, keys: list[str], limit: int = K.SEMANTIC_CANDIDATES) -> DataFrame:

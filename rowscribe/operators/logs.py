@@ -14,8 +14,10 @@ FIELDS = ["ts", "level", "service", "logger", "request_id", "user_id", "username
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Fields of JSON lines; any other line is kept whole as its message."""
-    # A column of its own, so that each line is parsed once for all fields.
-    parsed = lines.filter(~is_blank(F.col(line))).withColumn("_node", F.try_parse_json(F.col(line)))
+    # Exploding a single value keeps it from being computed again for every field
+    # and for every filter that is pushed down to the lines.
+    node = F.explode(F.array(F.try_parse_json(F.col(line))))
+    parsed = lines.filter(~is_blank(F.col(line))).select("*", node.alias("_node"))
     node = F.col("_node")
     is_record = F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
     field = lambda name: F.when(is_record, F.try_variant_get(node, f"$.{name}", "string"))

@@ -53,12 +53,12 @@ def typed_answer(t: Tables) -> DataFrame:
 )
 def answer_check(t: Tables) -> DataFrame:
     text = F.col("answer")
-    error = answer_error(text, SCHEMA, S.TEMPLATE)
-    return S.raw_answers(t).select(
+    checked = S.raw_answers(t).withColumn("error", answer_error(text, SCHEMA, S.TEMPLATE))
+    return checked.select(
         "doc_id",
-        error.alias("error"),
+        "error",
         extra_keys_warning(text, S.TEMPLATE).alias("warning"),
-        F.when(error.isNull(), accepted_answer(text, S.TEMPLATE)).alias("accepted"),
+        F.when(F.col("error").isNull(), accepted_answer(text, S.TEMPLATE)).alias("accepted"),
     )
 
 

@@ -418,7 +418,7 @@ def result_keys(t: Tables) -> DataFrame:
     "agg11_preview_keys",
     with_sql(
         S.ANSWERED,
-        body="""SELECT report_id, k.key AS key, min(row_number * 10 + k.position) AS first_seen FROM answered,
+        body="""SELECT report_id, k.key AS key, CAST(min(row_number * 10 + k.position) AS BIGINT) AS first_seen FROM answered,
           (VALUES ('review', 0), ('lang', 1), ('source', 2)) k(key, position) GROUP BY ALL""",
     ),
 )

@@ -47,8 +47,8 @@ annotated AS (
          CASE course WHEN 'long' THEN 'Промпт превысил контекст модели `rules-1`. Уменьшите размер группы (`group_max_rows`) или используйте модель с большим контекстом.'
               WHEN 'busy' THEN 'Ошибка LLM после повторов: RuntimeError: busy'
               WHEN 'list' THEN 'Ошибка LLM после повторов: ValueError: Ожидался JSON-объект в ответе модели' END AS error_text,
-         CASE WHEN course NOT IN ('ok','repaired') THEN 0 WHEN n % 2 = 0 THEN n ELSE greatest(1, length(review_text) // 4) END AS prompt_tokens,
-         CASE WHEN course NOT IN ('ok','repaired') THEN 0 WHEN n % 2 = 0 THEN n + 5 ELSE greatest(1, length(review_text) // 4) + 40 END AS total_tokens,
+         CAST(CASE WHEN course NOT IN ('ok','repaired') THEN 0 WHEN n % 2 = 0 THEN n ELSE greatest(1, length(review_text) // 4) END AS INTEGER) AS prompt_tokens,
+         CAST(CASE WHEN course NOT IN ('ok','repaired') THEN 0 WHEN n % 2 = 0 THEN n + 5 ELSE greatest(1, length(review_text) // 4) + 40 END AS INTEGER) AS total_tokens,
          CASE course WHEN 'long' THEN 'context_length_exceeded:maximum context length' WHEN 'list' THEN 'cache_disabled,cache_disabled'
               WHEN 'busy' THEN NULL
               WHEN 'ok' THEN CASE WHEN n % 7 = 0 THEN 'dropped_extra_keys:extra' END

@@ -166,3 +166,12 @@ def test_feeds_over_batches_equal_one_batch(spark, tmp_path):
     want = batch_events.feed_with_keepalive(steady(whole), "job", "at_us", order, 0.7).select("job", "seq", "event_kind")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.filter("event_kind = 'keepalive'").count() > 0
+
+
+def test_scratch_is_named_and_cleared(spark):
+    from rowscribe.session import clear_scratch, cut, scratch_path
+
+    assert spark.sparkContext.applicationId in scratch_path(spark, "x")
+    kept = cut(spark.range(3))
+    assert kept.count() == 3
+    assert clear_scratch(spark) and not clear_scratch(spark)
