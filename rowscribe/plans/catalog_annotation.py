@@ -181,7 +181,7 @@ def annotation_summary(t: Tables) -> DataFrame:
         S.PACKED,
         SIZED,
         rules.SQL,
-        """cached AS (SELECT *, n % 4 = 1 AND NOT blank AS good, n % 4 = 3 AND NOT blank AS broken FROM annotated)""",
+        """cached AS (SELECT *, n > 400 AND n % 2 = 1 AS good, n > 400 AND n % 2 = 0 AS broken FROM annotated)""",
         body="""SELECT row_number, CASE WHEN NOT blank AND NOT good AND error_text IS NOT NULL THEN 'error' ELSE 'done' END AS status,
           CASE WHEN good THEN '{"category":"none","score":0.5,"chars":1}' WHEN NOT blank THEN custom_json END AS custom_json,
           CASE WHEN NOT blank AND NOT good THEN error_text END AS error_text,
@@ -198,11 +198,11 @@ def with_exact_cache(t: Tables) -> DataFrame:
     stored = (
         distinct_requests(with_keys(rows, JOB))
         .withColumn("n", size)
-        .filter("n % 2 = 1")
+        .filter("n > 400")
         .select(
             "cache_key",
             F.expr(
-                """CASE WHEN n % 4 = 1 THEN '{"category":"none","score":0.5,"chars":1}' ELSE '{"category":"none"}' END"""
+                """CASE WHEN n % 2 = 1 THEN '{"category":"none","score":0.5,"chars":1}' ELSE '{"category":"none"}' END"""
             ).alias("analysis_json"),
             F.lit('{"usage":{"prompt_tokens":3}}').alias("raw_json"),
         )
@@ -210,6 +210,55 @@ def with_exact_cache(t: Tables) -> DataFrame:
     return _row_result(annotate_report(rows, JOB, rules.annotator, cache=stored).rows)
 
 
+@query(
+    "ann01_with_semantic_cache",
+    with_sql(
+        S.SHEET,
+        S.CLEAN,
+        S.PACKED,
+        SIZED,
+        rules.SQL,
+        "entries AS (SELECT lang, max(n_chars) AS chars FROM documents WHERE lang IN ('en', 'de') GROUP BY lang)",
+        body="""SELECT row_number, CASE WHEN NOT blank AND chars IS NULL AND error_text IS NOT NULL THEN 'error' ELSE 'done' END AS status,
+          CASE WHEN chars IS NOT NULL THEN '{"category":"' || a.lang || '","score":0.5,"chars":' || chars || '}' WHEN NOT blank THEN custom_json END AS custom_json,
+          CASE WHEN NOT blank AND chars IS NULL THEN error_text END AS error_text,
+          CASE WHEN blank OR chars IS NOT NULL THEN 0 ELSE prompt_tokens END AS prompt_tokens,
+          CASE WHEN blank OR chars IS NOT NULL THEN 0 ELSE total_tokens END AS total_tokens,
+          concat_ws(',', NULLIF(warnings, ''), CASE WHEN blank THEN 'skipped_empty' WHEN chars IS NOT NULL THEN 'semantic_cache_hit:1.0' ELSE notes END) AS warnings
+        FROM annotated a LEFT JOIN entries e ON e.lang = a.lang""",
+    ),
+)
+def with_semantic_cache(t: Tables) -> DataFrame:
+    # One entry per language; the French answer no longer passes, Spanish has none.
+    entries = (
+        t.documents.filter("lang <> 'es'")
+        .groupBy("lang")
+        .agg(F.max("n_chars").alias("chars"), F.max("doc_id").alias("updated_at"))
+        .withColumns(
+            {
+                "semantic_key": F.col("lang"),
+                "provider": F.lit(JOB.provider),
+                "model": F.lit(JOB.model),
+                "analysis_mode": F.lit(JOB.mode),
+                "embedding": F.expr(
+                    "transform(array('en', 'de', 'fr'), l -> IF(l = lang, 1.0D, 0.0D))"
+                ),
+                "analysis_json": F.expr(
+                    """CASE lang WHEN 'fr' THEN '{"category":"fr"}' ELSE concat('{"category":"', lang, '","score":0.5,"chars":', chars, '}') END"""
+                ),
+                "raw_json": F.lit("{}"),
+                "input_json": F.lit("{}"),
+                "review_text": F.lit(""),
+            }
+        )
+    )
+    stored = with_keys(entries, JOB)
+    done = annotate_report(
+        S.packed(t), JOB, rules.annotator, semantic=stored, embedder=rules.language_embedder
+    )
+    return _row_result(done.rows)
+
+
 @query(
     "ann02_group_annotation",
     with_sql(

@@ -195,7 +195,7 @@ def cosine(t: Tables) -> DataFrame:
     "joi10_group_answers",
     with_sql(
         S.GROUPED,
-        "answers AS (SELECT group_key, max(turn) AS answer, count(*) * 3 AS total_tokens FROM grouped WHERE conv_id % 7 <> 3 GROUP BY group_key)",
+        "answers AS (SELECT group_key, max(turn) AS answer, count(*) * 3 AS total_tokens FROM grouped WHERE turn >= 3 GROUP BY group_key)",
         "f AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY row_number) AS rn FROM grouped)",
         body="""SELECT f.row_number, f.group_key, answer, CASE WHEN rn = 1 THEN coalesce(total_tokens, 0) ELSE 0 END AS total_tokens
           FROM f LEFT JOIN answers USING (group_key)""",
@@ -204,7 +204,7 @@ def cosine(t: Tables) -> DataFrame:
 def group_answers(t: Tables) -> DataFrame:
     rows = S.grouped_rows(t).select("row_number", "group_key")
     answers = (
-        t.conversations.filter("conv_id % 7 <> 3")
+        t.conversations.filter("turn >= 3")
         .groupBy(F.expr("concat('c', conv_id)").alias("group_key"))
         .agg(F.max("turn").alias("answer"), (F.count(F.lit(1)) * 3).alias("total_tokens"))
     )

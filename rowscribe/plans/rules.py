@@ -60,3 +60,8 @@ annotated AS (
 def embedder(text: str) -> list[float]:
     """Length, vowels and blanks of a text as a small vector."""
     return [float(len(text)), float(sum(text.count(v) for v in "aeiou")), float(text.count(" "))]
+
+
+def language_embedder(text: str) -> list[float]:
+    """Which of three languages a packed row names; zero for any other."""
+    return [float(f'"lang":"{name}"' in text) for name in ("en", "de", "fr")]
