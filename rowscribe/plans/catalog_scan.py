@@ -63,7 +63,8 @@ def upload_admission(t: Tables) -> DataFrame:
         S.REPORT_ROWS,
         body="""SELECT n.report_id, n.row_number, n.group_key FROM report_rows n
           WHERE NOT EXISTS (SELECT 1 FROM report_rows o WHERE o.report_id = n.report_id
-                            AND o.row_number = n.row_number AND o.status = 'done')""",
+                            AND o.row_number = n.row_number AND o.status = 'done')
+          QUALIFY row_number() OVER (PARTITION BY report_id, row_number ORDER BY group_key NULLS FIRST) = 1""",
     ),
 )
 def placeholder_ingest(t: Tables) -> DataFrame:
