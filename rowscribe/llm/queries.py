@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscribe.llm import substring_dedup
+from rowscribe.llm import license_scan, substring_dedup, warc
 from rowscribe.session import configure
 
 QUERIES, SQL = {}, {}
@@ -21,6 +21,23 @@ def query(build):
     return run
 
 
+@query
+def op2_warc(table) -> DataFrame:
+    rows = warc.archive_pages(table("pages")).filter("last")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS response FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND response <> page_id THEN response END AS refers_to
+FROM r
+"""
+
+
 @query
 def op3_substring_dedup(table) -> DataFrame:
     kept = substring_dedup.remove_repeats(table("documents"), window=35)
@@ -41,3 +58,8 @@ SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
        sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
 FROM w LEFT JOIN g USING (k)
 """
+
+
+@query
+def op10_license_scan(table) -> DataFrame:
+    return license_scan.scan(table("documents")).drop("detections")
