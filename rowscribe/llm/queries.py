@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscribe.llm import license_scan, substring_dedup, warc
+from rowscribe.llm import license_scan, substring_dedup, toxicity, warc
 from rowscribe.session import configure
 
 QUERIES, SQL = {}, {}
@@ -60,6 +60,11 @@ FROM w LEFT JOIN g USING (k)
 """
 
 
+@query
+def op6_toxicity(table) -> DataFrame:
+    return toxicity.score(table("documents"), table("labels"))
+
+
 @query
 def op10_license_scan(table) -> DataFrame:
     return license_scan.scan(table("documents")).drop("detections")

@@ -37,6 +37,11 @@ NOT_SPACE = ~byte_class([(0x20, 0x20), (0x09, 0x0D)])
 ALPHANUMERIC = byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 
 
+#: A-Z like a-z.
+FOLD_CASE = np.arange(256, dtype=np.uint8)
+FOLD_CASE[0x41:0x5B] += 32
+
+
 class Words(NamedTuple):
     data: np.ndarray  # the bytes
     texts: np.ndarray  # byte offsets of the texts, one more than texts
@@ -81,8 +86,8 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw, where - where[0]
 
 
-def words_of(column: pa.Array | pa.ChunkedArray, is_word: np.ndarray, fold: bool = False, hashes: bool = True) -> Words:
-    """The words of a column's texts. ``fold``: A-Z hash like a-z."""
+def words_of(column: pa.Array | pa.ChunkedArray, is_word: np.ndarray, fold: np.ndarray | None = None, hashes: bool = True) -> Words:
+    """The words of a column's texts. ``fold``: what each byte hashes like."""
     data, texts = bytes_of(column)
     inside = is_word[data]
     before = np.zeros(len(data), bool)
@@ -95,28 +100,26 @@ def words_of(column: pa.Array | pa.ChunkedArray, is_word: np.ndarray, fold: bool
     after[filled[1:] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(starts, texts)
-    return Words(data, texts, starts, ends, first, hash_ranges(data, starts, ends, fold) if hashes else np.zeros(0, np.uint64))
+    return Words(data, texts, starts, ends, first, hash_ranges(data, starts, [ends], fold)[0] if hashes else np.zeros(0, np.uint64))
 
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte range; ranges are in order of their starts and ends."""
-    values = _VALUES
-    if fold:
-        values = values.copy()
-        values[65:91] = values[97:123]
-    out = np.empty(len(starts), np.uint64)
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], fold: np.ndarray | None = None) -> list[np.ndarray]:
+    """64-bit hashes of the byte ranges from ``starts`` to each of ``ends``, none beyond ``ends[0]``; both ascend."""
+    values = _VALUES if fold is None else _VALUES[fold]
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
     at = 0
     while at < len(starts):
         low = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, low + SLICE, "right")))
-        high = ends[to - 1]
+        to = max(at + 1, int(np.searchsorted(ends[0], low + SLICE, "right")))
+        high = ends[0][to - 1]
         up, down = _powers(high - low)
         total = np.zeros(high - low + 1, np.uint64)
         np.cumsum(values[data[low:high]] * up[: high - low], out=total[1:])
         s = starts[at:to] - low
-        out[at:to] = (total[ends[at:to] - low] - total[s]) * down[s]
+        for one, end in zip(out, ends, strict=True):
+            one[at:to] = (total[end[at:to] - low] - total[s]) * down[s]
         at = to
-    return mix(out)
+    return [mix(one) for one in out]
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
