@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscribe.llm import license_scan, substring_dedup, toxicity, warc
+from rowscribe.llm import license_scan, substring_dedup, toxicity, vector_search, warc
 from rowscribe.session import configure
 
 QUERIES, SQL = {}, {}
@@ -65,6 +65,12 @@ def op6_toxicity(table) -> DataFrame:
     return toxicity.score(table("documents"), table("labels"))
 
 
+@query
+def op8_vector_search(table) -> DataFrame:
+    vectors = table("embeddings")
+    return vector_search.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op10_license_scan(table) -> DataFrame:
     return license_scan.scan(table("documents")).drop("detections")
