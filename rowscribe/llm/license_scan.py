@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rowscribe.llm.license_rules import BASE, KEYWORDS, RULES
-from rowscribe.llm.words import ALPHANUMERIC, FOLD_CASE, inside_texts, windows, words_of
+from rowscribe.llm.words import ALPHANUMERIC, FOLD_CASE, inside_texts, pieces, windows, words_of
 
 REACH = 16
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label:string,priority:int,start:long,end:long>>"
@@ -56,7 +56,7 @@ def _hashes():
 
 def _scan(batches):
     keywords, base = _hashes()
-    for batch in batches:
+    for batch in pieces(batches):
         words = words_of(batch.column("text"), ALPHANUMERIC, FOLD_CASE)
         n, texts = len(words.starts), batch.num_rows
         finds: dict[int, list] = {}

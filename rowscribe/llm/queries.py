@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscribe.llm import license_scan, substring_dedup, toxicity, vector_search, warc
+from rowscribe.llm import decontamination, license_scan, substring_dedup, toxicity, vector_search, warc
 from rowscribe.session import configure
 
 QUERIES, SQL = {}, {}
@@ -21,6 +21,11 @@ def query(build):
     return run
 
 
+@query
+def op1_decontamination(table) -> DataFrame:
+    return decontamination.contaminated(table("documents"), table("benchmark"))
+
+
 @query
 def op2_warc(table) -> DataFrame:
     rows = warc.archive_pages(table("pages")).filter("last")

@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowscribe.llm.words import ALPHANUMERIC, FOLD_CASE, byte_class, hash_ranges, words_of
+from rowscribe.llm.words import ALPHANUMERIC, FOLD_CASE, byte_class, hash_ranges, pieces, words_of
 from rowscribe.session import cut
 
 #: Bound on labelled rows that are used.
@@ -138,7 +138,7 @@ def _features(batches, lexicon):
     keys, weights = lexicon
     capital, small = byte_class([(0x41, 0x5A)]), byte_class([(0x61, 0x7A)])
     marks = byte_class([(0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)])
-    for batch in batches:
+    for batch in pieces(batches):
         words = words_of(batch.column("text"), ALPHANUMERIC, hashes=False)
         hashes = _keys(words)
         n = np.maximum(np.diff(words.first), 1).astype(float)

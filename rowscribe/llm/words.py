@@ -68,6 +68,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def pieces(batches, column: str = "text", limit: int = 2 * SLICE):
+    """The batches cut to rows of about ``limit`` bytes of ``column``; a longer text is a piece of its own."""
+    for batch in batches:
+        sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float))
+        total = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and text offsets of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
