@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscribe.llm import decontamination, license_scan, substring_dedup, toxicity, vector_search, warc
+from rowscribe.llm import decontamination, license_scan, substring_dedup, surrogates, toxicity, vector_search, warc
 from rowscribe.session import configure
 
 QUERIES, SQL = {}, {}
@@ -70,6 +70,16 @@ def op6_toxicity(table) -> DataFrame:
     return toxicity.score(table("documents"), table("labels"))
 
 
+#: The secret of the registered run; a real run brings its own.
+SURROGATE_KEY = "rowscribe"
+
+
+@query
+def op7_surrogates(table) -> DataFrame:
+    docs = table("documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, key=SURROGATE_KEY, found="n_entities")
+
+
 @query
 def op8_vector_search(table) -> DataFrame:
     vectors = table("embeddings")
