@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscribe.llm import decontamination, license_scan, near_dedup, substring_dedup, surrogates, toxicity, vector_search, warc
+from rowscribe.llm import decontamination, language_id, license_scan, near_dedup, substring_dedup, surrogates, toxicity, vector_search, warc
 from rowscribe.session import configure
 
 QUERIES, SQL = {}, {}
@@ -65,6 +65,12 @@ FROM w LEFT JOIN g USING (k)
 """
 
 
+@query
+def op4_language_id(table) -> DataFrame:
+    docs = table("documents")
+    return language_id.identify(language_id.document_evidence(docs), docs).drop("text_key")
+
+
 @query
 def op5_near_dedup(table) -> DataFrame:
     return near_dedup.classes(table("documents"))
