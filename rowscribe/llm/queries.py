@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscribe.llm import decontamination, language_id, license_scan, near_dedup, substring_dedup, surrogates, toxicity, vector_search, warc
+from rowscribe.llm import decontamination, language_id, license_scan, near_dedup, pieces, substring_dedup, surrogates, toxicity, vector_search, warc
 from rowscribe.session import configure
 
 QUERIES, SQL = {}, {}
@@ -97,6 +99,19 @@ def op8_vector_search(table) -> DataFrame:
     return vector_search.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def piece_model() -> pieces.Model:
+    """The public vocabulary of the registered run; its path is a parameter of the operator."""
+    return pieces.Model(os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model"))
+
+
+@query
+def op9_pieces(table) -> DataFrame:
+    model = piece_model()
+    coded = pieces.decode(pieces.encode(table("documents"), model), model)
+    same = F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
 @query
 def op10_license_scan(table) -> DataFrame:
     return license_scan.scan(table("documents")).drop("detections")
