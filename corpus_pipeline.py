@@ -1,13 +1,83 @@
-"""Corpus pipeline: documents in, encoded documents out."""
+"""Corpus pipeline: documents are filtered, cleaned and encoded, stage by stage.
+
+Every stage takes (spark, docs, sf_dir) and gives a table that the caller writes
+and reads again for the next one. All but the last keep the columns of ``docs``.
+A stage finds its rows again by doc_id and text, so repeated doc_ids are safe.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowscribe.llm import decontamination, language_id, near_dedup, pieces, surrogates
+from rowscribe.llm.queries import SURROGATE_KEY, piece_model
+from rowscribe.session import configure, cut
+
+# Language identification, near duplicates, decontamination and encoding give no
+# rows that SQL could compute, so the run is tested against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known and probable."""
+    configure(spark)
+    found = language_id.identify(language_id.document_evidence(docs), docs)
+    rejected = found.filter(~F.col("accepted")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    return docs.join(rejected, same, "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that of the least doc_id.
+
+    Of rows that repeat doc_id and text one stays; rows without doc_id all stay.
+    """
+    configure(spark)
+    found = cut(near_dedup.classes(docs).filter("doc_id IS NOT NULL"), "classes")
+    others = found.filter("doc_id != class_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(others, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    named = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(kept.filter("doc_id IS NULL"))
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    configure(spark)
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    held = cut(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return docs.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data; n_chars follows the text."""
+    configure(spark)
+    clean = surrogates.replace_entities(docs, key=SURROGATE_KEY)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of pieces and piece ids of every document, and whether they decode to its text."""
+    configure(spark)
+    model = piece_model()
+    coded = pieces.decode(pieces.encode(docs, model), model)
+    same = F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", languages),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmarks),
+    ("surrogates", personal_data),
+    ("pieces", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
