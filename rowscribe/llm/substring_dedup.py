@@ -219,7 +219,7 @@ def _told(kind: int, hashes, blocks, ref_blocks, ref_places) -> pa.Table:
     order = np.argsort(blocks, kind="stable")
     hashes, blocks, ref_blocks, ref_places = hashes[order], blocks[order], ref_blocks[order], ref_places[order]
     to, begun = np.unique(blocks, return_index=True)
-    parts = [slice(a, b) for a, b in zip(begun, [*begun[1:], len(blocks)], strict=True)]
+    parts = [slice(a, b) for a, b in zip(begun, np.append(begun, len(blocks))[1:], strict=True)]
     some = kind == PHRASE
     return pa.table(
         {
