@@ -7,7 +7,8 @@ alike. Nodes with an equal sketch, or two equal neighbouring sketches, form a
 bucket; every node of a bucket is paired with the bucket's least and (for the
 narrower buckets) greatest node, so pairs grow with the nodes and never with the
 square of a bucket. Pairs of fitting lengths are verified by a banded alignment
-of their words; classes are the connected components of verified pairs.
+of their words, the likeliest pair of each node first and then the pairs between
+what are still two classes; classes are the connected components of verified pairs.
 
 Buckets are summed before they are shuffled, and hot ones are split by the joins.
 Word hashes of a text are moved only if it is in a pair.
@@ -42,8 +43,15 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(texts.mapInArrow(_sketches, "doc_id long, node long, n int, sketches array<long>"), "sketches")
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketches").alias("sketches")), "nodes")
-    links = _verified(texts, nodes, _pairs(nodes))
-    found = components(links)
+    pairs = _pairs(nodes)
+    # Each node is first aligned with the one it shares most buckets with; pairs that are then in one class need no look.
+    most = pairs.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
+    links = _verified(texts, nodes, _ordered(most))
+    roots = components(links)
+    apart = _ordered(pairs).join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
+    apart = apart.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    rest = cut(apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "pairs")
+    found = components(links.unionByName(_verified(texts, nodes, rest)))
     members = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = members.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = members.select("node", "root").join(least, "root").select("node", "class_id")
@@ -107,7 +115,7 @@ def _least(values: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 
 def _pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that share a bucket with its least or greatest node."""
+    """node, other (the least or greatest node of a bucket of both) and how many such buckets they share."""
     wide = F.transform("sketches", lambda s, i: F.xxhash64(i, s))
     narrow = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 2)), lambda i: F.xxhash64(F.lit("two"), i, F.element_at("sketches", i + 1), F.element_at("sketches", i + 2)))
     keys = nodes.select("node", "n", F.posexplode(F.concat(wide, narrow)).alias("pos", "bucket"))
@@ -119,7 +127,12 @@ def _pairs(nodes: DataFrame) -> DataFrame:
     to_greatest = joined.filter(f"pos >= {SKETCHES} AND node != greatest.node").select("node", "n", F.col("greatest.node").alias("other"), F.col("greatest.n").alias("m"))
     fits = F.least("n", "m") >= ALIKE * F.greatest("n", "m")
     both = to_least.unionByName(to_greatest).filter(fits)
-    return cut(both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    return cut(both.groupBy("node", "other").agg(F.count("*").alias("shared")), "pairs")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b)."""
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
