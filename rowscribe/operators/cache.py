@@ -22,8 +22,6 @@ SEMANTIC_KEYS = [
     "expected_template_hash",
     "output_schema_hash",
 ]
-# Candidate vectors are compared from memory up to this many; more are joined.
-IN_MEMORY_VECTORS = 5_000
 # Requests compared at a time when candidates are joined.
 BLOCK_ROWS = 10_000
 
@@ -95,24 +93,6 @@ def _scored(requests: DataFrame) -> T.StructType:
     return T.StructType([*requests.schema.fields, *added])
 
 
-def _in_memory(requests: DataFrame, candidates: list, keys: list[str]) -> DataFrame:
-    groups: dict[tuple, list] = {}
-    for row in sorted(candidates, key=lambda r: r["_rank"]):
-        groups.setdefault(tuple(row[k] for k in keys), []).append((row["semantic_key"], row["embedding"]))
-
-    def score(batches):
-        for pdf in batches:
-            names = pd.Series(np.full(len(pdf), None, dtype=object), index=pdf.index)
-            scores = pd.Series(np.nan, index=pdf.index)
-            for key, part in pdf.groupby(keys, dropna=False, sort=False):
-                near = groups.get(key if isinstance(key, tuple) else (key,))
-                if near:
-                    names[part.index], scores[part.index] = _best_matches(part["embedding"], near)
-            yield pdf.assign(semantic_key=names, score=scores)
-
-    return requests.mapInPandas(score, _scored(requests))
-
-
 def _by_join(requests: DataFrame, candidates: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     """Requests of a key in blocks of about ``block_rows``, each with its candidates.
 
@@ -152,23 +132,19 @@ def semantic_lookup(
     keys: list[str] | None = None,
     limit: int = K.SEMANTIC_CANDIDATES,
     threshold: float = K.SEMANTIC_THRESHOLD,
-    in_memory: int = IN_MEMORY_VECTORS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Most similar of the newest candidates per key, if similar enough.
 
-    ``requests`` needs the key columns and ``embedding``. The candidates are
-    counted: few enough are sent to all tasks, more are joined by key, block by
-    block. Either way they are compared as matrices. Adds ``semantic_key`` and
-    ``similarity`` (four decimals), null where nothing is close enough.
+    ``requests`` needs the key columns and ``embedding``. Candidates are joined
+    by key, block by block of requests, and compared as matrices. Only the
+    ``limit`` newest entries of a key are candidates; pass a larger limit to look
+    further back. Adds ``semantic_key`` and ``similarity`` (four decimals), null
+    where nothing is close enough.
     """
     keys = keys or SEMANTIC_KEYS
     candidates = newest_candidates(cache, keys, limit).select(*keys, "_rank", "semantic_key", "embedding")
-    sample = candidates.limit(in_memory + 1).collect()
-    if len(sample) <= in_memory:
-        scored = _in_memory(requests, sample, keys)
-    else:
-        scored = _by_join(requests, candidates, keys, block_rows)
+    scored = _by_join(requests, candidates, keys, block_rows)
     close = (F.col("score") >= threshold) & (F.col("score") > 0) & ~F.isnan("score")
     return scored.withColumn("semantic_key", F.when(close, F.col("semantic_key"))).withColumn(
         "similarity", F.when(close, F.bround("score", 4))

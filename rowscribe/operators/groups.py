@@ -53,17 +53,20 @@ def assemble(
     rows: DataFrame,
     keys: list[str],
     group_by: str,
-    max_rows: int = K.GROUP_MAX_ROWS,
+    max_rows: int | None = None,
     stats: DataFrame | None = None,
 ) -> DataFrame:
     """One input row per group: texts joined in row order and the packed payload.
 
-    Groups above ``max_rows`` are taken out before anything is collected, so no
-    task ever holds more than ``max_rows`` rows of one key.
+    A group is one prompt and therefore one value. A caller who limits groups to
+    ``max_rows`` gets the larger ones from :func:`mark_oversize` as error rows;
+    they are taken out here before anything is collected. Without a limit every
+    group is assembled.
     """
-    stats = group_stats(rows, keys) if stats is None else stats
-    big = stats.filter(F.col("key_rows") > max_rows)
-    small = skew.drop_keys(rows, big, keys, "key_rows")
+    small = rows
+    if max_rows is not None:
+        stats = group_stats(rows, keys) if stats is None else stats
+        small = skew.drop_keys(rows, stats.filter(F.col("key_rows") > max_rows), keys, "key_rows")
     text = F.coalesce("review_text", F.lit(""))
     item = F.struct("row_number", text.alias("review_text"), "input_json")
     packed = small.groupBy(*keys).agg(

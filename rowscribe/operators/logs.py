@@ -27,6 +27,14 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+def concat_logs(sources: list[DataFrame]) -> DataFrame:
+    """The lines of several log sources one after another; a column that one of them lacks is null there."""
+    out = sources[0]
+    for source in sources[1:]:
+        out = out.unionByName(source, allowMissingColumns=True)
+    return out
+
+
 def filter_records(records: DataFrame, level: str | None = None, query: str | None = None, line: str = "line") -> DataFrame:
     """Level (only for records that have one) and text, both ignoring case."""
     found = records

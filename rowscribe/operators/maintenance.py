@@ -11,15 +11,15 @@ from rowscribe.operators.cache import delete_keys, upsert
 from rowscribe.operators.reports import unreferenced_uploads
 
 TOKENS = ["prompt_tokens", "completion_tokens", "total_tokens"]
-# Warnings that the intake of a sheet writes; a retry keeps them.
-INTAKE_WARNINGS = ["empty_cell", "group_key_missing"]
 
 
-def insert_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def insert_missing(existing: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
     """The new rows whose key is not stored yet; repeats of a key come once."""
     others = [c for c in new.columns if c not in keys]
     once = new.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")).select(*keys, "_row.*")
-    return once.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
+    if existing is not None:
+        once = once.join(existing.select(*keys), keys, "left_anti")
+    return once.select(*new.columns)
 
 
 def needs_retry() -> Column:
@@ -29,14 +29,14 @@ def needs_retry() -> Column:
     )
 
 
-def reset_failed_rows(rows: DataFrame) -> DataFrame:
+def reset_failed_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Failed rows and rows of skipped groups become pending again.
 
-    Answer, error and tokens are cleared; of the warnings only those of the
-    intake stay. ``was_reset`` marks the changed rows.
+    Answer, error, tokens and warnings are cleared; a caller may ``keep`` some
+    warnings. ``was_reset`` marks the changed rows.
     """
     reset = needs_retry()
-    kept = F.filter("warnings", lambda w: w.isin(INTAKE_WARNINGS))
+    kept = F.filter("warnings", lambda w: w.isin(keep)) if keep else F.lit(None)
     cleared = {
         "status": F.lit("pending"),
         "custom_json": F.lit(None).cast("string"),

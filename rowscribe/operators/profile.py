@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowscribe import constants as K
 from rowscribe.functions.text import strip
 
 
-def column_profile(sheet: DataFrame, columns: list[str], cap: int = K.DISTINCT_CAP) -> DataFrame:
+def column_profile(sheet: DataFrame, columns: list[str], cap: int | None = None) -> DataFrame:
     """Row count and exact distinct count per column; blanks are no value.
 
-    A count above ``cap`` is reported as null. Cells are reduced to distinct
+    A count above ``cap`` (none by default) is reported as null. Cells are reduced to distinct
     (column, value) pairs inside each task before they are shuffled, and the
     count itself runs over those pairs, so a value that fills a third of a
     column costs one pair per task.
@@ -36,5 +35,7 @@ def column_profile(sheet: DataFrame, columns: list[str], cap: int = K.DISTINCT_C
     per_column = counted.groupBy("position", "column_name").agg(
         F.sum("n").alias("total_rows"), F.sum(filled).alias("distinct_values")
     )
+    if cap is None:
+        return per_column
     capped = F.when(F.col("distinct_values") <= cap, F.col("distinct_values"))
     return per_column.withColumn("distinct_values", capped)

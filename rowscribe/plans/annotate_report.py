@@ -43,7 +43,7 @@ class Job:
     model: str = "rules-1"
     mode: str = "custom"
     group_by: str | None = None
-    group_max_rows: int = K.GROUP_MAX_ROWS
+    group_max_rows: int | None = None
     retries: int = K.RETRIES
     parallelism: int = K.PARALLEL_CALLS
     use_cache: bool = True
@@ -206,7 +206,9 @@ def annotate_report(
     stats = None
     if job.group_by:
         stats = cut(groups.group_stats(pending, ["group_key"]))
-        flow = groups.mark_oversize(pending, ["group_key"], job.group_max_rows, stats)
+        flow = pending
+        if job.group_max_rows is not None:
+            flow = groups.mark_oversize(pending, ["group_key"], job.group_max_rows, stats)
         flow = flow.withColumn("_aside", F.col("status") == "error")
         units = groups.assemble(pending, ["group_key"], job.group_by, job.group_max_rows, stats)
         units = with_keys(units.withColumnRenamed("warnings", "unit_warnings"), job)

@@ -442,7 +442,7 @@ RETRY = "status = 'error' OR (status = 'done' AND len(warnings) = 2 AND warnings
         f"r AS (SELECT *, {RETRY} AS was_reset FROM report_rows)",
         body="""SELECT report_id, row_number, was_reset, CASE WHEN was_reset THEN 'pending' ELSE status END AS status,
           CASE WHEN NOT was_reset THEN custom_json END AS custom_json, CASE WHEN NOT was_reset THEN error_text END AS error_text,
-          array_to_string(CASE WHEN was_reset THEN list_filter(warnings, lambda w: w = 'empty_cell') ELSE warnings END, ',') AS warnings,
+          CASE WHEN NOT was_reset THEN array_to_string(warnings, ',') END AS warnings,
           CASE WHEN was_reset THEN 0 ELSE total_tokens END AS total_tokens FROM r""",
     ),
 )

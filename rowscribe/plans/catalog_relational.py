@@ -138,9 +138,9 @@ def exact_lookup(t: Tables) -> DataFrame:
 VECTORS = """entries AS (
   SELECT label, vec_id AS entry, CAST(embedding AS DOUBLE[]) AS vector,
          row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rank FROM embeddings),
-requests AS (SELECT vec_id, (label + 1) % 10 AS label, CAST(embedding[1:48] AS DOUBLE[]) AS vector FROM embeddings),
+requests AS (SELECT vec_id, (label + 1) % 10 AS label, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
 pairs AS (
-  SELECT r.vec_id, e.entry, e.rank, list_cosine_similarity(r.vector, e.vector[1:48]) AS score
+  SELECT r.vec_id, e.entry, e.rank, list_cosine_similarity(r.vector, e.vector) AS score
   FROM requests r JOIN entries e ON e.label = r.label AND e.rank <= 200),
 best AS (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 12) DESC, rank) AS rn FROM pairs)"""
@@ -153,40 +153,40 @@ SEMANTIC_SQL = with_sql(
 )
 
 
-def _semantic(t: Tables, in_memory: int) -> DataFrame:
+def _semantic(t: Tables, block_rows: int) -> DataFrame:
     entries = t.embeddings.select(
         "label", F.col("vec_id").cast("string").alias("semantic_key"), "embedding", F.col("vec_id").alias("updated_at")
     )
     requests = t.embeddings.select(
         "vec_id",
         ((F.col("label") + 1) % 10).alias("label"),
-        F.slice("embedding", 1, 48).cast("array<double>").alias("embedding"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    found = cache.semantic_lookup(requests, entries, ["label"], threshold=0.3, in_memory=in_memory)
+    found = cache.semantic_lookup(requests, entries, ["label"], threshold=0.3, block_rows=block_rows)
     return found.select("vec_id", "semantic_key", "similarity")
 
 
 @query("joi08_semantic_lookup", SEMANTIC_SQL)
 def semantic_lookup(t: Tables) -> DataFrame:
-    return _semantic(t, cache.IN_MEMORY_VECTORS)
+    return _semantic(t, cache.BLOCK_ROWS)
 
 
 @query("joi08_semantic_lookup_joined", SEMANTIC_SQL)
 def semantic_lookup_joined(t: Tables) -> DataFrame:
-    """The way for more candidates than fit in memory."""
-    return _semantic(t, 0)
+    """Many small blocks of requests for each key."""
+    return _semantic(t, 16)
 
 
 @query(
     "joi09_cosine",
-    """SELECT vec_id, round(list_cosine_similarity(CAST(embedding[1:40] AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))[1:40]), 8) AS similarity,
+    """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), 8) AS similarity,
       0.0::DOUBLE AS empty FROM embeddings""",
 )
 def cosine(t: Tables) -> DataFrame:
     nothing = F.array().cast("array<double>")
     return t.embeddings.select(
         "vec_id",
-        F.round(vectors.cosine(F.slice("embedding", 1, 40), F.reverse("embedding")), 8).alias("similarity"),
+        F.round(vectors.cosine(F.col("embedding"), F.reverse("embedding")), 8).alias("similarity"),
         vectors.cosine(F.col("embedding"), nothing).alias("empty"),
     )
 
@@ -326,11 +326,11 @@ def pending_groups(t: Tables) -> DataFrame:
             || string_agg('{"row_number":' || row_number || ',"review_text":' || CAST(to_json(text) AS VARCHAR)
                           || ',"row_json":' || input_json || '}', ',' ORDER BY row_number) || ']}' AS input_json,
           'grouped_by:conv,group_size:' || count(*) AS warnings
-        FROM grouped GROUP BY group_key HAVING count(*) <= 7""",
+        FROM grouped GROUP BY group_key""",
     ),
 )
 def group_assembly(t: Tables) -> DataFrame:
-    found = groups.assemble(S.grouped_rows(t), ["group_key"], "conv", max_rows=7)
+    found = groups.assemble(S.grouped_rows(t), ["group_key"], "conv")
     return found.withColumn("warnings", F.array_join("warnings", ","))
 
 
@@ -669,11 +669,11 @@ def union_by_id(t: Tables) -> DataFrame:
 
 @query(
     "set03_concat_logs",
-    with_sql(LOG_LINES, body="SELECT file, idx, line FROM log_lines WHERE file = 'f0' UNION ALL SELECT file, idx, line FROM log_lines WHERE file = 'f1'"),
+    with_sql(LOG_LINES, body="SELECT file, idx, line FROM log_lines"),
 )
 def concat_logs(t: Tables) -> DataFrame:
     lines = log_lines(t)
-    return lines.filter("file = 'f0'").unionByName(lines.filter("file = 'f1'")).select("file", "idx", "line")
+    return logs.concat_logs([lines.filter(F.col("file") == name) for name in ("f0", "f1", "f2")]).select("file", "idx", "line")
 
 
 @query(

@@ -1,6 +1,6 @@
 """A deterministic annotator and embedder, in place of a paid model.
 
-They react to the length of the input, so that every way a call can end
+They react to the remainders of the input's length, so that every way a call can end
 (answer, repaired answer, broken answer, failure, prompt too long) occurs.
 """
 
@@ -16,7 +16,6 @@ TEMPLATE = {
     "score": {"type": "number", "min": 0, "max": 1},
     "chars": {"type": "integer", "min": 0},
 }
-TOO_LONG = 6000
 
 
 def annotator(prompt: str) -> tuple[str, str | None]:
@@ -24,7 +23,7 @@ def annotator(prompt: str) -> tuple[str, str | None]:
     row = json.loads(next(line[4:] for line in lines if line.startswith("ROW=")))
     size = row["group_size"] if "group_size" in row else len(row.get("review") or "")
     repaired = len(lines) > 3 and any("0.7e1" in line for line in lines[3:])
-    if size > TOO_LONG:
+    if size % 101 == 50:
         raise PromptTooLong("rules-1", "maximum context length")
     if size % 97 == 13:
         raise RuntimeError("busy")
@@ -39,7 +38,7 @@ def annotator(prompt: str) -> tuple[str, str | None]:
 
 # The same rules in SQL; ``n`` is the size, ``lang`` and ``review_text`` come with the row.
 SQL = """ruled AS (
-  SELECT *, CASE WHEN n > 6000 THEN 'long' WHEN n % 97 = 13 THEN 'busy' WHEN n % 53 = 7 THEN 'list'
+  SELECT *, CASE WHEN n % 101 = 50 THEN 'long' WHEN n % 97 = 13 THEN 'busy' WHEN n % 53 = 7 THEN 'list'
                  WHEN n % 5 = 0 THEN 'repaired' ELSE 'ok' END AS course FROM sized),
 annotated AS (
   SELECT *, CASE WHEN course IN ('ok','repaired') THEN '{"category":"' || coalesce(lang, 'none') || '","score":0.' || (n % 10)

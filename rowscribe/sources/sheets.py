@@ -54,10 +54,22 @@ def sheet_from(df: DataFrame, order: str | None = None, max_rows: int | None = N
     return out if max_rows is None else out.filter(F.col("row_number") < K.FIRST_DATA_ROW + max_rows)
 
 
-def admitted_files(spark: SparkSession, folder: str, max_bytes: int = K.MAX_UPLOAD_BYTES) -> DataFrame:
-    """Workbooks of a folder that are not too large; the size test needs no read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder)
-    return files.filter(F.col("length") <= max_bytes)
+WORKBOOK_GLOB = "*.[xX][lL][sS][xX]"
+
+
+def admitted_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
+    """Workbooks of a folder, by default of any size; a size test needs no read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", WORKBOOK_GLOB).load(folder)
+    return files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+
+
+def rejected_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
+    """path, length and reason of the files that :func:`admitted_files` leaves out."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")
+    reason = F.when(~F.lower("path").endswith(".xlsx"), "not a workbook")
+    if max_bytes is not None:
+        reason = reason.when(F.col("length") > max_bytes, "too large")
+    return files.withColumn("reason", reason).filter("reason IS NOT NULL")
 
 
 def is_admissible(name, length, max_bytes: int = K.MAX_UPLOAD_BYTES):
@@ -183,7 +195,7 @@ def workbook_sheet(cells: DataFrame, path: str, sheet: str, max_rows: int | None
     )
 
 
-def profile_workbooks(cells: DataFrame, cap: int = K.DISTINCT_CAP) -> DataFrame:
+def profile_workbooks(cells: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows and distinct values per column of every sheet.
 
     Cells are distinct by kind and text, so the text ``1`` and the number 1 are

@@ -17,7 +17,7 @@ def with_bucket(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def ingest_rows(spark: SparkSession, rows: DataFrame, path: str, existing: DataFrame | None) -> int:
     """Append rows that are not stored yet and say how many there were."""
-    new = rows if existing is None else insert_missing(existing, rows, ["report_id", "row_number"])
+    new = insert_missing(existing, rows, ["report_id", "row_number"])
     counted = Observation()
     bucketed = with_bucket(new).observe(counted, F.count(F.lit(1)).alias("inserted"))
     bucketed.write.partitionBy("report_bucket").mode("append").parquet(path)

@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from rowscribe import constants as K
 from rowscribe.operators.annotate import Annotator
 from rowscribe.operators.profile import column_profile
 from rowscribe.operators.reports import report_summary
 from rowscribe.plans.annotate_report import Job, annotate_report
-from rowscribe.sources.sheets import decode_workbooks, profile_workbooks
+from rowscribe.sources.sheets import WORKBOOK_GLOB, decode_workbooks, profile_workbooks
 
 
 def _per_batch(stream: DataFrame, folder: str, checkpoint: str, work) -> DataStreamWriter:
@@ -33,16 +32,16 @@ def profile_sheets(stream: DataFrame, columns: list[str], folder: str, checkpoin
 _FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def workbook_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    """Admissible workbooks as they arrive in a folder."""
+def workbook_stream(spark: SparkSession, folder: str, max_files: int = 100, max_bytes: int | None = None) -> DataFrame:
+    """Workbooks as they arrive in a folder, by default of any size."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(_FILE)
-        .option("pathGlobFilter", "*.xlsx")
+        .option("pathGlobFilter", WORKBOOK_GLOB)
         .option("maxFilesPerTrigger", max_files)
         .load(folder)
     )
-    return files.filter(F.col("length") <= K.MAX_UPLOAD_BYTES)
+    return files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
 
 
 def profile_workbook_stream(stream: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:

@@ -111,8 +111,8 @@ def test_semantic_lookup_both_ways(spark):
     requests = [("m", 1, [1.0, 0.3]), ("m", 2, [2.0, 1.4, 9.0]), ("n", 3, [1.0, 1.0]), ("o", 4, [1.0]), ("m", 5, None), ("m", 6, [-1.0, 0.0])]
     stored = spark.createDataFrame(entries, "model string, semantic_key string, embedding array<double>, updated_at int")
     asked = spark.createDataFrame(requests, "model string, id int, embedding array<double>")
-    for in_memory in (100, 0):
-        found = cache.semantic_lookup(asked, stored, ["model"], limit=4, in_memory=in_memory, block_rows=2)
+    for block_rows in (100, 2):
+        found = cache.semantic_lookup(asked, stored, ["model"], limit=4, block_rows=block_rows)
         got = {r.id: (r.semantic_key, r.similarity) for r in found.collect()}
         # Only the four newest entries are looked at; the newer twin wins the tie.
         assert got == {1: ("twin", 1.0), 2: ("e7", 1.0), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None)}

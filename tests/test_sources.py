@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowscribe.operators import events as batch_events
+from rowscribe.functions import jsonx
 from rowscribe.operators import logs
 from rowscribe.sources import export, sheets, tables
 from rowscribe.sources.logs import read_lines
@@ -83,12 +84,12 @@ def test_log_tail_of_files(spark, tmp_path):
 def test_ingest_and_scan(spark, tmp_path):
     path = str(tmp_path / "rows")
     first = spark.createDataFrame([("r1", 2, "a"), ("r1", 3, "b"), ("r1", 3, "b")], "report_id string, row_number int, t string")
-    assert tables.ingest_rows(spark, first, path, None) == 3
+    assert tables.ingest_rows(spark, first, path, None) == 2
     again = spark.createDataFrame([("r1", 3, "x"), ("r1", 4, "c"), ("r2", 2, "d"), ("r2", 2, "d")], "report_id string, row_number int, t string")
     stored = spark.read.parquet(path)
     assert tables.ingest_rows(spark, again, path, stored) == 2
     scan = tables.report_scan(spark.read.parquet(path), "r1")
-    assert [r.row_number for r in scan.collect()] == [2, 3, 3, 4]
+    assert [r.row_number for r in scan.collect()] == [2, 3, 4]
     assert "PartitionFilters: [isnotnull(report_bucket" in scan._jdf.queryExecution().toString()
 
 
@@ -175,3 +176,20 @@ def test_scratch_is_named_and_cleared(spark):
     kept = cut(spark.range(3))
     assert kept.count() == 3
     assert clear_scratch(spark) and not clear_scratch(spark)
+
+
+def test_rejected_files_and_letter_case(spark, tmp_path):
+    for name, size in (("a.XLSX", 10), ("b.xlsx", 2000), ("c.txt", 5)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    folder = str(tmp_path)
+    assert sheets.admitted_files(spark, folder).count() == 2
+    assert [r.path[-6:] for r in sheets.admitted_files(spark, folder, 100).select("path").collect()] == ["a.XLSX"]
+    found = {r.path[-5:]: r.reason for r in sheets.rejected_files(spark, folder, 100).collect()}
+    assert found == {".xlsx"[-5:]: "too large", "c.txt": "not a workbook"}
+
+
+def test_deeply_nested_answer(spark):
+    deep = '{"a":' * 10_000 + "1" + "}" * 10_000
+    rows = spark.createDataFrame([(deep,), ('{"a":{"b":{"c":[1,null,"z"]}},"d":true}',)], "t string")
+    found = [r[0] for r in rows.select(jsonx.flatten_object("t")).collect()]
+    assert found[1] == {"a.b.c": "1, z", "d": "true"} and isinstance(found[0], dict)
