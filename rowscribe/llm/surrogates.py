@@ -41,6 +41,8 @@ KINDS = {
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Every entity holds one of these; texts without any are not searched further.
+HINT = rf"[0-9@]|sk-|ghp_|AKIA|[a-f]{{32}}|[A-F]{{32}}|(?:{_TITLE})\.? "
 ROUNDS = 20
 
 
@@ -53,7 +55,8 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", found: str |
     """
     value = F.col(text).cast("string")
     entity = F.lit(ENTITY)
-    texts = docs.select(value.alias("text")).filter(F.col("text").rlike(ENTITY))
+    has_entity = F.when(F.col("text").rlike(HINT), F.col("text").rlike(ENTITY)).otherwise(False)
+    texts = docs.select(value.alias("text")).filter(has_entity)
     # Copies of a text are one row from here on; what is written is no text, only its entities.
     places = texts.select(F.sha2("text", 256).alias("key"), F.regexp_extract_all("text", entity, F.lit(0)).alias("found"))
     places = cut(places.groupBy("key").agg(F.first("found").alias("found")), "entities")
@@ -66,7 +69,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", found: str |
     spelled = spelled.select(F.col("key").alias("_key"), F.transform("list", lambda s: s.surrogate).alias("_surrogates"))
     # Texts without entities and nulls are dealt by a key of their own, not to one task.
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), value.alias("text"))
-    packed = packed.withColumn("key", F.when(F.col("text").rlike(ENTITY), F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("row"))))
+    packed = packed.withColumn("key", F.when(has_entity, F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("row"))))
     joined = packed.join(spelled, F.col("key") == F.col("_key"), "left")
     gaps = F.split("text", ENTITY, -1)
     parts = F.zip_with(gaps, F.concat("_surrogates", F.array(F.lit(""))), lambda gap, s: F.concat(gap, s))
