@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowscribe import constants as K
-from rowscribe.operators import skew
 
 
 def is_active(status: Column) -> Column:
@@ -43,12 +42,22 @@ def with_source_name(reports: DataFrame, uploads: DataFrame) -> DataFrame:
     names = uploads.select(
         F.col("id").alias("uploaded_file_id"), F.col("original_name").alias("source_original_name")
     )
-    # Many reports may share an upload or have none.
-    return skew.lookup(reports, names, ["uploaded_file_id"], spread=["id"])
+    # Many reports may share an upload or have none; the adaptive join splits such keys.
+    return reports.join(names, "uploaded_file_id", "left")
 
 
-def report_list(reports: DataFrame, uploads: DataFrame, rows: DataFrame) -> DataFrame:
-    """Reports with their source name and group progress (0 without groups)."""
+def report_list(
+    reports: DataFrame, uploads: DataFrame, rows: DataFrame, user_id: int | None = None, limit: int | None = None
+) -> DataFrame:
+    """Reports with their source name and group progress (0 without groups).
+
+    With ``user_id`` only that user's, with ``limit`` only the newest; both are
+    chosen before anything is joined or counted.
+    """
+    reports = owned(reports, user_id)
+    if limit is not None:
+        reports = newest(reports, limit)
+        rows = rows.join(reports.select(F.col("id").alias("report_id")), "report_id", "left_semi")
     progress = group_progress(rows).withColumnRenamed("report_id", "id")
     return (
         with_source_name(reports, uploads)
@@ -82,8 +91,7 @@ def owned(df: DataFrame, user_id: int | None = None, **keys: object) -> DataFram
 def recent_failures(reports: DataFrame, users: DataFrame, limit: int = 30) -> DataFrame:
     """Newest failed reports that say why, with the user's name."""
     failed = reports.filter((F.col("status") == "failed") & (F.coalesce("error_text", F.lit("")) != ""))
-    names = users.select(F.col("id").alias("user_id"), "username", F.lit(True).alias("_known"))
-    found = skew.lookup(failed, names, ["user_id"], spread=["id"]).filter("_known")
+    found = failed.join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
     return newest(
         found.select(
             F.col("id").alias("report_id"), "user_id", "username", "updated_at", "error_text"
@@ -94,8 +102,18 @@ def recent_failures(reports: DataFrame, users: DataFrame, limit: int = 30) -> Da
     )
 
 
-def users_overview(users: DataFrame, reports: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Reports and last login per user; both sides are aggregated before the join."""
+def users_overview(
+    users: DataFrame, reports: DataFrame, sessions: DataFrame, limit: int | None = None
+) -> DataFrame:
+    """Reports and last login per user; both sides are aggregated before the join.
+
+    With ``limit`` the newest users are taken first and only their reports and
+    sessions are counted.
+    """
+    if limit is not None:
+        users = newest(users, limit)
+        chosen = users.select(F.col("id").alias("user_id"))
+        reports, sessions = (x.join(chosen, "user_id", "left_semi") for x in (reports, sessions))
     counts = reports.groupBy("user_id").agg(F.count_distinct("id").alias("reports_count"))
     logins = sessions.groupBy("user_id").agg(F.max("created_at").alias("last_login_at"))
     return (

@@ -55,6 +55,26 @@ def report_list(t: Tables) -> DataFrame:
     return listed.select("id", "user_id", "status", "source_original_name", "group_total", "group_processed")
 
 
+@query(
+    "joi02_user_reports",
+    with_sql(
+        S.REPORTS,
+        S.UPLOADS,
+        S.REPORT_ROWS,
+        GROUP_STATS,
+        body="""SELECT r.id, r.user_id, r.status, u.original_name AS source_original_name,
+          coalesce(total_groups, 0) AS group_total, coalesce(processed_groups, 0) AS group_processed
+          FROM reports r LEFT JOIN uploads u ON u.id = r.uploaded_file_id LEFT JOIN gs ON gs.report_id = r.id
+          WHERE r.user_id = (SELECT min(user_id) FROM reports) ORDER BY r.created_at DESC, r.id DESC LIMIT 20""",
+    ),
+)
+def user_reports(t: Tables) -> DataFrame:
+    owner = S.reports(t).agg(F.min("user_id").alias("user_id"))
+    mine = S.reports(t).join(owner, "user_id", "left_semi")
+    listed = reports.report_list(mine, S.uploads(t), S.report_rows(t), limit=20)
+    return listed.select("id", "user_id", "status", "source_original_name", "group_total", "group_processed")
+
+
 @query(
     "joi03_recent_failures",
     with_sql(
@@ -386,7 +406,7 @@ def status_histogram(t: Tables) -> DataFrame:
     ),
 )
 def users_newest(t: Tables) -> DataFrame:
-    overview = reports.users_overview(S.users(t), S.reports(t), S.sessions(t))
+    overview = reports.users_overview(S.users(t), S.reports(t), S.sessions(t), limit=200)
     return reports.newest(overview, 200)
 
 

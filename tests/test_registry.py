@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from rowscribe.plans import registry
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "..", "tools"))
 from check_oracle import rows_of  # noqa: E402
@@ -27,8 +28,9 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) >= 130
+    assert set(registry.QUERIES) == set(registry.SQL)
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.SQL) <= set(entry.oracle_sql())
+    assert len(registry.QUERIES) >= 130
 
 
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n.split("_")[0] in QUICK])
@@ -42,4 +44,5 @@ def test_query_matches_sql(spark, db, name):
 
 def test_flagship(spark):
     row = entry.entry(spark).first()
-    assert row.total_rows == row.success_rows + row.failed_rows + 0 or row.total_rows > row.success_rows > 0
+    assert row.total_rows == 200 and 0 < row.success_rows <= row.total_rows
+    assert row.success_rows + row.failed_rows == row.total_rows
