@@ -380,8 +380,8 @@ def cache_upsert(t: Tables) -> DataFrame:
 
 @query(
     "upd02_semantic_upsert",
-    """WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, list_transform(embedding, lambda x: round(x::DOUBLE * 50)) AS v FROM embeddings),
-      k AS (SELECT sha256('rules' || chr(10) || label || chr(10) || '[' || array_to_string(list_transform(v[1:2], lambda x: CAST(CASE WHEN x = 0 THEN 0.0 ELSE x END AS VARCHAR)), ', ') || ']') AS semantic_key, vec_id FROM e)
+    """WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, list_transform(embedding, lambda x: round(x::DOUBLE * 2)) AS v FROM embeddings),
+      k AS (SELECT sha256('rules' || chr(10) || label || chr(10) || '[' || array_to_string(list_transform(v, lambda x: CAST(CASE WHEN x = 0 THEN 0.0 ELSE x END AS VARCHAR)), ', ') || ']') AS semantic_key, vec_id FROM e)
     SELECT semantic_key, min(vec_id) AS created_at, max(vec_id) AS updated_at, max(vec_id) AS analysis_json FROM k GROUP BY semantic_key""",
 )
 def semantic_upsert(t: Tables) -> DataFrame:
@@ -391,7 +391,7 @@ def semantic_upsert(t: Tables) -> DataFrame:
         F.col("label").cast("string").alias("model"),
         # Adding 0.0 turns a negative zero into a plain one.
         F.transform(
-            F.slice("embedding", 1, 2), lambda x: F.round(x.cast("double") * 50) + F.lit(0.0)
+            "embedding", lambda x: F.round(x.cast("double") * 2) + F.lit(0.0)
         ).alias("embedding"),
     )
     keyed = entries.select(

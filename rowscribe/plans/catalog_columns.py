@@ -180,9 +180,8 @@ def flatten(t: Tables) -> DataFrame:
     with_sql(S.ANSWERED, ANSWER_FIELDS, body='SELECT row_number, "meta.tags" AS tags FROM flat'),
 )
 def list_cell(t: Tables) -> DataFrame:
-    node = F.try_parse_json(F.col("custom_json"))
-    tags = F.try_variant_get(node, "$.meta.tags", "array<string>")
-    return S.answered_rows(t).select("row_number", F.array_join(tags, ", ").alias("tags"))
+    flat = jsonx.flatten_object(F.col("custom_json"))
+    return S.answered_rows(t).select("row_number", flat["meta.tags"].alias("tags"))
 
 
 @query(

@@ -247,10 +247,8 @@ def stale_jobs(t: Tables) -> DataFrame:
     all_reports = S.reports(t)
     leases = t.customer.select((F.col("c_custkey") * 2 + 5000000).alias("job_id"))
     markers = t.part.select((F.col("p_partkey") * 3 + 5000000).alias("job_id"))
-    now = all_reports.agg(F.max("updated_at")).first()[0]
-    found = reports.stale_jobs(
-        all_reports, leases, markers, F.lit(str(now)).cast("timestamp_ntz"), False, 31_536_000
-    )
+    now = all_reports.agg(F.max("updated_at")).scalar().cast("timestamp_ntz")
+    found = reports.stale_jobs(all_reports, leases, markers, now, False, 31_536_000)
     return found.select("id", "job_id", "status")
 
 

@@ -40,13 +40,15 @@ def _finish(writer) -> None:
     with_sql(
         """p AS (SELECT 'lang' AS column_name, count(*) AS total_rows, count(DISTINCT lang) AS distinct_values FROM documents
            UNION ALL SELECT 'source', count(*), count(DISTINCT source) FROM documents
-           UNION ALL SELECT 'n_chars', count(*), count(DISTINCT n_chars) FROM documents)""",
+           UNION ALL SELECT 'n_chars', count(*), count(DISTINCT n_chars) FROM documents
+           UNION ALL SELECT 'doc_id', count(*), count(DISTINCT doc_id) FROM documents
+           UNION ALL SELECT 'text', count(*), count(DISTINCT nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '')) FROM documents)""",
         body="SELECT * FROM p",
     ),
 )
 def profile_intake(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "profile")
-    _finish(intake.profile_sheets(_streams(t).documents, ["lang", "source", "n_chars"], f"{path}/out", f"{path}/log"))
+    _finish(intake.profile_sheets(_streams(t).documents, ["doc_id", "text", "lang", "source", "n_chars"], f"{path}/out", f"{path}/log"))
     return t.spark.read.parquet(f"{path}/out").select("column_name", "total_rows", "distinct_values")
 
 
