@@ -38,7 +38,7 @@ def _finish(writer) -> None:
 @query(
     "str01_profile_intake",
     with_sql(
-        """p AS (SELECT 'lang' AS column_name, count(*) AS total_rows, count(DISTINCT lang) AS distinct_values FROM documents
+        r"""p AS (SELECT 'lang' AS column_name, count(*) AS total_rows, count(DISTINCT lang) AS distinct_values FROM documents
            UNION ALL SELECT 'source', count(*), count(DISTINCT source) FROM documents
            UNION ALL SELECT 'n_chars', count(*), count(DISTINCT n_chars) FROM documents
            UNION ALL SELECT 'doc_id', count(*), count(DISTINCT doc_id) FROM documents
