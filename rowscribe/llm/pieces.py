@@ -2,19 +2,21 @@
 
 A text is cut into units (spaces and the word after them) that no piece crosses.
 The distinct units of the corpus are exploded into substrings of bounded length
-and equi-joined with the piece table; the edges are grouped by unit, and a fold
-with Spark's ``aggregate`` picks the path: by Viterbi for a unigram model, by
-merges in order of score for a BPE model, which is what that kind of model means
-(its scores are ranks, so the best sum is another segmentation than its own).
+and equi-joined with the piece table, and the edges are grouped by unit. A unigram
+model's path is picked by Viterbi, a fold with Spark's ``aggregate``. A BPE model's
+scores are ranks, so the best sum is another segmentation than its own: its
+lattice is reduced by merges in order of score, in Python on Arrow batches, because
+the same merges as a fold took milliseconds for each unit.
 
 Texts are dealt to blocks, compressed, once. A block asks for its distinct units
 and gets their ids back, so a unit that every text holds is asked for once per
-block. One text, and one unit, must fit into a task; a BPE fold takes time with
-the square of a unit's length.
+block. One text, and one unit, must fit into a task.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from rowscribe.llm import blocks as B
 from rowscribe.llm.words import bytes_of, hash_ranges
+from rowscribe.session import cut
 
 SPACE = "▁"
 #: A piece table of more rows is joined without a broadcast hint.
@@ -66,7 +69,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     count = max(1, -(-size // BLOCK_BYTES))
     placed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block"), "doc_id", "text")
     packed = placed.mapInArrow(_pack, "block int, doc_id long, text binary")
-    asked = packed.groupBy("block").applyInArrow(lambda t: _ask(t, count), "bucket int, block int, sizes binary, units binary")
+    asked = cut(packed.groupBy("block").applyInArrow(lambda t: _ask(t, count), "bucket int, block int, sizes binary, units binary"), "units")
     units = asked.mapInArrow(_spell, "bucket int, unit string").groupBy("bucket", "unit").count().select("bucket", "unit")
     known = segment(units, model)
     told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, k: _tell(a, k), "block int, bucket int, sizes binary, ids binary")
@@ -83,8 +86,11 @@ def segment(units: DataFrame, model: Model) -> DataFrame:
     edges = rows.select("bucket", "unit", F.inline(spans)).join(model.table(units.sparkSession), "piece").select("bucket", "unit", F.struct("span", "score", "id").alias("edge"))
     lattice = edges.groupBy("bucket", "unit").agg(F.collect_list("edge").alias("edges"))
     whole = rows.join(lattice, ["bucket", "unit"], "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<span:int,score:double,id:int>>")))
-    table, ends = _viterbi() if model.kind == "unigram" else _merges()
-    cut = whole.withColumn("table", table).select("bucket", "unit", "word", F.map_from_entries(F.transform("edges", lambda e: F.struct(e.span, e.id))).alias("by_span"), ends.alias("ends"))
+    if model.kind != "unigram":
+        by_byte, unknown = model.bytes, model.unknown
+        return whole.select("bucket", "unit", "word", "edges").mapInArrow(lambda b: _merged(b, by_byte, unknown), "bucket int, unit string, ids array<int>")
+    table, ends = _viterbi()
+    chosen = whole.withColumn("table", table).select("bucket", "unit", "word", F.map_from_entries(F.transform("edges", lambda e: F.struct(e.span, e.id))).alias("by_span"), ends.alias("ends"))
     by_byte = F.array(*[F.lit(model.bytes.get(i, model.unknown)) for i in range(256)])
 
     def ids(j):
@@ -95,26 +101,62 @@ def segment(units: DataFrame, model: Model) -> DataFrame:
         return F.when(piece.isNotNull(), F.array(piece)).otherwise(single if model.bytes else F.array(F.lit(model.unknown)))
 
     found = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ends") - 2), ids))
-    return cut.select("bucket", "unit", found.alias("ids"))
+    return chosen.select("bucket", "unit", found.alias("ids"))
+
 
+def _merged(batches, by_byte: dict[int, int], unknown: int):
+    for batch in batches:
+        edges = batch.column("edges")
+        flat = edges.flatten()
+        spans, scores, names = (flat.field(i).to_pylist() for i in range(3))
+        counts, at, out = edges.value_lengths().to_pylist(), 0, []
+        for word, count in zip(batch.column("word").to_pylist(), counts, strict=True):
+            lattice = {spans[i]: (scores[i], names[i]) for i in range(at, at + count)}
+            out.append(merge(word, lattice, by_byte, unknown))
+            at += count
+        yield pa.record_batch([batch.column("bucket"), batch.column("unit"), pa.array(out, pa.list_(pa.int32()))], ["bucket", "unit", "ids"])
 
-def _merges():
-    """Scores by span, and ends of pieces, from 0: of all neighbours that join to a piece the one of best score (then the leftmost) is joined, again and again."""
-    scores = F.map_from_entries(F.transform("edges", lambda e: F.struct(e.span, e.score)))
 
-    def step(state, _):
-        joins = F.transform(
-            F.sequence(F.lit(1), F.size(state.ends) - 2),
-            lambda j: F.struct(F.try_element_at("table", F.get(state.ends, j - 1) * 64 + F.least(F.get(state.ends, j + 1) - F.get(state.ends, j - 1), F.lit(63))).alias("score"), (-j).alias("at")),
-        )
-        best = F.array_max(F.filter(joins, lambda x: x.score.isNotNull()))
-        more = ~state.done & (F.size(state.ends) > 2)
-        at = F.when(more, -best["at"])
-        return F.struct(F.when(at.isNull(), state.ends).otherwise(F.filter(state.ends, lambda x, i: i != at)).alias("ends"), at.isNull().alias("done"))
+def merge(word: str, lattice: dict[int, tuple[float, int]], by_byte: dict[int, int], unknown: int) -> list[int]:
+    """Ids of a word: of all neighbours that join to a piece those of best score (then the leftmost) are joined, again and again.
 
-    start = F.struct(F.sequence(F.lit(0), F.col("n")).alias("ends"), F.lit(False).alias("done"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 1)), start, step, lambda s: s.ends)
-    return scores, folded
+    ``lattice``: (score, id) by start x 64 + length.
+    """
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    waiting: list[tuple] = []
+
+    def offer(start: int) -> None:
+        middle = end[start]
+        if middle < n and end[middle] - start < 64:
+            edge = lattice.get(start * 64 + end[middle] - start)
+            if edge is not None:
+                heapq.heappush(waiting, (-edge[0], start, middle, end[middle]))
+
+    for start in range(n - 1):
+        offer(start)
+    while waiting:
+        _, start, middle, stop = heapq.heappop(waiting)
+        # One of the two may have been joined with another one meanwhile.
+        if end[start] != middle or end[middle] != stop:
+            continue
+        end[start], end[middle] = stop, -1
+        if stop < n:
+            before[stop] = start
+        offer(start)
+        if before[start] >= 0:
+            offer(before[start])
+    ids, at = [], 0
+    while at < n:
+        edge = lattice.get(at * 64 + end[at] - at)
+        if edge is not None:
+            ids.append(edge[1])
+        elif by_byte:
+            ids += [by_byte[b] for b in word[at : end[at]].encode()]
+        else:
+            ids.append(unknown)
+        at = end[at]
+    return ids
 
 
 def _viterbi():
@@ -141,7 +183,7 @@ def decode(rows: DataFrame, model: Model) -> DataFrame:
         as_hex.append(raw.hex())
     for byte, i in model.bytes.items():
         as_hex[i] = f"{byte:02x}"
-    table = F.array(*map(F.lit, as_hex))
+    table = F.split(F.lit(",".join(as_hex)), ",")  # one literal, not one for each piece
     text = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(table, i), F.lit(""))), "")), "UTF-8")
     return rows.withColumn("decoded", F.when(F.startswith(text, F.lit(" ")), F.substring(text, F.lit(2), F.length(text))).otherwise(text))
 
