@@ -32,6 +32,8 @@ SPACE = "▁"
 #: A piece table of more rows is joined without a broadcast hint.
 BROADCAST_PIECES = 1_000_000
 BLOCK_BYTES = 2 * B.BLOCK_BYTES
+#: Units of a partition whose edges are gathered by hash before Spark sorts instead.
+UNITS_IN_MEMORY = 500_000
 
 
 class Model:
@@ -83,12 +85,16 @@ def segment(units: DataFrame, model: Model) -> DataFrame:
     starts = F.sequence(F.lit(0), F.col("n") - 1)
     lengths = lambda s: F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - s))
     spans = F.flatten(F.transform(starts, lambda s: F.transform(lengths(s), lambda m: F.struct((s * 64 + m).alias("span"), F.substring(F.col("word"), s + 1, m).alias("piece")))))
-    edges = rows.select("bucket", "unit", F.inline(spans)).join(model.table(units.sparkSession), "piece").select("bucket", "unit", F.struct("span", "score", "id").alias("edge"))
-    lattice = edges.groupBy("bucket", "unit").agg(F.collect_list("edge").alias("edges"))
-    whole = rows.join(lattice, ["bucket", "unit"], "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<span:int,score:double,id:int>>")))
-    if model.kind != "unigram":
-        by_byte, unknown = model.bytes, model.unknown
-        return whole.select("bucket", "unit", "word", "edges").mapInArrow(lambda b: _merged(b, by_byte, unknown), "bucket int, unit string, ids array<int>")
+    # Edges of a unit are gathered where its substrings were made: no shuffle, and no sort of all edges.
+    spark = units.sparkSession
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", UNITS_IN_MEMORY)
+    merging = model.kind != "unigram"
+    edge = (F.col("span").cast("long") * F.lit(1 << 32) + F.col("id")) if merging else F.struct("span", "score", "id")
+    spelled = rows.select("bucket", "unit", "word", "n", F.inline(spans)).join(model.table(spark), "piece", "left")
+    whole = spelled.groupBy("bucket", "unit", "word", "n").agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
+    if merging:
+        by_byte, unknown, scores = model.bytes, model.unknown, {i: score for _, i, score in model.rows}
+        return whole.select("bucket", "unit", "word", "edges").mapInArrow(lambda b: _merged(b, scores, by_byte, unknown), "bucket int, unit string, ids array<int>")
     table, ends = _viterbi()
     chosen = whole.withColumn("table", table).select("bucket", "unit", "word", F.map_from_entries(F.transform("edges", lambda e: F.struct(e.span, e.id))).alias("by_span"), ends.alias("ends"))
     by_byte = F.array(*[F.lit(model.bytes.get(i, model.unknown)) for i in range(256)])
@@ -104,14 +110,14 @@ def segment(units: DataFrame, model: Model) -> DataFrame:
     return chosen.select("bucket", "unit", found.alias("ids"))
 
 
-def _merged(batches, by_byte: dict[int, int], unknown: int):
+def _merged(batches, scores: dict[int, float], by_byte: dict[int, int], unknown: int):
     for batch in batches:
         edges = batch.column("edges")
-        flat = edges.flatten()
-        spans, scores, names = (flat.field(i).to_pylist() for i in range(3))
+        flat = edges.flatten().to_numpy()
+        spans, names = (flat >> 32).tolist(), (flat & 0xFFFFFFFF).tolist()
         counts, at, out = edges.value_lengths().to_pylist(), 0, []
         for word, count in zip(batch.column("word").to_pylist(), counts, strict=True):
-            lattice = {spans[i]: (scores[i], names[i]) for i in range(at, at + count)}
+            lattice = {spans[i]: (scores[names[i]], names[i]) for i in range(at, at + count)}
             out.append(merge(word, lattice, by_byte, unknown))
             at += count
         yield pa.record_batch([batch.column("bucket"), batch.column("unit"), pa.array(out, pa.list_(pa.int32()))], ["bucket", "unit", "ids"])
