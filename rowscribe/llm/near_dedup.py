@@ -4,11 +4,12 @@ Texts of equal words are one node. A node's sketches each hold the two
 occurrence-labelled five-word shingles of least hash, in the order of the text,
 so they agree for texts that an alignment, not only a set of shingles, calls
 alike. Nodes with an equal sketch, or two equal neighbouring sketches, form a
-bucket; every node of a bucket is paired with the bucket's least and (for the
-narrower buckets) greatest node, so pairs grow with the nodes and never with the
-square of a bucket. Pairs of fitting lengths are verified by a banded alignment
-of their words, the likeliest pair of each node first and then the pairs between
-what are still two classes; classes are the connected components of verified pairs.
+bucket. Pairs of fitting lengths are verified by a banded alignment of their
+words in three rounds: the likeliest of the pairs of a node with its buckets'
+least and greatest nodes, the rest of these, and then all pairs of a bucket that
+are still in two classes and were not compared. A group of near copies is one
+class by then, so only unlike texts that share a bucket cost pairs of their own.
+Classes are the connected components of verified pairs.
 
 Buckets are summed before they are shuffled, and hot ones are split by the joins.
 Word hashes of a text are moved only if it is in a pair.
@@ -43,15 +44,21 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(texts.mapInArrow(_sketches, "doc_id long, node long, n int, sketches array<long>"), "sketches")
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketches").alias("sketches")), "nodes")
-    pairs = _pairs(nodes)
+    shared = _shared(nodes)
+    pairs = _pairs(shared)
     # Each node is first aligned with the one it shares most buckets with; pairs that are then in one class need no look.
     most = pairs.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
-    links = _verified(texts, nodes, _ordered(most))
+    first = cut(_ordered(most), "pairs")
+    links = _verified(texts, nodes, first)
     roots = components(links)
     apart = _ordered(pairs).join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
     apart = apart.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
     rest = cut(apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "pairs")
-    found = components(links.unionByName(_verified(texts, nodes, rest)))
+    links = cut(links.unionByName(_verified(texts, nodes, rest)), "links")
+    found = components(links)
+    left = cut(_left(shared, found).join(first.unionByName(rest), ["a", "b"], "left_anti"), "pairs")
+    if not left.isEmpty():
+        found = components(links.unionByName(_verified(texts, nodes, left)))
     members = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = members.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = members.select("node", "root").join(least, "root").select("node", "class_id")
@@ -114,22 +121,47 @@ def _least(values: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return at[np.searchsorted(at, heads)]
 
 
-def _pairs(nodes: DataFrame) -> DataFrame:
-    """node, other (the least or greatest node of a bucket of both) and how many such buckets they share."""
+def _shared(nodes: DataFrame) -> DataFrame:
+    """pos, node, n and the least and greatest node of every bucket of two nodes or more."""
     wide = F.transform("sketches", lambda s, i: F.xxhash64(i, s))
     narrow = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 2)), lambda i: F.xxhash64(F.lit("two"), i, F.element_at("sketches", i + 1), F.element_at("sketches", i + 2)))
     keys = nodes.select("node", "n", F.posexplode(F.concat(wide, narrow)).alias("pos", "bucket"))
     member = F.struct("node", "n")
     ends = keys.groupBy("bucket").agg(F.min(member).alias("least"), F.max(member).alias("greatest"))
-    ends = ends.filter("least.node != greatest.node")
-    joined = keys.join(ends, "bucket")
-    to_least = joined.filter("node != least.node").select("node", "n", F.col("least.node").alias("other"), F.col("least.n").alias("m"))
-    to_greatest = joined.filter(f"pos >= {SKETCHES} AND node != greatest.node").select("node", "n", F.col("greatest.node").alias("other"), F.col("greatest.n").alias("m"))
-    fits = F.least("n", "m") >= ALIKE * F.greatest("n", "m")
-    both = to_least.unionByName(to_greatest).filter(fits)
+    return cut(keys.join(ends.filter("least.node != greatest.node"), "bucket"), "shared")
+
+
+def _fits(n, m):
+    """Whether texts of so many words can be alike."""
+    return F.least(n, m) >= ALIKE * F.greatest(n, m) - 1e-9
+
+
+def _pairs(shared: DataFrame) -> DataFrame:
+    """node, other (the least or greatest node of a bucket of both) and how many such buckets they share."""
+    to_least = shared.filter("node != least.node").select("node", "n", F.col("least.node").alias("other"), F.col("least.n").alias("m"))
+    to_greatest = shared.filter(f"pos >= {SKETCHES} AND node != greatest.node").select("node", "n", F.col("greatest.node").alias("other"), F.col("greatest.n").alias("m"))
+    both = to_least.unionByName(to_greatest).filter(_fits("n", "m"))
     return cut(both.groupBy("node", "other").agg(F.count("*").alias("shared")), "pairs")
 
 
+def _left(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of fitting lengths of all buckets, without those of one class.
+
+    The members of a class in a bucket are one row until classes have met, so the
+    pairs inside a class are never formed.
+    """
+    # The narrow buckets lie within the wide ones. Lengths that fit are in one band or in neighbouring ones.
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.01 / ALIKE))).cast("int")
+    placed = shared.filter(f"pos < {SKETCHES} AND n > 0").select("bucket", "node", "n", band.alias("band")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    sides = placed.join(mixed, "bucket").groupBy("bucket", "band", "root").agg(F.collect_list(F.struct("n", "node")).alias("members"))
+    sides = cut(sides, "sides")
+    shorter = sides.select("bucket", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("root").alias("root_s"), F.col("members").alias("shorter"))
+    longer = sides.select("bucket", "band", F.col("root").alias("root_l"), F.col("members").alias("longer"))
+    met = shorter.join(longer, ["bucket", "band"]).filter("root_s != root_l").select(F.explode("shorter").alias("s"), "longer").select("s", F.explode("longer").alias("l"))
+    return _ordered(met.filter(F.col("s") < F.col("l")).filter(_fits("s.n", "l.n")).select(F.col("s.node").alias("node"), F.col("l.node").alias("other")))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Distinct pairs (a < b)."""
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -167,6 +199,10 @@ def alike(a: np.ndarray, b: np.ndarray, share: float = ALIKE) -> bool:
         return False
     if len(a) == len(b) and int((a != b).sum()) <= limit:
         return True
+    # Every edit takes one word away and brings one at most.
+    excess = np.bincount(a & np.uint32(1023), minlength=1024) - np.bincount(b & np.uint32(1023), minlength=1024)
+    if max(excess[excess > 0].sum(), -excess[excess < 0].sum()) > limit:
+        return False
     same = min(len(a), len(b))
     head = int((np.append(a[:same] != b[:same], True)).argmax())
     a, b = a[head:], b[head:]

@@ -114,6 +114,17 @@ def test_near_dedup_classes(spark, odd_rows):
     assert near_dedup.classes(table(spark, [])).count() == 0
 
 
+def test_near_dedup_below_a_shared_passage(spark):
+    r = random.Random(21)
+    passage, rows = sentence(r, 140, 3000), []
+    for i in range(40):
+        own = [f"own{r.randrange(10**12)}" for _ in range(60)]
+        copy = [f"new{r.randrange(10**12)}" if j % 2 else w for j, w in enumerate(own)]
+        rows += [(1000 + i, f"{passage} {' '.join(own)}"), (2000 + i, f"{passage} {' '.join(copy)}")]
+    of = {f.doc_id: f.class_id for f in near_dedup.classes(table(spark, rows)).collect()}
+    assert all(of[1000 + i] == of[2000 + i] == 1000 + i for i in range(40))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 7)], "a long, b long")
     assert {(r.node, r.root) for r in near_dedup.components(links).collect()} == {(i, 0) for i in [*range(41), 100]}
