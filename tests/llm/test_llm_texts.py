@@ -125,6 +125,30 @@ def test_near_dedup_below_a_shared_passage(spark):
     assert all(of[1000 + i] == of[2000 + i] == 1000 + i for i in range(40))
 
 
+def test_near_dedup_at_the_threshold(spark):
+    r = random.Random(22)
+    rows, wanted = [], []
+    for i in range(150):
+        words = sentence(r, r.randint(10, 120), 3000).split()
+        edited, limit = words[:], len(words) // 5
+        for j in range(limit):
+            # Every fifth word, so that no five-word run survives; or places at random.
+            at = 5 * j + 2 if i % 2 else r.randrange(len(edited))
+            if i % 3:
+                edited[at] = f"new{r.randrange(10**12)}"
+            elif j % 2:
+                edited.insert(at, f"new{r.randrange(10**12)}")
+            else:
+                edited.pop(at)
+        rows += [(1000 + i, " ".join(words)), (2000 + i, " ".join(edited))]
+        distance = edit_distance(words, edited)
+        if 5 * distance <= max(len(words), len(edited)):
+            wanted.append((i, 1 - distance / max(len(words), len(edited))))
+    of = {f.doc_id: f.class_id for f in near_dedup.classes(table(spark, rows)).collect()}
+    assert len(wanted) > 100 and sum(s <= 0.85 for _, s in wanted) > 100
+    assert sum(of[2000 + i] == 1000 + i for i, _ in wanted) >= 0.99 * len(wanted)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 7)], "a long, b long")
     assert {(r.node, r.root) for r in near_dedup.components(links).collect()} == {(i, 0) for i in [*range(41), 100]}
