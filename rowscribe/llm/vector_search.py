@@ -3,8 +3,12 @@
 Equal vectors are indexed once. Centroids are learned from at most ``SAMPLE``
 vectors with a penalty on crowded ones; every vector goes to the list of its
 nearest centroid and, near a boundary, to several. Centroids are searched
-through a neighbour graph held in memory, for vectors and queries alike. A query
-reads the lists whose centroid is within ``REACH`` times its nearest one. Lists
+through a neighbour graph held in memory to place the vectors. A query is compared
+with all centroids (``MOST_LISTS`` at most) and reads every list whose centroid is
+within ``reach`` times its ``BASE``-th nearest one (the nearest may have been drawn
+by the query itself, if it was in the sample). That ratio is calibrated on the sample, whose
+neighbours are no nearer than those of all vectors, so that ``TARGET`` of them lie in
+lists that are read; no other bound is set on the lists of a query. Lists
 are split into parts of about ``PART`` vectors, so no task holds a whole crowded
 list. The inner product becomes a distance by one more component that gives all
 vectors one length.
@@ -27,8 +31,9 @@ MOST_LISTS = 4096
 PART = 2_048
 COPIES = 6
 SPREAD = 1.12
-REACH = 1.35
-BEAM = 64
+TARGET = 0.95
+TRIALS = 512
+BASE = 6
 DEGREE = 16
 
 
@@ -53,7 +58,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = cut(asking.distinct().join(kept.select("rep", "embedding"), "embedding", "left").select("vec_id", F.coalesce("rep", F.lit(None).cast("long")).alias("rep"), "embedding"), "queries")
     if not total.n:
         return asked.selectExpr("vec_id query_id", "1 rank", "vec_id", "cast(0 as double) score").limit(0)
-    index = Index.fit(kept, total.n, math.sqrt(total.square))
+    index = Index.fit(kept, total.n, math.sqrt(total.square), k)
     # Equal queries ask once; one that is no candidate itself is named by its smallest vec_id.
     distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("query"))
     lists = kept.select("rep", "embedding").mapInArrow(lambda b: index.place(b), "rep long, embedding array<double>, list int")
@@ -86,8 +91,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, centroids: np.ndarray, length: float):
-        self.centroids, self.length = centroids, length
+    def __init__(self, centroids: np.ndarray, length: float, reach: float):
+        self.centroids, self.length, self.reach = centroids, length, reach
         gap = _squares(centroids, centroids)
         self.between = np.sqrt(np.maximum(gap, 0))
         degree = min(DEGREE, len(centroids))
@@ -100,16 +105,24 @@ class Index:
         self.entries = np.array(entries)
 
     @classmethod
-    def fit(cls, rows: DataFrame, count: int, length: float) -> Index:
+    def fit(cls, rows: DataFrame, count: int, length: float, k: int) -> Index:
         """Balanced centroids from at most about SAMPLE rows, chosen by a hash of their id."""
         share = min(1.0, SAMPLE / count)
         sample = rows.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("rep").select("embedding").toArrow()
         points = _matrix(sample["embedding"].combine_chunks()) if sample.num_rows else np.zeros((0, 1))
         if not len(points):
             points = _matrix(rows.limit(1).select("embedding").toArrow()["embedding"].combine_chunks())
-        points = cls._lift(points, length)
+        return cls.learned(points, count, length, k)
+
+    @classmethod
+    def learned(cls, sample: np.ndarray, count: int, length: float, k: int) -> Index:
+        points = cls._lift(sample, length)
         wanted = int(min(MOST_LISTS, max(1, round(count / LIST)), max(1, len(points) // 4)))
         random = np.random.default_rng(11)
+        # Queries that the ratio is calibrated by do not draw centroids to themselves.
+        order = random.permutation(len(points))
+        trials, learn = order[: min(TRIALS, len(points) // 8)], order[min(TRIALS, len(points) // 8) :]
+        every, points = points, points[learn]
         centroids = points[random.choice(len(points), wanted, replace=False)]
         penalty = np.zeros(wanted)
         for _ in range(12):
@@ -121,7 +134,37 @@ class Index:
             np.add.at(total, owner, points)
             filled = sizes > 0
             centroids[filled] = total[filled] / sizes[filled, None]
-        return cls(centroids, length)
+        return cls(centroids, length, cls._reach(sample, every, trials, centroids, length, k))
+
+    @staticmethod
+    def _reach(sample: np.ndarray, points: np.ndarray, at: np.ndarray, centroids: np.ndarray, length: float, k: int) -> float:
+        """The ratio within which ``TARGET`` of the ``k`` nearest of the queries ``at`` have a list."""
+        if not len(at) or len(points) <= k + 1:
+            return math.inf
+        scores = sample[at] @ sample.T
+        scores[np.arange(len(at)), at] = -np.inf
+        near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        gaps = np.sqrt(_squares(Index._asked(sample[at], length), centroids))
+        ratios = np.empty(near.shape)
+        for i, own in enumerate(near):
+            home = np.sqrt(_squares(points[own], centroids))
+            # Its lists, as place() gives them.
+            few = np.argpartition(home, min(COPIES, home.shape[1]) - 1, axis=1)[:, :COPIES]
+            theirs = np.take_along_axis(home, few, axis=1) <= SPREAD * home.min(axis=1, keepdims=True)
+            ratios[i] = np.where(theirs, gaps[i][few], np.inf).min(axis=1)
+        ratios /= Index._base(gaps, length)
+        return max(1.0, float(np.quantile(ratios, TARGET, method="higher")))
+
+    @staticmethod
+    def _base(gaps: np.ndarray, length: float) -> np.ndarray:
+        place = min(BASE, gaps.shape[1]) - 1
+        return np.maximum(np.partition(gaps, place, axis=1)[:, place : place + 1], 1e-9 * length)
+
+    @staticmethod
+    def _asked(vectors: np.ndarray, length: float) -> np.ndarray:
+        # A query's own length does not matter for the order of inner products.
+        norms = np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-300)
+        return np.concatenate([vectors / norms * length, np.zeros((len(vectors), 1))], axis=1)
 
     @staticmethod
     def _lift(points: np.ndarray, length: float) -> np.ndarray:
@@ -176,14 +219,12 @@ class Index:
         """Rows for the lists each query reads."""
         for batch in batches:
             vectors = _matrix(batch.column("embedding"))
-            # A query's own length does not matter for the order of inner products.
-            norms = np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-300)
-            points = np.concatenate([vectors / norms * self.length, np.zeros((len(vectors), 1))], axis=1)
+            points = self._asked(vectors, self.length)
             for at in range(0, len(points), 1024):
-                ids, gaps = self.near(points[at : at + 1024], BEAM)
-                row, place = np.nonzero((gaps <= REACH * gaps[:, :1] + 1e-9 * self.length) & np.isfinite(gaps))
-                part = batch.slice(at, len(ids))
-                yield pa.record_batch({"query": part.column("query").take(pa.array(row)), "embedding": part.column("embedding").take(pa.array(row)), "list": ids[row, place].astype(np.int32)})
+                gaps = np.sqrt(_squares(points[at : at + 1024], self.centroids))
+                row, place = np.nonzero(gaps <= self.reach * self._base(gaps, self.length) + 1e-9 * self.length)
+                part = batch.slice(at, len(gaps))
+                yield pa.record_batch({"query": part.column("query").take(pa.array(row)), "embedding": part.column("embedding").take(pa.array(row)), "list": place.astype(np.int32)})
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:

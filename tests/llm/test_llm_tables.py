@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,30 @@ def test_vector_search(spark):
     assert vector_search.search(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_a_query_reads_every_list_within_reach():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((60_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked, count = x[:50], 400_000  # lists as for so many vectors
+    index = vector_search.Index.learned(x[:20_000], count, 1.0, 20)
+    packed = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * 64, pa.int32()), pa.array(m.ravel()))
+    read = [set() for _ in asked]
+    for batch in index.probe([pa.record_batch({"query": pa.array(np.arange(50)), "embedding": packed(asked)})]):
+        for query, one in zip(batch.column("query").to_pylist(), batch.column("list").to_pylist(), strict=True):
+            read[query].add(one)
+    gaps = np.linalg.norm(index._asked(asked, 1.0)[:, None] - index.centroids[None], axis=2)
+    assert read == [set(np.flatnonzero(g <= index.reach * np.sort(g)[vector_search.BASE - 1]).tolist()) for g in gaps]
+    assert len(index.centroids) > 1000 and max(map(len, read)) > 64 and np.mean([*map(len, read)]) < 0.5 * len(index.centroids)
+    scores = asked @ x.T
+    scores[np.arange(50), np.arange(50)] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, :20]
+    lists = {}
+    for batch in index.place([pa.record_batch({"rep": pa.array(near.ravel()), "embedding": packed(x[near.ravel()])})]):
+        for rep, one in zip(batch.column("rep").to_pylist(), batch.column("list").to_pylist(), strict=True):
+            lists.setdefault(rep, set()).add(one)
+    assert np.mean([bool(lists[v] & read[i]) for i in range(50) for v in near[i].tolist()]) >= 0.9
+
+
 @pytest.mark.parametrize("name", ["op2_warc", "op3_substring_dedup"])
 def test_queries_match_sql(spark, name):
     import glob
