@@ -38,20 +38,21 @@ UNKNOWN_PRIOR = 0.005
 ACCEPT = 0.5
 
 
-def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+def identify(rows: DataFrame, labelled: DataFrame, tables: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """doc_id, text_key, declared, language, probability and accepted for every row.
 
     ``rows`` has doc_id, text, declared, host and suffix, ``labelled`` has text
     and lang. ``text_key`` is xxhash64 of the text. Null or empty evidence
     counts as none. A text without letters is ``und`` unless other evidence says
     more; a row is accepted if its language is known and at least ``ACCEPT``
-    probable. Without labelled rows everything is ``und``. Other columns are not
+    probable. Without labelled rows everything is ``und``. ``tables`` are the
+    trigram tables of ``labelled``, if they are at hand. Other columns are not
     read.
     """
     text = F.col("text").cast("string")
     clean = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.lower(F.trim(F.col(c).cast("string"))))
     narrow = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), clean("declared").alias("declared"), clean("host").alias("host"), clean("suffix").alias("suffix"))
-    names, table = trigram_tables(labelled)
+    names, table = tables or trigram_tables(labelled)
     count = len(names)
     if not count:
         return narrow.select("doc_id", F.xxhash64("text").alias("text_key"), "declared", F.lit(UNKNOWN).alias("language"), F.lit(1.0).alias("probability"), F.lit(False).alias("accepted"))

@@ -70,7 +70,11 @@ FROM w LEFT JOIN g USING (k)
 @query
 def op4_language_id(table) -> DataFrame:
     docs = table("documents")
-    return language_id.identify(language_id.document_evidence(docs), docs).drop("text_key")
+    kinds = {"document": language_id.document_evidence(docs), "page": language_id.page_evidence(table("pages"))}
+    # Each kind has its own priors; the trigram tables of both are those of the documents. A page's doc_id is its page_id.
+    tables = language_id.trigram_tables(docs)
+    found = [language_id.identify(rows, docs, tables).drop("text_key").withColumn("kind", F.lit(kind)) for kind, rows in kinds.items()]
+    return found[0].unionByName(found[1])
 
 
 @query

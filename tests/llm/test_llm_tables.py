@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,20 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_languages_of_pages(spark):
+    """Every page is identified, with markup and address as a plain reading of its html and url gives them."""
+    found = entry.queries()["op4_language_id"](spark, SMALL).collect()
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    said = {f.doc_id: f for f in found if f.kind == "page"}
+    assert len(found) == docs + len(pages) and sum(f.kind == "document" for f in found) == docs
+    assert set(said) == {p.page_id for p in pages}
+    stated = {p.page_id: m[1].lower() for p in pages if (m := re.search(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})", p.html or "", re.I | re.S))}
+    assert stated and {i: f.declared for i, f in said.items() if f.declared} == stated
+    known = [i for i, x in stated.items() if x in {f.language for f in found if f.kind == "document"}]
+    assert sum(said[i].language == stated[i] for i in known) >= 0.8 * len(known)
+
+
 def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
