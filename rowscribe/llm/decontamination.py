@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rowscribe.llm.words import ALPHANUMERIC, FOLD_CASE, inside_texts, pieces, windows, words_of
 
 ITEMS = 1_000
-#: Words of an item that are compared; a longer item is several items, each of at most this length.
+#: Words of an item that are compared; a longer item is several items, each of this length; the last two may overlap.
 ITEM_WORDS = 256
 PASSAGE, STEP = 32, 16
 RANK = 96
@@ -124,6 +124,8 @@ class Items:
         for i, name in enumerate(names):
             own = ids[words.first[i] : words.first[i + 1]].astype(np.int32)
             for at in range(0, len(own), ITEM_WORDS):
+                # The last piece reaches back to full length: a few words alone would be found anywhere.
+                at = max(0, min(at, len(own) - ITEM_WORDS))
                 self.names.append(name)
                 self.words.append(own[at : at + ITEM_WORDS])
         self.passages, self.owner = [], []

@@ -169,6 +169,13 @@ def test_decontamination(spark, odd_rows):
     assert decontamination.contaminated(table(spark, rows), table(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_long_items_have_no_short_piece():
+    words = [f"w{i}" for i in range(2 * decontamination.ITEM_WORDS + 1)]
+    items = decontamination.Items([7, 8], pa.array([" ".join(words), " ".join(words[:20])]))
+    assert items.names == [7, 7, 7, 8] and items.lengths.tolist() == [256, 256, 256, 20] and not len(items.tiny)
+    assert len(set(np.concatenate(items.words[:3]).tolist())) == len(words)
+
+
 def test_common_length():
     r = random.Random(6)
     for _ in range(100):
