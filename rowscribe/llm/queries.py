@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscribe.llm import decontamination, language_id, license_scan, near_dedup, pieces, substring_dedup, surrogates, toxicity, vector_search, warc
+from rowscribe.llm import decontamination, jaccard_join, language_id, license_scan, merkle, near_dedup, pieces, substring_dedup, surrogates, toxicity, vector_search, warc, whitening
 from rowscribe.session import configure
 
 QUERIES, SQL = {}, {}
@@ -119,3 +119,92 @@ def op9_pieces(table) -> DataFrame:
 @query
 def op10_license_scan(table) -> DataFrame:
     return license_scan.scan(table("documents")).drop("detections")
+
+
+@query
+def op11_merkle(table) -> DataFrame:
+    docs = table("documents")
+    named = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("long").cast("string")) % 2 == 0
+    shown = F.when(tampered, merkle.digest(*named, F.replace("text", F.lit("\n"), F.lit(""))))
+    return merkle.prove(docs.select("doc_id", "source", merkle.digest(*named, F.col("text")).alias("leaf"), shown.alias("shown")))
+
+
+# One level is made per round of the first recursion; the second climbs from every leaf. crc32 is spelt out bit by bit.
+SQL["op11_merkle"] = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source,
+           concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                  coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-')) AS head,
+           text, replace(text, chr(10), '') AS plain,
+           list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+    FROM documents
+), e AS (
+    SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+           CASE WHEN crc % 2 = 1 THEN sha256(head || coalesce(octet_length(encode(plain)) || ':' || plain, '-')) END AS changed
+    FROM d
+), l AS (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM e
+), t AS (
+    SELECT tree, 0 AS level, i, n, leaf AS h FROM l
+    UNION ALL
+    SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY tree, level, i // 3, n
+), s AS (SELECT tree, h AS subroot FROM t WHERE n = 1), u AS (
+    SELECT 0 AS level, tree - 1 AS i, (SELECT count(*) FROM s) AS n, subroot AS h FROM s
+    UNION ALL
+    SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 3, n
+), nodes AS (
+    SELECT tree, level, i, n, h FROM t
+    UNION ALL
+    SELECT 0, level, i, n, h FROM u
+), sides AS (
+    SELECT a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+           coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+    FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.tree, a.level, a.i
+), climb AS (
+    SELECT tree AS home, i AS leaf_i, tree, 0 AS level, i, n, coalesce(changed, leaf) AS h, '' AS path FROM l
+    UNION ALL
+    SELECT c.home, c.leaf_i, CASE WHEN c.n > 1 THEN c.tree ELSE 0 END, CASE WHEN c.n > 1 THEN c.level + 1 ELSE 0 END, CASE WHEN c.n > 1 THEN c.i // 3 ELSE c.tree - 1 END,
+           CASE WHEN c.n > 1 THEN (c.n + 2) // 3 ELSE (SELECT count(*) FROM s) END, CASE WHEN c.n > 1 THEN sha256(x.before || c.h || x.after) ELSE c.h END,
+           CASE WHEN c.n > 1 THEN c.path || x.before || x.after ELSE c.path END
+    FROM climb c LEFT JOIN sides x ON x.tree = c.tree AND x.level = c.level AND x.i = c.i WHERE c.n > 1 OR c.tree > 0
+)
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(c.path) AS proof_sha256, c.h AS folded_root, c.h = r.h AS verified
+FROM l JOIN s USING (tree) JOIN climb c ON c.home = l.tree AND c.leaf_i = l.i AND c.tree = 0 AND c.n = 1 CROSS JOIN (SELECT h FROM u WHERE n = 1) r
+"""
+
+
+@query
+def op12_whitening(table) -> DataFrame:
+    return whitening.whiten(table("embeddings"))
+
+
+@query
+def op13_jaccard_join(table) -> DataFrame:
+    return jaccard_join.linked_components(table("documents"))
+
+
+# Equal sets are one node; the closure is taken over nodes.
+SQL["op13_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[ 	-]+', ''), '[ 	-]+'), lambda x: x <> '') AS words
+    FROM documents
+), d AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END)) AS shingles FROM w
+), m AS (SELECT doc_id, len(shingles) AS n, md5(array_to_string(shingles, chr(10))) AS node, shingles FROM d),
+k AS (SELECT node, any_value(n) AS n, any_value(shingles) AS shingles, min(doc_id) AS least FROM m WHERE n > 0 GROUP BY node),
+g AS (SELECT node, n, unnest(shingles) AS gram FROM k),
+l AS (
+    SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.gram = b.gram AND a.node <> b.node GROUP BY a.node, b.node, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT node AS a, node AS b FROM k
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+), c AS (SELECT r.a AS node, min(k.least) AS component_id FROM reach r JOIN k ON k.node = r.b GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM m LEFT JOIN c USING (node)
+"""
