@@ -255,7 +255,8 @@ def _by_frequency(texts: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     count = max(1, math.ceil(total * 6 / BLOCK_BYTES))
     keys = left.select("node", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key"))
     same = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key"))
-    placed = cut(texts.join(keys, same).select(F.pmod("node", F.lit(count)).cast("int").alias("block"), "node", "text"), "texts")
+    # The sets left grow with the texts, so they meet them by a shuffle at any size.
+    placed = cut(texts.join(keys.hint("merge"), same).select(F.pmod("node", F.lit(count)).cast("int").alias("block"), "node", "text"), "texts")
     asked = placed.groupBy("block").applyInArrow(lambda t: _ask_frequency(t, count), "bucket int, block int, hashes binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(_tell_frequency, "block int, hashes binary, counts binary")
     kind = "node long, n int, tokens binary, second array<long>, third binary"
