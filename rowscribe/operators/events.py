@@ -6,22 +6,20 @@ job *and* order, so that one busy job is worked on by many tasks.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowscribe import constants as K
 from rowscribe.functions.text import strip
 from rowscribe.operators.ordering import carry_window, chunked, with_carry
+from rowscribe.session import cut
 
 WATCHED = ["status", "processed", "total", "current_step"]
 FOLDED = ["status", "processed", "total", "eta_seconds", "current_step"]
 
 
-def _changes(events: DataFrame, keys: list[str], order: list[str], initial: DataFrame | None) -> DataFrame:
+def _changes(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Live events with ``kinds``: what each one announces, nothing if unchanged."""
     ends = F.col("status").isin(K.TERMINAL_STATUSES)
     chunks = chunked(events, keys, order).withColumn("_now", F.struct(*WATCHED))
@@ -33,7 +31,6 @@ def _changes(events: DataFrame, keys: list[str], order: list[str], initial: Data
             "_state": F.max_by("_now", F.struct(*order)),
             "_ended": F.max(F.when(ends, F.lit(True))),
         },
-        initial,
     )
     window = carry_window(keys, order)
     state = F.when(F.col("_carry"), F.col("_state")).otherwise(F.col("_now"))
@@ -48,43 +45,52 @@ def _changes(events: DataFrame, keys: list[str], order: list[str], initial: Data
     return live.select(*events.columns, kinds.alias("kinds"))
 
 
-def change_feed(
-    events: DataFrame, keys: list[str], order: list[str], initial: DataFrame | None = None
-) -> DataFrame:
+def change_feed(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Events that differ from the one before: ``snapshot``, then ``progress``.
 
-    A terminal status adds ``done`` and ends the feed of the job. ``initial``
-    may hold ``_state`` and ``_ended`` of jobs seen before.
+    A terminal status adds ``done`` and ends the feed of the job.
     """
-    found = _changes(events, keys, order, initial)
+    found = _changes(events, keys, order)
     return found.select(*events.columns, F.explode("kinds").alias("event_kind"))
 
 
 def feed_with_keepalive(
-    events: DataFrame,
-    key: str,
-    time: str,
-    order: list[str],
-    every_seconds: float = K.KEEPALIVE_SECONDS,
-    initial: DataFrame | None = None,
+    events: DataFrame, key: str, time: str, order: list[str], every_seconds: float = K.KEEPALIVE_SECONDS
 ) -> DataFrame:
     """The change feed plus ``keepalive`` on a look that finds it silent for too long."""
-    found = _changes(events, [key], order, initial)
-    emitted = paced(
-        found, key, time, order, F.size("kinds") > 0, F.lit(0), 2**60, every_seconds,
-        None if initial is None else initial.select(key, "last_time", F.lit(0).cast("bigint").alias("last_count")),
-    )
+    found = cut(_changes(events, [key], order), "changes")
+    emitted = paced(found, key, time, order, F.size("kinds") > 0, None, 0, every_seconds)
     kinds = F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(F.array(F.lit("keepalive")))
     return emitted.select(*events.columns, F.explode(kinds).alias("event_kind"))
 
 
-def feed_state(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """What :func:`change_feed` needs to go on later: last values and end flag."""
-    ends = F.col("status").isin(K.TERMINAL_STATUSES)
-    return events.groupBy(*keys).agg(
-        F.max_by(F.struct(*WATCHED), F.struct(*order)).alias("_state"),
-        F.max(F.when(ends, F.lit(True))).alias("_ended"),
-    )
+def silent_feed(
+    events: DataFrame, key: str, time: str, order: list[str], until: Column, every_seconds: float = K.KEEPALIVE_SECONDS
+) -> DataFrame:
+    """The change feed plus a ``keepalive`` after every silence of ``every_seconds``, looked at or not.
+
+    Times are in microseconds. Keep-alive rows have the key and the time at which
+    they are due; a change starts the silence again, ``done`` ends it, and the last
+    one is due at ``until`` at the latest. The streaming twin is ``live_feed``.
+    """
+    micros = int(every_seconds * 1_000_000)
+    found = cut(_changes(events, [key], order).filter(F.size("kinds") > 0), "changes")
+    # One row back to front: the change after each one bounds its silence.
+    ahead = chunked(found.select(key, *order, F.array_contains("kinds", "done").alias("ends")), [key], order)
+    first = ahead.groupBy(key, "_chunk").agg(F.min(time).alias("_first"))
+    later = W.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    first = first.select(F.col(key).alias("_key"), F.col("_chunk").alias("_of"), F.min("_first").over(later).alias("_later"))
+    following = F.lead(time).over(W.partitionBy(key, "_chunk").orderBy(*order))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_of"))
+    spans = ahead.withColumn("_next", following).join(first, same).filter("NOT ends")
+    last = F.coalesce("_next", "_later", until)
+    # A long silence is cut into pieces, so that no row holds all of its times.
+    pieces = spans.select(key, F.col(time).alias("_at"), F.floor((last - F.col(time)) / micros).cast("bigint").alias("_times")).filter("_times > 0")
+    pieces = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(_times - 1) div 4096"))).alias("_piece"))
+    turns = F.explode(F.sequence(F.expr("_piece * 4096 + 1"), F.expr("least(_piece * 4096 + 4096, _times)"))).alias("_turn")
+    kept = pieces.select(key, "_at", turns).select(key, (F.col("_at") + F.col("_turn") * micros).alias(time), F.lit("keepalive").alias("event_kind"))
+    told = found.select(key, *order, F.explode("kinds").alias("event_kind"))
+    return told.unionByName(kept, allowMissingColumns=True)
 
 
 def fold(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -140,100 +146,52 @@ def lost_leases(
     )
 
 
-def _next_emit(times, counts, forced, every_rows, micros):
-    """Index of the next emitted row if row i was emitted (the length: not here)."""
-    size = len(times)
-    by_time = np.searchsorted(times, times + micros, side="left")
-    by_rows = np.searchsorted(counts, counts + every_rows, side="left")
-    ahead = np.where(forced, np.arange(size), size)
-    by_force = np.append(np.minimum.accumulate(ahead[::-1])[::-1][1:], size)
-    return np.maximum(np.minimum(np.minimum(by_time, by_rows), by_force), np.arange(size) + 1)
+def _next_at(rows: DataFrame, key: str) -> DataFrame:
+    """_id and _next: the first row of the key and clock whose ``_at`` reaches ``_target``.
+
+    ``rows`` has the key, _clock, _id, _at (never falling with _id) and _target, of
+    which _at may not reach its own row's. Rows and targets are laid out backwards in
+    one order, so what follows a target is what was last seen before it.
+    """
+    points = rows.select(key, "_clock", (-F.col("_at")).alias("_back"), F.lit(0).alias("_side"), (-F.col("_id")).alias("_rank"), F.col("_id").alias("_seen"))
+    asked = rows.select(key, "_clock", (-F.col("_target")).alias("_back"), F.lit(1).alias("_side"), (-F.col("_id")).alias("_rank"), F.lit(None).cast("bigint").alias("_seen"))
+    keys, order = [key, "_clock"], ["_back", "_side", "_rank"]
+    chunks = chunked(points.unionByName(asked), keys, order)
+    last = F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.struct(*order)))
+    rows = with_carry(chunks, keys, order, {"_seen": last})
+    so_far = carry_window(keys, order).rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumn("_next", F.last("_seen", ignorenulls=True).over(so_far))
+    return found.filter("_side = 1 AND _next IS NOT NULL").select((-F.col("_rank")).alias("_id"), "_next")
+
+
+def _next_forced(rows: DataFrame, key: str) -> DataFrame:
+    """_id and _next: the forced row after each one, from those of its chunk and one row per later chunk."""
+    forced = F.when(F.col("_forced"), F.col("_id"))
+    ends = rows.groupBy(key, "_chunk").agg(F.min(forced).alias("_first"))
+    later = W.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(F.col(key).alias("_key"), F.col("_chunk").alias("_of"), F.min("_first").over(later).alias("_later"))
+    inside = W.partitionBy(key, "_chunk").orderBy(F.desc("_id")).rowsBetween(W.unboundedPreceding, -1)
+    marked = rows.withColumn("_next", F.min(forced).over(inside))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_of"))
+    return marked.join(ends, same).select("_id", F.coalesce("_next", "_later").alias("_next")).filter("_next IS NOT NULL")
 
 
-def _walks(pdf: pd.DataFrame, key: str):
-    """Every job of a chunk in order: key, carry row or None, rows, their arrays.
+def _reached(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """All _id on the chains of ``links`` (_id, _next) from ``roots``, by pointer doubling.
 
-    A count that falls does not undo an emission, hence the running maximum.
+    After k rounds the rows less than 2**k links away are known and every link
+    spans 2**k of the first ones, so rounds grow with the logarithm of the longest
+    chain, and no round depends on how many rows one key has.
     """
-    order = [c for c in pdf.columns if c.startswith("_order")]
-    pdf = pdf.sort_values([key, "_carry", *order], ascending=[True, False] + [True] * len(order), kind="stable")
-    keys = pdf[key].to_numpy()
-    starts = np.append(np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0], len(pdf))
-    for start, end in zip(starts, starts[1:]):
-        part = pdf.iloc[start:end]
-        carry = part.iloc[0] if part["_carry"].iloc[0] else None
-        rows = part if carry is None else part.iloc[1:]
-        if len(rows):
-            counts = np.maximum.accumulate(rows["_count"].to_numpy(dtype="int64"))
-            times = rows["_time"].to_numpy(dtype="int64")
-            yield keys[start], carry, rows, (times, counts, rows["_forced"].to_numpy(dtype=bool))
-
-
-def _steps(pdf: pd.DataFrame, key: str, every_rows: int, micros: int) -> pd.DataFrame:
-    """Sum up a chunk: entering it up to row ``at`` leaves it with emission ``out``."""
-    found = []
-    for job, _, rows, (times, counts, forced) in _walks(pdf, key):
-        following, size = _next_emit(times, counts, forced, every_rows, micros), len(rows)
-        leaves = np.arange(size)
-        for i in range(size - 2, -1, -1):
-            if following[i] < size:
-                leaves[i] = leaves[following[i]]
-        last = np.append(np.nonzero(np.diff(leaves))[0], size - 1)
-        found.append(
-            pd.DataFrame(
-                {
-                    key: job,
-                    "_chunk": rows["_chunk"].iloc[0],
-                    "step": np.arange(len(last)),
-                    "at_time": times[last],
-                    "at_count": counts[last],
-                    "at_forced": np.logical_or.accumulate(forced)[last],
-                    "out_time": times[leaves[last]],
-                    "out_count": counts[leaves[last]],
-                    "first_time": times[0],
-                }
-            )
-        )
-    return pd.concat(found)
-
-
-def _entries(steps: pd.DataFrame, key: str, every_rows: int, micros: int) -> pd.DataFrame:
-    """Walk the steps of a job: with which last emission is each chunk entered?"""
-    steps = steps.sort_values(["_chunk", "step"])
-    first = steps.iloc[0]
-    known = pd.notna(first["last_time"])
-    state = (int(first["last_time"]), int(first["last_count"])) if known else (int(first["first_time"]), 0)
-    out = []
-    for chunk, part in steps.groupby("_chunk", sort=True):
-        out.append((first[key], int(chunk), *state))
-        reached = (
-            (part["at_time"] >= state[0] + micros)
-            | (part["at_count"] >= state[1] + every_rows)
-            | part["at_forced"]
-        ).to_numpy()
-        if reached.any():
-            hit = part.iloc[int(np.argmax(reached))]
-            state = (int(hit["out_time"]), int(hit["out_count"]))
-    return pd.DataFrame(out, columns=[key, "_chunk", "_time", "_count"])
-
-
-def _emitted(pdf: pd.DataFrame, key: str, every_rows: int, micros: int) -> pd.DataFrame:
-    """Rows of a chunk that are emitted; a carry row tells the last one before it."""
-    found = [pdf.iloc[:0]]
-    for _, carry, rows, (times, counts, forced) in _walks(pdf, key):
-        time, count = (int(times[0]), 0) if carry is None else (int(carry["_time"]), int(carry["_count"]))
-        size, ahead = len(rows), np.nonzero(forced)[0]
-        at = min(
-            int(np.searchsorted(times, time + micros, side="left")),
-            int(np.searchsorted(counts, count + every_rows, side="left")),
-            int(ahead[0]) if len(ahead) else size,
-        )
-        following, chosen = _next_emit(times, counts, forced, every_rows, micros), []
-        while at < size:
-            chosen.append(at)
-            at = int(following[at])
-        found.append(rows.iloc[chosen])
-    return pd.concat(found)
+    reached = cut(roots, "reached")
+    links = cut(links, "links")
+    while True:
+        more = cut(reached.join(links, "_id").select(F.col("_next").alias("_id")), "reached")
+        if more.isEmpty():
+            return reached
+        reached = reached.unionByName(more)
+        ahead = links.select(F.col("_id").alias("_next"), F.col("_next").alias("_far"))
+        links = cut(links.join(ahead, "_next").select("_id", F.col("_far").alias("_next")), "links")
 
 
 def paced(
@@ -242,73 +200,49 @@ def paced(
     time: str,
     order: list[str],
     forced: Column,
-    count: Column,
+    count: Column | None,
     every_rows: int,
     every_seconds: float,
-    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Rows to emit: forced ones, and those far enough from the last emission.
 
-    ``time`` is in microseconds and leads ``order``. Each emission depends on
-    the one before. Rows are cut into chunks by job and order. A job inside one
-    chunk is walked there. For a job that spans chunks (each border is crossed
-    by at most one job, so these are few, however large) every chunk is first
-    summed up as steps: a later entry never leaves a chunk earlier, so there is
-    at most one step per row of the last interval. The steps are walked once to
-    find how each chunk is entered; then all chunks emit side by side.
-    ``initial`` may hold ``last_time`` and ``last_count`` of jobs seen before; a
-    new job starts its clock with its first row.
+    ``time`` is in microseconds and leads ``order``. Each emission depends on the
+    one before: from every row a link goes to the row that would be emitted next if
+    it was emitted itself (the first that is forced, late enough, or high enough in
+    ``count``, if given). The emitted rows are those on the chain from the key's
+    first emission. Links are found over chunks of the key, the chain by pointer
+    doubling, so a busy key is spread over all tasks at every step. A key starts
+    its clock with its first row, and its count with 0; a count that falls does not
+    undo an emission.
     """
     micros = int(every_seconds * 1_000_000)
-    kind = events.schema[key].dataType.simpleString()
-    chunks = chunked(events, [key], order)
-    places = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order)]
-    slim = chunks.select(
+    if micros <= 0 or (count is not None and every_rows <= 0):
+        return events
+    spread = events.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    # The id follows (key, order); written once, so that every later read sees the same.
+    rows = cut(spread.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    slim = rows.select(
         key,
-        "_chunk",
-        F.col(time).alias("_time"),
-        count.cast("bigint").alias("_count"),
+        "_id",
+        F.shiftright("_id", 33).cast("int").alias("_chunk"),
+        F.col(time).cast("bigint").alias("_time"),
         F.coalesce(forced, F.lit(False)).alias("_forced"),
-        F.lit(False).alias("_carry"),
-        *places,
-    )
-    spans = slim.groupBy(key).agg(F.min("_chunk").alias("_from"), F.max("_chunk").alias("_to"))
-    none = F.lit(None).cast("bigint")
-    if initial is None:
-        spans = spans.withColumns({"last_time": none, "last_count": none})
-    else:
-        spans = spans.join(initial.select(key, "last_time", "last_count"), key, "left")
-    # At most one job per border between chunks, hence a bounded list.
-    wide = spans.filter("_from < _to").select(key, "last_time", "last_count")
-    summed = (
-        slim.join(F.broadcast(wide.select(key)), key, "left_semi")
-        .groupBy("_chunk")
-        .applyInPandas(
-            lambda pdf: _steps(pdf, key, every_rows, micros),
-            f"`{key}` {kind}, _chunk int, step bigint, at_time bigint, at_count bigint, at_forced boolean, "
-            "out_time bigint, out_count bigint, first_time bigint",
-        )
-    )
-    entered = (
-        summed.join(F.broadcast(wide), key)
-        .groupBy(key)
-        .applyInPandas(
-            lambda pdf: _entries(pdf, key, every_rows, micros),
-            f"`{key}` {kind}, _chunk int, _time bigint, _count bigint",
-        )
+        *([] if count is None else [F.coalesce(count.cast("bigint"), F.lit(0)).alias("_count")]),
     )
-    if initial is not None:
-        narrow = spans.filter("_from = _to AND last_time IS NOT NULL")
-        entered = entered.unionByName(
-            narrow.select(key, F.col("_from").alias("_chunk"), F.col("last_time").alias("_time"), F.col("last_count").alias("_count"))
-        )
-    carries = entered.withColumns({"_forced": F.lit(False), "_carry": F.lit(True)})
-    together = slim.unionByName(carries, allowMissingColumns=True)
-    chosen = together.groupBy("_chunk").applyInPandas(
-        lambda pdf: _emitted(pdf, key, every_rows, micros), together.schema
-    )
-    back = chosen.select(key, "_chunk", *[F.col(f"_order{i}").alias(c) for i, c in enumerate(order)])
-    return chunks.join(back, [key, "_chunk", *order], "left_semi").select(*events.columns)
+    far = F.col("_time") >= F.col("_start") + micros
+    clocks = slim.select(key, F.lit(0).alias("_clock"), "_id", F.col("_time").alias("_at"), (F.col("_time") + micros).alias("_target"))
+    if count is not None:
+        peaks = with_carry(slim, [key], ["_id"], {"_count": F.max("_count")})
+        peak = F.max("_count").over(carry_window([key], ["_id"]).rowsBetween(W.unboundedPreceding, 0))
+        slim = cut(peaks.withColumn("_count", peak).filter(~F.col("_carry")).drop("_carry"), "peaks")
+        far = far | (F.col("_count") >= every_rows)
+        counted = slim.select(key, F.lit(1).alias("_clock"), "_id", F.col("_count").alias("_at"), (F.col("_count") + every_rows).alias("_target"))
+        clocks = clocks.unionByName(counted)
+    links = _next_at(clocks, key).unionByName(_next_forced(slim, key)).groupBy("_id").agg(F.min("_next").alias("_next"))
+    starts = slim.groupBy(F.col(key).alias("_key")).agg(F.min("_time").alias("_start"))
+    begun = slim.join(starts, F.col(key).eqNullSafe(F.col("_key"))).filter(F.col("_forced") | far)
+    roots = begun.groupBy(key).agg(F.min("_id").alias("_id")).select("_id")
+    return rows.join(_reached(roots, links), "_id", "left_semi").select(*events.columns)
 
 
 def throttle(
@@ -318,13 +252,10 @@ def throttle(
     order: list[str],
     every_rows: int = K.PROGRESS_EVERY_ROWS,
     every_seconds: float = K.PROGRESS_EVERY_SECONDS,
-    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Progress rows to emit: finished, or enough rows or time since the last one."""
     finished = F.col("processed") >= F.col("total")
-    return paced(
-        events, key, time, order, finished, F.col("processed"), every_rows, every_seconds, initial
-    )
+    return paced(events, key, time, order, finished, F.col("processed"), every_rows, every_seconds)
 
 
 def queue_places(queue: DataFrame, position: str, text: str, field: str = "job_id") -> DataFrame:

@@ -27,14 +27,12 @@ def chunked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return cut(spread)
 
 
-def with_carry(
-    chunks: DataFrame, keys: list[str], order: list[str], carried: dict[str, Column], initial: DataFrame | None = None
-) -> DataFrame:
+def with_carry(chunks: DataFrame, keys: list[str], order: list[str], carried: dict[str, Column]) -> DataFrame:
     """Rows plus one leading row per (key, chunk) that holds the state before it.
 
     ``carried`` are aggregates that give the state at the end of a chunk; the
-    state before a chunk is the last non-null one of the earlier chunks, or the
-    row of ``initial`` for the key. Leading rows have ``_carry`` set.
+    state before a chunk is the last non-null one of the earlier chunks. Leading
+    rows have ``_carry`` set.
     """
     ends = chunks.groupBy(*keys, "_chunk").agg(*[agg.alias(name) for name, agg in carried.items()])
     # One row per key and chunk: the window of a hot key has as many rows as chunks.
@@ -44,11 +42,6 @@ def with_carry(
         "_chunk",
         *[F.last(name, ignorenulls=True).over(earlier).alias(name) for name in carried],
     )
-    if initial is not None:
-        renamed = initial.select(*keys, *[F.col(n).alias(f"_init_{n}") for n in carried])
-        lead = lead.join(renamed, keys, "left").select(
-            *keys, "_chunk", *[F.coalesce(n, f"_init_{n}").alias(n) for n in carried]
-        )
     lead = lead.withColumn("_carry", F.lit(True))
     return chunks.withColumn("_carry", F.lit(False)).unionByName(lead, allowMissingColumns=True)
 

@@ -193,6 +193,26 @@ def keepalive(t: Tables) -> DataFrame:
     return found.select("job", "seq", "event_kind")
 
 
+SILENT_FEED = with_sql(
+    S.JOB_EVENTS,
+    FEED,
+    """spans AS (
+  SELECT job, at_us, lead(at_us, 1, (SELECT max(at_us) // 1000 * 1000 FROM job_events)) OVER (PARTITION BY job ORDER BY at_us, seq) AS until,
+         seq IN (SELECT seq FROM feed WHERE event_kind = 'done') AS ends
+  FROM feed WHERE event_kind <> 'done')""",
+    body="""SELECT job, seq, at_us, event_kind FROM feed
+  UNION ALL SELECT job, NULL, at_us + 86400000000 * unnest(range(1, (until - at_us) // 86400000000 + 1)), 'keepalive' FROM spans WHERE NOT ends""",
+)
+
+
+@query("win07_silent_feed", SILENT_FEED)
+def silent_feed(t: Tables) -> DataFrame:
+    """Keep-alives of jobs that nothing is heard of, up to the last look at any job."""
+    looks = S.job_events(t)
+    clock = looks.agg(F.expr("max(at_us) div 1000 * 1000").alias("clock")).first().clock
+    return events.silent_feed(looks, "job", "at_us", ["at_us", "seq"], F.lit(clock), 86_400.0)
+
+
 @query(
     "win08_throttle",
     with_sql(

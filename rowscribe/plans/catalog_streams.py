@@ -10,7 +10,7 @@ from rowscribe.operators.rows import build_rows
 from rowscribe.plans import rules
 from rowscribe.plans import stand_ins as S
 from rowscribe.plans.annotate_report import Job
-from rowscribe.plans.catalog_events import FEED
+from rowscribe.plans.catalog_events import FEED, SILENT_FEED
 from rowscribe.plans.registry import Tables, query
 from rowscribe.session import scratch_path
 from rowscribe.streaming import events, intake
@@ -35,6 +35,27 @@ def _finish(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+def _stored(stream: DataFrame, path: str) -> DataFrame:
+    """All rows a stream gives, written and read again."""
+    _finish(stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").outputMode("append"))
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _over_batches(rows: DataFrame, time: str, path: str, work, batches: int = 3) -> DataFrame:
+    """What ``work`` (from stream to stream) gives for rows that arrive in slices of time.
+
+    Each slice is a run of its own that goes on from the state of the last one.
+    """
+    spark = rows.sparkSession
+    ends = rows.agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
+    low, width = ends.low or 0, ((ends.high or 0) - (ends.low or 0)) // batches + 1
+    for number in range(batches):
+        inside = F.expr(f"({time} - {low}) div {width}") == number
+        rows.filter(inside).write.mode("append").parquet(f"{path}/in")
+        found = _stored(work(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), path)
+    return found
+
+
 @query(
     "str01_profile_intake",
     with_sql(
@@ -97,12 +118,8 @@ def throttled_progress(t: Tables) -> DataFrame:
         "event_id AS processed",
         "CASE WHEN event_id % 1000 = 999 THEN event_id ELSE event_id + 1 END AS total",
     )
-    _finish(
-        events.throttled_progress(
-            moves, "job", "at_us", ["at_us", "seq"], path, f"{path}/log", every_rows=300, every_seconds=86_400.0
-        )
-    )
-    return t.spark.read.parquet(f"{path}/events").select("job", "seq")
+    sent = events.throttled_progress(moves, "job", "at_us", ["at_us", "seq"], every_rows=300, every_seconds=86_400.0)
+    return _stored(sent, path).select("job", "seq")
 
 
 @query("str04_live_feed", with_sql(S.JOB_EVENTS, FEED, body="SELECT job, seq, event_kind FROM feed"))
@@ -111,8 +128,15 @@ def live_feed(t: Tables) -> DataFrame:
     looks = S.job_events(_streams(t))
     # Longer than the whole table: no look finds a feed silent for that long.
     silence = 10.0 * 365 * 86_400
-    _finish(events.live_feed(looks, "job", "at_us", ["at_us", "seq"], path, f"{path}/log", silence))
-    return t.spark.read.parquet(f"{path}/events").select("job", "seq", "event_kind")
+    return _stored(events.live_feed(looks, "job", "at_us", ["at_us", "seq"], silence, remember_seconds=silence), path).select("job", "seq", "event_kind")
+
+
+@query("str04_keepalive", SILENT_FEED)
+def live_feed_with_keepalive(t: Tables) -> DataFrame:
+    """A silent job gets its keep-alives in the batches that bring nothing of it."""
+    always = 10.0 * 365 * 86_400
+    feed = lambda looks: events.live_feed(looks, "job", "at_us", ["at_us", "seq"], 86_400.0, remember_seconds=always)
+    return _over_batches(S.job_events(t), "at_us", scratch_path(t.spark, "keepalive"), feed)
 
 
 BEATS = """beats AS (
@@ -162,15 +186,29 @@ def lost_heartbeats_stream(t: Tables) -> DataFrame:
 @query("str06_first_requests", "SELECT DISTINCT user_id AS job_id FROM events")
 def first_requests(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "requests")
-    asked = _streams(t).events.select(
-        F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    # All events arrive at once, so each id is seen as one request.
-    first = events.first_requests(asked, "job_id", "ts", seconds=365 * 86_400)
-    _finish(
-        first.writeStream.format("parquet")
-        .option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/log")
-        .outputMode("append")
-    )
-    return t.spark.read.parquet(f"{path}/out").select("job_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")
+    asked = _streams(t).events.select(F.col("user_id").alias("job_id"), at, F.lit(events.ASKED).alias("kind"))
+    # No start, and a marker that outlasts the table: each id is queued once.
+    return _stored(events.first_requests(asked, "job_id", "at_us", seconds=365 * 86_400), path).select("job_id")
+
+
+@query(
+    "str06_cleared_requests",
+    with_sql(
+        """asks AS (SELECT user_id AS job_id, epoch_us(ts) AS at_us, CASE WHEN event_type = 'purchase' THEN 'started' ELSE 'asked' END AS kind FROM events),
+placed AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at_us, kind) AS rn FROM asks)""",
+        """walk AS (
+          SELECT job_id, rn, at_us, kind = 'asked' AS queued, CASE WHEN kind = 'asked' THEN at_us END AS marked FROM placed WHERE rn = 1
+          UNION ALL
+          SELECT p.job_id, p.rn, p.at_us, p.kind = 'asked' AND (w.marked IS NULL OR p.at_us >= w.marked + 259200000000),
+                 CASE WHEN p.kind = 'started' THEN NULL WHEN w.marked IS NULL OR p.at_us >= w.marked + 259200000000 THEN p.at_us ELSE w.marked END
+          FROM walk w JOIN placed p ON p.job_id = w.job_id AND p.rn = w.rn + 1)""",
+        body="SELECT job_id, at_us FROM walk WHERE queued",
+    ),
+)
+def cleared_requests(t: Tables) -> DataFrame:
+    """Requests in three batches; starts clear markers, and after three days they expire."""
+    kind = F.when(F.col("event_type") == "purchase", events.STARTED).otherwise(events.ASKED).alias("kind")
+    asks = t.events.select(F.col("user_id").alias("job_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), kind)
+    queued = lambda requests: events.first_requests(requests, "job_id", "at_us", seconds=3 * 86_400)
+    return _over_batches(asks, "at_us", scratch_path(t.spark, "cleared"), queued)

@@ -22,6 +22,8 @@ SETTINGS = {
     # Merge the sessions of one key inside a task before they are shuffled.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Timers and state of jobs live in the engine's store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

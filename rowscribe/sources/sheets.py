@@ -222,8 +222,10 @@ def profile_workbooks(cells: DataFrame, cap: int | None = None) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     count = F.coalesce("n", F.lit(0))
+    if cap is not None:
+        count = F.when(count <= cap, count)
     return (
         names.join(totals, sheet)
         .join(distinct, [*sheet, "position"], "left")
-        .select(*sheet, "position", "column_name", "total_rows", F.when(count <= cap, count).alias("distinct_values"))
+        .select(*sheet, "position", "column_name", "total_rows", count.alias("distinct_values"))
     )

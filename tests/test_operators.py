@@ -139,8 +139,8 @@ def test_retry_reset(spark):
     )
     got = [tuple(r) for r in maintenance.reset_failed_rows(df).orderBy("row_number").select("status", "error_text", "warnings", "custom_json", "prompt_tokens", "was_reset").collect()]
     assert got == [
-        ("pending", None, ["empty_cell"], None, 0, True),
-        ("pending", None, [], None, 0, True),
+        ("pending", None, None, None, 0, True),
+        ("pending", None, None, None, 0, True),
         ("done", None, ["cache_hit"], "{}", 5, False),
         ("pending", None, [], "{}", 5, False),
     ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import zipfile
 
 import pytest
@@ -137,36 +138,98 @@ def _looks():
     for job in range(6):
         for i in range(40):
             status = "completed" if job % 2 and i == 30 else ("running" if i % 7 else "paused")
-            rows.append(dict(job=job, seq=seq, at_us=i * 400_000 + job, status=status, processed=i * (job + 1), total=1000, current_step=f"s{i // 5}"))
+            rows.append(dict(job=job, seq=seq, at_us=i * 400_000 + job + 1, status=status, processed=i * (job + 1), total=1000, current_step=f"s{i // 5}"))
             seq += 1
     return rows
 
 
-def test_feeds_over_batches_equal_one_batch(spark, tmp_path):
-    schema = "job int, seq int, at_us bigint, status string, processed int, total int, current_step string"
-    rows, source = _looks(), tmp_path / "in"
+def _in_three_batches(spark, rows, schema, source):
     source.mkdir()
     for part in range(3):
         piece = [r for r in rows if r["at_us"] // 5_400_000 == part]
         (source / f"{part}.json").write_text("\n".join(json.dumps(r) for r in piece))
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
-    whole = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
-    order = ["at_us", "seq"]
+        os.utime(source / f"{part}.json", (1_700_000_000 + part,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
 
-    writer = events.throttled_progress(stream(), "job", "at_us", order, str(tmp_path / "t"), str(tmp_path / "tl"), 20, 1.0)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "t/events"))
-    assert got.select("batch").distinct().count() == 3
-    want = batch_events.throttle(whole, "job", "at_us", order, 20, 1.0)
-    assert sorted(map(tuple, got.select("job", "seq").collect())) == sorted(map(tuple, want.select("job", "seq").collect()))
 
-    steady = lambda df: df.withColumn("processed", F.lit(0))
-    writer = events.live_feed(steady(stream()), "job", "at_us", order, str(tmp_path / "f"), str(tmp_path / "fl"), 0.7)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "f/events")).select("job", "seq", "event_kind")
-    want = batch_events.feed_with_keepalive(steady(whole), "job", "at_us", order, 0.7).select("job", "seq", "event_kind")
+def _drained(stream, path):
+    writer = stream.writeStream.format("parquet").option("path", str(path / "out")).option("checkpointLocation", str(path / "log"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query, stream.sparkSession.read.schema(stream.schema).parquet(str(path / "out"))
+
+
+def _held(spark, log):
+    """Keys whose state is still stored."""
+    rows = spark.read.format("statestore").option("stateVarName", "held").load(str(log))
+    return {r.key.job for r in rows.select("key").collect()}
+
+
+LOOKS = "job int, seq int, at_us bigint, status string, processed int, total int, current_step string"
+
+
+def test_throttle_over_batches_equals_one_batch(spark, tmp_path):
+    rows, order = _looks(), ["at_us", "seq"]
+    sent = events.throttled_progress(_in_three_batches(spark, rows, LOOKS, tmp_path / "in"), "job", "at_us", order, 20, 1.0)
+    query, got = _drained(sent, tmp_path)
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 3
+    want = batch_events.throttle(spark.createDataFrame([tuple(r.values()) for r in rows], LOOKS), "job", "at_us", order, 20, 1.0)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert got.filter("event_kind = 'keepalive'").count() > 0
+
+
+def plain_feed(rows, every, until):
+    out = []
+    for job in {r["job"] for r in rows}:
+        before, emitted = None, None
+        for r in sorted((r for r in rows if r["job"] == job), key=lambda r: (r["at_us"], r["seq"])):
+            while before and emitted + every <= r["at_us"]:
+                emitted += every
+                out.append((job, emitted, None, "keepalive"))
+            now = [r[n] for n in ("status", "processed", "total", "current_step")]
+            if now != before:
+                out.append((job, r["at_us"], r["seq"], "progress" if before else "snapshot"))
+                emitted = r["at_us"]
+            before = now
+            if r["status"] == "completed":
+                out.append((job, r["at_us"], r["seq"], "done"))
+                emitted = until
+                break
+        while emitted + every <= until:
+            emitted += every
+            out.append((job, emitted, None, "keepalive"))
+    return sorted(out, key=str)
+
+
+def test_feed_of_silent_jobs(spark, tmp_path):
+    # Jobs 6 to 8 fall silent, one of them after it has ended.
+    rows = [r | {"processed": 0} for r in _looks()]
+    rows += [dict(job=6 + i, seq=900 + i, at_us=1_000_000 * i + 1, status="completed" if i == 1 else "running", processed=None, total=9, current_step=None) for i in range(3)]
+    rows += [dict(job=7, seq=990, at_us=1_500_000, status="running", processed=0, total=9, current_step="late")]
+    until = max(r["at_us"] for r in rows) // 1000 * 1000
+    stream = _in_three_batches(spark, rows, LOOKS, tmp_path / "in")
+    query, got = _drained(events.live_feed(stream, "job", "at_us", ["at_us", "seq"], 0.7, remember_seconds=3.0), tmp_path)
+    columns = ["job", "at_us", "seq", "event_kind"]
+    found = sorted(map(tuple, got.select(columns).collect()), key=str)
+    assert found == plain_feed(rows, 700_000, until)
+    assert any(k == "keepalive" and job == 8 and at > 10_800_000 for job, at, _, k in found)
+    # Ended jobs (1, 3, 5 and 7) have left the state in which 0, 2, 4, 6 and 8 still are.
+    assert query.lastProgress.stateOperators[0].customMetrics["numValueStateVars"] > 0
+    assert _held(spark, tmp_path / "log") == {0, 2, 4, 6, 8}
+    whole = spark.createDataFrame([tuple(r.values()) for r in rows], LOOKS)
+    batch = batch_events.silent_feed(whole, "job", "at_us", ["at_us", "seq"], F.lit(until), 0.7)
+    assert sorted(map(tuple, batch.select(columns).collect()), key=str) == found
+
+
+def test_requests_over_batches(spark, tmp_path):
+    second = 1_000_000
+    # (id, second, kind): repeats before and after a start, and after the marker has expired; in three batches.
+    marks = [("a", 0, "asked"), ("a", 1, "asked"), ("a", 2, "started"), ("a", 3, "asked"), ("a", 4, "asked"), ("a", 6, "asked"), ("a", 7, "asked"), ("a", 7, "asked")]
+    marks += [("a", 12, "started"), ("a", 14, "asked"), ("b", 1, "asked"), ("b", 5, "asked"), ("b", 14, "started"), ("b", 15, "asked"), ("c", 2, "started"), (None, 1, "asked"), (None, 1, "asked"), (" ", 12, "asked"), ("d", 2, "other")]
+    rows = [dict(job_id=i, at_us=s * second, kind=k) for i, s, k in marks]
+    stream = _in_three_batches(spark, rows, "job_id string, at_us bigint, kind string", tmp_path / "in")
+    _, got = _drained(events.first_requests(stream, "job_id", "at_us", seconds=4), tmp_path)
+    found = sorted(((r.job_id or "", r.at_us // second) for r in got.collect()))
+    assert found == sorted([("a", 0), ("a", 3), ("a", 7), ("a", 14), ("b", 1), ("b", 5), ("b", 15), ("", 1), ("", 1), (" ", 12)])
 
 
 def test_scratch_is_named_and_cleared(spark):
