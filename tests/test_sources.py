@@ -225,7 +225,7 @@ def test_requests_over_batches(spark, tmp_path):
     # (id, second, kind): repeats before and after a start, and after the marker has expired; in three batches.
     marks = [("a", 0, "asked"), ("a", 1, "asked"), ("a", 2, "started"), ("a", 3, "asked"), ("a", 4, "asked"), ("a", 6, "asked"), ("a", 7, "asked"), ("a", 7, "asked")]
     marks += [("a", 12, "started"), ("a", 14, "asked"), ("b", 1, "asked"), ("b", 5, "asked"), ("b", 14, "started"), ("b", 15, "asked"), ("c", 2, "started"), (None, 1, "asked"), (None, 1, "asked"), (" ", 12, "asked"), ("d", 2, "other")]
-    rows = [dict(job_id=i, at_us=s * second, kind=k) for i, s, k in marks]
+    rows = [dict(job_id=i, at_us=s * second + 1, kind=k) for i, s, k in marks]
     stream = _in_three_batches(spark, rows, "job_id string, at_us bigint, kind string", tmp_path / "in")
     _, got = _drained(events.first_requests(stream, "job_id", "at_us", seconds=4), tmp_path)
     found = sorted(((r.job_id or "", r.at_us // second) for r in got.collect()))
