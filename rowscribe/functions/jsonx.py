@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rowscribe import constants as K
 from rowscribe.functions.text import strip
 
 
@@ -102,48 +97,71 @@ def pick_keys(text: Column, keys: list[str]) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(kept, entry), ","), F.lit("}"))
 
 
-def _leaves(root: dict):
-    """(path, value) of everything that is no object, in source order; an explicit stack, so any depth is walked."""
-    levels = [("", iter(root.items()))]
-    while levels:
-        path, entries = levels[-1]
-        found = next(entries, None)
-        if found is None:
-            levels.pop()
-        elif isinstance(found[1], dict):
-            levels.append((f"{path}{found[0]}.", iter(found[1].items())))
-        else:
-            yield path + found[0], found[1]
-
-
-def _as_text(value) -> str | None:
-    match value:
-        case None | str():
-            return value
-        case list():
-            present = filter(lambda item: item is not None, value)
-            return ", ".join(map(str, present))
-        case _:
-            return json.dumps(value, ensure_ascii=False)
-
-
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def flatten_object(texts: pd.Series) -> pd.Series:
-    """Nested answers as dotted keys in source order; lists become joined cells.
-
-    Objects may be nested to any depth, which column expressions cannot walk.
-    Texts that are no object, or nested deeper than the parser goes, give an
-    empty map.
+VARIANTS = "map<string,variant>"
+
+
+def as_variants(text: Column) -> Column:
+    """An object's values with their types, in source order; empty for anything else."""
+    parsed = F.from_json(object_or_empty(text), VARIANTS)
+    return F.coalesce(parsed, F.create_map().cast(VARIANTS))
+
+
+def kind_of(value: Column) -> Column:
+    """BIGINT, DECIMAL, DOUBLE, STRING, BOOLEAN, VOID, ARRAY or OBJECT; null for no value."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _fields(text: Column) -> Column:
+    """(key, value, inner) of an object in source order; ``inner`` is the text of a value that is an object itself.
+
+    VARIANT sorts the keys of an object, so nested objects are kept as text until
+    their own fields are taken.
+    """
+    words = F.from_json(text, "map<string,string>")
+    zipped = F.arrays_zip(
+        F.map_keys(words).alias("key"), F.map_values(F.from_json(text, VARIANTS)).alias("value"), F.map_values(words).alias("word")
+    )
+    inner = lambda f: F.when(kind_of(f["value"]) == "OBJECT", f["word"])
+    found = F.transform(zipped, lambda f: F.struct(f["key"].alias("key"), f["value"].alias("value"), inner(f).alias("inner")))
+    return F.coalesce(found, F.array().cast("array<struct<key:string,value:variant,inner:string>>"))
+
+
+def inner_objects(text: Column) -> Column:
+    """Texts of the values that are objects."""
+    return F.filter(F.transform(_fields(text), lambda f: f["inner"]), lambda t: t.isNotNull())
+
+
+def flatten_object(text: Column, depth: int) -> Column:
+    """An object's values under dotted keys, objects opened ``depth`` levels deep.
+
+    Keys keep their source order and values their types. Of one key met twice the
+    later value wins. Text that is no object gives an empty map.
     """
+    fields = _fields(object_or_empty(text))
+    for _ in range(depth):
+        opened = lambda f: F.transform(
+            _fields(f["inner"]),
+            lambda g: F.struct(F.concat(f["key"], F.lit("."), g["key"]).alias("key"), g["value"].alias("value"), g["inner"].alias("inner")),
+        )
+        fields = F.flatten(F.transform(fields, lambda f: F.when(f["inner"].isNull(), F.array(f)).otherwise(opened(f))))
+    return F.map_from_entries(F.transform(fields, lambda f: F.struct(f["key"], f["value"])))
+
+
+def list_text(value: Column) -> Column:
+    """A list as one cell: its items that are not null, joined by a comma; null for other values."""
+    items = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda v: kind_of(v) != "VOID")
+    word = lambda v: F.try_variant_get(v, "$", "string")
+    return F.array_join(F.transform(items, lambda v: F.when(kind_of(v) == "BOOLEAN", F.initcap(word(v))).otherwise(word(v))), ", ")
 
-    def flat(text: str | None) -> dict:
-        try:
-            root = json.loads(text or "{}")
-        except (ValueError, RecursionError):
-            return {}
-        return {path: _as_text(value) for path, value in _leaves(root)} if isinstance(root, dict) else {}
 
-    return texts.map(flat)
+def cell(value: Column, kind: str = "variant") -> Column:
+    """A value as a cell of a type; lists are text. A value of another type is null in it."""
+    joined = kind_of(value) == "ARRAY"
+    if kind == "variant":
+        return F.when(joined, list_text(value).cast("variant")).otherwise(F.when(kind_of(value) != "VOID", value))
+    if kind == "string":
+        return F.when(joined, list_text(value)).otherwise(F.try_variant_get(value, "$", "string"))
+    return F.try_variant_get(value, "$", kind)
 
 
 def analysis_text(custom: Column, legacy: Column | None = None) -> Column:
@@ -159,22 +177,21 @@ def row_preview(
     custom_json: Column,
     group_by: str | None = None,
     group_key: Column | None = None,
+    depth: int = 0,
 ) -> Column:
-    """Input, passed-through and answer columns merged; the later source wins.
+    """Input, passed-through and answer columns merged, with their types; the later source wins.
 
     A grouped report keeps only its group column of the source columns, because
-    the answer describes the group and not the row that stands for it.
+    the answer describes the group and not the row that stands for it. Objects in
+    the answer are opened ``depth`` levels deep.
     """
-    answer = flatten_object(custom_json)
+    answer = flatten_object(custom_json, depth)
     if group_by is None:
-        return F.map_concat(as_map(input_json), as_map(passthrough_json), answer)
+        return F.map_concat(as_variants(input_json), as_variants(passthrough_json), answer)
     name = F.lit(group_by)
-    value = F.coalesce(
-        F.element_at(as_map(passthrough_json), name), F.element_at(as_map(input_json), name), group_key
-    )
-    head = F.when(value.isNotNull(), F.create_map(name, value)).otherwise(
-        F.create_map().cast("map<string,string>")
-    )
+    known = lambda text: F.filter(F.array(F.element_at(as_variants(text), name)), lambda v: kind_of(v) != "VOID")
+    value = F.coalesce(F.get(known(passthrough_json), F.lit(0)), F.get(known(input_json), F.lit(0)), group_key.cast("variant"))
+    head = F.when(value.isNotNull(), F.create_map(name, value)).otherwise(F.create_map().cast(VARIANTS))
     return F.map_concat(head, answer)
 
 

@@ -266,6 +266,7 @@ def preview(
 ) -> DataFrame:
     """First ready rows (or groups, numbered 1..N) with their merged columns."""
     from rowscribe.functions.jsonx import row_preview
+    from rowscribe.operators.discovery import depth_of
     from rowscribe.operators.groups import first_row_per_group
     from rowscribe.operators.rows import is_previewable
 
@@ -281,7 +282,7 @@ def preview(
     return top.select(
         number.alias("row_number"),
         row_preview(
-            F.col("input_json"), F.col("passthrough_json"), F.col("custom_json"), group_by, F.col("group_key")
+            F.col("input_json"), F.col("passthrough_json"), F.col("custom_json"), group_by, F.col("group_key"), depth_of(top, F.col("custom_json"))
         ).alias("columns"),
         F.col("warnings"),
         F.nullif("error_text", F.lit("")).alias("error"),

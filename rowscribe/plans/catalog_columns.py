@@ -12,6 +12,7 @@ from rowscribe import constants as K
 from rowscribe.functions import jsonx, progress, prompts, text
 from rowscribe.functions.template import compile_template
 from rowscribe.operators import logs
+from rowscribe.operators.discovery import cell_table, depth_of
 from rowscribe.operators import rows as R
 from rowscribe.plans import stand_ins as S
 from rowscribe.plans.catalog_scan import ANSWER_FIELDS, LOG_LINES, MATERIALIZED, PARSED, log_lines
@@ -163,25 +164,44 @@ def prompt(t: Tables) -> DataFrame:
     ),
 )
 def flatten(t: Tables) -> DataFrame:
-    rows = S.answered_rows(t).withColumn("flat", jsonx.flatten_object(F.col("custom_json")))
-    cell = lambda key, name: F.element_at("flat", F.lit(key)).alias(name)
+    rows = S.answered_rows(t)
+    answer = F.col("custom_json")
+    rows = rows.withColumn("flat", jsonx.flatten_object(answer, depth_of(rows, answer)))
+    cell = lambda key, kind, name: jsonx.cell(F.element_at("flat", F.lit(key)), kind).alias(name)
     return rows.select(
         "row_number",
-        cell("category", "category"),
-        cell("score", "score"),
-        cell("meta.quality", "meta_quality"),
-        cell("toxic", "toxic"),
+        cell("category", "string", "category"),
+        cell("score", "double", "score"),
+        cell("meta.quality", "int", "meta_quality"),
+        cell("toxic", "boolean", "toxic"),
         F.size("flat").alias("n_keys"),
     )
 
 
+@query(
+    "prj10_cell_table",
+    with_sql(
+        S.ANSWERED,
+        ANSWER_FIELDS,
+        body="""SELECT row_number, p.position, p.key, p.kind, CASE p.key WHEN 'category' THEN "category" WHEN 'score' THEN CAST("score" AS VARCHAR)
+            WHEN 'meta.quality' THEN CAST("meta.quality" AS VARCHAR) WHEN 'meta.tags' THEN "meta.tags" ELSE CAST("toxic" AS VARCHAR) END AS value
+          FROM flat, (VALUES (0, 'category', 'STRING'), (1, 'score', 'DECIMAL'), (2, 'meta.quality', 'BIGINT'), (3, 'meta.tags', 'ARRAY'), (4, 'toxic', 'BOOLEAN')) p(position, key, kind)
+          WHERE answer IS NOT NULL AND (p.position < 4 OR doc_id % 2 = 0)""",
+    ),
+)
+def cells(t: Tables) -> DataFrame:
+    found = cell_table(S.answered_rows(t), ["row_number"], F.col("custom_json"))
+    return found.select("row_number", "position", "key", jsonx.kind_of(F.col("value")).alias("kind"), jsonx.cell(F.col("value"), "string").alias("value"))
+
+
 @query(
     "prj11_list_cell",
-    with_sql(S.ANSWERED, ANSWER_FIELDS, body='SELECT row_number, "meta.tags" AS tags FROM flat'),
+    with_sql(S.ANSWERED, ANSWER_FIELDS, body='SELECT row_number, "meta.tags" AS tags, "meta.quality" AS quality, "toxic" FROM flat'),
 )
 def list_cell(t: Tables) -> DataFrame:
-    flat = jsonx.flatten_object(F.col("custom_json"))
-    return S.answered_rows(t).select("row_number", flat["meta.tags"].alias("tags"))
+    flat = jsonx.flatten_object(F.col("custom_json"), 1)
+    cell = lambda key, kind, name: jsonx.cell(flat[key], kind).alias(name)
+    return S.answered_rows(t).select("row_number", cell("meta.tags", "string", "tags"), cell("meta.quality", "int", "quality"), cell("toxic", "boolean", "toxic"))
 
 
 @query(
@@ -221,21 +241,21 @@ def row_preview(t: Tables) -> DataFrame:
     sources = [F.col("input_json"), F.col("passthrough_json"), F.col("custom_json")]
     rows = S.answered_rows(t).withColumns(
         {
-            "plain": jsonx.row_preview(*sources),
-            "grouped": jsonx.row_preview(*sources, "source", F.col("group_key")),
+            "plain": jsonx.row_preview(*sources, depth=1),
+            "grouped": jsonx.row_preview(*sources, "source", F.col("group_key"), depth=1),
         }
     )
-    cell = lambda key: F.element_at("plain", F.lit(key)).alias(key)
+    cell = lambda key, kind="string": jsonx.cell(F.element_at("plain", F.lit(key)), kind).alias(key)
     return rows.select(
         "row_number",
         cell("review"),
         cell("lang"),
         cell("source"),
         cell("category"),
-        cell("score"),
+        cell("score", "double"),
         F.coalesce("group_key", F.lit("-")).alias("group_key"),
         F.size("plain").alias("n_columns"),
-        F.element_at("grouped", F.lit("source")).alias("grouped_source"),
+        jsonx.cell(F.element_at("grouped", F.lit("source")), "string").alias("grouped_source"),
         F.size("grouped").alias("n_grouped"),
     )
 

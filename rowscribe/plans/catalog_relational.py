@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowscribe.functions import text, vectors
+from rowscribe.functions import jsonx, text, vectors
 from rowscribe.functions.jsonx import text_list
 from rowscribe.operators import cache, discovery, groups, logs, profile, reports
 from rowscribe.operators import rows as R
@@ -436,15 +436,17 @@ def result_keys(t: Tables) -> DataFrame:
     "agg11_preview_keys",
     with_sql(
         S.ANSWERED,
-        body="""SELECT report_id, k.key AS key, CAST(min(row_number * 10 + k.position) AS BIGINT) AS first_seen FROM answered,
-          (VALUES ('review', 0), ('lang', 1), ('source', 2)) k(key, position) GROUP BY ALL""",
+        ANSWER_FIELDS,
+        body="""SELECT report_id, k.key AS key, CAST(min(row_number * 10 + k.position) AS BIGINT) AS first_seen FROM flat,
+          (VALUES ('review', 0), ('lang', 1), ('source', 2), ('category', 3), ('score', 4), ('meta.quality', 5), ('meta.tags', 6), ('toxic', 7)) k(key, position)
+          WHERE k.position < 3 OR answer IS NOT NULL AND (k.position < 7 OR doc_id % 2 = 0) GROUP BY ALL""",
     ),
 )
 def preview_keys(t: Tables) -> DataFrame:
-    from rowscribe.functions.jsonx import as_map
-
-    merged = F.map_concat(as_map(F.col("input_json")), as_map(F.col("passthrough_json")))
-    seen = discovery.first_seen_keys(S.answered_rows(t), F.map_keys(merged), ["report_id"])
+    rows = S.answered_rows(t)
+    answer = F.col("custom_json")
+    merged = jsonx.row_preview(F.col("input_json"), F.col("passthrough_json"), answer, depth=discovery.depth_of(rows, answer))
+    seen = discovery.first_seen_keys(rows, F.map_keys(merged), ["report_id"])
     order = (F.col("first_row") * 10 + F.col("first_position")).cast("bigint")
     return seen.select("report_id", "key", order.alias("first_seen"))
 
@@ -560,7 +562,7 @@ PREVIEW_READY = """ready AS (
 def preview(t: Tables) -> DataFrame:
     rows = S.answered_rows(t).filter("report_id = 'r3'").withColumn("warnings", text_list(F.col("warnings_json")))
     found = reports.preview(rows)
-    cell = lambda key: F.element_at("columns", F.lit(key)).alias(key)
+    cell = lambda key: jsonx.cell(F.element_at("columns", F.lit(key)), "string").alias(key)
     return found.select(
         F.col("row_number").cast("bigint").alias("row_number"), cell("source"), cell("lang"), cell("category"), "error"
     )
@@ -580,7 +582,7 @@ def preview(t: Tables) -> DataFrame:
 def preview_grouped(t: Tables) -> DataFrame:
     rows = S.answered_rows(t).filter("report_id = 'r3'").withColumn("warnings", text_list(F.col("warnings_json")))
     found = reports.preview(rows, "source")
-    cell = lambda key: F.element_at("columns", F.lit(key)).alias(key)
+    cell = lambda key: jsonx.cell(F.element_at("columns", F.lit(key)), "string").alias(key)
     return found.select("row_number", cell("source"), cell("category"), "error")
 
 

@@ -105,10 +105,10 @@ _CUSTOM = "CASE WHEN TRY_CAST(custom_json AS JSON) IS NOT NULL AND json_type(TRY
 ANSWER_FIELDS = f"""fields AS (
   SELECT *, {_CUSTOM} AS answer FROM answered),
 flat AS (
-  SELECT *, json_extract_string(answer, '$.category') AS "category", json_extract_string(answer, '$.score') AS "score",
-         json_extract_string(answer, '$.meta.quality') AS "meta.quality",
+  SELECT *, json_extract_string(answer, '$.category') AS "category", CAST(json_extract_string(answer, '$.score') AS DOUBLE) AS "score",
+         CAST(json_extract_string(answer, '$.meta.quality') AS BIGINT) AS "meta.quality",
          CASE WHEN answer IS NOT NULL THEN 'a, b' || (doc_id % 3) END AS "meta.tags",
-         json_extract_string(answer, '$.toxic') AS "toxic"
+         CAST(json_extract_string(answer, '$.toxic') AS BOOLEAN) AS "toxic"
   FROM fields)"""
 
 WARNINGS_SQL = """CASE doc_id % 4 WHEN 0 THEN 'empty_cell, cache_hit' WHEN 1 THEN 'plain note'
@@ -150,6 +150,44 @@ def wide_export_grouped(t: Tables) -> DataFrame:
     return export.wide_results(S.answered_rows(t), group_by="source")
 
 
+@query(
+    "src06_named_export",
+    with_sql(
+        S.ANSWERED,
+        ANSWER_FIELDS,
+        f"""done AS (SELECT * FROM flat WHERE {MATERIALIZED}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY row_number) AS rn FROM done)""",
+        body=f"""SELECT row_number, source, "toxic", CAST("score" AS DECIMAL(4,2)) AS "score", {WARNINGS_SQL} AS warnings, error_text AS error
+        FROM ranked WHERE coalesce(group_key, '') = '' OR rn = 1""",
+    ),
+)
+def named_export(t: Tables) -> DataFrame:
+    """Columns and types as the caller names them; no key is looked for."""
+    return export.wide_results(S.answered_rows(t), carried={"source": "string"}, answered={"toxic": "boolean", "score": "decimal(4,2)"})
+
+
+@query(
+    "src06_long_export",
+    with_sql(
+        S.ANSWERED,
+        ANSWER_FIELDS,
+        f"""done AS (SELECT * FROM flat WHERE {MATERIALIZED}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY row_number) AS rn FROM done)""",
+        body="""SELECT row_number, p.key, CASE p.key WHEN 'score' THEN "score" WHEN 'meta.quality' THEN "meta.quality" END AS number,
+            CASE p.key WHEN 'toxic' THEN "toxic" END AS flag, CASE p.key WHEN 'category' THEN "category" WHEN 'meta.tags' THEN "meta.tags" END AS word
+          FROM ranked, (VALUES ('category'), ('score'), ('meta.quality'), ('meta.tags'), ('toxic')) p(key)
+          WHERE (coalesce(group_key, '') = '' OR rn = 1) AND answer IS NOT NULL AND (p.key <> 'toxic' OR doc_id % 2 = 0)""",
+    ),
+)
+def long_export(t: Tables) -> DataFrame:
+    found, value = export.long_results(S.answered_rows(t)), F.col("value")
+    kind = jsonx.kind_of(value)
+    number = F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), jsonx.cell(value, "double")).alias("number")
+    flag = F.when(kind == "BOOLEAN", jsonx.cell(value, "boolean")).alias("flag")
+    word = F.when(kind.isin("STRING", "ARRAY"), jsonx.cell(value, "string")).alias("word")
+    return found.select("row_number", "key", number, flag, word)
+
+
 SUMMARY_SQL = """SELECT count(*) AS total, count(*) FILTER (WHERE coalesce(error_text, '') = '' AND custom_json IS NOT NULL) AS ok,
     count(*) FILTER (WHERE coalesce(error_text, '') <> '') AS bad FROM answered"""
 
@@ -196,6 +234,25 @@ def partial_export(t: Tables) -> DataFrame:
     return export.export_summary(S.answered_rows(t), partial=True)
 
 
+@query(
+    "src09_partial_rows",
+    with_sql(
+        S.ANSWERED,
+        ANSWER_FIELDS,
+        f"done AS (SELECT * FROM flat WHERE {MATERIALIZED} AND report_id = 'r3')",
+        """ranked AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY row_number) AS rn FROM done)""",
+        body=f"""SELECT row_number, source, upper(lang) AS lang, "category", "score", "meta.quality", "meta.tags", "toxic",
+          {WARNINGS_SQL} AS warnings, error_text AS error
+        FROM ranked WHERE coalesce(group_key, '') = '' OR rn = 1""",
+    ),
+)
+def partial_rows(t: Tables) -> DataFrame:
+    """What an unfinished report gives as written: rows with an outcome, none that wait."""
+    path = scratch_path(t.spark, "partial")
+    export.write_export(S.answered_rows(t).filter("report_id = 'r3'"), path, partial=True)
+    return t.spark.read.parquet(f"{path}/results")
+
+
 LOG_LINES = """log_lines AS (
   SELECT event_id AS idx, 'f' || (user_id % 3) AS file,
          CASE event_id % 6 WHEN 0 THEN 'plain ' || event_type || ' line ' || event_id WHEN 1 THEN '   ' WHEN 2 THEN '["list"]'

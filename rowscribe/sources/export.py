@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscribe.functions import jsonx
-from rowscribe.operators.discovery import ANSWER, PASSTHROUGH, ordered_names, result_keys
+from rowscribe.operators.discovery import ANSWER, PASSTHROUGH, answer_text, cell_table, named_columns, result_keys
 from rowscribe.operators.groups import first_row_per_group, number_groups
 from rowscribe.operators.reports import report_summary
 from rowscribe.operators.rows import is_materialized
@@ -28,44 +28,59 @@ def finished_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(done)
 
 
+def _typed(names: list[str] | dict[str, str]) -> dict[str, str]:
+    return names if isinstance(names, dict) else dict.fromkeys(names, "variant")
+
+
 def wide_results(
     rows: DataFrame,
     group_by: str | None = None,
-    carried: list[str] | None = None,
-    answered: list[str] | None = None,
+    carried: list[str] | dict[str, str] | None = None,
+    answered: list[str] | dict[str, str] | None = None,
 ) -> DataFrame:
     """One wide row per row or group: number, carried keys, answer keys, notes.
 
-    Keys are discovered by one aggregation unless given. An answer key that
-    repeats an earlier column name is written as ``answer.<key>``.
+    ``carried`` and ``answered`` name keys, with a type each or as VARIANT; keys that
+    are not given are found by one aggregation, with the type that keeps all their
+    values. Numbers and flags stay what they are, lists are joined to one text. An
+    answer key that repeats an earlier column name is written as ``answer.<key>``.
     """
     done = finished_rows(rows)
     if carried is None or answered is None:
-        names = ordered_names(result_keys(done, group_by))
-        carried = names[PASSTHROUGH] if carried is None else carried
-        answered = names[ANSWER] if answered is None else answered
+        found = named_columns(result_keys(done, group_by))
+        carried = found[PASSTHROUGH] if carried is None else carried
+        answered = found[ANSWER] if answered is None else answered
+    carried, answered = _typed(carried), _typed(answered)
     chosen = first_row_per_group(done, ["group_key"]) if "group_key" in rows.columns else done
     number = "row_number"
     if group_by:
         chosen, number = number_groups(chosen), "group_number"
-    legacy = F.col("analysis_json") if "analysis_json" in rows.columns else None
-    flat = chosen.withColumn("_in", jsonx.as_map(F.col("passthrough_json"))).withColumn(
-        "_out", jsonx.flatten_object(jsonx.analysis_text(F.col("custom_json"), legacy))
-    )
+    # A key opens as many objects as it has dots at most.
+    depth = max((key.count(".") for key in answered), default=0)
+    flat = chosen.withColumn("_in", jsonx.as_variants(F.col("passthrough_json"))).withColumn("_out", jsonx.flatten_object(answer_text(rows), depth))
     taken = {number, "warnings", "error", *carried}
-    names = [k if k not in taken else f"answer.{k}" for k in answered]
     notes = (
         F.col("warnings") if "warnings" in rows.columns else jsonx.text_list(_column(rows, "warnings_json"))
     )
     return flat.select(
         F.col(number),
-        *[F.element_at("_in", F.lit(k)).alias(k) for k in carried],
-        *[F.element_at("_out", F.lit(k)).alias(n) for k, n in zip(answered, names)],
+        *[jsonx.cell(F.element_at("_in", F.lit(k)), kind).alias(k) for k, kind in carried.items()],
+        *[jsonx.cell(F.element_at("_out", F.lit(k)), kind).alias(k if k not in taken else f"answer.{k}") for k, kind in answered.items()],
         F.array_join(F.coalesce(notes, F.array().cast("array<string>")), ", ").alias("warnings"),
         _column(rows, "error", "error_text").alias("error"),
     )
 
 
+def long_results(rows: DataFrame, group_by: str | None = None) -> DataFrame:
+    """row_number, position, key and value (VARIANT) of every answer cell of the wide results, with no list of columns."""
+    done = finished_rows(rows)
+    chosen = first_row_per_group(done, ["group_key"]) if "group_key" in rows.columns else done
+    number = "row_number"
+    if group_by:
+        chosen, number = number_groups(chosen), "group_number"
+    return cell_table(chosen, [number], answer_text(rows))
+
+
 def export_summary(rows: DataFrame, partial: bool = False) -> DataFrame:
     """The summary of an export; a running report says so and has no row total done."""
     total = report_summary(rows)

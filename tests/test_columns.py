@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowscribe import constants as K
+from rowscribe.operators import discovery
 from rowscribe.functions import jsonx, progress, prompts, text, vectors
 
 
@@ -109,11 +110,30 @@ def test_object_or_empty(spark):
     assert column(spark, values, jsonx.object_or_empty) == ['{"a":1}', "{}", "{}", "{}", "{}", "{}", " {} "]
 
 
+def plain_cells(found):
+    return {key: None if value is None else value.toPython() for key, value in found.items()}
+
+
 def test_flatten_any_depth(spark):
-    deep = {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}, "l": ["x", None, 2], "n": None, "t": True, "z": {}}
-    got = column(spark, [json.dumps(deep), "[]", None], jsonx.flatten_object)
-    assert got[0] == {"a.b.c.d.e.f": "1", "l": "x, 2", "n": None, "t": "true"}
-    assert got[1:] == [{}, {}]
+    deep = {"z": 1, "a": {"c": {"b": {"d": {"e": {"f": 1}}}, "a": 0.5}}, "l": ["x", None, 2], "n": None, "t": True, "o": {}, "a.c.a": "later"}
+    df = spark.createDataFrame([(json.dumps(deep),), ("[]",), (None,), ('{"s":"1","b":12345678901234567890,"s":2}',)], "t string")
+    assert discovery.depth_of(df, F.col("t")) == 5 and discovery.depth_of(df.filter("t LIKE '{\"s%'"), F.col("t")) == 0
+    flat = jsonx.flatten_object(F.col("t"), 5)
+    got = [plain_cells(r[0]) for r in df.select(flat).collect()]
+    # Source order, types kept; of a key met twice the place of the first and the value of the last.
+    assert df.select(F.map_keys(flat)).first()[0] == ["z", "a.c.b.d.e.f", "a.c.a", "l", "n", "t"]
+    assert got[0] == {"z": 1, "a.c.b.d.e.f": 1, "a.c.a": "later", "l": ["x", None, 2], "n": None, "t": True}
+    assert got[1:3] == [{}, {}] and got[3]["s"] == 2 and int(got[3]["b"]) == 12345678901234567890
+
+
+def test_cells_keep_their_type(spark):
+    text_in = '{"i":9,"f":4.75,"w":1.0,"t":true,"s":"9","l":["a",null,true,1.5,{"k":1}],"e":[],"n":null}'
+    flat = jsonx.flatten_object(F.col("t"), 0)
+    kinds = {"i": "bigint", "f": "double", "w": "double", "t": "boolean", "s": "string", "l": "string", "e": "string", "n": "string"}
+    row = spark.createDataFrame([(text_in,)], "t string").select(*[jsonx.cell(flat[k], kind).alias(k) for k, kind in kinds.items()]).first()
+    assert tuple(row) == (9, 4.75, 1.0, True, "9", 'a, True, 1.5, {"k":1}', "", None)
+    assert discovery.column_type(["BIGINT", "VOID"]) == "bigint" and discovery.column_type(["BIGINT", "DECIMAL"]) == "double"
+    assert discovery.column_type(["BIGINT", "STRING"]) == "variant" and discovery.column_type(["VOID"]) == "string"
 
 
 def test_text_list(spark):
@@ -133,13 +153,13 @@ def test_preview_merge(spark):
         [('{"a":"1","b":"2"}', '{"b":"3","c":"4"}', '{"c":{"d":5},"a":"6"}', "g1")], "i string, p string, c string, g string"
     )
     plain, grouped, fallback = df.select(
-        jsonx.row_preview(F.col("i"), F.col("p"), F.col("c")),
-        jsonx.row_preview(F.col("i"), F.col("p"), F.col("c"), "b", F.col("g")),
-        jsonx.row_preview(F.col("i"), F.col("p"), F.col("c"), "zone", F.col("g")),
+        jsonx.row_preview(F.col("i"), F.col("p"), F.col("c"), depth=1),
+        jsonx.row_preview(F.col("i"), F.col("p"), F.col("c"), "b", F.col("g"), depth=1),
+        jsonx.row_preview(F.col("i"), F.col("p"), F.col("c"), "zone", F.col("g"), depth=1),
     ).first()
-    assert plain == {"a": "6", "b": "3", "c": "4", "c.d": "5"}
-    assert grouped == {"b": "3", "c.d": "5", "a": "6"}
-    assert fallback == {"zone": "g1", "c.d": "5", "a": "6"}
+    assert plain_cells(plain) == {"a": "6", "b": "3", "c": "4", "c.d": 5}
+    assert plain_cells(grouped) == {"b": "3", "c.d": 5, "a": "6"}
+    assert plain_cells(fallback) == {"zone": "g1", "c.d": 5, "a": "6"}
 
 
 KEY = dict(provider="p", model="m", mode="custom", prompt_template="t")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import os
 import zipfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from rowscribe.operators import events as batch_events
-from rowscribe.functions import jsonx
-from rowscribe.operators import logs
+from rowscribe.operators import discovery, logs
 from rowscribe.sources import export, sheets, tables
 from rowscribe.sources.logs import read_lines
 from rowscribe.streaming import events, intake
@@ -110,10 +110,20 @@ def test_wide_export(spark):
     assert wide.columns == ["row_number", "src", "more", "b", "a.c", "answer.src", "n", "warnings", "error"]
     got = [tuple(r) for r in wide.orderBy("row_number").collect()]
     assert got == [
-        (2, "a", None, "1", "1, z", None, None, "w1, w2", None),
+        (2, "a", None, 1, "1, z", None, None, "w1, w2", None),
         (5, "c", None, None, None, None, None, "", "broken"),
-        (6, None, None, None, None, None, "0.5", "", "broken too"),
+        (6, None, None, None, None, None, 0.5, "", "broken too"),
     ]
+    assert dict(wide.dtypes)["b"] == "bigint" and dict(wide.dtypes)["n"] == "double"
+    # Nothing runs in Python, and named keys need no look at the rows.
+    assert "Python" not in wide._jdf.queryExecution().toString() and "Pandas" not in wide._jdf.queryExecution().toString()
+    named = export.wide_results(report(spark), carried=["src"], answered={"a.c": "string", "n": "decimal(3,1)", "gone": "int"})
+    assert [tuple(r)[2:5] for r in named.orderBy("row_number").collect()] == [("1, z", None, None), (None, None, None), (None, Decimal("0.5"), None)]
+    assert dict(named.dtypes)["src"] == "variant"
+    cells = [(r.row_number, r.position, r.key, r.value.toPython()) for r in export.long_results(report(spark)).orderBy("row_number", "position").collect()]
+    assert cells == [(2, 0, "b", 1), (2, 1, "a.c", [1, None, "z"]), (6, 0, "n", 0.5)]
+    with pytest.raises(ValueError):
+        discovery.named_columns(discovery.result_keys(export.finished_rows(report(spark))), most=2)
     grouped = export.wide_results(report(spark), "src")
     assert grouped.columns[:2] == ["group_number", "src"] and "more" not in grouped.columns
     assert [r.group_number for r in grouped.orderBy("group_number").collect()] == [1, 2, 3]
@@ -252,7 +262,10 @@ def test_rejected_files_and_letter_case(spark, tmp_path):
 
 
 def test_deeply_nested_answer(spark):
+    # Deeper than a JSON reader goes: no answer, like any text that is no object.
     deep = '{"a":' * 10_000 + "1" + "}" * 10_000
-    rows = spark.createDataFrame([(deep,), ('{"a":{"b":{"c":[1,null,"z"]}},"d":true}',)], "t string")
-    found = [r[0] for r in rows.select(jsonx.flatten_object("t")).collect()]
-    assert found[1] == {"a.b.c": "1, z", "d": "true"} and isinstance(found[0], dict)
+    some = '{"a":' * 60 + "1" + "}" * 60
+    rows = spark.createDataFrame([(deep,), ('{"a":{"b":{"c":[1,null,"z"]}},"d":true}',), (some,)], "t string")
+    assert discovery.depth_of(rows.filter("length(t) < 1000"), F.col("t")) == 59
+    found = discovery.cell_table(rows.filter("length(t) < 100 OR length(t) > 1000"), [], F.col("t")).collect()
+    assert [(r.key, r.value.toPython()) for r in found] == [("a.b.c", [1, None, "z"]), ("d", True)]
