@@ -2,15 +2,15 @@
 
 A callable sees one prompt and returns ``(answer_text, raw_json_text)``. Every
 distinct cache key is asked once. Checks and retry prompts are column
-expressions; only the call itself runs in Python. Each attempt is written to
-the shared folder, so a lost executor never repeats answered calls.
+expressions; only the call itself runs in Python. Answers are appended to a
+journal by every task that finishes and read from there before anything is asked,
+so neither a lost executor nor a run started again repeats answered calls.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +20,8 @@ from rowscribe.functions import jsonx
 from rowscribe.functions.prompts import with_feedback
 from rowscribe.functions.text import squash
 from rowscribe.functions.validation import accepted_answer, answer_error, extra_keys_warning
-from rowscribe.session import cut
+from rowscribe.operators.calls import TASK_CALLS, call_in_waves, empty_journal
+from rowscribe.session import cut, scratch_path
 
 Annotator = Callable[[str], tuple[str, str | None]]
 Embedder = Callable[[str], list[float]]
@@ -38,8 +39,18 @@ class EmbedderMissing(Exception):
     """Raised by an embedder that does not exist; no further calls are made."""
 
 
-def _ask(requests: DataFrame, annotator: Annotator) -> DataFrame:
-    def ask_one(prompt: str):
+REPLY = T.StructType([T.StructField(name, T.StringType()) for name in ("answer", "raw", "failure", "overflow_model", "overflow_message")])
+JOURNAL = T.StructType([T.StructField(name, T.StringType()) for name in ("cache_key", "prompt_key", "turn")] + REPLY.fields)
+_ASKED = ["cache_key", "prompt_key"]
+
+
+def _prompt_key(prompt: Column, wrong: Column) -> Column:
+    """What was asked, and after how many wrong answers: the same words may be asked again."""
+    return F.concat_ws("-", F.sha2(prompt, 256), wrong.cast("string"))
+
+
+def _asking(annotator: Annotator):
+    def ask(prompt: str):
         try:
             answer, raw = annotator(prompt)
             return answer, raw, None, None, None
@@ -48,17 +59,20 @@ def _ask(requests: DataFrame, annotator: Annotator) -> DataFrame:
         except Exception as problem:  # a failed call is data: it is retried, then reported
             return None, None, f"{type(problem).__name__}: {problem}", None, None
 
-    names = ["answer", "raw", "failure", "overflow_model", "overflow_message"]
+    return ask
 
-    def ask(batches):
-        for pdf in batches:
-            replies = pd.DataFrame(
-                [ask_one(p) for p in pdf["prompt"]], columns=names, index=pdf.index, dtype=object
-            )
-            yield pd.concat([pdf, replies], axis=1)
 
-    added = [T.StructField(name, T.StringType()) for name in names]
-    return requests.mapInPandas(ask, T.StructType([*requests.schema.fields, *added]))
+def _replies(waiting: DataFrame, annotator: Annotator, journal: str, resumed: bool, turn: str, parallelism: int, task_calls: int) -> DataFrame:
+    """``waiting`` with the reply to each prompt; only prompts the journal has no answer to are asked."""
+    todo = waiting.select(*_ASKED, F.lit(turn).alias("turn"), "prompt")
+    if resumed:
+        known = waiting.sparkSession.read.schema(JOURNAL).parquet(journal)
+        todo = cut(todo.join(known.filter("failure IS NULL").select(*_ASKED), _ASKED, "left_anti"), "todo")
+    call_in_waves(todo, "cache_key", "prompt", _asking(annotator), REPLY, journal, limit=parallelism, task_calls=task_calls)
+    # Failures of earlier turns are no answers; of repeated answers to one prompt any will do.
+    found = waiting.sparkSession.read.schema(JOURNAL).parquet(journal).filter((F.col("failure").isNull()) | (F.col("turn") == turn))
+    one = found.groupBy(*_ASKED).agg(F.max_by(F.struct(*REPLY.names), F.col("failure").isNull()).alias("reply"))
+    return waiting.join(one, _ASKED).select(*waiting.columns, "reply.*")
 
 
 def annotate(
@@ -70,30 +84,42 @@ def annotate(
     retries: int = K.RETRIES,
     parallelism: int = K.PARALLEL_CALLS,
     use_cache: bool = True,
+    journal: str | None = None,
+    task_calls: int = TASK_CALLS,
 ) -> DataFrame:
     """Answers per cache key.
 
-    ``requests``: ``cache_key`` (unique), ``prompt``, ``review_text``. The number
-    of calls at a time is the number of partitions of the calling stage.
+    ``requests``: ``cache_key`` (unique), ``prompt``, ``review_text``. At most
+    ``parallelism`` calls are open at a time, however many requests and executors
+    there are. ``journal`` names a folder that outlives a run: a run with the same
+    journal asks only what finished tasks have not answered. Without one the answers
+    are kept in the scratch folder, for this run alone.
     """
     start = [] if use_cache else [F.lit("cache_disabled")]
+    resumed = journal is not None
+    journal = journal or scratch_path(requests.sparkSession, "journal")
+    empty_journal(requests.sparkSession, journal, JOURNAL)
+    run = scratch_path(requests.sparkSession, "run").rsplit("-", 1)[1]
     waiting = requests.select(
         "cache_key",
         F.col("prompt").alias("first_prompt"),
         "prompt",
+        _prompt_key(F.col("prompt"), F.lit(0)).alias("prompt_key"),
+        F.lit(0).alias("wrong"),
         jsonx.fallback_prompt_tokens(F.col("review_text")).alias("guessed_tokens"),
         F.array(*start).cast("array<string>").alias("notes"),
     )
     finished: DataFrame | None = None
     for attempt in range(retries + 1):
-        asked = _ask(waiting.repartition(parallelism, "cache_key"), annotator)
+        waiting = cut(waiting, "waiting")
+        asked = _replies(waiting, annotator, journal, resumed, f"{run}-{attempt}", parallelism, task_calls)
         answered = F.col("failure").isNull() & F.col("overflow_model").isNull()
-        error = F.when(answered, answer_error(F.col("answer"), schema, template))
-        checked = asked.withColumn("problem", error)
+        # Answers are checked after they are stored, at the width of the data and not of the calls.
+        checked = asked.withColumn("problem", F.when(answered, answer_error(F.col("answer"), schema, template)))
         if template:
             extra = F.array_compact(F.array(extra_keys_warning(F.col("answer"), template)))
             checked = checked.withColumn("notes", F.concat("notes", extra))
-        checked = cut(checked.withColumn("attempts", F.lit(attempt + 1)))
+        checked = cut(checked.withColumn("attempts", F.lit(attempt + 1)), "checked")
 
         final = (
             F.col("overflow_model").isNotNull()
@@ -102,23 +128,24 @@ def annotate(
         )
         done = checked.filter(final)
         finished = done if finished is None else finished.unionByName(done)
-        if attempt == retries:
+        if attempt == retries or checked.filter(~final).isEmpty():
             break
         # Only an answer that was read and found wrong gives feedback.
         corrigible = F.col("problem").isNotNull() & F.try_parse_json("answer").isNotNull()
-        again = with_feedback(F.col("first_prompt"), F.col("problem"), F.col("answer"))
+        again = F.when(corrigible, with_feedback(F.col("first_prompt"), F.col("problem"), F.col("answer"))).otherwise(F.col("first_prompt"))
         # A retry with feedback, and every attempt without a cache, bypasses the cache.
         bypasses = corrigible if use_cache else F.lit(True)
         noted = F.array_append("notes", F.lit("cache_disabled"))
+        wrong = F.col("wrong") + F.col("failure").isNull().cast("int")
         waiting = checked.filter(~final).select(
             "cache_key",
             "first_prompt",
-            F.when(corrigible, again).otherwise(F.col("first_prompt")).alias("prompt"),
+            again.alias("prompt"),
+            _prompt_key(again, wrong).alias("prompt_key"),
+            wrong.alias("wrong"),
             "guessed_tokens",
             F.when(bypasses, noted).otherwise(F.col("notes")).alias("notes"),
         )
-        if waiting.isEmpty():
-            break
     return _outcome(finished, template)
 
 
@@ -153,37 +180,42 @@ def _outcome(checked: DataFrame, template: dict | None) -> DataFrame:
     )
 
 
-def embed(requests: DataFrame, text: str, embedder: Embedder, parallelism: int = K.PARALLEL_CALLS) -> DataFrame:
+EMBEDDED = T.StructType([T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("embedding_note", T.StringType())])
+
+
+def embed(
+    requests: DataFrame, text: str, embedder: Embedder, parallelism: int = K.PARALLEL_CALLS, task_calls: int = TASK_CALLS
+) -> DataFrame:
     """Add ``embedding``, a vector of the normalised text, and ``embedding_note``.
 
-    A failed call gives no vector and a note. An embedder that reports itself
-    missing is noted once and not called again by that task.
+    Equal texts are embedded once. A failed call gives no vector and a note. The
+    first text is asked alone: an embedder that reports itself missing is called
+    once in the whole run (or, if it goes missing later, no more after the wave that
+    found out), and all rows with text get the note. Blank texts are not asked.
     """
 
     def embed_one(value: str):
         try:
-            return [float(x) for x in embedder(value)] or None, None, False
+            return [float(x) for x in embedder(value)] or None, None
         except EmbedderMissing:
-            return None, K.NOTE_EMBEDDER_MISSING, True
+            return None, K.NOTE_EMBEDDER_MISSING
         except Exception:  # the exact path still works without a vector
-            return None, K.NOTE_EMBEDDING_FAILED, False
-
-    def embed_batches(batches):
-        missing = False
-        for pdf in batches:
-            vectors, notes = [], []
-            for value in pdf["_text"]:
-                vector, note = None, None
-                if value and not missing:
-                    vector, note, missing = embed_one(value)
-                vectors.append(vector)
-                notes.append(note)
-            yield pdf.drop(columns="_text").assign(embedding=vectors, embedding_note=notes)
-
-    added = [
-        T.StructField("embedding", T.ArrayType(T.DoubleType())),
-        T.StructField("embedding_note", T.StringType()),
-    ]
-    schema = T.StructType([*requests.schema.fields, *added])
-    prepared = requests.withColumn("_text", squash(F.coalesce(F.col(text), F.lit(""))))
-    return prepared.repartition(parallelism).mapInPandas(embed_batches, schema)
+            return None, K.NOTE_EMBEDDING_FAILED
+
+    gone = F.col("embedding_note") == K.NOTE_EMBEDDER_MISSING
+    prepared = requests.withColumn("_text", squash(F.coalesce(F.col(text), F.lit("")))).withColumn("_text_key", F.sha2("_text", 256))
+    prepared = cut(prepared, "texts")
+    asked = cut(prepared.filter("_text != ''").groupBy("_text_key").agg(F.first("_text").alias("_text")), "asked")
+    path = scratch_path(requests.sparkSession, "vectors")
+    key = T.StructField("_text_key", T.StringType())
+    empty_journal(requests.sparkSession, path, T.StructType([key, *EMBEDDED.fields]))
+    call_in_waves(
+        asked, "_text_key", "_text", embed_one, EMBEDDED, path, limit=parallelism, task_calls=task_calls,
+        go_on=lambda found: found.filter(gone).isEmpty(),
+    )
+    found = requests.sparkSession.read.schema(T.StructType([key, *EMBEDDED.fields])).parquet(path)
+    # A lost task may have answered a text twice.
+    found = found.groupBy("_text_key").agg(F.first(F.struct(*EMBEDDED.names)).alias("_found"), F.lit(True).alias("_asked"))
+    unasked = F.when((F.col("_text") != "") & F.col("_asked").isNull(), F.lit(K.NOTE_EMBEDDER_MISSING))
+    note = F.coalesce(F.col("_found.embedding_note"), unasked).alias("embedding_note")
+    return prepared.join(found, "_text_key", "left").select(*requests.columns, F.col("_found.embedding").alias("embedding"), note)

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from rowscribe import constants as K
 from rowscribe.functions.validation import accepted_answer, answer_error
-from rowscribe.operators import skew
 from rowscribe.operators.ordering import ordered_number
 
 SEMANTIC_KEYS = [
@@ -99,10 +98,10 @@ def _by_join(requests: DataFrame, candidates: DataFrame, keys: list[str], block_
     The candidates of a key, at most the limit, are repeated once per block, so
     a key that holds most requests is spread over as many tasks as it has blocks.
     """
-    sizes = skew.key_sizes(requests, keys)
+    sizes = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))
     blocks = sizes.select(*keys, F.ceil(F.col("key_rows") / block_rows).cast("int").alias("_blocks"))
     place = F.pmod(F.xxhash64(*requests.columns), F.col("_blocks")).cast("int")
-    left = skew.lookup(requests, blocks, keys, sizes).withColumn("_block", F.coalesce(place, F.lit(0)))
+    left = requests.join(blocks, keys, "left").withColumn("_block", F.coalesce(place, F.lit(0)))
     right = candidates.join(blocks, keys).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     )

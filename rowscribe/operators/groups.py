@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rowscribe import constants as K
 from rowscribe.functions import jsonx
-from rowscribe.operators import skew
 from rowscribe.operators.ordering import sequential_number
 
 
@@ -33,7 +32,7 @@ def mark_oversize(
     """Rows of a group above the limit become errors; the others stay as they are."""
     stats = group_stats(rows, keys) if stats is None else stats
     big = stats.filter(F.col("key_rows") > max_rows).select(*keys, F.col("key_rows").alias("group_size"))
-    found = skew.lookup(rows, big, keys, stats, ["row_number"])
+    found = rows.join(big, keys, "left")
     too_big = F.col("group_size").isNotNull()
     size = F.col("group_size").cast("string")
     head, middle, tail = K.MSG_LARGE_GROUP
@@ -66,7 +65,7 @@ def assemble(
     small = rows
     if max_rows is not None:
         stats = group_stats(rows, keys) if stats is None else stats
-        small = skew.drop_keys(rows, stats.filter(F.col("key_rows") > max_rows), keys, "key_rows")
+        small = rows.join(stats.filter(F.col("key_rows") > max_rows), keys, "left_anti")
     text = F.coalesce("review_text", F.lit(""))
     item = F.struct("row_number", text.alias("review_text"), "input_json")
     packed = small.groupBy(*keys).agg(
@@ -136,7 +135,7 @@ def spread_answers(
     """
     stats = group_stats(rows, keys) if stats is None else stats
     per_group = stats.drop("key_rows").join(answers, keys, "left")
-    found = skew.lookup(rows, per_group, keys, stats, ["row_number"])
+    found = rows.join(per_group, keys, "left")
     for name in ("prompt_tokens", "completion_tokens", "total_tokens"):
         if name in answers.columns:
             first = (F.col("row_number") == F.col("first_row_number")) & F.col(name).isNotNull()

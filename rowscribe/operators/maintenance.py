@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowscribe import constants as K
-from rowscribe.operators import skew
 from rowscribe.operators.cache import delete_keys, upsert
 from rowscribe.operators.reports import unreferenced_uploads
 
@@ -128,10 +127,8 @@ def delete_reports(reports: DataFrame, rows: DataFrame, uploads: DataFrame, gone
     Only owners of a deleted report lose their unreferenced uploads.
     """
     left = delete_keys(reports, gone, ["id"])
-    # One report may hold most rows: its rows are dropped where they are read.
-    unwanted = gone.select(F.col("id").alias("report_id")).distinct()
-    sizes = skew.key_sizes(rows, ["report_id"]).join(unwanted, "report_id", "left_semi")
-    rows_left = skew.drop_keys(rows, sizes, ["report_id"], "key_rows")
+    # One report may hold most rows; the adaptive join splits it.
+    rows_left = delete_keys(rows, gone.select(F.col("id").alias("report_id")), ["report_id"])
     owners = reports.join(gone.select("id").distinct(), "id", "left_semi").select("user_id").distinct()
     orphaned = unreferenced_uploads(uploads, left).join(owners, "user_id", "left_semi")
     return left, rows_left, delete_keys(uploads, orphaned, ["user_id", "id"])

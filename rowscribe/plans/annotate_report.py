@@ -16,7 +16,7 @@ from rowscribe.functions import jsonx, prompts
 from rowscribe.functions.template import compile_template
 from rowscribe.functions.validation import accepted_answer, answer_error
 from rowscribe.operators import cache as caches
-from rowscribe.operators import groups, skew
+from rowscribe.operators import groups
 from rowscribe.operators.annotate import Annotator, Embedder, annotate, embed
 from rowscribe.operators.rows import skips_model
 from rowscribe.session import cut
@@ -47,6 +47,8 @@ class Job:
     retries: int = K.RETRIES
     parallelism: int = K.PARALLEL_CALLS
     use_cache: bool = True
+    #: Folder of the answers already given; name one to go on after an interruption.
+    journal: str | None = None
 
     @property
     def schema(self) -> dict | None:
@@ -117,12 +119,11 @@ def _similar(misses: DataFrame, job: Job, semantic: DataFrame, embedder: Embedde
         job.parallelism,
     )
     # Vectors come from a model: make them once.
-    found = caches.semantic_lookup(cut(asked), semantic)
+    found = cut(caches.semantic_lookup(cut(asked), semantic), "similar")
     answers = semantic.select(
         "semantic_key", F.col("analysis_json").alias("_answer"), F.col("raw_json").alias("_raw")
     )
-    sizes = skew.key_sizes(found, ["semantic_key"])
-    joined = skew.lookup(found, answers, ["semantic_key"], sizes)
+    joined = found.join(answers, "semantic_key", "left")
     good = F.col("_answer").isNotNull() & answer_error(F.col("_answer"), job.schema, job.template).isNull()
     note = F.concat(F.lit("semantic_cache_hit:"), F.col("similarity").cast("string"))
     return (
@@ -170,6 +171,7 @@ def answer_requests(
         retries=job.retries,
         parallelism=job.parallelism,
         use_cache=job.use_cache,
+        journal=job.journal,
     )
     notes = waiting.select("cache_key", F.col("cache_notes").alias("_notes"))
     asked = fresh.join(notes, "cache_key").withColumn("answer_warnings", F.concat("_notes", "answer_warnings"))
@@ -211,7 +213,7 @@ def annotate_report(
             flow = groups.mark_oversize(pending, ["group_key"], job.group_max_rows, stats)
         flow = flow.withColumn("_aside", F.col("status") == "error")
         units = groups.assemble(pending, ["group_key"], job.group_by, job.group_max_rows, stats)
-        units = with_keys(units.withColumnRenamed("warnings", "unit_warnings"), job)
+        units = cut(with_keys(units.withColumnRenamed("warnings", "unit_warnings"), job), "units")
         requests = cut(distinct_requests(units))
     else:
         empty = skips_model(F.col("review_text"), F.col("input_json"))
@@ -228,11 +230,11 @@ def annotate_report(
     none = F.array().cast("array<string>")
     if job.group_by:
         slim = units.select("group_key", "row_number", "cache_key", "unit_warnings")
-        per_unit = skew.lookup(slim, answers, ["cache_key"], requests, ["row_number"])
+        per_unit = slim.join(answers, "cache_key", "left")
         per_group = per_unit.select("group_key", "unit_warnings", *ANSWER)
         done = groups.spread_answers(flow, per_group, ["group_key"], stats)
     else:
-        done = skew.lookup(flow, answers, ["cache_key"], requests, ["row_number"])
+        done = flow.join(answers, "cache_key", "left")
         done = done.withColumn("unit_warnings", none)
     merged = F.concat("warnings", F.coalesce("unit_warnings", none), F.coalesce("answer_warnings", none))
     failed = F.coalesce("error_text", F.lit("")) != ""

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowscribe import constants as K
@@ -296,18 +300,35 @@ def group_annotation(t: Tables) -> DataFrame:
         S.SHEET,
         S.CLEAN,
         S.PACKED,
-        body=f"SELECT count(DISTINCT {SQUASH.format('input_json')}) AS calls, 4 AS tasks FROM packed",
+        body=f"SELECT count(DISTINCT {SQUASH.format('input_json')}) AS calls, true AS within_limit FROM packed",
     ),
 )
 def bounded_calls(t: Tables) -> DataFrame:
+    """Every distinct input is asked once, and never more than four calls are open."""
     from rowscribe.operators.annotate import annotate
 
+    def timed(prompt: str):
+        begun = time.time_ns()
+        answer, _ = rules.annotator(prompt)
+        return answer, json.dumps({"usage": {"prompt_tokens": 0}, "begun": begun, "ended": time.time_ns()})
+
     job = Job(rules.PROMPT, rules.TEMPLATE, parallelism=4)
     requests = distinct_requests(with_keys(S.packed(t), job)).withColumn("prompt", F.concat(F.lit("a\nROW="), "input_json"))
-    answers = annotate(requests, rules.annotator, template=None, schema=None, retries=0, parallelism=4)
-    return answers.withColumn("task", F.spark_partition_id()).agg(
-        F.count(F.lit(1)).alias("calls"), F.count_distinct("task").cast("int").alias("tasks")
-    )
+    answers = annotate(requests, timed, template=None, schema=None, retries=0, parallelism=4)
+    at = lambda name: F.try_variant_get(F.try_parse_json("raw_response_json"), f"$.{name}", "bigint")
+    # Of two calls that touch, the end comes first.
+    marks = answers.select(F.explode(F.array(F.struct(at("begun").alias("at"), F.lit(1).alias("step")), F.struct(at("ended").alias("at"), F.lit(-1).alias("step")))).alias("m"))
+    begun = marks.groupBy("m.at").agg(F.sum("m.step").alias("step"))
+    second = F.expr("at div 1000000000").alias("second")
+    # Few rows, one per second of the run, tell what is open when a second begins.
+    per_second = begun.groupBy(second).agg(F.sum("step").alias("step"))
+    before = F.sum("step").over(W.orderBy("second").rowsBetween(W.unboundedPreceding, -1))
+    carried = per_second.select("second", F.coalesce(before, F.lit(0)).alias("carried"))
+    inside = F.sum("step").over(W.partitionBy("second").orderBy("at"))
+    opened = begun.withColumn("second", second).withColumn("opened", inside).join(carried, "second")
+    seen = opened.select(F.lit(0).alias("n"), (F.col("opened") + F.col("carried")).alias("open"))
+    both = answers.select(F.lit(1).alias("n"), F.lit(0).cast("bigint").alias("open")).unionByName(seen)
+    return both.agg(F.sum("n").cast("bigint").alias("calls"), (F.max("open") <= 4).alias("within_limit"))
 
 
 @query(
@@ -329,6 +350,16 @@ def resume(t: Tables) -> DataFrame:
     return _row_result(annotate_report(stopped, JOB, rules.annotator).rows)
 
 
+@query("ann04_interrupted", with_sql(S.SHEET, S.CLEAN, S.PACKED, SIZED, rules.SQL, body=ROW_RESULT))
+def interrupted(t: Tables) -> DataFrame:
+    """A journal that already has the answers of every third input; the rest is asked, the result is that of one run."""
+    journal = scratch_path(t.spark, "journal")
+    job = Job(rules.PROMPT, rules.TEMPLATE, journal=journal)
+    rows = S.packed(t)
+    annotate_report(rows.filter("row_number % 3 = 0"), job, rules.annotator).rows.count()
+    return _row_result(annotate_report(rows, job, rules.annotator).rows)
+
+
 @query(
     "ann05_embedding",
     f"""WITH s AS (SELECT doc_id, {SQUASH.format('text')} AS x FROM documents)

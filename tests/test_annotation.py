@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
-from rowscribe.operators.annotate import EmbedderMissing, PromptTooLong, embed
+from rowscribe.operators.annotate import EmbedderMissing, PromptTooLong, annotate, embed
 from rowscribe.operators.rows import build_rows
 from rowscribe.plans.annotate_report import Job, annotate_report, distinct_requests, with_keys
 
@@ -123,16 +125,95 @@ def test_group_job_and_resume(spark, tmp_path):
 
 
 def test_embedder_failures(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a  b", "", None, "fail", "gone", "later"])], "i int, t string").coalesce(1)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a  b", "", None, "fail", "a b", "later"])], "i int, t string")
 
     def vector(text):
-        if text == "gone":
-            raise EmbedderMissing()
         if text == "fail":
             raise RuntimeError()
         return [float(len(text))]
 
     got = {r.i: (r.embedding, r.embedding_note) for r in embed(df, "t", vector, parallelism=1).collect()}
-    assert got[0] == ([3.0], None) and got[1] == got[2] == (None, None)
+    assert got[0] == got[4] == ([3.0], None) and got[1] == got[2] == (None, None) and got[5] == ([5.0], None)
     assert got[3] == (None, "semantic_cache_error")
-    assert got[4] == (None, "semantic_cache_disabled_endpoint_404")
+    assert embed(df.limit(0), "t", vector).count() == 0
+
+
+def timed(folder, wait=0.05):
+    """An annotator that leaves the begin and end of each call."""
+
+    def ask(prompt: str):
+        begun = time.time()
+        time.sleep(wait)
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as log:
+            log.write(f"{begun} {time.time()}")
+        return '{"kind":"good"}', None
+
+    return ask
+
+
+def most_open(folder):
+    marks = []
+    for name in os.listdir(folder):
+        begun, ended = map(float, open(os.path.join(folder, name)).read().split())
+        marks += [(begun, 1), (ended, -1)]
+    open_, most = 0, 0
+    for _, step in sorted(marks):
+        open_ += step
+        most = max(most, open_)
+    return most
+
+
+@pytest.mark.parametrize("limit,partitions", [(1, 8), (3, 2), (6, 1), (9, 16)])
+def test_open_calls(spark, tmp_path, limit, partitions):
+    # More tasks of few calls than the limit lets run at a time; the width of the data does not matter.
+    rows = build_rows(sheet(spark, [f"text {i}" for i in range(60)]).drop("g").repartition(partitions), ["t"])
+    requests = distinct_requests(with_keys(rows, Job("Rate\n{row_json}", TEMPLATE))).withColumn("prompt", F.col("input_json"))
+    found = annotate(requests, timed(tmp_path), template=None, schema=None, parallelism=limit, task_calls=7)
+    assert found.count() == 60 and len(os.listdir(tmp_path)) == 60
+    assert most_open(tmp_path) <= limit and (limit < 3 or most_open(tmp_path) > limit // 2)
+
+
+def dying(folder, at):
+    """An annotator whose process ends at a prompt, as if the executor was lost."""
+
+    def ask(prompt: str):
+        if at in prompt:
+            time.sleep(2)
+            os._exit(1)
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return '{"kind":"good"}', None
+
+    return ask
+
+
+def test_a_second_run_keeps_paid_answers(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    texts = [f"text {i}" for i in range(40)]
+    rows = build_rows(sheet(spark, texts).drop("g"), ["t"])
+    job = Job("Rate\n{row_json}", TEMPLATE, parallelism=4, journal=str(tmp_path / "journal"))
+    requests = distinct_requests(with_keys(rows, job)).withColumn("prompt", F.col("input_json"))
+    options = dict(template=None, schema=None, parallelism=4, journal=job.journal, task_calls=3)
+    with pytest.raises(Exception):
+        annotate(requests, dying(str(calls), '"text 17"'), **options).count()
+    spent = len(os.listdir(calls))
+    kept = spark.read.parquet(job.journal).count()
+    assert 0 < kept <= spent < 40
+    done = annotate(requests, dying(str(calls), "no such text"), **options)
+    assert done.filter("custom_json IS NOT NULL").count() == 40
+    # Only calls of the task that was lost are repeated; what finished tasks had answered is not asked again.
+    assert len(os.listdir(calls)) - spent == 40 - kept and spent - kept < 3
+    assert annotate(requests, dying(str(calls), "text"), **options).count() == 40
+
+
+def test_missing_embedder_stops_the_run(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i % 50}") for i in range(200)] + [(900, "  "), (901, None)], "i int, t string").repartition(8)
+
+    def vector(text):
+        open(os.path.join(tmp_path, uuid.uuid4().hex), "w").close()
+        raise EmbedderMissing()
+
+    got = embed(df, "t", vector, parallelism=4, task_calls=5).collect()
+    assert len(os.listdir(tmp_path)) == 1 and len(got) == 202
+    assert {r.embedding_note for r in got if r.i < 900} == {"semantic_cache_disabled_endpoint_404"}
+    assert {r.embedding_note for r in got if r.i >= 900} == {None} and not any(r.embedding for r in got)

@@ -1,4 +1,4 @@
-"""Lookups and order-dependent operators with one key that holds most rows."""
+"""Order-dependent operators with one key that holds most rows."""
 
 from __future__ import annotations
 
@@ -7,31 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rowscribe.operators import events, skew
+from rowscribe.operators import events
 from rowscribe.operators.ordering import chunked, ordered_number, sequential_number
 
 
-def test_lookup_with_hot_key(spark):
-    rows = [("hot", i) for i in range(300)] + [(f"k{i % 20}", i) for i in range(100)] + [(None, 1), ("gone", 2)]
-    values = [("hot", "H")] + [(f"k{i}", f"v{i}") for i in range(20)] + [(None, "never")]
-    left = spark.createDataFrame(rows, "k string, n int")
-    right = spark.createDataFrame(values, "k string, v string")
-    for hot_rows in (50, 10**6):
-        found = {(r.k, r.n, r.v) for r in skew.lookup(left, right, ["k"], spread=["n"], hot_rows=hot_rows).collect()}
-        known = dict(values)
-        assert found == {(k, n, known.get(k) if k else None) for k, n in rows}
-        assert skew.lookup(left, right, ["k"], hot_rows=hot_rows).count() == len(rows)
-
-
-def test_drop_keys_with_hot_key(spark):
-    rows = [("hot", i) for i in range(300)] + [("cold", 1), ("kept", 2), (None, 3)]
-    left = spark.createDataFrame(rows, "k string, n int")
-    unwanted = spark.createDataFrame([("hot", 300), ("cold", 1)], "k string, size bigint")
-    for hot_rows in (1, 100, 10**6):
-        found = skew.drop_keys(left, unwanted, ["k"], "size", hot_rows).collect()
-        assert {tuple(r) for r in found} == {("kept", 2), (None, 3)}
-
-
 @pytest.fixture()
 def busy(many_chunks):
     """Events of one busy job, some small ones; times with ties inside a job."""
