@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from rowscribe import constants as K
 from rowscribe.functions.validation import accepted_answer, answer_error
-from rowscribe.operators.ordering import ordered_number
 
 SEMANTIC_KEYS = [
     "provider",
@@ -189,14 +188,52 @@ def touch(cache: DataFrame, used: DataFrame, key: str, now: Column) -> DataFrame
     )
 
 
+#: Bins of one look at the times, and entries of a bin that are few enough to be ordered.
+BINS, FEW = 4096, 50_000
+
+
+def _place(cache: DataFrame) -> Column:
+    """``updated_at`` as a whole number in the same order."""
+    kind = cache.schema["updated_at"].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col("updated_at").cast("timestamp"))
+    if kind in ("byte", "short", "integer", "long"):
+        return F.col("updated_at").cast("bigint")
+    raise TypeError(f"updated_at must be a time or a whole number, not {kind}")
+
+
 def evict_oldest(cache: DataFrame, max_rows: int, key: str) -> DataFrame:
-    """Keep the newest ``max_rows`` entries; a table within the limit is unchanged."""
-    surplus = cache.count() - max_rows
+    """Keep the newest ``max_rows`` entries; a table within the limit is unchanged.
+
+    Ties are broken by the key, entries without a time are the oldest. The cut-off is
+    found by counts over bins of time, of which only the one it lies in is looked at
+    again and, when it is small or a single time, ordered. What remains is one filter.
+    """
+    place = _place(cache)
+    slim = cache.select(F.col(key), place.alias("_place"))
+    all_ = slim.agg(F.count(F.lit(1)).alias("n"), F.count("_place").alias("timed"), F.min("_place").alias("low"), F.max("_place").alias("high")).first()
+    surplus = all_.n - max_rows
     if surplus <= 0:
         return cache
-    numbered = ordered_number(cache.select(key, "updated_at"), ["updated_at", key], "_age_rank")
-    gone = numbered.filter(F.col("_age_rank") <= surplus).select(key)
-    return cache.join(gone, key, "left_anti")
+    untimed = all_.n - all_.timed
+    if surplus <= untimed:
+        gone = slim.filter("_place IS NULL").orderBy(key).limit(surplus).select(key)
+        return cache.join(gone, key, "left_anti")
+    surplus -= untimed
+    low, high, count = all_.low, all_.high, all_.timed
+    while count > FEW and low < high:
+        width = -(-(high - low + 1) // BINS)
+        inside = slim.filter(F.col("_place").between(low, high))
+        bins = inside.groupBy(F.expr(f"(_place - {low}L) div {width}L").alias("bin")).count().orderBy("bin").collect()
+        for row in bins:
+            if surplus <= row["count"]:
+                break
+            surplus -= row["count"]
+        low, count = low + row.bin * width, row["count"]
+        high = min(high, low + width - 1)
+    # All entries before ``low`` go, and the oldest ones up to ``high``.
+    gone = slim.filter(F.col("_place").between(low, high)).orderBy("_place", key).limit(surplus).select(key)
+    return cache.filter(place >= low).join(gone, key, "left_anti")
 
 
 def delete_keys(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

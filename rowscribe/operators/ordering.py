@@ -51,40 +51,22 @@ def carry_window(keys: list[str], order: list[str]):
     return W.partitionBy(*keys, "_chunk").orderBy(F.desc("_carry"), *order)
 
 
-def _numbered(chunks: DataFrame, keys: list[str], order: list[str], out: str, start: int) -> DataFrame:
-    """Position inside the chunk plus the rows of the key in earlier chunks."""
-    counts = chunks.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"), before.alias("_before"))
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
-        F.col("_chunk") == F.col("_c"),
-    )
-    position = F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order))
-    numbered = chunks.withColumn("_position", position).join(offsets, same)
-    number = (F.col("_before") + F.col("_position") + F.lit(start - 1)).cast("bigint")
-    return numbered.select(*keys, *order, number.alias(out))
-
-
-def ordered_number(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Number all rows 1..N by any unique order (``df`` holds only the order columns)."""
-    return _numbered(chunked(df, [], order), [], order, out, 1)
-
-
 def sequential_number(
-    df: DataFrame, order: str, out: str, within: list[str] | None = None, start: int = 1
+    df: DataFrame, order: str | list[str], out: str, within: list[str] | None = None, start: int = 1
 ) -> DataFrame:
     """Number rows ``start``, ``start+1``, ... by ``order``, unique within ``within``.
 
-    Only the key and the order are spread and written; the rows themselves are
-    joined to their number, a unique key.
+    The rows are moved once, into the order they are numbered in, and written; a row
+    knows its place in its partition. What lies before a partition comes from one
+    small row per key and partition and is added in place.
     """
-    keys = within or []
-    on = [*keys, order]
-    slim = df.select(*on)
-    numbers = _numbered(chunked(slim, keys, [order]), keys, [order], out, start)
-    renamed = numbers.select(*[F.col(c).alias(f"_n_{c}") for c in on], out)
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in on])
-    return df.join(renamed, same).select(*df.columns, out)
+    keys, orders = within or [], [order] if isinstance(order, str) else order
+    spread = df.repartitionByRange(*keys, *orders).sortWithinPartitions(*keys, *orders)
+    placed = cut(spread.withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_chunk", F.shiftright("_at", 33))
+    ends = placed.groupBy(*keys, "_chunk").agg(F.min("_at").alias("_begin"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_of"), "_begin", before.alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_chunk") == F.col("_of"))
+    number = (F.col("_at") - F.col("_begin") + F.col("_before") + F.lit(start)).cast("bigint")
+    return placed.join(ends, same).select(*df.columns, number.alias(out))

@@ -289,10 +289,10 @@ def preview(
     )
 
 
-def pending_page(rows: DataFrame, after: int, limit: int) -> DataFrame:
-    """The next pending rows after a row number."""
+def pending_page(rows: DataFrame, after: int, limit: int, ties: list[str] | None = None) -> DataFrame:
+    """The next pending rows after a row number; ``ties`` order rows of one number."""
     later = (F.col("status") == "pending") & (F.col("row_number") > max(0, after))
-    return rows.filter(later).orderBy("row_number").limit(max(1, limit))
+    return rows.filter(later).orderBy("row_number", *(ties or [])).limit(max(1, limit))
 
 
 def first_row(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -263,26 +263,23 @@ def with_semantic_cache(t: Tables) -> DataFrame:
     return _row_result(done.rows)
 
 
-@query(
-    "ann02_group_annotation",
-    with_sql(
-        S.GROUPED,
-        """sized AS (SELECT group_key, count(*) AS n, min(row_number) AS first_row, NULL AS lang,
-             string_agg('[row ' || row_number || '] ' || text, chr(10) ORDER BY row_number) AS review_text FROM grouped GROUP BY group_key)""",
-        rules.SQL,
-        body="""SELECT g.row_number, g.group_key,
-          CASE WHEN n > 7 OR error_text IS NOT NULL THEN 'error' ELSE 'done' END AS status,
-          CASE WHEN n <= 7 THEN custom_json END AS custom_json,
-          CASE WHEN n > 7 THEN 'Пропущено: группа слишком большая (' || n || ' строк > лимита 7).' ELSE error_text END AS error_text,
-          CASE WHEN n <= 7 AND g.row_number = first_row THEN total_tokens ELSE 0 END AS total_tokens,
-          concat_ws(',', CASE WHEN turn = 1 THEN 'empty_cell' END,
-            CASE WHEN n > 7 THEN 'skipped_large_group:' || n || '>7' ELSE concat_ws(',', 'grouped_by:conv,group_size:' || n, notes) END) AS warnings
-        FROM grouped g JOIN annotated USING (group_key)""",
-    ),
+GROUP_RESULT = with_sql(
+    S.GROUPED,
+    """sized AS (SELECT group_key, count(*) AS n, min(row_number) AS first_row, NULL AS lang,
+         string_agg('[row ' || row_number || '] ' || text, chr(10) ORDER BY row_number) AS review_text FROM grouped GROUP BY group_key)""",
+    rules.SQL,
+    body="""SELECT g.row_number, g.group_key,
+      CASE WHEN n > 7 OR error_text IS NOT NULL THEN 'error' ELSE 'done' END AS status,
+      CASE WHEN n <= 7 THEN custom_json END AS custom_json,
+      CASE WHEN n > 7 THEN 'Пропущено: группа слишком большая (' || n || ' строк > лимита 7).' ELSE error_text END AS error_text,
+      CASE WHEN n <= 7 AND g.row_number = first_row THEN total_tokens ELSE 0 END AS total_tokens,
+      concat_ws(',', CASE WHEN turn = 1 THEN 'empty_cell' END,
+        CASE WHEN n > 7 THEN 'skipped_large_group:' || n || '>7' ELSE concat_ws(',', 'grouped_by:conv,group_size:' || n, notes) END) AS warnings
+    FROM grouped g JOIN annotated USING (group_key)""",
 )
-def group_annotation(t: Tables) -> DataFrame:
-    job = Job(rules.PROMPT, rules.TEMPLATE, group_by="conv", group_max_rows=7)
-    found = annotate_report(S.grouped_rows(t), job, rules.annotator).rows
+
+
+def group_result(found: DataFrame) -> DataFrame:
     return found.select(
         "row_number",
         "group_key",
@@ -294,6 +291,12 @@ def group_annotation(t: Tables) -> DataFrame:
     )
 
 
+@query("ann02_group_annotation", GROUP_RESULT)
+def group_annotation(t: Tables) -> DataFrame:
+    job = Job(rules.PROMPT, rules.TEMPLATE, group_by="conv", group_max_rows=7)
+    return group_result(annotate_report(S.grouped_rows(t), job, rules.annotator).rows)
+
+
 @query(
     "ann03_bounded_calls",
     with_sql(

@@ -13,7 +13,7 @@ from rowscribe.plans import stand_ins as S
 from rowscribe.plans.registry import Tables, query
 from rowscribe.session import scratch_path
 from rowscribe.sources import export
-from rowscribe.sources.sheets import is_admissible, sheet_from
+from rowscribe.sources.sheets import decode_workbooks, is_admissible, profile_workbooks, sheet_from
 from rowscribe.sources.tables import report_scan
 
 with_sql = S.with_sql
@@ -42,6 +42,35 @@ def sheet_scan(t: Tables) -> DataFrame:
     return rows.select("row_number", "review_text", "input_json", "passthrough_json")
 
 
+@query(
+    "src01_workbook_rows",
+    with_sql(
+        S.BOOKS,
+        body="""SELECT path, row_number, CAST(doc_id AS VARCHAR) AS id, 'number' AS id_kind, text, CASE row_number % 2 WHEN 0 THEN 'first' ELSE 'other' END AS shared,
+            CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS even FROM books""",
+    ),
+)
+def workbook_rows(t: Tables) -> DataFrame:
+    """Rows of workbooks, cells with their kind."""
+    cells = decode_workbooks(S.workbooks(t)).filter("row_number > 1")
+    text = lambda place: F.col("cells")[place]["text"]
+    return cells.select("path", F.col("row_number").cast("bigint").alias("row_number"), text(0).alias("id"), F.col("cells")[0]["kind"].alias("id_kind"), text(1).alias("text"), text(2).alias("shared"), text(3).alias("even"))
+
+
+@query(
+    "agg01_workbook_profile",
+    with_sql(
+        S.BOOKS,
+        body=f"""SELECT path, c.column_name, count(*) AS total_rows, count(DISTINCT CASE c.place WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN nullif(trim(text, {S.WS}), '')
+            WHEN 2 THEN CASE row_number % 2 WHEN 0 THEN 'first' ELSE 'other' END ELSE CAST(doc_id % 2 AS VARCHAR) END) AS distinct_values
+          FROM books, (VALUES (0, 'id'), (1, 'text'), (2, 'Column 3'), (3, 'even')) c(place, column_name) GROUP BY path, c.column_name""",
+    ),
+)
+def workbook_profile(t: Tables) -> DataFrame:
+    found = profile_workbooks(decode_workbooks(S.workbooks(t)))
+    return found.select("path", "column_name", "total_rows", "distinct_values")
+
+
 @query(
     "src02_upload_admission",
     with_sql(
@@ -96,8 +125,7 @@ def ordered_report_scan(t: Tables) -> DataFrame:
 )
 def keyset_page(t: Tables) -> DataFrame:
     rows = S.report_rows(t).select("row_number", "report_id", "group_key", "status")
-    page = rows.filter("status = 'pending' AND row_number > 500000").orderBy("row_number", "report_id").limit(2000)
-    return page.drop("status")
+    return reports.pending_page(rows, 500_000, 2000, ["report_id"]).drop("status")
 
 
 _CUSTOM = "CASE WHEN TRY_CAST(custom_json AS JSON) IS NOT NULL AND json_type(TRY_CAST(custom_json AS JSON)) = 'OBJECT' THEN custom_json END"

@@ -10,6 +10,7 @@ from rowscribe.operators.rows import build_rows
 from rowscribe.plans import rules
 from rowscribe.plans import stand_ins as S
 from rowscribe.plans.annotate_report import Job
+from rowscribe.plans.catalog_annotation import GROUP_RESULT, group_result
 from rowscribe.plans.catalog_events import FEED, SILENT_FEED
 from rowscribe.plans.registry import Tables, query
 from rowscribe.session import scratch_path
@@ -41,19 +42,26 @@ def _stored(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def _arriving(rows: DataFrame, time: str, path: str, work, batches: int = 3) -> None:
+    """``work`` gets the stream of ``rows`` once for each slice of time that has arrived."""
+    ends = rows.agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
+    low, width = ends.low or 0, ((ends.high or 0) - (ends.low or 0)) // batches + 1
+    for number in range(batches):
+        rows.filter(F.expr(f"({time} - {low}) div {width}") == number).write.mode("append").parquet(path)
+        work(rows.sparkSession.readStream.schema(rows.schema).parquet(path), number)
+
+
 def _over_batches(rows: DataFrame, time: str, path: str, work, batches: int = 3) -> DataFrame:
     """What ``work`` (from stream to stream) gives for rows that arrive in slices of time.
 
     Each slice is a run of its own that goes on from the state of the last one.
     """
-    spark = rows.sparkSession
-    ends = rows.agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
-    low, width = ends.low or 0, ((ends.high or 0) - (ends.low or 0)) // batches + 1
-    for number in range(batches):
-        inside = F.expr(f"({time} - {low}) div {width}") == number
-        rows.filter(inside).write.mode("append").parquet(f"{path}/in")
-        found = _stored(work(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), path)
-    return found
+    found = []
+    _arriving(rows, time, f"{path}/in", lambda stream, _: found.append(_stored(work(stream), path)), batches)
+    return found[-1]
+
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 @query(
@@ -69,8 +77,26 @@ def _over_batches(rows: DataFrame, time: str, path: str, work, batches: int = 3)
 )
 def profile_intake(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "profile")
-    _finish(intake.profile_sheets(_streams(t).documents, ["doc_id", "text", "lang", "source", "n_chars"], f"{path}/out", f"{path}/log"))
-    return t.spark.read.parquet(f"{path}/out").select("column_name", "total_rows", "distinct_values")
+    _finish(intake.profile_sheets(_streams(t).documents, COLUMNS, path, f"{path}/log"))
+    return intake.profile_so_far(t.spark, path).select("column_name", "total_rows", "distinct_values")
+
+
+@query(
+    "str01_capped_profile",
+    with_sql(
+        *[f"p{i} AS (SELECT '{c}' AS column_name, count(*) AS total_rows, count(DISTINCT NULLIF(trim(CAST({c} AS VARCHAR), {S.WS}), '')) AS n FROM documents)" for i, c in enumerate(COLUMNS)],
+        body=f"SELECT column_name, total_rows, CASE WHEN n <= 900 THEN n END AS distinct_values FROM ({' UNION ALL '.join(f'SELECT * FROM p{i}' for i in range(len(COLUMNS)))})",
+    ),
+)
+def capped_profile(t: Tables) -> DataFrame:
+    """Five batches, one profile; columns of more than 900 values are only sketched."""
+    path = scratch_path(t.spark, "capped")
+
+    def work(stream: DataFrame, number: int) -> None:
+        _finish(intake.profile_sheets(stream, COLUMNS, path, f"{path}/log", cap=900))
+
+    _arriving(t.documents, "doc_id", f"{path}/in", work, 5)
+    return intake.profile_so_far(t.spark, path, cap=900).select("column_name", "total_rows", "distinct_values")
 
 
 @query(
@@ -93,6 +119,23 @@ def live_annotation(t: Tables) -> DataFrame:
     return intake.partial_summary(t.spark, f"{path}/out")
 
 
+@query("str02_groups_over_batches", GROUP_RESULT)
+def groups_over_batches(t: Tables) -> DataFrame:
+    """Groups whose rows arrive in three batches are asked once each, when their last row has come."""
+    path = scratch_path(t.spark, "groups")
+    rows = S.grouped_rows(t).withColumn("at", F.col("row_number") % 100 * 1_000_000 + 1)
+    last = rows.groupBy("group_key").agg(F.max("at").alias("at"), F.lit(True).alias("ends"))
+    marked = rows.join(last, ["group_key", "at"], "left")
+    job = Job(rules.PROMPT, rules.TEMPLATE, group_by="conv", group_max_rows=7)
+
+    def work(stream: DataFrame, number: int) -> None:
+        whole = intake.whole_groups(stream, "group_key", "at", 3600, F.col("ends"))
+        _finish(intake.annotate_stream(whole.drop("at", "ends"), job, rules.annotator, f"{path}/out", f"{path}/log"))
+
+    _arriving(marked, "at", f"{path}/in", work)
+    return group_result(t.spark.read.parquet(f"{path}/out"))
+
+
 @query(
     "str03_throttled_progress",
     with_sql(

@@ -7,6 +7,11 @@ expressions over the ids; every row of a table stays in.
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +73,49 @@ def packed(t: Tables, group_by: str | None = None) -> DataFrame:
     return R.build_rows(sheet(t), ["lang", "review"], ["source"], group_by)
 
 
+# --- documents as workbooks ------------------------------------------------------------
+
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+#: What XML cannot hold.
+_UNFIT = "[^\\x09\\x0A\\x20-\\uD7FF\\uE000-\\uFFFD\\x{10000}-\\x{10FFFF}]"
+
+
+def _workbook(rows) -> bytes:
+    """One workbook with a header, and of each row its id, text (twice, once as a shared string) and a flag."""
+    text = lambda t: escape(t or "")
+    lines = ['<row r="1"><c t="inlineStr"><is><t>id</t></is></c><c t="inlineStr"><is><t> text </t></is></c><c/><c t="inlineStr"><is><t>even</t></is></c></row>']
+    for place, (number, value) in enumerate(rows):
+        cell = f'<c t="inlineStr"><is><t>{text(value)}</t></is></c>' if value is not None else "<c/>"
+        lines.append(f'<row><c><v>{number}</v></c>{cell}<c t="s"><v>{place % 2}</v></c><c t="b"><v>{(number + 1) % 2}</v></c></row>')
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_LINKS}"><sheets><sheet name="Rows" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}"><si><t>first</t></si><si><t>other</t></si></sst>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    return held.getvalue()
+
+
+def workbooks(t: Tables) -> DataFrame:
+    """path, length and content of workbooks of at most 500 documents each."""
+
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("doc_id")
+        content = _workbook(zip(rows["doc_id"].tolist(), rows["text"].tolist(), strict=True))
+        return pd.DataFrame({"path": [f"book-{key[0]}.xlsx"], "length": [len(content)], "content": [content]})
+
+    # Line ends and characters that XML changes or cannot hold are spaces.
+    text = F.regexp_replace("text", _UNFIT, " ").alias("text")
+    return t.documents.select("doc_id", text).groupBy(F.expr("doc_id div 500").alias("book")).applyInPandas(pack, "path string, length bigint, content binary")
+
+
+BOOKS = r"""books AS (
+  SELECT doc_id, 'book-' || (doc_id // 500) || '.xlsx' AS path, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) + 1 AS row_number,
+         regexp_replace(text, '[\x00-\x08\x0B-\x1F]', ' ', 'g') AS text
+  FROM documents)"""
+
+
 # --- documents and labels as finished report rows --------------------------------
 
 

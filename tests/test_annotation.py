@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rowscribe.operators.annotate import EmbedderMissing, PromptTooLong, annotate, embed
 from rowscribe.operators.rows import build_rows
+from rowscribe.streaming import intake
 from rowscribe.plans.annotate_report import Job, annotate_report, distinct_requests, with_keys
 
 TEMPLATE = {"kind": {"type": "enum", "values": ["good", "bad"]}}
@@ -217,3 +218,24 @@ def test_missing_embedder_stops_the_run(spark, tmp_path):
     assert len(os.listdir(tmp_path)) == 1 and len(got) == 202
     assert {r.embedding_note for r in got if r.i < 900} == {"semantic_cache_disabled_endpoint_404"}
     assert {r.embedding_note for r in got if r.i >= 900} == {None} and not any(r.embedding for r in got)
+
+
+def test_a_group_over_three_batches_is_one_call(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    texts = [f"t{i}" for i in range(12)]
+    rows = build_rows(sheet(spark, texts), ["g", "t"], group_by="g").withColumn("at_us", F.col("row_number") * 10_000_000)
+    rows = rows.withColumn("ends", (F.col("group_key") == "g0") & (F.col("row_number") == 10))
+    job = Job("Rate\n{row_json}", TEMPLATE, group_by="g", parallelism=2)
+    for number in range(3):
+        rows.filter(F.expr("(row_number - 2) div 4") == number).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        whole = intake.whole_groups(stream, "group_key", "at_us", 25, F.col("ends")).drop("at_us", "ends")
+        writer = intake.annotate_stream(whole, job, counted(str(calls)), str(tmp_path / "out"), str(tmp_path / "log"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        # Both groups have rows in every batch; neither is whole before the third.
+        assert len(os.listdir(calls)) == (0 if number < 2 else 1)
+    done = spark.read.parquet(str(tmp_path / "out")).collect()
+    # g0 ended with row 10; row 12 and the group g1 wait for more.
+    assert sorted(r.row_number for r in done) == [2, 4, 6, 8, 10, 12]
+    assert {r.custom_json for r in done} == {'{"kind":"good"}'} and sum(r.total_tokens for r in done) == 5

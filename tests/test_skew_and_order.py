@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rowscribe.operators import events
-from rowscribe.operators.ordering import chunked, ordered_number, sequential_number
+from rowscribe.operators import cache, events
+from rowscribe.operators.ordering import chunked, sequential_number
 
 
 @pytest.fixture()
@@ -133,6 +133,27 @@ def test_numbers_over_chunks(many_chunks):
         by_key.setdefault(k, []).append(n)
     want = {(k, n, i) for k, ns in by_key.items() for i, n in enumerate(sorted(ns), start=2)}
     assert {tuple(r) for r in got} == want and len(got) == len(rows)
-    ordered = ordered_number(df.na.drop(), ["n", "k"], "number").collect()
+    ordered = sequential_number(df.na.drop(), ["n", "k"], "number", start=1).collect()
     plain = sorted((n, k) for k, n in rows if k)
     assert {(r.n, r.k): r.number for r in ordered} == {key: i for i, key in enumerate(plain, start=1)}
+
+
+def test_numbering_moves_rows_once(many_chunks):
+    df = many_chunks.createDataFrame([(i * 7 % 100, "x" * i) for i in range(100)], "n bigint, wide string").repartition(3)
+    plan = sequential_number(df, "n", "number")._jdf.queryExecution().executedPlan().toString()
+    # Only the written, ordered copy is read: once for the counts of its partitions and once for the rows.
+    assert plan.count("FileScan") == 2 and "ReadSchema: struct<_at:bigint>" in plan
+
+
+@pytest.mark.parametrize("keep", [0, 1, 399, 500, 777, 1200, 1201, 5000])
+def test_eviction_by_cut_off(many_chunks, monkeypatch, keep):
+    monkeypatch.setattr(cache, "FEW", 20)
+    monkeypatch.setattr(cache, "BINS", 8)
+    random.seed(keep)
+    # A crowded second, one time with many ties, some far away, some without a time.
+    times = [random.randrange(10**6) for _ in range(600)] + [500_000] * 400 + [random.randrange(10**15) for _ in range(150)] + [None] * 50
+    rows = [(f"k{i:04}", t, "v") for i, t in enumerate(times)]
+    df = many_chunks.createDataFrame(rows, "cache_key string, at bigint, v string").selectExpr("cache_key", "timestamp_micros(at) AS updated_at", "v").repartition(3)
+    found = {r.cache_key for r in cache.evict_oldest(df, keep, "cache_key").collect()}
+    oldest = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert found == {r[0] for r in oldest[max(0, len(rows) - keep) :]}

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowscribe.operators import events as batch_events
-from rowscribe.operators import discovery, logs
+from rowscribe.operators import discovery, logs, profile
 from rowscribe.sources import export, sheets, tables
 from rowscribe.sources.logs import read_lines
 from rowscribe.streaming import events, intake
@@ -143,6 +143,26 @@ def test_written_exports(spark, tmp_path):
     assert [tuple(r) for r in export.summary_table(nested).collect()] == [(0, "n", "1"), (1, "l", '["a"]')]
 
 
+@pytest.mark.parametrize("cap", [None, 40, 99, 100])
+def test_profile_of_five_batches(spark, tmp_path, cap):
+    rows = [(i, f" v{i % 100} ", "x" * (i % 3 * 50), None if i % 2 else "same") for i in range(400)]
+    whole = spark.createDataFrame(rows, "id int, many string, long string, few string")
+    columns = ["id", "many", "long", "few"]
+    for number in range(5):
+        whole.filter(f"id div 80 = {number}").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(whole.schema).parquet(str(tmp_path / "in"))
+        writer = intake.profile_sheets(stream, columns, str(tmp_path / "out"), str(tmp_path / "log"), cap)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    got = {r.column_name: (r.total_rows, r.distinct_values) for r in intake.profile_so_far(spark, str(tmp_path / "out"), cap).collect()}
+    plain = {"id": 400, "many": 100, "long": 2, "few": 1}
+    assert got == {c: (400, n if cap is None or n <= cap else None) for c, n in plain.items()}
+    assert got == {r.column_name: (r.total_rows, r.distinct_values) for r in profile.column_profile(whole, columns, cap).collect()}
+    if cap == 40:
+        # What is far above the cap is never stored or shuffled as values.
+        kept = spark.read.parquet(str(tmp_path / "out/values")).select("position").distinct().collect()
+        assert {r.position for r in kept} == {2, 3}
+
+
 def _looks():
     rows, seq = [], 0
     for job in range(6):
