@@ -32,8 +32,8 @@ SPACE = "▁"
 #: A piece table of more rows is joined without a broadcast hint.
 BROADCAST_PIECES = 1_000_000
 BLOCK_BYTES = 2 * B.BLOCK_BYTES
-#: Units of a partition whose edges are gathered by hash before Spark sorts instead.
-UNITS_IN_MEMORY = 500_000
+#: Units asked for in a task (distinct ones are fewer); their edges are gathered by hash, more would be sorted.
+UNITS_OF_A_TASK = 50_000
 
 
 class Model:
@@ -72,12 +72,26 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     placed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block"), "doc_id", "text")
     packed = placed.mapInArrow(_pack, "block int, doc_id long, text binary")
     asked = cut(packed.groupBy("block").applyInArrow(lambda t: _ask(t, count), "bucket int, block int, sizes binary, units binary"), "units")
-    units = asked.mapInArrow(_spell, "bucket int, unit string").groupBy("bucket", "unit").count().select("bucket", "unit")
-    known = segment(units, model)
+    # Tasks of a bounded number of units, since a task holds the edges of its units.
+    asked_units = asked.select(F.sum(F.octet_length("sizes") / 4).alias("n")).first().n or 0
+    tasks = max(1, -(-int(asked_units) // UNITS_OF_A_TASK))
+    units = asked.mapInArrow(_spell, "bucket int, unit string").repartition(tasks, "bucket", "unit").groupBy("bucket", "unit").count().select("bucket", "unit")
+    known = _with_edges_in_memory(docs.sparkSession, lambda: cut(segment(units, model), "known"))
     told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, k: _tell(a, k), "block int, bucket int, sizes binary, ids binary")
     return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, told: _encode(t, told), "doc_id long, text string, ids array<int>")
 
 
+def _with_edges_in_memory(spark: SparkSession, write):
+    """``write()`` with the units of a task gathered by hash; the session's setting is put back."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 2 * UNITS_OF_A_TASK)
+    try:
+        return write()
+    finally:
+        spark.conf.set(name, before)
+
+
 def segment(units: DataFrame, model: Model) -> DataFrame:
     """``units`` (bucket, unit; distinct) with ids: the lattice and its fold."""
     word = F.translate("unit", " ", SPACE)
@@ -87,7 +101,6 @@ def segment(units: DataFrame, model: Model) -> DataFrame:
     spans = F.flatten(F.transform(starts, lambda s: F.transform(lengths(s), lambda m: F.struct((s * 64 + m).alias("span"), F.substring(F.col("word"), s + 1, m).alias("piece")))))
     # Edges of a unit are gathered where its substrings were made: no shuffle, and no sort of all edges.
     spark = units.sparkSession
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", UNITS_IN_MEMORY)
     merging = model.kind != "unigram"
     edge = (F.col("span").cast("long") * F.lit(1 << 32) + F.col("id")) if merging else F.struct("span", "score", "id")
     spelled = rows.select("bucket", "unit", "word", "n", F.inline(spans)).join(model.table(spark), "piece", "left")
