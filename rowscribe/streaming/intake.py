@@ -142,10 +142,15 @@ def annotate_stream(
     are then. A grouped job takes a stream of :func:`whole_groups`.
     """
     shared = replace(job, journal=job.journal or f"{folder}-journal")
-    return _per_batch(
+
+    def write(batch: DataFrame, batch_id: int) -> None:
         # Written first: a batch with state behind it must not be evaluated twice.
-        stream, folder, checkpoint, lambda batch: annotate_report(cut(batch, "batch"), shared, annotator, cache, semantic, embedder).rows
-    )
+        rows = cut(batch, "batch")
+        if not rows.isEmpty():
+            done = annotate_report(rows, shared, annotator, cache, semantic, embedder).rows
+            done.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def partial_summary(spark: SparkSession, folder: str) -> DataFrame:
