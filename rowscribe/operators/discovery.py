@@ -30,9 +30,9 @@ def depth_of(rows: DataFrame, text: Column) -> int:
     return depth
 
 
-def cell_table(rows: DataFrame, ids: list[str], text: Column) -> DataFrame:
-    """ids, position, key and value (VARIANT) of every cell of an answer, one row per cell."""
-    flat = jsonx.flatten_object(text, depth_of(rows, text))
+def cell_table(rows: DataFrame, ids: list[str], text: Column, depth: int | None = None) -> DataFrame:
+    """ids, position, key and value (VARIANT) of every cell of an answer, one row per cell; ``depth`` if it is known."""
+    flat = jsonx.flatten_object(text, depth_of(rows, text) if depth is None else depth)
     return rows.select(*ids, F.posexplode(flat).alias("position", "key", "value"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscribe.functions import jsonx
-from rowscribe.operators.discovery import ANSWER, PASSTHROUGH, answer_text, cell_table, named_columns, result_keys
+from rowscribe.operators.discovery import ANSWER, PASSTHROUGH, answer_text, cell_table, depth_of, named_columns, result_keys
 from rowscribe.operators.groups import first_row_per_group, number_groups
 from rowscribe.operators.reports import report_summary
 from rowscribe.operators.rows import is_materialized
@@ -78,7 +78,8 @@ def long_results(rows: DataFrame, group_by: str | None = None) -> DataFrame:
     number = "row_number"
     if group_by:
         chosen, number = number_groups(chosen), "group_number"
-    return cell_table(chosen, [number], answer_text(rows))
+    # The depth is looked for in the rows as they are read, not behind the choice of first rows.
+    return cell_table(chosen, [number], answer_text(rows), depth_of(done, answer_text(rows)))
 
 
 def export_summary(rows: DataFrame, partial: bool = False) -> DataFrame:
