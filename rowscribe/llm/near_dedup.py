@@ -27,8 +27,7 @@ from rowscribe.llm.words import ALPHANUMERIC, FOLD_CASE, mix, pieces, windows, w
 from rowscribe.session import cut
 
 SHINGLE = 2
-#: At an edit similarity of 0.8 a sketch agrees in about 0.18 of the cases, one of 48 in 0.9999.
-SKETCHES = 48
+SKETCHES = 64
 ALIKE = 0.8
 _SEEDS = np.random.default_rng(97).integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
