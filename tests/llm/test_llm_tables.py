@@ -138,3 +138,23 @@ def test_languages_of_pages(spark):
 def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+
+
+def test_recall_of_the_registered_query(spark):
+    """At least 0.95 of the true neighbours on a table whose queries do not read every list, no vector twice, scores in order."""
+    folder = "/root/testdata/sf0.1"
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    rows = {v: np.array(x, float) for v, x in rows.items() if x and all(c is not None and np.isfinite(c) for c in x) and any(x)}
+    ids, matrix = np.array(sorted(rows)), np.stack([rows[v] for v in sorted(rows)])
+    found = {}
+    for f in entry.queries()["op8_vector_search"](spark, folder).collect():
+        found.setdefault(f.query_id, {})[f.rank] = (f.vec_id, f.score)
+    assert set(found) == {v for v in rows if v % 20 == 0}
+    hits = 0
+    for q, ranked in found.items():
+        assert sorted(ranked) == list(range(1, 21)) and len({v for v, _ in ranked.values()} - {q}) == 20
+        got = [ranked[i] for i in range(1, 21)]
+        assert got == sorted(got, key=lambda x: (-x[1], x[0])) and all(abs(rows[q] @ rows[v] - s) < 1e-9 for v, s in got)
+        scores = np.where(ids == q, -np.inf, matrix @ rows[q])
+        hits += len({v for v, _ in got} & set(ids[np.lexsort((ids, -scores))[:20]].tolist()))
+    assert hits >= 0.95 * 20 * len(found)
