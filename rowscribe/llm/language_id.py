@@ -27,7 +27,7 @@ from rowscribe.session import cut
 
 #: Bound on labelled rows the trigram tables are learned from, and on their languages (the commonest).
 SAMPLE = 4_000
-LANGUAGES = 64
+LANGUAGES = 512
 BUCKETS = 1 << 16
 #: Trigrams overlap and repeat; each counts for this share of an independent one, and a text for at most MOST.
 SHARE, MOST = 0.3, 100.0

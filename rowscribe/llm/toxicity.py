@@ -49,14 +49,19 @@ FEATURES = [
 ]
 
 
+#: Which tenths of the labelled rows the trees and the calibration curve are fitted on.
+LEARNED, CALIBRATED = "part BETWEEN 4 AND 7 OR part = 0", "part >= 8"
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (score >= 0.3), a row for each row of ``docs``.
 
     Rows whose crc32 of doc_id as text leaves 2 modulo 4 are held out: their
     labels are never read. A null text counts as empty; a null doc_id is not held
     out and has no label. Labels other than 0 and 1 are ignored, the larger of
-    several for a doc_id counts. If the labels used are not of both kinds, every
-    score is their mean (0 without labels).
+    several for a doc_id counts. If the rows that the trees learn from are not of
+    both kinds, every score is the mean of the labels used (0 without labels); if
+    those kept for calibration are not, the trees' probabilities are the scores.
     """
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic"))
@@ -69,17 +74,23 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
     features = cut(texts.mapInArrow(lambda batches: _features(batches, lexicon), schema), "features")
     held_out = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")
-    if len(kinds) < 2:
+    learned = {r.toxic for r in sample.filter(LEARNED).select("toxic").distinct().collect()}
+    calibrated = {r.toxic for r in sample.filter(CALIBRATED).select("toxic").distinct().collect()}
+    if len(learned) < 2:
         mean = kinds.get(1.0, 0) / max(sum(kinds.values()), 1)
         scored = features.select("doc_id", held_out, F.lit(float(mean)).alias("score"))
     else:
         raw = VectorAssembler(inputCols=FEATURES, outputCol="features")
         train = raw.transform(features.join(F.broadcast(sample), "doc_id")).select("features", "toxic", "part")
-        model = GBTClassifier(labelCol="toxic", maxIter=30, maxDepth=4, stepSize=0.15, seed=7, maxBins=64).fit(train.filter("part BETWEEN 4 AND 7 OR part = 0"))
+        model = GBTClassifier(labelCol="toxic", maxIter=30, maxDepth=4, stepSize=0.15, seed=7, maxBins=64).fit(train.filter(LEARNED))
         margin = vector_to_array("probability")[1].alias("margin")
-        curve = IsotonicRegression(featuresCol="margin", labelCol="toxic", predictionCol="score").fit(model.transform(train.filter("part >= 8")).select(margin, "toxic"))
         judged = model.transform(raw.transform(features)).select("doc_id", margin)
-        scored = curve.transform(judged).select("doc_id", held_out, F.least(F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("score"))
+        if len(calibrated) < 2:
+            judged = judged.withColumnRenamed("margin", "score")
+        else:
+            curve = IsotonicRegression(featuresCol="margin", labelCol="toxic", predictionCol="score").fit(model.transform(train.filter(CALIBRATED)).select(margin, "toxic"))
+            judged = curve.transform(judged)
+        scored = judged.select("doc_id", held_out, F.least(F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

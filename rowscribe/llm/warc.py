@@ -6,13 +6,16 @@ chunk row carries the SHA-1 of its record up to and with this chunk; the row of
 the last chunk carries that of the whole payload, no grouping needed.
 
 Archives are gzip files with one member per record, written by the executors
-through ``pyarrow.fs`` into a folder all of them reach. A write returns a
+through ``pyarrow.fs`` into a folder all of them reach. Pages carry no time of capture, so
+a record's date is that of its writing. A record is named by its page_id; rows that
+repeat a page_id repeat the name. A write returns a
 manifest of byte ranges; files of failed attempts are in no manifest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 import zlib
 
@@ -97,7 +100,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 def _headers(row: dict, length: int) -> bytes:
     name = "none" if row["page_id"] is None else str(row["page_id"])
     lines = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:x-page:{name}>",
+        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:x-page:{name}>", time.strftime("WARC-Date: %Y-%m-%dT%H:%M:%SZ", time.gmtime()),
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}", "Content-Type: application/http; msgtype=response", f"Content-Length: {length}",
     ]
     if row["url"] is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import re
@@ -37,6 +38,8 @@ def test_archives_round_trip(spark):
             assert (f.record_type, f.refers_to) == ("response", None)
             assert b"".join(g.chunk for g in found if (g.page_id, g.url) == (f.page_id, f.url)) == body.encode()
     assert max(len(f.chunk) for f in found) <= 700
+    text = b"".join(gzip.open(m.path.removeprefix("file:")).read() for m in manifest.select("path").distinct().collect())
+    assert text.count(b"WARC/1.1\r\n") == len(rows) == len(re.findall(rb"\r\nWARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", text))
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
@@ -121,6 +124,25 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_pipeline_keeps_rows_that_share_a_doc_id(spark):
+    """Rows are told apart by doc_id and text, and columns named like the stages' own do no harm."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    r = random.Random(8)
+    text = [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(3)]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (2, text[1]), (3, text[2]), (None, text[2]), (None, text[2])]
+    odd = spark.createDataFrame([(i, x, "a", "b", 7, 8, 9, "c") for i, x in rows], "doc_id long, text string, lang string, source string, _id int, _key int, key int, class_id string")
+    kept = corpus_pipeline.near_duplicates(spark, odd, SMALL)
+    assert kept.columns == odd.columns
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, odd.filter("doc_id IS NULL OR doc_id != 2").select("doc_id", "text").collect() + odd.filter(F.col("text") == text[1]).select("doc_id", "text").limit(1).collect()))
+    rows = [(1, text[0] + " " + item), (1, text[1]), (None, item), (None, text[2])]
+    odd = spark.createDataFrame([(i, x, 7, 8) for i, x in rows], "doc_id long, text string, _id int, _key int")
+    kept = corpus_pipeline.benchmarks(spark, odd, SMALL)
+    assert {(k.doc_id, k.text) for k in kept.collect()} == {(1, text[1]), (None, text[2])}
+    named = docs.withColumn("_id", F.lit(1)).withColumn("_key", F.lit(2)).withColumn("text_key", F.lit(3))
+    assert corpus_pipeline.languages(spark, named, SMALL).columns == named.columns
+
+
 def test_languages_of_pages(spark):
     """Every page is identified, with markup and address as a plain reading of its html and url gives them."""
     found = entry.queries()["op4_language_id"](spark, SMALL).collect()

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rowscribe.llm import decontamination, language_id, license_scan, near_dedup, pieces, substring_dedup, surrogates, toxicity
 from rowscribe.llm import words as W
@@ -307,3 +308,24 @@ def test_unigram_viterbi(spark):
     assert found == {" ab": [11, 14], " abc": [11, 12, 15], " abx": [11, 14, model.unknown], "c": [16]}
 
 
+@pytest.mark.parametrize("count", [2, 3, 10, 40])
+def test_toxicity_of_few_labels(spark, count):
+    """Any number of labels of both kinds gives a score for every text."""
+    rows = [(i, "you are a stupid idiot" if i % 2 else "a calm day by the sea") for i in range(count)] + [(900, None), (901, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(count)], "doc_id long, toxic int")
+    found = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(found) == len(rows) and all(0 <= f.score <= 1 and f.predicted == (f.score >= 0.3) for f in found)
+
+
+def test_seventy_languages(spark):
+    """Each language of a corpus is known, not only the commonest ones."""
+    r = np.random.default_rng(12)
+    rows = []
+    for lang in range(70):
+        words = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)]
+        rows += [(100 * lang + i, " ".join(r.choice(words, 40)), f"l{lang}") for i in range(6)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bare = labelled.select("doc_id", "text", *(F.lit(None).cast("string").alias(c) for c in ("declared", "host", "suffix")))
+    found = language_id.identify(bare, labelled).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert len(found) == len(rows) and sum(truth[f.doc_id] == f.language for f in found) >= 0.97 * len(rows)
