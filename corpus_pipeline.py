@@ -23,32 +23,44 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known and probable."""
     configure(spark)
     found = language_id.identify(language_id.document_evidence(docs), docs)
-    rejected = found.filter(~F.col("accepted")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    rejected = found.filter(~F.col("accepted")).select("doc_id", "text_key").distinct()
+    rejected = cut(rejected, "rejected")
+    same = docs["doc_id"].cast("long").eqNullSafe(rejected["doc_id"]) & (F.xxhash64(docs["text"]) == rejected["text_key"])
     return docs.join(rejected, same, "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the least doc_id.
 
-    Of rows that repeat doc_id and text one stays; rows without doc_id all stay.
+    Of rows that repeat doc_id and text one stays, and of texts that share a
+    doc_id each is judged by itself; rows without doc_id all stay.
     """
     configure(spark)
-    found = cut(near_dedup.classes(docs).filter("doc_id IS NOT NULL"), "classes")
-    others = found.filter("doc_id != class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(others, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    named = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(kept.filter("doc_id IS NULL"))
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        found = cut(near_dedup.classes(docs).filter("doc_id != class_id").select("doc_id"), "classes")
+        return docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_anti")
+    # Rows are told apart by doc_id and text; of a class the row of the least doc_id stays, of several the one of the least key.
+    rows = docs.select(F.when(F.col("doc_id").isNotNull(), _key(docs)).alias("key"), "doc_id", "text")
+    found = near_dedup.classes(rows.select(F.col("key").alias("doc_id"), "text")).filter("doc_id IS NOT NULL").distinct()
+    named = found.join(rows.select(F.col("key").alias("doc_id"), F.col("doc_id").cast("long").alias("name")).distinct(), "doc_id")
+    staying = cut(named.groupBy("class_id").agg(F.min(F.struct("name", "doc_id")).alias("best")).select(F.col("best.doc_id").alias("key")), "classes")
+    kept = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    kept = kept.join(staying, _key(kept) == staying["key"], "left_semi")
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows that share a doc_id are judged one by one."""
     configure(spark)
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    held = cut(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.select(_key(docs).alias("doc_id"), "text")
+    found = decontamination.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    held = cut(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(held, _key(docs) == held["doc_id"], "left_anti")
+
+
+def _key(docs: DataFrame):
+    """A hash of doc_id and text, which tell rows apart."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
