@@ -143,6 +143,10 @@ MSG_OVERFLOW = (
 )
 MSG_RETRIES = "Ошибка LLM после повторов: "
 
+# --- Fixed values: error texts of jobs that cannot be recovered ------------------
+MSG_NO_CONTEXT = "Задача не может быть восстановлена: отсутствует контекст запуска"
+MSG_NO_KEY = "Задача не может быть восстановлена: для OpenAI не сохранен API-токен"
+
 # --- Fixed values: notes of failed embedding calls -------------------------------
 NOTE_EMBEDDER_MISSING = "semantic_cache_disabled_endpoint_404"
 NOTE_EMBEDDING_FAILED = "semantic_cache_error"

@@ -214,6 +214,56 @@ def stale_jobs(
     return running.unionByName(queued if queue_empty else queued.filter(old))
 
 
+def recover_jobs(
+    reports: DataFrame,
+    leases: DataFrame,
+    markers: DataFrame,
+    now: Column,
+    queue_empty: bool,
+    needs_key: tuple[str, ...] = (),
+    after_seconds: int = K.STALE_SECONDS,
+) -> DataFrame:
+    """What becomes of every stale job: the columns of ``reports`` and new_status, new_error, new_finished_at.
+
+    A job whose start cannot be repeated (no provider, model, prompt, file, id,
+    job or user, or a provider in ``needs_key`` without a stored key) has failed.
+    Any other is queued, but a job_id only once: if it waits already, or several
+    reports share it, all but the oldest report (ties: least id) stay as they are
+    (new_status null), and so do later ones that were queued, whatever they lack.
+    """
+    said = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False))
+    told = [said(c) for c in ("provider", "model", "prompt_template", "uploaded_file_id", "id", "job_id")]
+    lost = ~F.expr("coalesce(user_id, 0) != 0")
+    for each in told:
+        lost = lost | ~each
+    keyless = F.trim("provider").isin(list(needs_key)) & ~said("api_key_encrypted") if needs_key else F.lit(False)
+    error = F.when(lost, K.MSG_NO_CONTEXT).when(keyless, K.MSG_NO_KEY)
+    found = stale_jobs(reports, leases, markers, now, queue_empty, after_seconds).withColumn("new_error", error)
+    marked = markers.select(F.col("job_id").alias("_marked")).distinct()
+    free = found.filter("new_error IS NULL").join(marked, F.col("job_id") == F.col("_marked"), "left_anti")
+    # One row per job after map-side combine; a job_id that many reports share meets in no task.
+    taken = free.groupBy(F.col("job_id").alias("_job")).agg(F.min(F.struct("created_at", "id")).alias("_first"))
+    rows = found.join(taken, F.col("job_id") == F.col("_job"), "left")
+    own = F.struct("created_at", "id")
+    skipped = (F.col("status") == "queued") & (own > F.col("_first"))
+    failed = F.col("new_error").isNotNull() & ~F.coalesce(skipped, F.lit(False))
+    status = F.when(failed, "failed").when(F.col("new_error").isNull() & (own == F.col("_first")), "queued")
+    return rows.select(
+        *reports.columns,
+        status.alias("new_status"),
+        F.when(failed, F.col("new_error")).alias("new_error"),
+        F.when(failed, now).alias("new_finished_at"),
+    )
+
+
+def recovery_counts(recovered: DataFrame) -> DataFrame:
+    """How many jobs were queued again and how many have failed: one row."""
+    return recovered.agg(
+        F.count_if(F.col("new_status") == "queued").alias("requeued"),
+        F.count_if(F.col("new_status") == "failed").alias("failed"),
+    )
+
+
 def upload_references(reports: DataFrame) -> DataFrame:
     return reports.groupBy("user_id", "uploaded_file_id").agg(F.count(F.lit(1)).alias("reference_count"))
 

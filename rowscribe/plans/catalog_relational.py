@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowscribe import constants as K
 from rowscribe.functions import jsonx, text, vectors
 from rowscribe.functions.jsonx import text_list
 from rowscribe.operators import cache, discovery, groups, logs, profile, reports
@@ -252,6 +253,71 @@ def stale_jobs(t: Tables) -> DataFrame:
     return found.select("id", "job_id", "status")
 
 
+#: Several reports share a job, some lack what a start needs.
+STARTED = """jobs AS (
+  SELECT id, id // 2 + 5000000 AS job_id, status, created_at, updated_at, user_id, uploaded_file_id,
+         CASE WHEN id % 11 = 0 THEN ' ' WHEN id % 4 = 0 THEN 'keyed' ELSE 'open' END AS provider,
+         CASE WHEN id % 3 = 0 THEN 'secret' END AS api_key_encrypted
+  FROM reports), now AS (SELECT max(updated_at) AS now FROM reports),
+stale AS (
+  SELECT j.*, now, EXISTS (SELECT 1 FROM part p WHERE p.p_partkey * 7 + 5000000 = j.job_id) AS marked,
+         CASE WHEN trim(provider) = '' OR uploaded_file_id IS NULL OR coalesce(user_id, 0) = 0 THEN 'no context'
+              WHEN provider = 'keyed' AND api_key_encrypted IS NULL THEN 'no key' END AS lack
+  FROM jobs j, now
+  WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey * 5 + 5000000 = j.job_id)
+    AND date_diff('second', updated_at, now) >= 31536000
+    AND (status = 'running' OR (status = 'queued' AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey * 7 + 5000000 = j.job_id)))),
+ranked AS (
+  SELECT *, min(CASE WHEN lack IS NULL AND NOT marked THEN struct_pack(c := created_at, i := id) END) OVER (PARTITION BY job_id) AS first FROM stale),
+judged AS (
+  SELECT *, CASE WHEN lack IS NOT NULL AND NOT coalesce(status = 'queued' AND struct_pack(c := created_at, i := id) > first, false) THEN 'failed'
+                 WHEN lack IS NULL AND struct_pack(c := created_at, i := id) = first THEN 'queued' END AS new_status
+  FROM ranked)"""
+
+
+def started(t: Tables) -> DataFrame:
+    return S.reports(t).selectExpr(
+        "id", "id div 2 + 5000000 AS job_id", "status", "created_at", "updated_at", "user_id", "uploaded_file_id",
+        "CASE WHEN id % 11 = 0 THEN ' ' WHEN id % 4 = 0 THEN 'keyed' ELSE 'open' END AS provider",
+        "CASE WHEN id % 3 = 0 THEN 'secret' END AS api_key_encrypted",
+        "'m' AS model", "'Rate {row_json}' AS prompt_template",
+    )
+
+
+def recovered(t: Tables) -> DataFrame:
+    jobs = started(t)
+    leases = t.customer.select((F.col("c_custkey") * 5 + 5000000).alias("job_id"))
+    markers = t.part.select((F.col("p_partkey") * 7 + 5000000).alias("job_id"))
+    now = jobs.agg(F.max("updated_at")).scalar().cast("timestamp_ntz")
+    return reports.recover_jobs(jobs, leases, markers, now, False, ("keyed",), 31_536_000)
+
+
+@query(
+    "joi11_job_recovery",
+    with_sql(
+        S.REPORTS,
+        STARTED,
+        body=f"""SELECT id, job_id, status, new_status,
+          CASE WHEN new_status = 'failed' THEN CASE lack WHEN 'no key' THEN '{K.MSG_NO_KEY}' ELSE '{K.MSG_NO_CONTEXT}' END END AS new_error,
+          CASE WHEN new_status = 'failed' THEN now END AS new_finished_at FROM judged""",
+    ),
+)
+def job_recovery(t: Tables) -> DataFrame:
+    return recovered(t).select("id", "job_id", "status", "new_status", "new_error", "new_finished_at")
+
+
+@query(
+    "joi11_recovery_counts",
+    with_sql(
+        S.REPORTS,
+        STARTED,
+        body="""SELECT count(*) FILTER (new_status = 'queued') AS requeued, count(*) FILTER (new_status = 'failed') AS failed FROM judged""",
+    ),
+)
+def recovery_counts(t: Tables) -> DataFrame:
+    return reports.recovery_counts(recovered(t))
+
+
 @query(
     "joi12_snapshot_merge",
     with_sql(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from rowscribe import constants as K
 from rowscribe.operators import cache, groups, logs, maintenance, profile, reports
 from rowscribe.operators import rows as R
 from rowscribe.sources.sheets import header_names, sheet_from
@@ -180,3 +181,38 @@ def test_sections(spark):
     df = spark.createDataFrame([(1, text), (2, "no heading"), (3, "## only")], "k int, t string")
     got = [tuple(r) for r in logs.sections(df, "k", "t").orderBy("k", "section").collect()]
     assert got == [(1, 1, "2.0", "2.0 — today", "line\n more"), (1, 2, "", "", ""), (1, 3, "1.9", "1.9", ""), (3, 1, "only", "only", "")]
+
+
+def test_job_recovery(spark):
+    """Stale jobs are queued once per job_id, or fail with the reason; live ones stay out."""
+    at = lambda hour: f"2024-01-01 {hour:02d}:00:00"
+    rows = [
+        # id, job, status, created, updated, user, file, provider, key
+        ("a", "j1", "running", at(1), at(1), 1, "f", "open", None),  # queued again
+        ("b", "j1", "queued", at(2), at(1), 1, None, "open", None),  # its job waits by now: left alone
+        ("c", "j1", "running", at(2), at(1), 1, None, "open", None),  # running, cannot be started again
+        ("d", "j2", "running", at(1), at(1), 1, "f", "keyed", " "),  # no key
+        ("e", "j3", "running", at(1), at(1), 1, "f", "keyed", "k"),  # marked: stays
+        ("f", "j3", "queued", at(1), at(1), 1, "f", "open", None),  # marked and queued: not stale
+        ("g", "j4", "running", at(1), at(1), 1, "f", "open", None),  # has a lease
+        ("h", "j5", "running", at(1), at(9), 1, "f", "open", None),  # fresh
+        ("i", None, "running", at(1), None, 1, "f", "open", None),  # no job
+        ("k", "j6", "running", at(1), at(1), 0, "f", "open", None),  # no user
+        ("l", "j7", "paused", at(1), at(1), 1, "f", "open", None),
+        ("m", "j8", "queued", at(1), at(9), 1, "f", "open", None),  # only if the queue is empty
+    ]
+    names = "id string, job_id string, status string, created_at string, updated_at string, user_id long, uploaded_file_id string, provider string, api_key_encrypted string"
+    table = spark.createDataFrame(rows, names).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    table = table.withColumn("model", F.lit("m")).withColumn("prompt_template", F.lit("p"))
+    leases, markers = (spark.createDataFrame([(j,)] * 2, "job_id string") for j in ("j4", "j3"))
+    now = F.lit(at(9)).cast("timestamp")
+    found = reports.recover_jobs(table, leases, markers, now, False, ("keyed",), 3600)
+    assert found.columns == [*table.columns, "new_status", "new_error", "new_finished_at"]
+    got = {r.id: (r.new_status, r.new_error) for r in found.collect()}
+    lost, keyless = ("failed", K.MSG_NO_CONTEXT), ("failed", K.MSG_NO_KEY)
+    assert got == {"a": ("queued", None), "b": (None, None), "c": lost, "d": keyless, "e": (None, None), "i": lost, "k": lost}
+    assert {r.id for r in found.filter("new_finished_at IS NOT NULL").collect()} == {"c", "d", "i", "k"}
+    assert reports.recovery_counts(found).collect() == [(1, 4)]
+    empty = reports.recover_jobs(table, leases, markers, now, True, ("keyed",), 3600)
+    assert {r.id: r.new_status for r in empty.collect()}["m"] == "queued"
+    assert reports.recovery_counts(reports.recover_jobs(table.limit(0), leases, markers, now, True)).collect() == [(0, 0)]
