@@ -34,6 +34,10 @@ BROADCAST_PIECES = 1_000_000
 BLOCK_BYTES = 2 * B.BLOCK_BYTES
 #: Units asked for in a task (distinct ones are fewer); their edges are gathered by hash, more would be sorted.
 UNITS_OF_A_TASK = 50_000
+#: Units of more bytes or characters are cut into windows before they become substrings.
+LONG, WINDOW = 1_024, 256
+#: A span is start x WIDTH + length.
+WIDTH = 64
 
 
 class Model:
@@ -52,6 +56,8 @@ class Model:
             raise ValueError("pieces with a space or a line end after other characters are not supported")
         self.rows = rows
         self.longest = max(len(p) for p, _, _ in rows)
+        if self.longest >= WIDTH:
+            raise ValueError(f"pieces of {WIDTH} or more characters are not supported")
 
     def table(self, spark: SparkSession) -> DataFrame:
         columns = list(zip(*self.rows, strict=True))
@@ -71,12 +77,17 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     count = max(1, -(-size // BLOCK_BYTES))
     placed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block"), "doc_id", "text")
     packed = placed.mapInArrow(_pack, "block int, doc_id long, text binary")
-    asked = cut(packed.groupBy("block").applyInArrow(lambda t: _ask(t, count), "bucket int, block int, sizes binary, units binary"), "units")
+    asked = cut(packed.groupBy("block").applyInArrow(lambda t: _ask(t, count), "bucket int, block int, longest int, sizes binary, units binary"), "units")
     # Tasks of a bounded number of units, since a task holds the edges of its units.
-    asked_units = asked.select(F.sum(F.octet_length("sizes") / 4).alias("n")).first().n or 0
-    tasks = max(1, -(-int(asked_units) // UNITS_OF_A_TASK))
+    counted = asked.select(F.sum(F.octet_length("sizes") / 4).alias("n"), F.max("longest").alias("longest")).first()
+    tasks = max(1, -(-int(counted.n or 0) // UNITS_OF_A_TASK))
     units = asked.mapInArrow(_spell, "bucket int, unit string").repartition(tasks, "bucket", "unit").groupBy("bucket", "unit").count().select("bucket", "unit")
-    known = _with_edges_in_memory(docs.sparkSession, lambda: cut(segment(units, model), "known"))
+    if (counted.longest or 0) > LONG:
+        units = cut(units, "distinct")
+        lattice = segment(units.filter(F.length("unit") <= LONG), model).unionByName(segment_long(units.filter(F.length("unit") > LONG), model))
+    else:
+        lattice = segment(units, model)
+    known = _with_edges_in_memory(docs.sparkSession, lambda: cut(lattice, "known"))
     told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, k: _tell(a, k), "block int, bucket int, sizes binary, ids binary")
     return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, told: _encode(t, told), "doc_id long, text string, ids array<int>")
 
@@ -96,16 +107,40 @@ def segment(units: DataFrame, model: Model) -> DataFrame:
     """``units`` (bucket, unit; distinct) with ids: the lattice and its fold."""
     word = F.translate("unit", " ", SPACE)
     rows = units.select("bucket", "unit", word.alias("word"), F.length("unit").alias("n"))
-    starts = F.sequence(F.lit(0), F.col("n") - 1)
-    lengths = lambda s: F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - s))
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(lengths(s), lambda m: F.struct((s * 64 + m).alias("span"), F.substring(F.col("word"), s + 1, m).alias("piece")))))
+    spans = _substrings(F.col("word"), F.lit(0), F.col("n"), F.col("n"), model)
     # Edges of a unit are gathered where its substrings were made: no shuffle, and no sort of all edges.
-    spark = units.sparkSession
-    merging = model.kind != "unigram"
-    edge = (F.col("span").cast("long") * F.lit(1 << 32) + F.col("id")) if merging else F.struct("span", "score", "id")
-    spelled = rows.select("bucket", "unit", "word", "n", F.inline(spans)).join(model.table(spark), "piece", "left")
-    whole = spelled.groupBy("bucket", "unit", "word", "n").agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
-    if merging:
+    spelled = rows.select("bucket", "unit", "word", "n", F.inline(spans)).join(model.table(units.sparkSession), "piece", "left")
+    return _picked(spelled.groupBy("bucket", "unit", "word", "n").agg(_edges(model)), model)
+
+
+def segment_long(units: DataFrame, model: Model) -> DataFrame:
+    """As ``segment``, in time linear in a unit's length: substrings are made of windows, and edges carry a hash in place of the unit."""
+    key = [F.xxhash64("unit").alias("key"), F.crc32("unit").alias("check")]
+    rows = units.select("bucket", "unit", F.translate("unit", " ", SPACE).alias("word"), F.length("unit").alias("n"), *key)
+    at = F.sequence(F.lit(0), F.col("n") - 1, F.lit(WINDOW))
+    windows = F.transform(at, lambda i: F.struct(i.alias("first"), F.substring(F.col("word"), i + 1, F.lit(WINDOW + model.longest - 1)).alias("part")))
+    parts = rows.select("bucket", "key", "check", F.inline(windows))
+    spans = _substrings(F.col("part"), F.col("first"), F.least(F.lit(WINDOW), F.length("part")), F.length("part"), model)
+    spelled = parts.select("bucket", "key", "check", F.inline(spans)).join(model.table(units.sparkSession), "piece", "left")
+    edges = spelled.groupBy("bucket", "key", "check").agg(_edges(model))
+    return _picked(rows.join(edges, ["bucket", "key", "check"]).select("bucket", "unit", "word", "n", "edges"), model)
+
+
+def _substrings(part, first, starts, n, model: Model):
+    """span and piece of the substrings of the ``n`` characters of ``part`` that begin at its first ``starts``; its first character is the unit's ``first``."""
+    lengths = lambda s: F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s))
+    each = lambda s: F.transform(lengths(s), lambda m: F.struct(((first + s) * WIDTH + m).alias("span"), F.substring(part, s + 1, m).alias("piece")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), starts - 1), each))
+
+
+def _edges(model: Model):
+    edge = F.struct("span", "score", "id") if model.kind == "unigram" else F.col("span").cast("long") * F.lit(1 << 32) + F.col("id")
+    return F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges")
+
+
+def _picked(whole: DataFrame, model: Model) -> DataFrame:
+    """Units with the ids of their path."""
+    if model.kind != "unigram":
         by_byte, unknown, scores = model.bytes, model.unknown, {i: score for _, i, score in model.rows}
         return whole.select("bucket", "unit", "word", "edges").mapInArrow(lambda b: _merged(b, scores, by_byte, unknown), "bucket int, unit string, ids array<int>")
     table, ends = _viterbi()
@@ -244,9 +279,9 @@ def _ask(table: pa.Table, buckets: int) -> pa.Table:
     for bucket, part in B.bucket_slices(block.units, buckets):
         starts, ends = block.starts[block.example[part]], block.ends[block.example[part]]
         raw = b"".join(block.data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-        rows.append((bucket, table["block"][0].as_py(), (ends - starts).astype(np.uint32).tobytes(), zstandard.compress(raw, 1)))
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(["bucket", "block", "sizes", "units"], kinds, strict=True))})
+        rows.append((bucket, table["block"][0].as_py(), int((ends - starts).max(initial=0)), (ends - starts).astype(np.uint32).tobytes(), zstandard.compress(raw, 1)))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(["bucket", "block", "longest", "sizes", "units"], kinds, strict=True))})
 
 
 def _asked_units(sizes, units) -> pa.Array:
