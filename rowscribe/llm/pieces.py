@@ -8,7 +8,8 @@ scores are ranks, so the best sum is another segmentation than its own: its
 lattice is reduced by merges in order of score, in Python on Arrow batches, because
 the same merges as a fold took milliseconds for each unit.
 
-Texts are dealt to blocks, compressed, once. A block asks for its distinct units
+Texts that are read together form a block, compressed as a whole and written once; only
+compressed blocks are shuffled. A block asks for its distinct units
 and gets their ids back, so a unit that every text holds is asked for once per
 block. One text, and one unit, must fit into a task.
 """
@@ -21,17 +22,21 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscribe.llm import blocks as B
 from rowscribe.llm.words import bytes_of, hash_ranges
+from rowscribe.llm.words import pieces as bounded
 from rowscribe.session import cut
 
 SPACE = "▁"
 #: A piece table of more rows is joined without a broadcast hint.
 BROADCAST_PIECES = 1_000_000
 BLOCK_BYTES = 2 * B.BLOCK_BYTES
+#: Of compression: blocks and units are written once and read twice.
+LEVEL = 6
 #: Units asked for in a task (distinct ones are fewer); their edges are gathered by hash, more would be sorted.
 UNITS_OF_A_TASK = 50_000
 #: Units of more bytes or characters are cut into windows before they become substrings.
@@ -75,9 +80,8 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     size = rows.select(F.sum(F.octet_length("text")).alias("size")).first().size or 0
     count = max(1, -(-size // BLOCK_BYTES))
-    placed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block"), "doc_id", "text")
-    packed = placed.mapInArrow(_pack, "block int, doc_id long, text binary")
-    asked = cut(packed.groupBy("block").applyInArrow(lambda t: _ask(t, count), "bucket int, block int, longest int, sizes binary, units binary"), "units")
+    packed = cut(rows.mapInArrow(_pack, "block long, texts binary"), "blocks")
+    asked = cut(packed.mapInArrow(lambda b: _ask(b, count), "bucket int, block long, longest int, sizes binary, units binary"), "units")
     # Tasks of a bounded number of units, since a task holds the edges of its units.
     counted = asked.select(F.sum(F.octet_length("sizes") / 4).alias("n"), F.max("longest").alias("longest")).first()
     tasks = max(1, -(-int(counted.n or 0) // UNITS_OF_A_TASK))
@@ -88,7 +92,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     else:
         lattice = segment(units, model)
     known = _with_edges_in_memory(docs.sparkSession, lambda: cut(lattice, "known"))
-    told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, k: _tell(a, k), "block int, bucket int, sizes binary, ids binary")
+    told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, k: _tell(a, k), "block long, bucket int, sizes binary, ids binary")
     return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, told: _encode(t, told), "doc_id long, text string, ids array<int>")
 
 
@@ -244,20 +248,32 @@ def decode(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def _pack(batches):
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = [None if t is None else pack.compress(t.encode()) for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([batch.column("block"), batch.column("doc_id"), pa.array(texts, pa.binary())], ["block", "doc_id", "text"])
+    """Blocks of about ``BLOCK_BYTES`` of texts, as they come; written once, so the numbers are those of one attempt."""
+    task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def block():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema) as out:
+            for part in held:
+                out.write_batch(part)
+        return pa.record_batch({"block": pa.array([task << 32 | number], pa.int64()), "texts": pa.array([zstandard.compress(sink.getvalue(), LEVEL)], pa.binary())})
+
+    for batch in bounded(batches):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            yield block()
+            number, held, size = number + 1, [], 0
+    if held:
+        yield block()
 
 
 class _Block:
-    """A block's texts, in an order of their own, and their units."""
+    """A block's texts and their units."""
 
-    def __init__(self, table: pa.Table):
-        table = B.ordered(table)
-        unpack = zstandard.ZstdDecompressor()
-        self.doc_ids = table["doc_id"]
-        self.texts = [None if x is None else unpack.decompress(x).decode() for x in table["text"].to_pylist()]
+    def __init__(self, packed: pa.Scalar):
+        table = pa.ipc.open_stream(zstandard.decompress(packed.as_py())).read_all()
+        self.doc_ids, self.texts = table["doc_id"], table["text"].to_pylist()
         # The model puts a space before a text and takes its own sign for a space as one.
         spaced = pa.array([" " + t.replace(SPACE, " ") if t else "" for t in self.texts], pa.large_string())
         self.data, texts = bytes_of(spaced)
@@ -273,15 +289,16 @@ class _Block:
         self.units, self.example, self.unit_of = np.unique(hashes, return_index=True, return_inverse=True)
 
 
-def _ask(table: pa.Table, buckets: int) -> pa.Table:
-    block = _Block(table)
-    rows = []
-    for bucket, part in B.bucket_slices(block.units, buckets):
-        starts, ends = block.starts[block.example[part]], block.ends[block.example[part]]
-        raw = b"".join(block.data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-        rows.append((bucket, table["block"][0].as_py(), int((ends - starts).max(initial=0)), (ends - starts).astype(np.uint32).tobytes(), zstandard.compress(raw, 1)))
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(["bucket", "block", "longest", "sizes", "units"], kinds, strict=True))})
+def _ask(batches, buckets: int):
+    names = {"bucket": pa.int32(), "block": pa.int64(), "longest": pa.int32(), "sizes": pa.binary(), "units": pa.binary()}
+    for batch in batches:
+        for number, packed in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
+            block, rows = _Block(packed), []
+            for bucket, part in B.bucket_slices(block.units, buckets):
+                starts, ends = block.starts[block.example[part]], block.ends[block.example[part]]
+                raw = b"".join(block.data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+                rows.append((bucket, number, int((ends - starts).max(initial=0)), (ends - starts).astype(np.uint32).tobytes(), zstandard.compress(raw, LEVEL)))
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(names.values())], list(names))
 
 
 def _asked_units(sizes, units) -> pa.Array:
@@ -303,12 +320,12 @@ def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
     for block, bucket, sizes, units in zip(asked["block"].to_pylist(), asked["bucket"].to_pylist(), asked["sizes"], asked["units"], strict=True):
         found = ids.take(pa.compute.index_in(_asked_units(sizes, units), value_set=names))
         rows.append((block, bucket, found.value_lengths().to_numpy().astype(np.uint32).tobytes(), found.flatten().to_numpy().astype(np.int32).tobytes()))
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(["block", "bucket", "sizes", "ids"], kinds, strict=True))})
 
 
 def _encode(table: pa.Table, told: pa.Table) -> pa.Table:
-    block = _Block(table)
+    block = _Block(table["texts"][0])
     # Buckets cut the range of unit hashes in order, so in order of buckets the answers are those of block.units.
     told = told.combine_chunks().sort_by("bucket")
     sizes, ids = B.joined(told["sizes"], np.uint32)[0].astype(np.int64), B.joined(told["ids"], np.int32)[0]
