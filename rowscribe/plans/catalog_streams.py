@@ -20,12 +20,12 @@ with_sql = S.with_sql
 
 
 class StreamTables(Tables):
-    """The same tables, each read as a stream of its file."""
+    """The same tables, each read as a stream of its file or of the files of its folder."""
 
     def __getattr__(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.folder)
+        # A pattern of one name: a stream takes no single file as its path, and a table may be a folder of files.
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
 
 
 def _streams(t: Tables) -> StreamTables:
