@@ -63,16 +63,17 @@ def _asking(annotator: Annotator):
 
 
 def _replies(waiting: DataFrame, annotator: Annotator, journal: str, resumed: bool, turn: str, parallelism: int, task_calls: int) -> DataFrame:
-    """``waiting`` with the reply to each prompt; only prompts the journal has no answer to are asked."""
+    """``waiting``, without its texts, with the reply to each prompt; only prompts the journal has no answer to are asked."""
     todo = waiting.select(*_ASKED, F.lit(turn).alias("turn"), "prompt")
     if resumed:
         known = waiting.sparkSession.read.schema(JOURNAL).parquet(journal)
-        todo = cut(todo.join(known.filter("failure IS NULL").select(*_ASKED), _ASKED, "left_anti"), "todo")
+        todo = todo.join(known.filter("failure IS NULL").select(*_ASKED), _ASKED, "left_anti")
     call_in_waves(todo, "cache_key", "prompt", _asking(annotator), REPLY, journal, limit=parallelism, task_calls=task_calls)
     # Failures of earlier turns are no answers; of repeated answers to one prompt any will do.
     found = waiting.sparkSession.read.schema(JOURNAL).parquet(journal).filter((F.col("failure").isNull()) | (F.col("turn") == turn))
     one = found.groupBy(*_ASKED).agg(F.max_by(F.struct(*REPLY.names), F.col("failure").isNull()).alias("reply"))
-    return waiting.join(one, _ASKED).select(*waiting.columns, "reply.*")
+    slim = waiting.drop("prompt")
+    return slim.join(one, _ASKED).select(*slim.columns, "reply.*")
 
 
 def annotate(
@@ -89,8 +90,8 @@ def annotate(
 ) -> DataFrame:
     """Answers per cache key.
 
-    ``requests``: ``cache_key`` (unique), ``prompt``, ``review_text``. At most
-    ``parallelism`` calls are open at a time, however many requests and executors
+    ``requests``: ``cache_key`` (unique), ``prompt`` and ``guessed_tokens``, or
+    ``review_text`` to guess from. At most ``parallelism`` calls are open at a time, however many requests and executors
     there are. ``journal`` names a folder that outlives a run: a run with the same
     journal asks only what finished tasks have not answered. Without one the answers
     are kept in the scratch folder, for this run alone.
@@ -100,19 +101,23 @@ def annotate(
     journal = journal or scratch_path(requests.sparkSession, "journal")
     empty_journal(requests.sparkSession, journal, JOURNAL)
     run = scratch_path(requests.sparkSession, "run").rsplit("-", 1)[1]
+    guess = F.col("guessed_tokens") if "guessed_tokens" in requests.columns else jsonx.fallback_prompt_tokens(F.col("review_text"))
+    # The long text is stored once for an attempt; what passes on between attempts has none.
     waiting = requests.select(
         "cache_key",
         F.col("prompt").alias("first_prompt"),
-        "prompt",
-        _prompt_key(F.col("prompt"), F.lit(0)).alias("prompt_key"),
+        F.lit(None).cast("struct<problem: string, answer: string>").alias("mistake"),
         F.lit(0).alias("wrong"),
-        jsonx.fallback_prompt_tokens(F.col("review_text")).alias("guessed_tokens"),
+        guess.alias("guessed_tokens"),
         F.array(*start).cast("array<string>").alias("notes"),
     )
     finished: DataFrame | None = None
     for attempt in range(retries + 1):
         waiting = cut(waiting, "waiting")
-        asked = _replies(waiting, annotator, journal, resumed, f"{run}-{attempt}", parallelism, task_calls)
+        again = with_feedback(F.col("first_prompt"), F.col("mistake.problem"), F.col("mistake.answer"))
+        posed = waiting.withColumn("prompt", F.col("first_prompt") if attempt == 0 else F.when(F.col("mistake").isNull(), F.col("first_prompt")).otherwise(again))
+        posed = posed.withColumn("prompt_key", _prompt_key(F.col("prompt"), F.col("wrong"))).drop("first_prompt", "mistake")
+        asked = _replies(posed, annotator, journal, resumed, f"{run}-{attempt}", parallelism, task_calls)
         answered = F.col("failure").isNull() & F.col("overflow_model").isNull()
         # Answers are checked after they are stored, at the width of the data and not of the calls.
         checked = asked.withColumn("problem", F.when(answered, answer_error(F.col("answer"), schema, template)))
@@ -132,20 +137,18 @@ def annotate(
             break
         # Only an answer that was read and found wrong gives feedback.
         corrigible = F.col("problem").isNotNull() & F.try_parse_json("answer").isNotNull()
-        again = F.when(corrigible, with_feedback(F.col("first_prompt"), F.col("problem"), F.col("answer"))).otherwise(F.col("first_prompt"))
         # A retry with feedback, and every attempt without a cache, bypasses the cache.
         bypasses = corrigible if use_cache else F.lit(True)
         noted = F.array_append("notes", F.lit("cache_disabled"))
         wrong = F.col("wrong") + F.col("failure").isNull().cast("int")
-        waiting = checked.filter(~final).select(
+        failed = checked.filter(~final).select(
             "cache_key",
-            "first_prompt",
-            again.alias("prompt"),
-            _prompt_key(again, wrong).alias("prompt_key"),
+            F.when(corrigible, F.struct("problem", "answer")).alias("mistake"),
             wrong.alias("wrong"),
             "guessed_tokens",
             F.when(bypasses, noted).otherwise(F.col("notes")).alias("notes"),
         )
+        waiting = failed.join(waiting.select("cache_key", "first_prompt"), "cache_key")
     return _outcome(finished, template)
 
 
@@ -203,19 +206,20 @@ def embed(
             return None, K.NOTE_EMBEDDING_FAILED
 
     gone = F.col("embedding_note") == K.NOTE_EMBEDDER_MISSING
-    prepared = requests.withColumn("_text", squash(F.coalesce(F.col(text), F.lit("")))).withColumn("_text_key", F.sha2("_text", 256))
-    prepared = cut(prepared, "texts")
-    asked = cut(prepared.filter("_text != ''").groupBy("_text_key").agg(F.first("_text").alias("_text")), "asked")
+    squashed = squash(F.coalesce(F.col(text), F.lit("")))
+    prepared = requests.withColumn("_text", squashed)
+    # The texts are kept once, as they came; blank ones have no key.
+    prepared = cut(prepared.withColumn("_text_key", F.when(F.col("_text") != "", F.sha2("_text", 256))).drop("_text"), "texts")
+    asked = cut(prepared.filter("_text_key IS NOT NULL").groupBy("_text_key").agg(F.first(squashed).alias("_text")), "asked")
     path = scratch_path(requests.sparkSession, "vectors")
     key = T.StructField("_text_key", T.StringType())
     empty_journal(requests.sparkSession, path, T.StructType([key, *EMBEDDED.fields]))
     call_in_waves(
-        asked, "_text_key", "_text", embed_one, EMBEDDED, path, limit=parallelism, task_calls=task_calls,
-        go_on=lambda found: found.filter(gone).isEmpty(),
+        asked, "_text_key", "_text", embed_one, EMBEDDED, path, limit=parallelism, task_calls=task_calls, stop=gone,
     )
     found = requests.sparkSession.read.schema(T.StructType([key, *EMBEDDED.fields])).parquet(path)
     # A lost task may have answered a text twice.
     found = found.groupBy("_text_key").agg(F.first(F.struct(*EMBEDDED.names)).alias("_found"), F.lit(True).alias("_asked"))
-    unasked = F.when((F.col("_text") != "") & F.col("_asked").isNull(), F.lit(K.NOTE_EMBEDDER_MISSING))
+    unasked = F.when(F.col("_text_key").isNotNull() & F.col("_asked").isNull(), F.lit(K.NOTE_EMBEDDER_MISSING))
     note = F.coalesce(F.col("_found.embedding_note"), unasked).alias("embedding_note")
     return prepared.join(found, "_text_key", "left").select(*requests.columns, F.col("_found.embedding").alias("embedding"), note)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,15 +40,15 @@ def call_in_waves(
     *,
     limit: int,
     task_calls: int = TASK_CALLS,
-    go_on: Callable[[DataFrame], bool] | None = None,
+    stop: Column | None = None,
 ) -> None:
     """Append ``requests`` (without ``argument``) and the reply of ``call(argument)`` to the journal at ``path``.
 
     ``key`` is unique. ``call`` gives one value for each field of ``reply`` and does
-    not raise; a null argument is not called and gives nulls. ``go_on`` looks at the
-    journal after a first wave of one request and after every later wave; if it says
-    no, the rest is left out. A task that is lost repeats its own calls only. Keep
-    speculative execution off: it would call twice.
+    not raise; a null argument is not called and gives nulls. ``stop`` is a condition on
+    the replies, counted while a wave is written: after a first wave of one request, or
+    any later one, with such a reply the rest is left out. A task that is lost repeats
+    its own calls only. Keep speculative execution off: it would call twice.
     """
     spark = requests.sparkSession
     tasks = max(1, min(limit, spark.sparkContext.defaultParallelism))
@@ -64,23 +64,31 @@ def call_in_waves(
                 found = pd.DataFrame(replies, columns=names, index=part.index, dtype=object)
                 yield pd.concat([part[[f.name for f in fields]], found], axis=1)
 
-    # Written once, a folder per wave, so that a wave reads its own requests only.
-    planned = scratch_path(spark, "requests")
     count = requests.count()
+    if not count:
+        return
+    # Written once, a folder of one file per wave, so that a wave lists and reads its own
+    # requests only, whatever the number of waves.
+    planned = scratch_path(spark, "requests")
     parts = max(1, -(-count // task_calls))
     part = F.pmod(F.xxhash64(key), F.lit(parts))
     slots = requests.withColumn("_part", part).withColumn("_slot", (F.col("_part") % tasks).cast("int"))
     wave = F.expr(f"_part div {tasks}").cast("int")
-    if go_on is not None and count:
+    if stop is not None:
         # One request alone tells whether there is anybody to ask.
         first = F.lit(requests.agg(F.min(F.xxhash64(key))).first()[0])
         wave = F.when(F.xxhash64(key) == first, -1).otherwise(wave)
-    slots.withColumn("_wave", wave).drop("_part").write.partitionBy("_wave").parquet(planned)
-    kind = T.StructType([*requests.schema.fields, T.StructField("_slot", T.IntegerType()), T.StructField("_wave", T.IntegerType())])
-    waves = range(0 if go_on is None else -1, -(-parts // tasks))
-    for number in waves if count else []:
-        now = spark.read.schema(kind).parquet(planned).filter(F.col("_wave") == number).drop("_wave")
+    waves = -(-parts // tasks)
+    dealt = slots.withColumn("_wave", wave).drop("_part").repartitionById(waves + 1, F.col("_wave") + 1)
+    dealt.write.partitionBy("_wave").parquet(planned)
+    kind = T.StructType([*requests.schema.fields, T.StructField("_slot", T.IntegerType())])
+    all_waves = spark.read.schema(T.StructType([*kind.fields, T.StructField("_wave", T.IntegerType())])).parquet(planned)
+    for row in all_waves.select("_wave").distinct().orderBy("_wave").collect():
+        now = spark.read.schema(kind).parquet(f"{planned}/_wave={row._wave}")
         asked = now.repartitionById(tasks, F.col("_slot")).mapInPandas(reply_all, schema)
+        seen = Observation()
+        if stop is not None:
+            asked = asked.observe(seen, F.count_if(stop).alias("stops"))
         asked.write.mode("append").options(**_AT_ONCE).parquet(path)
-        if go_on is not None and not go_on(spark.read.schema(schema).parquet(path)):
+        if stop is not None and seen.get["stops"]:
             return
