@@ -96,11 +96,13 @@ def _by_join(requests: DataFrame, candidates: DataFrame, keys: list[str], block_
 
     The candidates of a key, at most the limit, are repeated once per block, so
     a key that holds most requests is spread over as many tasks as it has blocks.
+    Keys of more than one block are few, one per ``block_rows`` requests at most: they
+    are broadcast, so that requests are never brought together by their key alone.
     """
     sizes = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))
     blocks = sizes.select(*keys, F.ceil(F.col("key_rows") / block_rows).cast("int").alias("_blocks"))
     place = F.pmod(F.xxhash64(*requests.columns), F.col("_blocks")).cast("int")
-    left = requests.join(blocks, keys, "left").withColumn("_block", F.coalesce(place, F.lit(0)))
+    left = requests.join(F.broadcast(blocks.filter("_blocks > 1")), keys, "left").withColumn("_block", F.coalesce(place, F.lit(0)))
     right = candidates.join(blocks, keys).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     )

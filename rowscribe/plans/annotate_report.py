@@ -82,16 +82,22 @@ def with_keys(units: DataFrame, job: Job) -> DataFrame:
 
 
 def distinct_requests(units: DataFrame) -> DataFrame:
-    """One request per cache key, worded like its first row.
+    """One request per cache key, worded like its first row, with the tokens its review has at a guess.
 
     The first row is a minimum taken inside each task, so a text that fills a
     third of the sheet is shuffled once per task.
     """
-    needed = ["review_text", "input_json", *KEY_PARTS]
+    guessed = jsonx.fallback_prompt_tokens(F.col("review_text")).alias("guessed_tokens")
+    needed = [guessed, "input_json", *KEY_PARTS]
     first = units.groupBy("cache_key").agg(
         F.min_by(F.struct(*needed), "row_number").alias("_first"), F.count(F.lit(1)).alias("key_rows")
     )
-    return first.select("cache_key", "key_rows", "_first.*")
+    # A key whose rows have no numbers has no first row either.
+    unknown = jsonx.fallback_prompt_tokens(F.lit(""))
+    return first.select("cache_key", "key_rows", "_first.*").withColumn("guessed_tokens", F.coalesce("guessed_tokens", unknown))
+
+
+_CACHED = ["cached_answer", "cached_raw", "cache_notes"]
 
 
 def _reused(found: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def _reused(found: DataFrame) -> DataFrame:
 
 
 def _similar(misses: DataFrame, job: Job, semantic: DataFrame, embedder: Embedder) -> DataFrame:
-    """Misses with a checked similar answer where there is one."""
+    """Misses, without their texts, with a checked similar answer where there is one."""
     asked = embed(
         misses.withColumns(
             {"provider": F.lit(job.provider), "model": F.lit(job.model), "analysis_mode": F.lit(job.mode)}
@@ -117,7 +123,7 @@ def _similar(misses: DataFrame, job: Job, semantic: DataFrame, embedder: Embedde
         "input_json",
         embedder,
         job.parallelism,
-    )
+    ).drop("input_json")
     # Vectors come from a model: make them once.
     found = cut(caches.semantic_lookup(cut(asked), semantic), "similar")
     answers = semantic.select(
@@ -133,7 +139,7 @@ def _similar(misses: DataFrame, job: Job, semantic: DataFrame, embedder: Embedde
             "cache_notes",
             F.concat("cache_notes", F.array_compact(F.array("embedding_note", F.when(good, note)))),
         )
-        .select(*misses.columns, *caches.SEMANTIC_KEYS[:3], "embedding")
+        .select("cache_key", *_CACHED, *caches.SEMANTIC_KEYS[:3], "embedding")
     )
 
 
@@ -148,20 +154,20 @@ def answer_requests(
     """Answers per cache key; the fresh ones, what was asked, the broken cache keys."""
     parts, invalid = [], None
     none = F.lit(None).cast("string")
-    waiting = requests.withColumns(
-        {"cached_answer": none, "cached_raw": none, "cache_notes": F.array().cast("array<string>")}
-    )
+    # Looked up by key alone; the texts of what is left are joined again afterwards.
+    waiting = requests.withColumns({"cached_answer": none, "cached_raw": none, "cache_notes": F.array().cast("array<string>")})
     if job.use_cache and cache is not None:
-        found = caches.exact_lookup(requests, cache)
+        found = caches.exact_lookup(requests.select("cache_key"), cache)
         checked = caches.check_hits(found, job.schema, job.template)
         checked = cut(checked.withColumn("cache_notes", F.array_compact(F.array("cache_note"))))
         invalid = checked.filter("invalid_hit").select("cache_key")
         parts.append(_reused(checked.filter("cached_answer IS NOT NULL")))
-        waiting = checked.filter("cached_answer IS NULL").select(*waiting.columns)
+        waiting = requests.join(checked.filter("cached_answer IS NULL").select("cache_key", *_CACHED), "cache_key")
     if job.use_cache and semantic is not None and embedder is not None:
-        checked = cut(_similar(waiting, job, semantic, embedder))
+        keys = [k for k in caches.SEMANTIC_KEYS if k in requests.columns]
+        checked = cut(_similar(waiting.select("cache_key", "input_json", *keys, *_CACHED), job, semantic, embedder))
         parts.append(_reused(checked.filter("cached_answer IS NOT NULL")))
-        waiting = checked.filter("cached_answer IS NULL")
+        waiting = requests.join(checked.filter("cached_answer IS NULL"), "cache_key")
     prompt = prompts.render_prompt(job.prompt, F.col("input_json"), job.mode, job.template)
     fresh = annotate(
         waiting.withColumn("prompt", prompt),
