@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +254,18 @@ def test_jaccard_components(many_chunks, monkeypatch, percent):
     assert got == joined(docs, percent)
 
 
+def test_jaccard_block_takes_bounded_memory():
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 9000, 400)) for _ in range(jaccard_join.BLOCK_BYTES // 2300)]
+    kinds = {"block": pa.int32(), "hashes": pa.binary(), "counts": pa.binary()}
+    block = pa.table({"block": pa.array([0] * len(texts), pa.int32()), "node": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    tracemalloc.start()
+    found = jaccard_join._prefixes(block, pa.table({n: pa.array([], k) for n, k in kinds.items()}), 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 0 and peak < 150e6
+
+
 def test_jaccard_of_few_rows(spark):
     kind = "doc_id long, text string"
     for docs in ([], [(5, None)], [(3, "a b c d e f"), (2, "A b c d e f")], [(1, "")]):
