@@ -13,7 +13,8 @@ class by then, so only unlike texts that share a bucket cost pairs of their own.
 Classes are the connected components of verified pairs.
 
 Buckets are summed before they are shuffled, and hot ones are split by the joins.
-Word hashes of a text are moved only if it is in a pair.
+A text is moved only if a bitmap of the nodes in pairs may hold it, its word
+hashes only if it is in a pair.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from rowscribe.session import cut
 SHINGLE = 2
 SKETCHES = 64
 ALIKE = 0.8
+#: Of the bitmap of needed nodes (8 MB); a text that is not needed passes as often as a bit of it is set.
+BITS = 1 << 26
 _SEEDS = np.random.default_rng(97).integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -166,13 +169,23 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose words align."""
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    one = nodes.select("node", "doc_id").filter("doc_id IS NOT NULL").join(needed, "node")
-    spelled = cut(texts.join(one, "doc_id").select("node", "text").mapInArrow(_spell, "node long, words binary").dropDuplicates(["node"]), "spelled")
+    one = cut(nodes.select("node", "doc_id").filter("doc_id IS NOT NULL").join(needed, "node"), "needed")
+    spelled = cut(_needed(texts, one).join(one, "doc_id").select("node", "text").mapInArrow(_spell, "node long, words binary").dropDuplicates(["node"]), "spelled")
     left = pairs.join(spelled.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
     both = left.join(spelled.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     return cut(both.select("a", "b", "words_a", "words_b").mapInArrow(_aligned, "a long, b long"), "links")
 
 
+def _needed(texts: DataFrame, one: DataFrame) -> DataFrame:
+    """The texts of the doc_ids of ``one``, and a few others; found in place, by a bitmap of hashes of bounded size."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1
+    page, at = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    bitmap = one.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    octet = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = texts.join(F.broadcast(bitmap), page == F.col("page"))
+    return held.filter(F.getbit(octet, (at % 8).cast("int")) == 1).select(texts.columns)
+
+
 def _spell(batches):
     for batch in pieces(batches):
         words = words_of(batch.column("text"), ALPHANUMERIC, FOLD_CASE)

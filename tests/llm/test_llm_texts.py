@@ -115,6 +115,18 @@ def test_near_dedup_classes(spark, odd_rows):
     assert near_dedup.classes(table(spark, [])).count() == 0
 
 
+def test_near_dedup_moves_needed_texts_only(spark, monkeypatch):
+    rows = [(i - 500, f"text {i}") for i in range(2000)] + [(None, "no id"), (7, "again")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    one = spark.createDataFrame([(i, i) for i in range(-500, 1500, 40)], "node long, doc_id long")
+    wanted = sorted(t for d, t in rows if d is not None and (d + 500) % 40 == 0)
+    for bits, most in ((near_dedup.BITS, len(wanted) + 5), (64, len(rows))):
+        monkeypatch.setattr(near_dedup, "BITS", bits)
+        held = near_dedup._needed(texts, one)
+        assert len(wanted) <= held.count() <= most
+        assert sorted(r.text for r in held.join(one, "doc_id").collect()) == wanted
+
+
 def test_near_dedup_below_a_shared_passage(spark):
     r = random.Random(21)
     passage, rows = sentence(r, 140, 3000), []
