@@ -42,7 +42,7 @@ from rowscribe.session import cut
 SHINGLE = 5
 #: Least intersection of linked sets, in hundredths of their union.
 PERCENT = 80
-#: Text of a bucket and of a block, in bytes (a task holds about 25 times a block's); tokens a task gathers before it sends them.
+#: Text of a bucket and of a block, in bytes (a task holds about 18 times a block's); tokens a task gathers before it sends them.
 BUCKET_BYTES, BLOCK_BYTES, GATHERED = 16 << 20, 4 << 20, 1 << 20
 #: Sets and tokens of a chunk that is compared at once (a longer set is a chunk of its own).
 CHUNK_SETS, CHUNK_TOKENS = 96, 1 << 18

@@ -20,6 +20,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
@@ -34,7 +35,8 @@ from rowscribe.session import cut
 SPACE = "▁"
 #: A piece table of more rows is joined without a broadcast hint.
 BROADCAST_PIECES = 1_000_000
-BLOCK_BYTES = 2 * B.BLOCK_BYTES
+#: A task holds about twelve times a block.
+BLOCK_BYTES = B.BLOCK_BYTES
 #: Of compression: blocks and units are written once and read twice.
 LEVEL = 6
 #: Units asked for in a task (distinct ones are fewer); their edges are gathered by hash, more would be sorted.
@@ -81,9 +83,9 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     size = rows.select(F.sum(F.octet_length("text")).alias("size")).first().size or 0
     count = max(1, -(-size // BLOCK_BYTES))
     packed = cut(rows.mapInArrow(_pack, "block long, texts binary"), "blocks")
-    asked = cut(packed.mapInArrow(lambda b: _ask(b, count), "bucket int, block long, longest int, sizes binary, units binary"), "units")
+    asked = cut(packed.mapInArrow(lambda b: _ask(b, count), "bucket int, block long, longest int, n int, sizes binary, units binary"), "units")
     # Tasks of a bounded number of units, since a task holds the edges of its units.
-    counted = asked.select(F.sum(F.octet_length("sizes") / 4).alias("n"), F.max("longest").alias("longest")).first()
+    counted = asked.select(F.sum("n").alias("n"), F.max("longest").alias("longest")).first()
     tasks = max(1, -(-int(counted.n or 0) // UNITS_OF_A_TASK))
     units = asked.mapInArrow(_spell, "bucket int, unit string").repartition(tasks, "bucket", "unit").groupBy("bucket", "unit").count().select("bucket", "unit")
     if (counted.longest or 0) > LONG:
@@ -93,7 +95,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
         lattice = segment(units, model)
     known = _with_edges_in_memory(docs.sparkSession, lambda: cut(lattice, "known"))
     told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, k: _tell(a, k), "block long, bucket int, sizes binary, ids binary")
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, told: _encode(t, told), "doc_id long, text string, ids array<int>")
+    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, told: _encode(t, told, count), "doc_id long, text string, ids array<int>")
 
 
 def _with_edges_in_memory(spark: SparkSession, write):
@@ -269,40 +271,70 @@ def _pack(batches):
 
 
 class _Block:
-    """A block's texts and their units."""
+    """A block's texts and their units: of distinct ones hash, place and size, of each the number of its distinct one."""
 
     def __init__(self, packed: pa.Scalar):
-        table = pa.ipc.open_stream(zstandard.decompress(packed.as_py())).read_all()
-        self.doc_ids, self.texts = table["doc_id"], table["text"].to_pylist()
+        table = pa.ipc.open_stream(zstandard.decompress(packed.as_buffer())).read_all()
+        self.doc_ids, self.texts = table["doc_id"], table["text"].combine_chunks()
         # The model puts a space before a text and takes its own sign for a space as one.
-        spaced = pa.array([" " + t.replace(SPACE, " ") if t else "" for t in self.texts], pa.large_string())
-        self.data, texts = bytes_of(spaced)
+        wide = pa.large_string()
+        plain = pc.replace_substring(self.texts.cast(wide), SPACE, " ")
+        empty, before = pa.scalar("", wide), pa.scalar(" ", wide)
+        self.data, texts = bytes_of(pc.if_else(pc.equal(plain, empty), empty, pc.binary_join_element_wise(before, plain, empty)))
+        del plain
         space, line = self.data == 0x20, self.data == 0x0A
         begins = space | line
         begins[1:] &= ~(space[1:] & space[:-1])
         begins[1:] |= line[:-1]
         begins[texts[:-1][texts[1:] > texts[:-1]]] = True
-        self.starts = np.flatnonzero(begins)
-        self.ends = np.append(self.starts[1:], len(self.data))[: len(self.starts)]
-        self.first = np.searchsorted(self.starts, texts)
-        hashes = hash_ranges(self.data, self.starts, [self.ends])[0]
-        self.units, self.example, self.unit_of = np.unique(hashes, return_index=True, return_inverse=True)
+        del space, line
+        starts = np.flatnonzero(begins)
+        del begins
+        ends = np.append(starts[1:], len(self.data))[: len(starts)]
+        self.first = np.searchsorted(starts, texts)
+        hashes = hash_ranges(self.data, starts, [ends])[0]
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        new = np.append(np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1])
+        self.units, example = hashes[new], order[new]
+        self.at, self.sizes = starts[example], ends[example] - starts[example]
+        del starts, ends, hashes
+        self.unit_of = np.empty(len(order), np.int32)
+        self.unit_of[order] = np.cumsum(new, dtype=np.int32) - 1
+
+    def asked(self, buckets: int):
+        """(bucket, numbers of its units, these units), in order of their spelling: neighbours compress well."""
+        ends = np.cumsum(self.sizes)
+        source = np.repeat(self.at - (ends - self.sizes), self.sizes) + np.arange(self.sizes.sum())
+        offsets = np.append(0, ends).astype(np.int32)
+        spelled = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[source])])
+        for bucket, part in B.bucket_slices(self.units, buckets):
+            order = pc.sort_indices(spelled[part])
+            yield bucket, part.start + order.to_numpy(), spelled[part].take(order)
 
 
 def _ask(batches, buckets: int):
-    names = {"bucket": pa.int32(), "block": pa.int64(), "longest": pa.int32(), "sizes": pa.binary(), "units": pa.binary()}
     for batch in batches:
         for number, packed in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
-            block, rows = _Block(packed), []
-            for bucket, part in B.bucket_slices(block.units, buckets):
-                starts, ends = block.starts[block.example[part]], block.ends[block.example[part]]
-                raw = b"".join(block.data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-                rows.append((bucket, number, int((ends - starts).max(initial=0)), (ends - starts).astype(np.uint32).tobytes(), zstandard.compress(raw, LEVEL)))
-            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(names.values())], list(names))
+            yield _questions(_Block(packed), number, buckets)
+
+
+def _questions(block: _Block, number: int, buckets: int) -> pa.RecordBatch:
+    names = {"bucket": pa.int32(), "block": pa.int64(), "longest": pa.int32(), "n": pa.int32(), "sizes": pa.binary(), "units": pa.binary()}
+    rows = []
+    for bucket, _, units in block.asked(buckets):
+        raw, ends = bytes_of(units)
+        sizes = np.diff(ends)
+        rows.append((bucket, number, int(sizes.max()), len(sizes), _squeezed(sizes, np.uint32), zstandard.compress(raw.tobytes(), LEVEL)))
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(names.values())], list(names))
+
+
+def _squeezed(numbers: np.ndarray, kind) -> bytes:
+    return zstandard.compress(numbers.astype(kind).tobytes(), LEVEL)
 
 
 def _asked_units(sizes, units) -> pa.Array:
-    lengths = np.frombuffer(sizes.as_buffer(), np.uint32)
+    lengths = np.frombuffer(zstandard.decompress(sizes.as_buffer()), np.uint32)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(units.as_py())))
 
@@ -318,20 +350,27 @@ def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
     names, ids = known["unit"].combine_chunks(), known["ids"].combine_chunks()
     rows = []
     for block, bucket, sizes, units in zip(asked["block"].to_pylist(), asked["bucket"].to_pylist(), asked["sizes"], asked["units"], strict=True):
-        found = ids.take(pa.compute.index_in(_asked_units(sizes, units), value_set=names))
-        rows.append((block, bucket, found.value_lengths().to_numpy().astype(np.uint32).tobytes(), found.flatten().to_numpy().astype(np.int32).tobytes()))
+        found = ids.take(pc.index_in(_asked_units(sizes, units), value_set=names))
+        rows.append((block, bucket, _squeezed(found.value_lengths().to_numpy(), np.uint32), _squeezed(found.flatten().to_numpy(), np.int32)))
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(["block", "bucket", "sizes", "ids"], kinds, strict=True))})
 
 
-def _encode(table: pa.Table, told: pa.Table) -> pa.Table:
+def _encode(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     block = _Block(table["texts"][0])
-    # Buckets cut the range of unit hashes in order, so in order of buckets the answers are those of block.units.
     told = told.combine_chunks().sort_by("bucket")
-    sizes, ids = B.joined(told["sizes"], np.uint32)[0].astype(np.int64), B.joined(told["ids"], np.int32)[0]
-    begun = np.concatenate([[0], np.cumsum(sizes)])
+    # In order of buckets the answers are in the order of the questions.
+    order = np.concatenate([np.zeros(0, np.int64), *(numbers for _, numbers, _ in block.asked(buckets))]).astype(np.int64)
+    sizes, begun = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    sizes[order] = _opened(told["sizes"], np.uint32)
+    begun[order] = np.cumsum(sizes[order]) - sizes[order]
+    ids = _opened(told["ids"], np.int32)
     lengths = sizes[block.unit_of]
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    source = np.repeat(begun[:-1][block.unit_of] - ends[:-1], lengths) + np.arange(ends[-1])
+    source = np.repeat(begun[block.unit_of] - ends[:-1], lengths) + np.arange(ends[-1])
     lists = pa.ListArray.from_arrays(pa.array(ends[block.first], pa.int32()), pa.array(ids[source], pa.int32()))
-    return pa.table({"doc_id": block.doc_ids, "text": pa.array(block.texts, pa.string()), "ids": lists})
+    return pa.table({"doc_id": block.doc_ids, "text": block.texts, "ids": lists})
+
+
+def _opened(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(zstandard.decompress(x.as_buffer()), kind) for x in column)])

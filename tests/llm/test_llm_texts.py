@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -297,6 +299,22 @@ def test_surrogates_stay_distinct(spark):
     assert len({f.text for f in found}) == 200 and not {f.text for f in found} & {t for _, t in rows}
 
 
+def test_pieces_of_a_block_take_bounded_memory(monkeypatch):
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.3, 400) % 300_000) for _ in range(9000)]
+    monkeypatch.setattr(pieces, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    blocks = list(pieces._pack([batch, batch]))
+    assert len(blocks) > 2
+    tracemalloc.start()
+    asked = sum(out.nbytes for out in pieces._ask(blocks, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Neighbours in spelling compress well.
+    distinct = {w for t in texts for w in t.split()}
+    assert peak < 200e6 and asked < 0.4 * len(blocks) * sum(map(len, distinct))
+
+
 def test_pieces(spark, odd_rows):
     import sentencepiece
 
