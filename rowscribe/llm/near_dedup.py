@@ -14,7 +14,7 @@ Classes are the connected components of verified pairs.
 
 Buckets are summed before they are shuffled, and hot ones are split by the joins.
 A text is moved only if a bitmap of the nodes in pairs may hold it, its word
-hashes only if it is in a pair.
+hashes only if it is in a pair whose counts of words by hash allow an alignment.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SKETCHES = 64
 ALIKE = 0.8
 #: Of the bitmap of needed nodes (8 MB); a text that is not needed passes as often as a bit of it is set.
 BITS = 1 << 26
+#: Words of a node are counted by the hash in so many bytes.
+BINS = 256
 _SEEDS = np.random.default_rng(97).integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -170,7 +172,12 @@ def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame
     """The pairs whose words align."""
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     one = cut(nodes.select("node", "doc_id").filter("doc_id IS NOT NULL").join(needed, "node"), "needed")
-    spelled = cut(_needed(texts, one).join(one, "doc_id").select("node", "text").mapInArrow(_spell, "node long, words binary").dropDuplicates(["node"]), "spelled")
+    spelled = cut(_needed(texts, one).join(one, "doc_id").select("node", "text").mapInArrow(_spell, "node long, n int, bag binary, words binary").dropDuplicates(["node"]), "spelled")
+    # Every pair carries its words, so first those go whose words are too unlike in any order.
+    bags = pairs
+    for side in "ab":
+        bags = bags.join(spelled.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bag").alias(f"bag_{side}")), side)
+    pairs = cut(bags.mapInArrow(_likely, "a long, b long"), "likely")
     left = pairs.join(spelled.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
     both = left.join(spelled.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     return cut(both.select("a", "b", "words_a", "words_b").mapInArrow(_aligned, "a long, b long"), "links")
@@ -192,7 +199,20 @@ def _spell(batches):
         # A doc_id may stand for several texts; only the node's own counts.
         own = np.flatnonzero(_whole(words).view(np.int64) == batch.column("node").to_numpy())
         small = (words.hashes >> np.uint64(32)).astype(np.uint32)
-        yield pa.record_batch({"node": batch.column("node").take(pa.array(own)), "words": pa.array([small[words.first[i] : words.first[i + 1]].tobytes() for i in own], pa.binary())})
+        spelled = [small[words.first[i] : words.first[i + 1]] for i in own]
+        bags = [np.minimum(np.bincount(x % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for x in spelled]
+        counts = pa.array([len(x) for x in spelled], pa.int32())
+        yield pa.record_batch({"node": batch.column("node").take(pa.array(own)), "n": counts, "bag": pa.array(bags, pa.binary()), "words": pa.array([x.tobytes() for x in spelled], pa.binary())})
+
+
+def _likely(batches):
+    """The pairs that the counts of their words leave possible; every edit takes one word away and brings one at most."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int32) for c in ("bag_a", "bag_b"))
+        limit = ((1 - ALIKE) * np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) + 1e-9).astype(np.int64)
+        excess = a - b
+        keep = np.maximum(np.maximum(excess, 0).sum(axis=1), np.maximum(-excess, 0).sum(axis=1)) <= limit
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _aligned(batches):

@@ -129,6 +129,23 @@ def test_near_dedup_moves_needed_texts_only(spark, monkeypatch):
         assert sorted(r.text for r in held.join(one, "doc_id").collect()) == wanted
 
 
+def test_near_dedup_drops_unlike_pairs_before_their_words_move():
+    r = random.Random(8)
+    texts = [sentence(r, 300) for _ in range(12)]
+    texts += [" ".join(w for w in t.split() if r.random() > 0.12) for t in texts] + ["a " * 2000, "a " * 1700, "", "one"]
+    spelled = [W.words_of(pa.array([t]), W.ALPHANUMERIC, W.FOLD_CASE) for t in texts]
+    nodes = pa.array([int(near_dedup._whole(w).view(np.int64)[0]) for w in spelled])
+    rows = next(near_dedup._spell([pa.record_batch({"node": nodes, "text": texts})])).to_pylist()
+    words = [np.frombuffer(x["words"], np.uint32) for x in rows]
+    every = [(i, j) for i in range(len(rows)) for j in range(i)]
+    kinds = {"a": pa.int64(), "b": pa.int64(), "n_a": pa.int32(), "n_b": pa.int32(), "bag_a": pa.binary(), "bag_b": pa.binary()}
+    values = [(i, j, rows[i]["n"], rows[j]["n"], rows[i]["bag"], rows[j]["bag"]) for i, j in every]
+    batch = pa.record_batch([pa.array([v[k] for v in values], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+    left = {(x["a"], x["b"]) for x in next(near_dedup._likely([batch])).to_pylist()}
+    alike = {(i, j) for i, j in every if near_dedup.alike(words[i], words[j])}
+    assert len(alike) >= 12 and alike <= left and len(left) < len(every) / 4
+
+
 def test_near_dedup_below_a_shared_passage(spark):
     r = random.Random(21)
     passage, rows = sentence(r, 140, 3000), []
