@@ -8,8 +8,8 @@ scores are ranks, so the best sum is another segmentation than its own: its
 lattice is reduced by merges in order of score, in Python on Arrow batches, because
 the same merges as a fold took milliseconds for each unit.
 
-Texts that are read together form a block, compressed as a whole and written once; only
-compressed blocks are shuffled. A block asks for its distinct units
+Texts that are read together form a block, compressed as a whole and written once, where
+its answers are brought to it: blocks are not shuffled. A block asks for its distinct units
 and gets their ids back, so a unit that every text holds is asked for once per
 block. One text, and one unit, must fit into a task.
 """
@@ -30,17 +30,19 @@ from pyspark.sql import functions as F
 from rowscribe.llm import blocks as B
 from rowscribe.llm.words import bytes_of, hash_ranges
 from rowscribe.llm.words import pieces as bounded
-from rowscribe.session import cut
+from rowscribe.session import cut, cut_by
 
 SPACE = "▁"
 #: A piece table of more rows is joined without a broadcast hint.
 BROADCAST_PIECES = 1_000_000
-#: A task holds about twelve times a block.
-BLOCK_BYTES = B.BLOCK_BYTES
+#: A task holds about thirty times a block, and workers that wait keep much of it.
+BLOCK_BYTES = B.BLOCK_BYTES // 2
 #: Of compression: blocks and units are written once and read twice.
 LEVEL = 6
-#: Units asked for in a task (distinct ones are fewer); their edges are gathered by hash, more would be sorted.
-UNITS_OF_A_TASK = 50_000
+#: Distinct units of a task whose edges are gathered by hash; those of more would be sorted.
+UNITS_OF_A_TASK = 250_000
+#: Blocks that lie together, and groups of them at most.
+BLOCKS_OF_A_PART, MOST_PARTS = 4, 10_000
 #: Units of more bytes or characters are cut into windows before they become substrings.
 LONG, WINDOW = 1_024, 256
 #: A span is start x WIDTH + length.
@@ -82,18 +84,22 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     size = rows.select(F.sum(F.octet_length("text")).alias("size")).first().size or 0
     count = max(1, -(-size // BLOCK_BYTES))
-    packed = cut(rows.mapInArrow(_pack, "block long, texts binary"), "blocks")
+    packed = cut_by(rows.mapInArrow(_pack, "block long, texts binary"), "block", min(MOST_PARTS, -(-count // BLOCKS_OF_A_PART)), "blocks")
     asked = cut(packed.mapInArrow(lambda b: _ask(b, count), "bucket int, block long, longest int, n int, sizes binary, units binary"), "units")
     # Tasks of a bounded number of units, since a task holds the edges of its units.
-    counted = asked.select(F.sum("n").alias("n"), F.max("longest").alias("longest")).first()
-    tasks = max(1, -(-int(counted.n or 0) // UNITS_OF_A_TASK))
-    units = asked.mapInArrow(_spell, "bucket int, unit string").repartition(tasks, "bucket", "unit").groupBy("bucket", "unit").count().select("bucket", "unit")
-    if (counted.longest or 0) > LONG:
+    # What blocks ask is moved compressed, and made distinct where it meets; units are moved once each.
+    longest = asked.select(F.max("longest")).first()[0] or 0
+    units = asked.select("bucket", "sizes", "units").groupBy("bucket").applyInArrow(_distinct, "bucket int, unit string")
+    if longest > LONG:
         units = cut(units, "distinct")
+    # A bucket's units are about as many as a block's distinct ones at most, so each bucket has a task.
+    units = units.repartition(count, "bucket")
+    if longest > LONG:
         lattice = segment(units.filter(F.length("unit") <= LONG), model).unionByName(segment_long(units.filter(F.length("unit") > LONG), model))
     else:
         lattice = segment(units, model)
-    known = _with_edges_in_memory(docs.sparkSession, lambda: cut(lattice, "known"))
+    known = lattice.mapInArrow(_answers, "bucket int, sizes binary, units binary, counts binary, ids binary")
+    known = _with_edges_in_memory(docs.sparkSession, lambda: cut_by(known, "bucket", min(MOST_PARTS, count), "known"))
     told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, k: _tell(a, k), "block long, bucket int, sizes binary, ids binary")
     return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, told: _encode(t, told, count), "doc_id long, text string, ids array<int>")
 
@@ -102,7 +108,7 @@ def _with_edges_in_memory(spark: SparkSession, write):
     """``write()`` with the units of a task gathered by hash; the session's setting is put back."""
     name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(name)
-    spark.conf.set(name, 2 * UNITS_OF_A_TASK)
+    spark.conf.set(name, UNITS_OF_A_TASK)
     try:
         return write()
     finally:
@@ -113,9 +119,8 @@ def segment(units: DataFrame, model: Model) -> DataFrame:
     """``units`` (bucket, unit; distinct) with ids: the lattice and its fold."""
     word = F.translate("unit", " ", SPACE)
     rows = units.select("bucket", "unit", word.alias("word"), F.length("unit").alias("n"))
-    spans = _substrings(F.col("word"), F.lit(0), F.col("n"), F.col("n"), model)
     # Edges of a unit are gathered where its substrings were made: no shuffle, and no sort of all edges.
-    spelled = rows.select("bucket", "unit", "word", "n", F.inline(spans)).join(model.table(units.sparkSession), "piece", "left")
+    spelled = _spelled(rows, F.col("word"), F.lit(0), F.col("n"), F.col("n"), model)
     return _picked(spelled.groupBy("bucket", "unit", "word", "n").agg(_edges(model)), model)
 
 
@@ -126,17 +131,23 @@ def segment_long(units: DataFrame, model: Model) -> DataFrame:
     at = F.sequence(F.lit(0), F.col("n") - 1, F.lit(WINDOW))
     windows = F.transform(at, lambda i: F.struct(i.alias("first"), F.substring(F.col("word"), i + 1, F.lit(WINDOW + model.longest - 1)).alias("part")))
     parts = rows.select("bucket", "key", "check", F.inline(windows))
-    spans = _substrings(F.col("part"), F.col("first"), F.least(F.lit(WINDOW), F.length("part")), F.length("part"), model)
-    spelled = parts.select("bucket", "key", "check", F.inline(spans)).join(model.table(units.sparkSession), "piece", "left")
+    spelled = _spelled(parts, F.col("part"), F.col("first"), F.least(F.lit(WINDOW), F.length("part")), F.length("part"), model)
     edges = spelled.groupBy("bucket", "key", "check").agg(_edges(model))
     return _picked(rows.join(edges, ["bucket", "key", "check"]).select("bucket", "unit", "word", "n", "edges"), model)
 
 
-def _substrings(part, first, starts, n, model: Model):
-    """span and piece of the substrings of the ``n`` characters of ``part`` that begin at its first ``starts``; its first character is the unit's ``first``."""
-    lengths = lambda s: F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s))
-    each = lambda s: F.transform(lengths(s), lambda m: F.struct(((first + s) * WIDTH + m).alias("span"), F.substring(part, s + 1, m).alias("piece")))
-    return F.flatten(F.transform(F.sequence(F.lit(0), starts - 1), each))
+def _spelled(rows: DataFrame, part, first, starts, n, model: Model) -> DataFrame:
+    """``rows`` for each substring that is a piece, with its span, id and score.
+
+    Substrings are those of the ``n`` characters of ``part`` that begin at its first
+    ``starts``; its first character is the unit's ``first``. Of those that are no piece
+    only a unit's first character stays, so that a unit without pieces is not lost.
+    """
+    at = rows.withColumn("s", F.explode(F.sequence(F.lit(0), starts - 1)))
+    each = at.withColumn("m", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))))
+    span = ((first + F.col("s")) * WIDTH + F.col("m")).alias("span")
+    spans = each.select(*rows.columns, span, F.substring(part, F.col("s") + 1, F.col("m")).alias("piece"))
+    return spans.join(model.table(rows.sparkSession), "piece", "left").filter("id IS NOT NULL OR span = 1")
 
 
 def _edges(model: Model):
@@ -165,36 +176,36 @@ def _picked(whole: DataFrame, model: Model) -> DataFrame:
 
 
 def _merged(batches, scores: dict[int, float], by_byte: dict[int, int], unknown: int):
+    costs = {name: -score for name, score in scores.items()}
     for batch in batches:
         edges = batch.column("edges")
         flat = edges.flatten().to_numpy()
         spans, names = (flat >> 32).tolist(), (flat & 0xFFFFFFFF).tolist()
         counts, at, out = edges.value_lengths().to_pylist(), 0, []
         for word, count in zip(batch.column("word").to_pylist(), counts, strict=True):
-            lattice = {spans[i]: (scores[names[i]], names[i]) for i in range(at, at + count)}
-            out.append(merge(word, lattice, by_byte, unknown))
+            lattice = dict(zip(spans[at : at + count], names[at : at + count], strict=True))
+            out.append(merge(word, lattice, costs, by_byte, unknown))
             at += count
         yield pa.record_batch([batch.column("bucket"), batch.column("unit"), pa.array(out, pa.list_(pa.int32()))], ["bucket", "unit", "ids"])
 
 
-def merge(word: str, lattice: dict[int, tuple[float, int]], by_byte: dict[int, int], unknown: int) -> list[int]:
+def merge(word: str, lattice: dict[int, int], costs: dict[int, float], by_byte: dict[int, int], unknown: int) -> list[int]:
     """Ids of a word: of all neighbours that join to a piece those of best score (then the leftmost) are joined, again and again.
 
-    ``lattice``: (score, id) by start x 64 + length.
+    ``lattice``: id by start x 64 + length; ``costs``: the negative score by id.
     """
     n = len(word)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    waiting: list[tuple] = []
+    waiting = [(costs[lattice[s * 64 + 2]], s, s + 1, s + 2) for s in range(n - 1) if s * 64 + 2 in lattice]
+    heapq.heapify(waiting)
 
     def offer(start: int) -> None:
         middle = end[start]
         if middle < n and end[middle] - start < 64:
-            edge = lattice.get(start * 64 + end[middle] - start)
-            if edge is not None:
-                heapq.heappush(waiting, (-edge[0], start, middle, end[middle]))
+            name = lattice.get(start * 64 + end[middle] - start)
+            if name is not None:
+                heapq.heappush(waiting, (costs[name], start, middle, end[middle]))
 
-    for start in range(n - 1):
-        offer(start)
     while waiting:
         _, start, middle, stop = heapq.heappop(waiting)
         # One of the two may have been joined with another one meanwhile.
@@ -208,9 +219,9 @@ def merge(word: str, lattice: dict[int, tuple[float, int]], by_byte: dict[int, i
             offer(before[start])
     ids, at = [], 0
     while at < n:
-        edge = lattice.get(at * 64 + end[at] - at)
-        if edge is not None:
-            ids.append(edge[1])
+        name = lattice.get(at * 64 + end[at] - at)
+        if name is not None:
+            ids.append(name)
         elif by_byte:
             ids += [by_byte[b] for b in word[at : end[at]].encode()]
         else:
@@ -330,27 +341,50 @@ def _questions(block: _Block, number: int, buckets: int) -> pa.RecordBatch:
 
 
 def _squeezed(numbers: np.ndarray, kind) -> bytes:
-    return zstandard.compress(numbers.astype(kind).tobytes(), LEVEL)
+    """Compressed: first the lowest byte of all numbers, then the next one, as the high ones hardly differ."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes(), LEVEL)
+
+
+def _unsqueezed(packed: pa.Scalar, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(packed.as_buffer()), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _asked_units(sizes, units) -> pa.Array:
-    lengths = np.frombuffer(zstandard.decompress(sizes.as_buffer()), np.uint32)
+    lengths = _unsqueezed(sizes, np.uint32)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(units.as_py())))
 
 
-def _spell(batches):
+def _distinct(asked: pa.Table) -> pa.Table:
+    """The distinct units that blocks ask a bucket for."""
+    units = pa.chunked_array([_asked_units(s, u) for s, u in zip(asked["sizes"], asked["units"], strict=True)], pa.string()).unique()
+    return pa.table({"bucket": pa.array(np.full(len(units), asked["bucket"][0].as_py(), np.int32)), "unit": units})
+
+
+def _answers(batches):
+    """Units and ids of a bucket, compressed for each batch."""
     for batch in batches:
-        for bucket, sizes, units in zip(batch.column("bucket").to_pylist(), batch.column("sizes"), batch.column("units"), strict=True):
-            spelled = _asked_units(sizes, units)
-            yield pa.record_batch({"bucket": pa.array(np.full(len(spelled), bucket, np.int32)), "unit": spelled})
+        rows = []
+        for bucket in pc.unique(batch.column("bucket")):
+            part = batch.filter(pc.equal(batch.column("bucket"), bucket)).sort_by("unit")
+            units, ids = bytes_of(part.column("unit")), part.column("ids")
+            rows.append((bucket.as_py(), _squeezed(np.diff(units[1]), np.uint32), zstandard.compress(units[0].tobytes(), LEVEL), _squeezed(ids.value_lengths().to_numpy(), np.uint32), _squeezed(ids.flatten().to_numpy(), np.int32)))
+        kinds = {"bucket": pa.int32(), "sizes": pa.binary(), "units": pa.binary(), "counts": pa.binary(), "ids": pa.binary()}
+        yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
 
 def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
-    names, ids = known["unit"].combine_chunks(), known["ids"].combine_chunks()
-    rows = []
-    for block, bucket, sizes, units in zip(asked["block"].to_pylist(), asked["bucket"].to_pylist(), asked["sizes"], asked["units"], strict=True):
-        found = ids.take(pc.index_in(_asked_units(sizes, units), value_set=names))
+    names = pa.chunked_array([_asked_units(s, u) for s, u in zip(known["sizes"], known["units"], strict=True)], pa.string()).combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(_opened(known["counts"], np.uint32))]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(_opened(known["ids"], np.int32)))
+    rows, each = [], [_asked_units(s, u) for s, u in zip(asked["sizes"], asked["units"], strict=True)]
+    # One look-up for all blocks, as each would hash all names.
+    places = pc.index_in(pa.chunked_array(each, pa.string()), value_set=names).combine_chunks()
+    last = 0
+    for block, bucket, units in zip(asked["block"].to_pylist(), asked["bucket"].to_pylist(), each, strict=True):
+        found = ids.take(places.slice(last, len(units)))
+        last += len(units)
         rows.append((block, bucket, _squeezed(found.value_lengths().to_numpy(), np.uint32), _squeezed(found.flatten().to_numpy(), np.int32)))
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(["block", "bucket", "sizes", "ids"], kinds, strict=True))})
@@ -361,16 +395,19 @@ def _encode(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     told = told.combine_chunks().sort_by("bucket")
     # In order of buckets the answers are in the order of the questions.
     order = np.concatenate([np.zeros(0, np.int64), *(numbers for _, numbers, _ in block.asked(buckets))]).astype(np.int64)
-    sizes, begun = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    sizes, begun = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
     sizes[order] = _opened(told["sizes"], np.uint32)
     begun[order] = np.cumsum(sizes[order]) - sizes[order]
     ids = _opened(told["ids"], np.int32)
     lengths = sizes[block.unit_of]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    source = np.repeat(begun[block.unit_of] - ends[:-1], lengths) + np.arange(ends[-1])
-    lists = pa.ListArray.from_arrays(pa.array(ends[block.first], pa.int32()), pa.array(ids[source], pa.int32()))
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    # A list's offsets are of 32 bits, so the places of its ids are too.
+    offsets = pa.array(ends[block.first], pa.int32())
+    source = np.repeat(begun[block.unit_of] - ends[:-1].astype(np.int32), lengths)
+    source += np.arange(ends[-1], dtype=np.int32)
+    lists = pa.ListArray.from_arrays(offsets, pa.array(ids[source], pa.int32()))
     return pa.table({"doc_id": block.doc_ids, "text": block.texts, "ids": lists})
 
 
 def _opened(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(zstandard.decompress(x.as_buffer()), kind) for x in column)])
+    return np.concatenate([np.zeros(0, kind), *(_unsqueezed(x, kind) for x in column)])

@@ -26,6 +26,9 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+#: Whether the files of a query's shuffles are removed when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings every plan of this package relies on."""
@@ -61,8 +64,30 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
     Used where rows must not be produced twice (paid model calls, partition
     numbers). A lost executor only re-reads files, and every later plan reads
-    just the columns it needs.
+    just the columns it needs. What the write shuffled goes when it ends, and not
+    when the driver happens to collect its garbage.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    _without_traces(spark, lambda: df.write.parquet(path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_by(df: DataFrame, column: str, buckets: int, name: str = "cut") -> DataFrame:
+    """As ``cut``, in files by the hash of ``column``: what groups by it later reads them as they lie and does not shuffle them.
+
+    Spark keeps the order of buckets with a table, so this is one, over the scratch folder.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = f"rowscribe_{uuid.uuid4().hex}"
+    _without_traces(spark, lambda: df.write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(table))
+    return spark.table(table)
+
+
+def _without_traces(spark: SparkSession, write) -> None:
+    """``write()``, after which the files of its shuffles go."""
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        write()
+    finally:
+        spark.conf.set(CLEAN_UP, before)

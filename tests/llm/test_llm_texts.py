@@ -5,14 +5,18 @@ from __future__ import annotations
 import collections
 import random
 import re
+import time
 import tracemalloc
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from rowscribe import session
 from rowscribe.llm import decontamination, language_id, license_scan, near_dedup, pieces, substring_dedup, surrogates, toxicity
 from rowscribe.llm import words as W
 from rowscribe.llm.license_rules import BASE, RULES
@@ -146,6 +150,23 @@ def test_near_dedup_drops_unlike_pairs_before_their_words_move():
     assert len(alike) >= 12 and alike <= left and len(left) < len(every) / 4
 
 
+def test_a_cut_leaves_no_shuffle_files(spark, tmp_path):
+    before = spark.conf.get(session.CLEAN_UP)
+    seen = sum(1 for _ in shuffle_files())
+    session.cut(spark.range(50_000).repartition(7, "id"))
+    for _ in range(50):
+        if sum(1 for _ in shuffle_files()) <= seen:
+            break
+        time.sleep(0.1)
+    assert sum(1 for _ in shuffle_files()) <= seen and spark.conf.get(session.CLEAN_UP) == before
+
+
+def shuffle_files():
+    """Shuffle data of this session's block manager."""
+    folders = SparkSession.getActiveSession().sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return (f for d in folders for f in Path(d).rglob("shuffle_*.data"))
+
+
 def test_near_dedup_below_a_shared_passage(spark):
     r = random.Random(21)
     passage, rows = sentence(r, 140, 3000), []
@@ -346,6 +367,14 @@ def test_pieces(spark, odd_rows):
     assert pieces.encode(table(spark, []), model).count() == 0
 
 
+def test_pieces_moves_no_blocks(spark):
+    rows = [(i, f"word{i} and some more words") for i in range(50)]
+    plan = pieces.encode(table(spark, rows), piece_model())._jdf.queryExecution().executedPlan().toString()
+    # Blocks are read as they lie; only questions and answers are dealt.
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert "Bucketed: true" in plan and sorted(dealt) == ["block", "bucket"]
+
+
 def test_unigram_viterbi(spark):
     model = piece_model()
     model.kind, model.bytes = "unigram", {}
