@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowscribe.llm.words import ALPHANUMERIC, FOLD_CASE, mix, pieces, windows, words_of
+from rowscribe.llm.words import ALPHANUMERIC, FOLD_CASE, SLICE, mix, pieces, windows, words_of
 from rowscribe.session import cut
 
 SHINGLE = 2
@@ -34,6 +34,8 @@ ALIKE = 0.8
 BITS = 1 << 26
 #: Words of a node are counted by the hash in so many bytes.
 BINS = 256
+#: Rows that the members of a class in a bucket are dealt over.
+LISTS = 8
 _SEEDS = np.random.default_rng(97).integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -48,10 +50,10 @@ def classes(docs: DataFrame) -> DataFrame:
     one class. Other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(texts.mapInArrow(_sketches, "doc_id long, node long, n int, sketches array<long>"), "sketches")
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketches").alias("sketches")), "nodes")
+    rows = cut(texts.mapInArrow(_sketches, "doc_id long, node long, n int, bag binary, sketches array<long>"), "sketches")
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bag").alias("bag"), F.min("sketches").alias("sketches")), "nodes")
     shared = _shared(nodes)
-    pairs = _pairs(shared)
+    pairs = _pairs(shared, nodes)
     # Each node is first aligned with the one it shares most buckets with; pairs that are then in one class need no look.
     most = pairs.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
     first = cut(_ordered(most), "pairs")
@@ -62,7 +64,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = cut(apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "pairs")
     links = cut(links.unionByName(_verified(texts, nodes, rest)), "links")
     found = components(links)
-    left = cut(_left(shared, found).join(first.unionByName(rest), ["a", "b"], "left_anti"), "pairs")
+    left = cut(_left(shared, nodes, found).join(first.unionByName(rest), ["a", "b"], "left_anti"), "pairs")
     if not left.isEmpty():
         found = components(links.unionByName(_verified(texts, nodes, left)))
     members = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -72,7 +74,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _sketches(batches):
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=SLICE):
         words = words_of(batch.column("text"), ALPHANUMERIC, FOLD_CASE)
         counts = np.diff(words.first)
         whole = _whole(words)
@@ -98,7 +100,15 @@ def _sketches(batches):
             sketches[:, i] = mix(grams[low] * np.uint64(3) + mix(grams[high]) + seed)
         flat = pa.array(sketches.view(np.int64).ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * SKETCHES, pa.int32()), flat)
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "node": whole.view(np.int64), "n": counts.astype(np.int32), "sketches": lists})
+        bags = pa.array([bag.tobytes() for bag in _bags(words)], pa.binary())
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "node": whole.view(np.int64), "n": counts.astype(np.int32), "bag": bags, "sketches": lists})
+
+
+def _bags(words) -> np.ndarray:
+    """Each text's words counted by hash, as ``_spell`` counts them."""
+    texts = len(words.first) - 1
+    at = np.repeat(np.arange(texts) * BINS, np.diff(words.first)) + ((words.hashes >> np.uint64(32)) % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=texts * BINS), 255).astype(np.uint8).reshape(-1, BINS)
 
 
 def _whole(words) -> np.ndarray:
@@ -128,10 +138,11 @@ def _least(values: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """bucket, node, n and the least node of every bucket of two nodes or more."""
+    """bucket, node, n and least (the least node) of every bucket of two nodes or more."""
     keys = nodes.select("node", "n", F.explode(F.transform("sketches", lambda s, i: F.xxhash64(i, s))).alias("bucket"))
-    ends = keys.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("greatest"))
-    return cut(keys.join(ends.filter("least.node != greatest").select("bucket", "least"), "bucket"), "shared")
+    # Plain numbers are summed by hash; a least struct would sort all keys.
+    ends = keys.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("greatest"))
+    return cut(keys.join(ends.filter("least != greatest").select("bucket", "least"), "bucket"), "shared")
 
 
 def _fits(n, m):
@@ -139,28 +150,35 @@ def _fits(n, m):
     return F.least(n, m) >= ALIKE * F.greatest(n, m) - 1e-9
 
 
-def _pairs(shared: DataFrame) -> DataFrame:
+def _pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, other (the least node of a bucket of both) and how many such buckets they share."""
-    to_least = shared.filter("node != least.node").select("node", "n", F.col("least.node").alias("other"), F.col("least.n").alias("m"))
-    return cut(to_least.filter(_fits("n", "m")).groupBy("node", "other").agg(F.count("*").alias("shared")), "pairs")
+    counted = shared.filter("node != least").groupBy("node", "n", F.col("least").alias("other")).agg(F.count("*").alias("shared"))
+    sized = counted.join(nodes.select(F.col("node").alias("other"), F.col("n").alias("m")), "other")
+    return cut(sized.filter(_fits("n", "m")).select("node", "other", "shared"), "pairs")
 
 
-def _left(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of fitting lengths of all buckets, without those of one class.
+def _left(shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of fitting lengths and words of all buckets, without those of one class.
 
-    The members of a class in a bucket are one row until classes have met, so the
-    pairs inside a class are never formed.
+    The members of a class in a bucket are ``LISTS`` rows at most until classes have met, so the
+    pairs inside a class are never formed. Members bring the counts of their words along: a pair
+    that these rule out is dropped where it is formed, and never moved.
     """
     # Lengths that fit are in one band or in neighbouring ones.
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.01 / ALIKE))).cast("int")
     placed = shared.filter("n > 0").select("bucket", "node", "n", band.alias("band")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-    sides = placed.join(mixed, "bucket").groupBy("bucket", "band", "root").agg(F.collect_list(F.struct("n", "node")).alias("members"))
-    sides = cut(sides, "sides")
+    placed = placed.join(mixed, "bucket").join(nodes.select("node", "bag"), "node")
+    part = F.pmod(F.xxhash64("node"), F.lit(LISTS)).alias("list")
+    sides = placed.groupBy("bucket", "band", "root", part).agg(F.collect_list(F.struct("n", "node", "bag")).alias("members"))
+    sides = cut(sides.drop("list"), "sides")
     shorter = sides.select("bucket", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("root").alias("root_s"), F.col("members").alias("shorter"))
     longer = sides.select("bucket", "band", F.col("root").alias("root_l"), F.col("members").alias("longer"))
     met = shorter.join(longer, ["bucket", "band"]).filter("root_s != root_l").select(F.explode("shorter").alias("s"), "longer").select("s", F.explode("longer").alias("l"))
-    return _ordered(met.filter(F.col("s") < F.col("l")).filter(_fits("s.n", "l.n")).select(F.col("s.node").alias("node"), F.col("l.node").alias("other")))
+    met = met.filter((F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.node") < F.col("l.node")))).filter(_fits("s.n", "l.n"))
+    of = lambda side, to: [F.col(f"{side}.{c}").alias(f"{name}{to}") for c, name in (("node", ""), ("n", "n_"), ("bag", "bag_"))]
+    likely = met.select(*of("s", "a"), *of("l", "b")).mapInArrow(_likely, "a long, b long")
+    return _ordered(likely.select(F.col("a").alias("node"), F.col("b").alias("other")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -150,6 +150,18 @@ def test_near_dedup_drops_unlike_pairs_before_their_words_move():
     assert len(alike) >= 12 and alike <= left and len(left) < len(every) / 4
 
 
+def test_near_dedup_drops_unlike_pairs_of_a_bucket_where_they_are_formed(spark):
+    texts = pa.array([f"head line {' '.join(f'w{i}x{j}' for j in range(20))}" for i in range(30)])
+    found = next(near_dedup._sketches([pa.record_batch({"doc_id": pa.array(range(30), pa.int64()), "text": texts})]))
+    spelled = next(near_dedup._spell([pa.record_batch({"node": found.column("node"), "text": texts})]))
+    assert found.column("bag").to_pylist() == spelled.column("bag").to_pylist()
+    nodes = spark.createDataFrame(pa.Table.from_batches([found]))
+    shared = nodes.select(F.lit(1).alias("bucket"), "node", "n", F.lit(0).alias("least"))
+    roots = spark.createDataFrame([], "node long, root long")
+    # All of one bucket and of equal lengths: 435 pairs before, none of which can align.
+    assert near_dedup._left(shared, nodes, roots).count() == 0
+
+
 def test_a_cut_leaves_no_shuffle_files(spark, tmp_path):
     before = spark.conf.get(session.CLEAN_UP)
     seen = sum(1 for _ in shuffle_files())
